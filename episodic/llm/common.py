@@ -36,7 +36,7 @@ def row_key(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """
     return df.withColumns({
         "_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)),
-        "_t": F.pmod(F.xxhash64(text_of(text)), F.lit(32749)).cast("int"),
+        "_t": F.coalesce(F.pmod(F.xxhash64(text_of(text)), F.lit(32749)).cast("int"), F.lit(0)),
     })
 
 
