@@ -30,22 +30,26 @@ from .common import WordHashes, covered, rolling, row_key, shuffle_partitions, s
 WINDOW, PERIOD, COVER = 35, 21, (0, 1, 4, 14, 16)
 ANCHOR = WINDOW - PERIOD + 1
 FLUSH = 1_000_000
-HITS = "h long, _d long, at long, n int"
+HITS = "h long, _d long, at long"
+TWICE = 1 << 62  # bit of ``at`` for places whose hash its task has seen twice; below it: tag << 40 | place
 
 
 def _combined(h: np.ndarray, d: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each hash with its count; places beyond the first are known to repeat and go out under a key of their own."""
+    """One row under each hash; further places are known to repeat and go out under a key of their own.
+
+    Rows stay in the order of the documents, which lets the shuffle's compression find equal ids.
+    """
     order = np.argsort(h, kind="stable")
-    h, d, at = h[order], d[order], at[order]
-    first = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
-    n = np.diff(np.append(np.flatnonzero(first), len(h)))
-    count = np.full(len(h), 2, np.int32)
-    count[first] = np.minimum(n, 2)
+    new = np.append(True, h[order][1:] != h[order][:-1])
+    first, twice = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    first[order] = new
+    twice[order] = np.repeat(np.diff(np.append(np.flatnonzero(new), len(h))) > 1, np.diff(np.append(np.flatnonzero(new), len(h))))
     own = (d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
     key = np.where(first, h, own ^ (own >> np.uint64(31)))
+    at = np.where(twice, at | TWICE, at)
     for i in range(0, len(h), 100_000):
         s = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(d[s]), pa.array(at[s]), pa.array(count[s])], ["h", "_d", "at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(d[s]), pa.array(at[s])], ["h", "_d", "at"])
 
 
 def _hashed(pick) -> object:
@@ -84,7 +88,7 @@ def _windows(hashes: np.ndarray, batch: pa.RecordBatch, row: int) -> tuple[np.nd
     found = batch.column("found")[row].values
     if found is None:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    anchors = np.unique(found.to_numpy(zero_copy_only=False))
+    anchors = np.unique(found.to_numpy(zero_copy_only=False)).astype(np.int64)
     near = covered(np.maximum(anchors - (PERIOD - 1), 0), PERIOD, len(hashes) - WINDOW + 1) if len(anchors) else np.zeros(0, bool)
     at = np.flatnonzero(near)
     return rolling(hashes, WINDOW)[at], at
@@ -92,8 +96,10 @@ def _windows(hashes: np.ndarray, batch: pa.RecordBatch, row: int) -> tuple[np.nd
 
 def _repeated(hits: DataFrame) -> DataFrame:
     """Places whose hash is there twice, gathered for each document: _d, _t, found."""
-    total = F.sum("n").over(W.partitionBy("h"))
-    twice = hits.withColumn("n", total).filter("n > 1").select("_d", F.shiftright("at", 40).cast("int").alias("_t"), F.col("at").bitwiseAND((1 << 40) - 1).alias("at"))
+    same = W.partitionBy("h")
+    twice = hits.withColumns({"most": F.max("at").over(same), "rows": F.count(F.lit(1)).over(same)}).filter((F.col("rows") > 1) | (F.col("most") >= TWICE))
+    at = F.col("at").bitwiseAND(TWICE - 1)
+    twice = twice.select("_d", F.shiftright(at, 40).cast("int").alias("_t"), at.bitwiseAND((1 << 40) - 1).cast("int").alias("at"))
     return twice.groupBy("_d", "_t").agg(F.collect_list("at").alias("found"))
 
 
@@ -105,7 +111,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, hit = split_words(texts[row].as_py()), found[row].values
             gone = 0
             if hit is not None and len(hit):
-                cover = covered(hit.to_numpy(zero_copy_only=False), WINDOW, len(words))
+                cover = covered(hit.to_numpy(zero_copy_only=False).astype(np.int64), WINDOW, len(words))
                 gone = int(cover.sum())
                 kept.append(b" ".join([w for w, c in zip(words, cover.tolist(), strict=True) if not c]).decode("utf-8", "surrogatepass"))
             else:
