@@ -126,7 +126,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(df: DataFrame) -> DataFrame:
     """The columns of ``df`` without text, and n_words, n_removed, kept (the words left, joined by a space)."""
     n = shuffle_partitions(df.sparkSession)
+    alone = df.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 or doc_id is null").isEmpty()
     keyed = row_key(df).withColumn("text", F.col("text").cast("string"))
+    if alone:  # ids tell all rows apart: places are sent without the tags
+        keyed = keyed.withColumn("_t", F.coalesce(F.pmod("_d", F.lit(1)).cast("int"), F.lit(0)))  # 0, but no constant that would be taken out of the join's keys
     texts = keyed.repartition(n, "_d", "_t")
     anchors = keyed.select("_d", "_t", "text").mapInArrow(_hashed(_anchors), HITS)
     candidates = texts.join(_repeated(anchors), ["_d", "_t"])
