@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, mixing, quality, repeats, secrets, simhash
+from . import chat, decontamination, licenses, linedup, mixing, quality, repeats, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": lambda s, d: linedup.digest(table(s, d, "documents")),
         "op2_secret_scan": lambda s, d: secrets.digest(table(s, d, "documents")),
         "op3_mix_sources": lambda s, d: mixing.digest(table(s, d, "documents")),
         "op4_repeated_passages": lambda s, d: repeats.digest(table(s, d, "documents")),
         "op5_chat_format": lambda s, d: chat.digest(table(s, d, "conversations")),
         "op6_quality_rules": lambda s, d: quality.digest(table(s, d, "documents"), table(s, d, "labels")),
         "op7_decontaminate": lambda s, d: decontamination.digest(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op10_license_scan": lambda s, d: licenses.digest(table(s, d, "documents")),
         "op9_simhash_groups": lambda s, d: simhash.digest(table(s, d, "documents")),
     }
 
