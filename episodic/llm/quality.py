@@ -68,16 +68,17 @@ def statistics(text: str | None, memo: WordHashes) -> tuple[int, ...]:
 
 def measured(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of df and the statistics of its texts."""
-    source = df.select(*keep, F.col(text).cast("string").alias("__text"))
+    source = df.select(*keep) if text in keep else df.select(*keep, F.col(text).cast("string").alias("__text"))
+    at = keep.index(text) if text in keep else len(keep)
     names = [x.split()[0] for x in BASE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            rows = np.array([statistics(t.as_py(), memo) for t in batch.column(len(keep))], np.int64).reshape(-1, len(names))
+            rows = np.array([statistics(t.as_py(), memo) for t in batch.column(at)], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(rows[:, i]) for i in range(len(names)))], [*keep, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:len(keep)])
     return source.mapInArrow(run, f"{schema}, {BASE}")
 
 
@@ -170,7 +171,7 @@ def filter_documents(df: DataFrame, labels: DataFrame, stratum: str = "lang") ->
     """The rows of ``df`` that are kept, with their columns; texts are judged twice rather than shuffled."""
     stats = measured(df, ["doc_id", stratum])
     cuts = choose(checkpoint(stats.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), labels, stratum)
-    full = measured(df.withColumn("__copy", F.col("text")), df.columns)
+    full = measured(df, df.columns)
     return full.filter(~(base_failed() | _rejected(cuts, F.col(stratum).cast("string")))).select(*df.columns)
 
 

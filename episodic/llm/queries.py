@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licenses, linedup, mixing, quality, repeats, secrets, simhash
+from . import chat, decontamination, html, licenses, linedup, mixing, quality, repeats, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op6_quality_rules": lambda s, d: quality.digest(table(s, d, "documents"), table(s, d, "labels")),
         "op7_decontaminate": lambda s, d: decontamination.digest(table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_license_scan": lambda s, d: licenses.digest(table(s, d, "documents")),
+        "op8_main_text": lambda s, d: html.digest(table(s, d, "pages")),
         "op9_simhash_groups": lambda s, d: simhash.digest(table(s, d, "documents")),
     }
 
