@@ -44,6 +44,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's Arrow batch size: texts can be long, and a batch stands in memory several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage through the shared checkpoint folder, which outlives lost executors."""
     spark = df.sparkSession
@@ -66,7 +73,7 @@ def split_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Memo of 64-bit word hashes, emptied when it grows past its bound."""
 
-    bound = 1_000_000
+    bound = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.bound:

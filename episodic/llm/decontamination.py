@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, covered, rolling
+from .common import WordHashes, covered, rolling, small_batches
 
 TILE, THRESHOLD, BLOCK_WORDS = 5, 0.5, 2_000_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -113,6 +113,7 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[lis
 
 def scan(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns of ``df`` and ``hits``: array of (item_id, coverage) of the items it covers."""
+    small_batches(df.sparkSession)
     spark, out = df.sparkSession, df.withColumn("hits", F.array().cast("array<struct<item_id:bigint,coverage:double>>"))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
     for items in blocks(benchmark, block_words):

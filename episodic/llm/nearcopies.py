@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, row_key, shuffle_partitions
+from .common import checkpoint, row_key, shuffle_partitions, small_batches
 from .components import components
 from .simhash import SMALL, _planes, fingerprint, shingle_hashes, within
 
@@ -140,6 +140,7 @@ def _verified(columns: list) -> Iterator[pa.RecordBatch]:
 
 def keep_one(df: DataFrame) -> DataFrame:
     """The rows of ``df`` without all but one document of each group of near copies."""
+    small_batches(df.sparkSession)
     n = shuffle_partitions(df.sparkSession)
     keyed = row_key(df)
     base = checkpoint(keyed.select("_d", "_t", F.col("text").cast("string")).mapInArrow(_sketched, "_d long, _t int, fp long, cid long, n int, mins array<long>, sketch binary"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpoint, covered, rolling
+from .common import WordHashes, checkpoint, covered, rolling, small_batches
 
 #: Fixed values of the base.
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
@@ -68,6 +68,7 @@ def statistics(text: str | None, memo: WordHashes) -> tuple[int, ...]:
 
 def measured(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of df and the statistics of its texts."""
+    small_batches(df.sparkSession)
     source = df.select(*keep) if text in keep else df.select(*keep, F.col(text).cast("string").alias("__text"))
     at = keep.index(text) if text in keep else len(keep)
     names = [x.split()[0] for x in BASE.split(", ")]

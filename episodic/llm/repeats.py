@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, covered, rolling, row_key, shuffle_partitions, split_words
+from .common import WordHashes, covered, rolling, row_key, shuffle_partitions, small_batches, split_words
 
 WINDOW, PERIOD, COVER = 35, 21, (0, 1, 4, 14, 16)
 ANCHOR = WINDOW - PERIOD + 1
@@ -125,6 +125,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(df: DataFrame) -> DataFrame:
     """The columns of ``df`` without text, and n_words, n_removed, kept (the words left, joined by a space)."""
+    small_batches(df.sparkSession)
     n = shuffle_partitions(df.sparkSession)
     alone = df.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 or doc_id is null").isEmpty()
     keyed = row_key(df).withColumn("text", F.col("text").cast("string"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, row_key, shuffle_partitions, split_words
+from .common import checkpoint, shuffle_partitions, small_batches, split_words
 from .components import components
 
 BITS = 64
@@ -190,6 +190,7 @@ def fingerprints(df: DataFrame, width: int = 3, doc_id: str = "doc_id", text: st
             fp = [fingerprint(shingle_hashes(t.as_py(), width)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
+    small_batches(df.sparkSession)
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
