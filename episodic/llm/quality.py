@@ -136,7 +136,7 @@ def choose(stats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: fl
         chosen = {}
         for rule, (_, grid) in RULES.items():
             good, bad = tally[s, rule, 1], tally[s, rule, 0]
-            gain = lambda i, n=len(grid), good=good, bad=bad: sum(v for k, v in bad.items() if k >= n - i) - weight * sum(v for k, v in good.items() if k >= n - i)
+            gain = lambda i, good=good, bad=bad: sum(v for k, v in bad.items() if k > i) - weight * sum(v for k, v in good.items() if k > i)
             best = max(range(len(grid)), key=lambda i: (gain(i), i))  # of equal steps the most lenient
             if gain(best) > 0:
                 chosen[rule] = best
