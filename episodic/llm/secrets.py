@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import checkpoint, text_of
 
 
 @dataclass(frozen=True)
@@ -96,6 +96,7 @@ def findings(df: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES,
     each = each.select("blob", F.array_sort(F.flatten(F.transform("by_rule", lambda r: F.transform(
         r["spans"], lambda s: F.struct(s["start"].alias("start"), rank[r["rule"]].alias("rank"), s["end"].alias("end"), r["rule"].alias("rule")))))).alias("found"))
     empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,rule:string>>")
+    each = checkpoint(each)  # a side of its own: so Spark can split a blob that very many rows share
     return (df.withColumn("blob", F.sha2(text_of(text), 256)).join(each, "blob", "left")
             .withColumn("found", F.coalesce("found", empty)))
 
