@@ -5,8 +5,8 @@ Jaccard similarity of 0.8 or more. Candidates share one of eight min-hashes of t
 pair at 0.8 misses all eight with a chance of 0.2**8. In a bucket SimHash fingerprints are
 compared in bit planes and blocks beyond the radius are abandoned; at a similarity of 0.8 about
 10 of 64 bits differ, and the radius is 24. Documents with few shingles, whose fingerprints
-scatter more, skip this test. What is left is verified on the shingle sets: exact up to
-``SKETCH`` shingles, beyond by the ``SKETCH`` smallest hashes (standard error 0.018 at 0.8).
+scatter more, skip this test. What is left is verified on the whole shingle sets, as 64-bit
+hashes, which are made again from the texts of the candidate classes only.
 
 Documents with equal sets form one class before anything is compared. Buckets give spanning
 forests of their links; groups are the components; the document with the smallest id (null
@@ -27,13 +27,13 @@ from .common import checkpoint, row_key, shuffle_partitions, small_batches
 from .components import components
 from .simhash import SMALL, _planes, fingerprint, shingle_hashes, within
 
-WIDTH, SIMILARITY, RADIUS, FEW, SKETCH = 5, 0.8, 24, 64, 512
+WIDTH, SIMILARITY, RADIUS, FEW = 5, 0.8, 24, 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fp, cid, n, mins, sketch = [], [], [], [], []
+        fp, cid, n, mins = [], [], [], []
         for t in batch.column(2):
             h = shingle_hashes(t.as_py(), WIDTH)
             fp.append(fingerprint(h))
@@ -43,10 +43,16 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mixed ^= mixed >> np.uint64(31)
             mins.append(mixed.min(axis=1).view(np.int64).tolist() if len(h) else [0] * len(_ODD))
             cid.append(int((mixed[0] * np.uint64(0xFF51AFD7ED558CCD) ^ (mixed[1] >> np.uint64(7))).sum(dtype=np.uint64)) if len(h) else 0)
-            sketch.append((h[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes())
         as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), as_long(fp), as_long(cid), pa.array(n, pa.int32()), pa.array(mins, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                                         ["_d", "_t", "fp", "cid", "n", "mins", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), as_long(fp), as_long(cid), pa.array(n, pa.int32()), pa.array(mins, pa.list_(pa.int64()))],
+                                         ["_d", "_t", "fp", "cid", "n", "mins"])
+
+
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cid, buckets, and the distinct shingle hashes in order."""
+    for batch in batches:
+        sets = pa.array([np.unique(shingle_hashes(t.as_py(), WIDTH)).tobytes() for t in batch.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("buckets"), sets], ["cid", "buckets", "shingles"])
 
 
 def _by_bucket(handle: Callable[[list[np.ndarray | list]], Iterator[pa.RecordBatch]], columns: list[str]):
@@ -105,18 +111,17 @@ def _candidates(columns: list) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (band, key, cid)], ["band", "key", "cid"])
 
 
-def similarity(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> float:
-    if max(na, nb) <= SKETCH:
-        both = len(np.intersect1d(a, b, assume_unique=False))
-        return both / (na + nb - both) if na + nb else 1.0
-    least = np.union1d(a, b)[:SKETCH]
-    return float((np.isin(least, a) & np.isin(least, b)).mean())
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
 def _verified(columns: list) -> Iterator[pa.RecordBatch]:
     """Links (cid, first of its component in the bucket) between documents that are similar."""
-    band, key, cid, n = (c.to_numpy() for c in columns[:4])
-    sketch = [np.frombuffer(x.as_py(), np.uint32) for x in columns[4]]
+    band, key, cid = (c.to_numpy() for c in columns[:3])
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in columns[3]]
+    n = [len(x) for x in sets]
     a_out, b_out = [], []
     for s, size in zip(*_edges_of(band, key), strict=True):
         open_ = list(range(s, s + size))
@@ -127,7 +132,7 @@ def _verified(columns: list) -> Iterator[pa.RecordBatch]:
                 x, rest = queue.pop(), []
                 for y in open_:
                     ratio = min(n[x], n[y]) >= SIMILARITY * max(n[x], n[y])
-                    if ratio and similarity(sketch[x], sketch[y], n[x], n[y]) >= SIMILARITY:
+                    if ratio and similarity(sets[x], sets[y]) >= SIMILARITY:
                         queue.append(y)
                         a_out.append(cid[y])
                         b_out.append(cid[seed])
@@ -143,14 +148,15 @@ def keep_one(df: DataFrame) -> DataFrame:
     small_batches(df.sparkSession)
     n = shuffle_partitions(df.sparkSession)
     keyed = row_key(df)
-    base = checkpoint(keyed.select("_d", "_t", F.col("text").cast("string")).mapInArrow(_sketched, "_d long, _t int, fp long, cid long, n int, mins array<long>, sketch binary"))
+    base = checkpoint(keyed.select("_d", "_t", F.col("text").cast("string")).mapInArrow(_sketched, "_d long, _t int, fp long, cid long, n int, mins array<long>"))
     classes = checkpoint(base.groupBy("cid").agg(F.min(F.struct("_d", "_t")).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("mins").alias("mins")))
     rows = classes.select("cid", "fp", "n", F.posexplode("mins").alias("band", "key"))
     sort = lambda x: x.repartition(n, "band", "key").sortWithinPartitions("band", "key")
     maybe = checkpoint(sort(rows).mapInArrow(_by_bucket(_candidates, ["band", "key", "cid", "fp", "n"]), "band int, key long, cid long"))
-    wanted = classes.join(maybe.select("cid").distinct(), "cid").select("cid", "n", F.col("first._d").alias("_d"), F.col("first._t").alias("_t"))
-    sketches = wanted.join(base.select("_d", "_t", "sketch").dropDuplicates(["_d", "_t"]), ["_d", "_t"]).select("cid", "n", "sketch")
-    edges = sort(maybe.join(sketches, "cid")).mapInArrow(_by_bucket(_verified, ["band", "key", "cid", "n", "sketch"]), "a long, b long")
+    wanted = maybe.groupBy("cid").agg(F.collect_list(F.struct("band", "key")).alias("buckets")).join(classes.select("cid", "first.*"), "cid")
+    texts = keyed.select("_d", "_t", F.col("text").cast("string")).join(wanted, ["_d", "_t"]).dropDuplicates(["_d", "_t"])
+    sets = texts.select("cid", "buckets", "text").mapInArrow(_whole_sets, "cid long, buckets array<struct<band:int,key:long>>, shingles binary")
+    edges = sort(sets.select("cid", "shingles", F.explode("buckets").alias("x")).select("x.*", "cid", "shingles")).mapInArrow(_by_bucket(_verified, ["band", "key", "cid", "shingles"]), "a long, b long")
     root = components(edges)
     named = classes.join(root, F.col("cid") == F.col("a"), "left").select(F.coalesce("b", "cid").alias("root"), "first")
     stay = named.groupBy("root").agg(F.min("first").alias("first")).select("first.*")

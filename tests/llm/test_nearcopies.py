@@ -66,6 +66,21 @@ def test_large_bucket(spark, monkeypatch):
     assert [r.doc_id for r in nearcopies.keep_one(docs).collect()] == [0]
 
 
+def test_borderline_pairs_of_long_texts(spark):
+    rng, rows, want = random.Random(8), [], []
+    for k in range(30):  # 2000 shingles in the union of each pair
+        both = 1600 if k % 2 else 1599
+        words = [f"p{k}w{rng.randrange(10**9)}" for _ in range(both + 4)]
+        tails = [[f"p{k}{side}{i}" for i in range(201)] for side in "ab"]
+        left, right = words + tails[0][:200], words + tails[1][: 2000 - both - 200]
+        rows += [(2 * k, " ".join(left), "en", "s", 1), (2 * k + 1, " ".join(right), "en", "s", 1)]
+        want += [2 * k] if k % 2 else [2 * k, 2 * k + 1]
+    sets = [shingle_set(r[1]) for r in rows]
+    assert {len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)} == {0.8, 1599 / 2000}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == want
+
+
 def test_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == brute([(r.doc_id, r.text) for r in docs.collect()])
