@@ -3,8 +3,8 @@
 Two documents are near copies if their sets of five-word shingles (A-Z lower-cased) have a
 Jaccard similarity of 0.8 or more. Candidates share one of eight min-hashes of their shingles: a
 pair at 0.8 misses all eight with a chance of 0.2**8. In a bucket SimHash fingerprints are
-compared in bit planes and blocks beyond the radius are abandoned; at a similarity of 0.8 about
-10 of 64 bits differ, and the radius is 24. Documents with few shingles, whose fingerprints
+compared in bit planes and blocks beyond the radius are abandoned; they are taken of the distinct
+shingles, so at a similarity of 0.8 about 10 of 64 bits differ, and the radius is 24. Documents with few shingles, whose fingerprints
 scatter more, skip this test. What is left is verified on the whole shingle sets, as 64-bit
 hashes, which are made again from the texts of the candidate classes only.
 
@@ -35,9 +35,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp, cid, n, mins = [], [], [], []
         for t in batch.column(2):
-            h = shingle_hashes(t.as_py(), WIDTH)
+            h = np.unique(shingle_hashes(t.as_py(), WIDTH))  # a set: one repeated shingle must not outweigh the text
             fp.append(fingerprint(h))
-            h = np.unique(h)
             n.append(len(h))
             mixed = h[None, :] * _ODD[:, None]
             mixed ^= mixed >> np.uint64(31)

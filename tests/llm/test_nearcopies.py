@@ -81,6 +81,15 @@ def test_borderline_pairs_of_long_texts(spark):
     assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == want
 
 
+def test_repeated_run(spark):
+    rng, rows = random.Random(9), []
+    for k in range(20):
+        text = " ".join(f"r{rng.randrange(10**9)}" for _ in range(1000))
+        rows += [(2 * k, text, "en", "s", 1), (2 * k + 1, text + " ha" * 250, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == list(range(0, 40, 2))
+
+
 def test_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == brute([(r.doc_id, r.text) for r in docs.collect()])
