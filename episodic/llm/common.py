@@ -32,14 +32,20 @@ def row_key(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """Adds ``_d`` and ``_t``, which tell rows apart even where doc_id is null or repeated.
 
     ``_d`` is the doc_id (null: the largest long, so such rows come last in any order),
-    ``_t`` a 15-bit tag of the text. Rows that repeat id and text count as one document.
+    ``_t`` a 64-bit hash of the text. Rows that repeat id and text count as one document.
     """
     return df.withColumns({
         "_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)),
-        "_t": F.coalesce(F.pmod(F.xxhash64(text_of(text)), F.lit(32749)).cast("int"), F.lit(0)),
+        "_t": F.xxhash64(text_of(text)),
     })
 
 
+def key_columns(df: DataFrame, doc_id: str = "doc_id") -> list[str]:
+    """The columns of ``row_key`` that tell the rows of ``df`` apart: without ``_t`` where no id is null or repeated."""
+    ids = df.select(F.col(doc_id).cast("long").alias("_d")).groupBy("_d").agg(F.count("*").alias("rows"))
+    return ["_d"] if ids.filter("rows > 1 or _d is null").isEmpty() else ["_d", "_t"]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

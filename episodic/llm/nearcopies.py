@@ -147,7 +147,7 @@ def keep_one(df: DataFrame) -> DataFrame:
     small_batches(df.sparkSession)
     n = shuffle_partitions(df.sparkSession)
     keyed = row_key(df)
-    base = checkpoint(keyed.select("_d", "_t", F.col("text").cast("string")).mapInArrow(_sketched, "_d long, _t int, fp long, cid long, n int, mins array<long>"))
+    base = checkpoint(keyed.select("_d", "_t", F.col("text").cast("string")).mapInArrow(_sketched, "_d long, _t long, fp long, cid long, n int, mins array<long>"))
     classes = checkpoint(base.groupBy("cid").agg(F.min(F.struct("_d", "_t")).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("mins").alias("mins")))
     rows = classes.select("cid", "fp", "n", F.posexplode("mins").alias("band", "key"))
     sort = lambda x: x.repartition(n, "band", "key").sortWithinPartitions("band", "key")

@@ -25,16 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, covered, rolling, row_key, shuffle_partitions, small_batches, split_words
+from .common import WordHashes, covered, key_columns, rolling, row_key, shuffle_partitions, small_batches, split_words
 
 WINDOW, PERIOD, COVER = 35, 21, (0, 1, 4, 14, 16)
 ANCHOR = WINDOW - PERIOD + 1
 FLUSH = 1_000_000
-HITS = "h long, _d long, at long"
-TWICE = 1 << 62  # bit of ``at`` for places whose hash its task has seen twice; below it: tag << 40 | place
+TWICE = 1 << 62  # bit of ``at`` for places whose hash its task has seen twice; below it the place
 
 
-def _combined(h: np.ndarray, d: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _combined(keys: list[str], h: np.ndarray, at: np.ndarray, *ids: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row under each hash; further places are known to repeat and go out under a key of their own.
 
     Rows stay in the order of the documents, which lets the shuffle's compression find equal ids.
@@ -44,36 +43,39 @@ def _combined(h: np.ndarray, d: np.ndarray, at: np.ndarray) -> Iterator[pa.Recor
     first, twice = np.zeros(len(h), bool), np.zeros(len(h), bool)
     first[order] = new
     twice[order] = np.repeat(np.diff(np.append(np.flatnonzero(new), len(h))) > 1, np.diff(np.append(np.flatnonzero(new), len(h))))
-    own = (d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    own = np.zeros(len(h), np.uint64)
+    for x in ids:
+        own = (own + x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    own = (own + at.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
     key = np.where(first, h, own ^ (own >> np.uint64(31)))
     at = np.where(twice, at | TWICE, at)
     for i in range(0, len(h), 100_000):
         s = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(d[s]), pa.array(at[s])], ["h", "_d", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), *(pa.array(x[s]) for x in ids), pa.array(at[s])], ["h", *keys, "at"])
 
 
-def _hashed(pick) -> object:
+def _hashed(pick, keys: list[str]) -> object:
     """A function for mapInArrow: hashes of the places that pick(word hashes, batch, row) gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
-            texts, ids, tags = batch.column("text"), batch.column("_d"), batch.column("_t")
+            texts, ids = batch.column("text"), [batch.column(k) for k in keys]
             for row in range(batch.num_rows):
                 words = split_words(texts[row].as_py())
                 if len(words) < WINDOW:
                     continue
                 h, at = pick(memo.of(words), batch, row)
                 if len(at):
-                    held.append((h, np.full(len(at), ids[row].as_py(), np.int64), at.astype(np.int64) | (tags[row].as_py() << 40)))
+                    held.append((h, at.astype(np.int64), *(np.full(len(at), x[row].as_py(), np.int64) for x in ids)))
                     size += len(at)
                 if size >= FLUSH:
-                    yield from _combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    yield from _combined(keys, *(np.concatenate(x) for x in zip(*held, strict=True)))
                     held, size = [], 0
         if held:
-            yield from _combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from _combined(keys, *(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -94,13 +96,12 @@ def _windows(hashes: np.ndarray, batch: pa.RecordBatch, row: int) -> tuple[np.nd
     return rolling(hashes, WINDOW)[at], at
 
 
-def _repeated(hits: DataFrame) -> DataFrame:
-    """Places whose hash is there twice, gathered for each document: _d, _t, found."""
+def _repeated(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """Places whose hash is there twice, gathered for each document: keys, found."""
     same = W.partitionBy("h")
     twice = hits.withColumns({"most": F.max("at").over(same), "rows": F.count(F.lit(1)).over(same)}).filter((F.col("rows") > 1) | (F.col("most") >= TWICE))
-    at = F.col("at").bitwiseAND(TWICE - 1)
-    twice = twice.select("_d", F.shiftright(at, 40).cast("int").alias("_t"), at.bitwiseAND((1 << 40) - 1).cast("int").alias("at"))
-    return twice.groupBy("_d", "_t").agg(F.collect_list("at").alias("found"))
+    twice = twice.select(*keys, F.col("at").bitwiseAND(TWICE - 1).cast("int").alias("at"))
+    return twice.groupBy(*keys).agg(F.collect_list("at").alias("found"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,17 +128,16 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     """The columns of ``df`` without text, and n_words, n_removed, kept (the words left, joined by a space)."""
     small_batches(df.sparkSession)
     n = shuffle_partitions(df.sparkSession)
-    alone = df.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 or doc_id is null").isEmpty()
-    keyed = row_key(df).withColumn("text", F.col("text").cast("string"))
-    if alone:  # ids tell all rows apart: places are sent without the tags
-        keyed = keyed.withColumn("_t", F.coalesce(F.pmod("_d", F.lit(1)).cast("int"), F.lit(0)))  # 0, but no constant that would be taken out of the join's keys
-    texts = keyed.repartition(n, "_d", "_t")
-    anchors = keyed.select("_d", "_t", "text").mapInArrow(_hashed(_anchors), HITS)
-    candidates = texts.join(_repeated(anchors), ["_d", "_t"])
-    windows = candidates.mapInArrow(_hashed(_windows), HITS)
+    keys = key_columns(df)  # where ids tell all rows apart, places are sent without the texts' hashes
+    keyed = row_key(df).withColumn("text", F.col("text").cast("string")).select(*df.columns, *keys)
+    hits = ", ".join(f"{c} long" for c in ("h", *keys, "at"))
+    texts = keyed.repartition(n, *keys)
+    anchors = keyed.select(*keys, "text").mapInArrow(_hashed(_anchors, keys), hits)
+    candidates = texts.join(_repeated(anchors, keys), keys)
+    windows = candidates.mapInArrow(_hashed(_windows, keys), hits)
     rest = [f for f in df.schema if f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "n_words long", "n_removed long", "kept string"])
-    return texts.join(_repeated(windows), ["_d", "_t"], "left").mapInArrow(_cut, schema)
+    return texts.join(_repeated(windows, keys), keys, "left").mapInArrow(_cut, schema)
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -93,3 +93,9 @@ def test_repeated_run(spark):
 def test_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_null_ids(spark):
+    rows = [(None, f"own{i} " * 2 + " ".join(f"t{i}x{j}" for j in range(8)), "en", "s", 1) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.text for r in nearcopies.keep_one(docs).collect()} == {r[1] for r in rows}

@@ -45,3 +45,10 @@ def test_cover_and_extra_columns(spark):
     assert {(a - b) % repeats.PERIOD for a in repeats.COVER for b in repeats.COVER} == set(range(repeats.PERIOD))
     docs = documents(spark).withColumn("found", repeats.F.lit(1)).drop("found").withColumn("n", repeats.F.lit(1))
     assert "n" in repeats.remove_repeats(docs).columns
+
+
+def test_null_ids(spark):
+    rows = [(None, passage(f"own{i}", 40 + i % 30) if i % 2 else f"y{i} " + passage("all", 40) + f" z{i}", "en", "s", 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((tuple(r) for r in repeats.digest(docs).collect()), key=repr)
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
