@@ -2,7 +2,8 @@
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. The base finds
 places where the words of a phrase stand one after another. The method adds the labels of
-templates: a block (line) holds a template if it contains ``CONTAINMENT`` or more of the
+templates: a block (paragraph: lines up to one without words, such as a blank or bare comment
+line) holds a template if it contains ``CONTAINMENT`` or more of the
 template's distinct words. Words of the templates are ordered by the number of documents that
 have them, over the whole table. Prefix filter: a block that holds a template of n words, k of
 them at least, shares one of the n - k + 1 rarest. Length filter: it has k words of templates.
@@ -37,6 +38,7 @@ TEMPLATES = {
 }
 CONTAINMENT = 0.8
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BLANK = r"\n" + _GAP[:-1] + r"*\n"
 
 
 def words(text: Column) -> Column:
@@ -88,7 +90,7 @@ def scan(df: DataFrame) -> DataFrame:
 
     def held() -> Column:
         kind = "array<struct<label:string,containment:double>>"
-        blocks = F.transform(F.split(text_of(), "\n"), lambda s: F.array_distinct(words(s)))
+        blocks = F.transform(F.split(text_of(), _BLANK), lambda s: F.array_distinct(words(s)))
         each = lambda b: F.array(*(F.struct(F.lit(label).alias("label"), _held(b, order, rank).alias("containment")) for label, order in orders.items()))
         found = F.filter(F.flatten(F.transform(blocks, each)), lambda x: x["containment"].isNotNull())
         return F.when(F.arrays_overlap("__words", _literal(rare)), found.cast(kind)).otherwise(F.array().cast(kind))

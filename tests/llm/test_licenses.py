@@ -35,3 +35,19 @@ def test_against_plain_search(spark, sf):
     got = {r.doc_id: r for r in licenses.digest(documents(spark, EXTRA)).collect()}
     assert got[82].labels == "mit" and got[82].n_base == 0 and got[83].labels == "" and got[80].base_labels == "cc-by-nc,mit"
     assert licenses.digest(empty(spark)).count() == 0
+
+
+def test_wrapped_notices(spark):
+    import textwrap
+
+    rows = []
+    for i, (label, text) in enumerate(licenses.TEMPLATES.items()):
+        for k, (mark, width) in enumerate((("", 72), (" * ", 60), ("# ", 40), ("// ", 20))):
+            body = "\n".join(mark + x for x in textwrap.wrap(text, width))
+            rows.append((100 * i + k, f"def before\n\n{body}\r\n{mark}\r\n{mark}other words", label, "s", 1))
+        half = " ".join(text.split()[: len(text.split()) // 2])
+        rows.append((100 * i + 50, half + "\n\n" + text[len(half):], "", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.labels.split(",") for r in licenses.digest(docs).collect()}
+    for r in rows:
+        assert r[2] in got[r[0]] if r[2] else not {"mit", "bsd", "gpl-3", "mpl-2"} & set(got[r[0]]), (r, got[r[0]])
