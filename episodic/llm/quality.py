@@ -6,15 +6,15 @@ a fixed grid that rejects most bad documents, where a good one that is rejected
 ones. The other half is the holdout: the verdict of all rules together is tested at three
 levels of strictness, and a level is certified for a stratum if the exact binomial test rejects
 "false rejections are ``alpha`` or more" at ``delta``, divided by all tests made (Bonferroni).
-The strictest certified level is used. A stratum with too few labels to certify anything takes
-the cutoffs of all strata together, certified in the same way; if these fail too, the method
-rejects nothing. So with probability 1 - delta no stratum loses ``alpha`` of its good documents
-to the rules, as far as its labels are drawn like its documents.
+The strictest certified level is used. A stratum that certifies none of its own takes the
+cutoffs proposed by all strata together, if they pass the same test on its own holdout; if not,
+the method rejects nothing there. Strata whose holdout is too small to pass any test, whatever
+it shows, are not tested and lose nothing. So with probability 1 - delta no stratum loses
+``alpha`` of its good documents to the rules, as far as its labels are drawn like its documents.
 
 Statistics and label counts cover whole texts and all documents; the driver gets counts for
-each stratum, rule and grid step only. Strata beyond the 200 with most labels share the pooled
-cutoffs. Null text has no words and fails the base; a null or unlabelled language takes the
-pooled cutoffs. Repeated rows each get a verdict. Empty tables give an empty result.
+each stratum, rule and grid step only. Null text has no words and fails the base; a null
+language is a stratum like any other, and one without labels loses nothing. Repeated rows each get a verdict. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "short_words": ("-word_chars / n_words", (-4.5, -4.2, -4.0, -3.7, -3.4, -3.0, -2.5)),
     "sameness": ("1 - n_distinct / n_words", (0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.7, 0.8)),
 }
-POOLED = "\0all"
+POOLED, NULL = "\0all", "\0null"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, n_distinct long"
 _NOT_CAPITAL = bytes(set(range(256)) - set(range(65, 91)))
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -105,15 +105,13 @@ def binomial_at_most(k: int, n: int, p: float) -> float:
 
 
 def _rejected(cuts: dict[str, dict[str, float]], stratum: Column) -> Column:
-    """True where any rule's cutoff of the stratum is exceeded; strata without cutoffs of their own take the pooled ones."""
+    """True where any rule's cutoff of the stratum is exceeded; a stratum without cutoffs loses nothing."""
     out = F.lit(False)
     for rule in RULES:
-        own = [(s, c[rule]) for s, c in cuts.items() if s != POOLED and rule in c]
-        other = F.lit(cuts.get(POOLED, {}).get(rule))
-        cut = F.coalesce(F.create_map(*(F.lit(x) for p in own for x in p))[stratum], F.when(~F.coalesce(stratum, F.lit("")).isin(*(s for s in cuts if s != POOLED)), other)) if own else other
-        if cuts and any(s != POOLED for s in cuts) and not own:
-            cut = F.when(~F.coalesce(stratum, F.lit("")).isin(*(s for s in cuts if s != POOLED)), other)
-        out = out | F.coalesce(_value(rule) > cut.cast("double"), F.lit(False))
+        own = [(s, c[rule]) for s, c in cuts.items() if rule in c]
+        if own:
+            cut = F.create_map(*(F.lit(x) for p in own for x in p))[F.coalesce(stratum, F.lit(NULL))]
+            out = out | F.coalesce(_value(rule) > cut.cast("double"), F.lit(False))
     return out
 
 
@@ -121,10 +119,11 @@ def choose(stats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: fl
     """Certified cutoffs for each stratum: {stratum: {rule: cutoff}}."""
     half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
     known = labels.filter("quality in (0, 1)").select(F.col("doc_id").alias("_id"), "quality")
-    seen = checkpoint(stats.filter(~base_failed()).join(known, F.col("doc_id") == F.col("_id")).withColumn("half", half).withColumn("stratum", F.col(stratum).cast("string")))
-    sizes = Counter({r[0]: r[1] for r in seen.filter("stratum is not null").groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(200).collect()})
-    place = F.when(F.col("stratum").isin(*sizes), F.col("stratum")) if sizes else F.lit(None).cast("string")
-    seen = seen.withColumn("stratum", place)
+    seen = checkpoint(stats.filter(~base_failed()).join(known, F.col("doc_id") == F.col("_id")).withColumn("half", half).withColumn("stratum", F.coalesce(F.col(stratum).cast("string"), F.lit(NULL))))
+    hold = seen.filter("half = 1 and quality = 1")
+    # A holdout that would not pass one test even without a false rejection is not tested; which these are depends on sizes only.
+    able = sorted(r[0] for r in hold.groupBy("stratum").count().collect() if binomial_at_most(0, r[1], alpha) <= delta / levels)
+    seen = seen.withColumn("stratum", F.when(F.col("stratum").isin(*able), F.col("stratum")) if able else F.lit(None).cast("string"))
     steps = [F.struct(F.lit(rule).alias("rule"), sum(((_value(rule) > c).cast("int") for c in grid), F.lit(0)).alias("step")) for rule, (_, grid) in RULES.items()]
     counts = seen.filter("half = 0").select("stratum", "quality", F.explode(F.array(*steps)).alias("x")).groupBy("stratum", "quality", "x.rule", "x.step").count().collect()
     tally: dict = defaultdict(Counter)
@@ -132,7 +131,7 @@ def choose(stats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: fl
         for s in {POOLED, r.stratum} - {None}:
             tally[s, r.rule, r.quality][r.step] += r["count"]
     proposed: dict[str, dict[str, int]] = {}
-    for s in [POOLED, *sizes]:
+    for s in [POOLED, *able]:
         chosen = {}
         for rule, (_, grid) in RULES.items():
             good, bad = tally[s, rule, 1], tally[s, rule, 0]
@@ -143,18 +142,16 @@ def choose(stats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: fl
         if chosen:
             proposed[s] = chosen
     cut = lambda chosen, level: {r: RULES[r][1][min(i + level, len(RULES[r][1]) - 1)] for r, i in chosen.items()}
-    tests, done = levels * max(1, len(proposed)), {}
-    hold = seen.filter("half = 1 and quality = 1")
-    own = [F.sum(_rejected({s: cut(c, level) for s, c in proposed.items() if s != POOLED} | {POOLED: {}}, F.col("stratum")).cast("long")).alias(f"own{level}") for level in range(levels)]
-    all_ = [F.sum(_rejected({POOLED: cut(proposed.get(POOLED, {}), level)}, F.lit(None).cast("string")).cast("long")).alias(f"all{level}") for level in range(levels)]
-    rows = hold.groupBy("stratum").agg(F.count("*").alias("n"), *own, *all_).collect()
-    for level in range(levels - 1, -1, -1):
-        for r in rows:
-            if r.stratum in proposed and binomial_at_most(r[f"own{level}"], r.n, alpha) <= delta / tests:
-                done[r.stratum] = cut(proposed[r.stratum], level)
-        n, k = sum(r.n for r in rows), sum(r[f"all{level}"] for r in rows)
-        if POOLED in proposed and n and binomial_at_most(k, n, alpha) <= delta / tests:
-            done[POOLED] = cut(proposed[POOLED], level)
+    pooled = proposed.pop(POOLED, {})
+    tests, done = levels * max(1, len(proposed) + (len(able) if pooled else 0)), {}
+    own = [F.sum(_rejected({s: cut(c, level) for s, c in proposed.items()}, F.col("stratum")).cast("long")).alias(f"own{level}") for level in range(levels)]
+    all_ = [F.sum(_rejected({s: cut(pooled, level) for s in able}, F.col("stratum")).cast("long")).alias(f"all{level}") for level in range(levels)]
+    for r in hold.filter(F.col("stratum").isin(*able)).groupBy("stratum").agg(F.count("*").alias("n"), *own, *all_).collect() if able else []:
+        for name, chosen in (("own", proposed.get(r.stratum)), ("all", pooled)):
+            passed = [level for level in range(levels) if chosen and binomial_at_most(r[f"{name}{level}"], r.n, alpha) <= delta / tests]
+            if passed:
+                done[r.stratum] = cut(chosen, passed[0])
+                break
     return done
 
 

@@ -53,3 +53,22 @@ def test_certified_cutoffs_reject_junk_only(spark):
 def test_too_few_labels_reject_nothing(spark):
     docs, labels = corpus(spark, 60, 10)
     assert all(r.kept or r.base_failed for r in quality.digest(docs, labels).collect())
+
+
+def test_small_language_keeps_its_good_documents(spark):
+    docs, labels = corpus(spark, 3200, 0)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = [(10_000 + i, " ".join(f"JUNK{w}##" for w in letters) + f" {i}", "en", "s", 1) for i in range(300)]
+    capitals = " ".join(f"DONAUDAMPFSCHIFF{w.upper()}" for w in letters)
+    more = [(20_000 + i, f"{capitals} {i}", "xx", "s", 1) for i in range(12)] + [(30_000 + i, f"{capitals} {i}", "yy", "s", 1) for i in range(5)]
+    docs = docs.union(spark.createDataFrame(junk + more, docs.schema))
+    labels = labels.union(spark.createDataFrame([(r[0], int(r[2] == "xx"), 0) for r in junk + more if r[2] != "yy"], labels.schema))
+    kept = {r.doc_id for r in quality.filter_documents(docs, labels).select("doc_id").collect()}
+    assert {r[0] for r in more} <= kept and not any(10_000 <= i < 20_000 for i in kept)
+
+
+def test_more_than_200_languages_are_tested(spark):
+    stats = spark.range(202 * 1300).selectExpr("id doc_id", "concat('l', id % 202) lang", "100L n_words", "500L word_chars", "if(id < 202 * 100, 300L, 0L) n_symbols",
+                                               "0L n_dup_lines", "0L n_repeat_words", "1L n_lines", "2L n_capitals", "90L n_distinct")
+    labels = stats.selectExpr("doc_id", "int(n_symbols = 0) quality", "0 toxic")
+    assert len(quality.choose(stats, labels)) == 202
