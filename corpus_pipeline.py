@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from episodic.llm import decontamination, linedup, mixing, nearcopies, quality
@@ -39,8 +39,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix with the words taken from each and the shards they go to."""
-    mixed = mixing.mix(docs).filter("taken > 0").select("_d", "_t", "size", "source_size", "target", "taken", F.transform("places", lambda p: p["shard"]).alias("shards"))
-    return row_key(docs).join(mixed.dropDuplicates(["_d", "_t"]), ["_d", "_t"]).drop("_d", "_t")
+    shards = F.transform("places", lambda p: p["shard"]).alias("shards")
+    parts = F.sort_array(F.collect_list(F.struct("source", "size", "source_size", "target", "taken", shards))).alias("_parts")
+    mixed = mixing.mix(docs).groupBy("_d", "_t").agg(parts).filter(F.exists("_parts", lambda p: p["taken"] > 0))
+    # Rows that repeat id and text are dealt the parts of their copies one by one, in the order of the sources on both sides.
+    copy = F.row_number().over(W.partitionBy("_d", "_t").orderBy("source"))
+    dealt = row_key(docs).join(mixed, ["_d", "_t"]).withColumn("_part", F.element_at("_parts", copy)).filter("_part.taken > 0")
+    return dealt.select(*docs.columns, *(f"_part.{c}" for c in ("size", "source_size", "target", "taken", "shards")))
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix)]

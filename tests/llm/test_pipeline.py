@@ -42,3 +42,14 @@ def test_run(spark, sf):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, sf).count() > 50
+
+
+def test_mix_of_repeated_rows(spark, sf):
+    import corpus_pipeline
+
+    rows = [(1, "ten words " * 5, "en", source, 50) for source in ["a"] * 30 + [None] * 10]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mix(spark, docs, sf).collect()
+    for source in ("a", None):
+        mine = [r for r in got if r.source == source]
+        assert sum(r.taken for r in mine) == int(mine[0].target + 0.5) and all(0 < r.taken <= 20 for r in mine)
