@@ -28,24 +28,45 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def row_key(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds ``_d`` and ``_t``, which tell rows apart even where doc_id is null or repeated.
+#: The columns that tell rows apart in ``keyed``.
+KEYS = ("d", "t", "u")
+
+
+def packed(df: DataFrame, text: str = "text", **more: Column) -> DataFrame:
+    """The columns of ``df`` but the text as one struct ``row``, the text as ``text``, and further columns: no name of the input can clash."""
+    rest = [df[f"`{c}`"] for c in df.columns if c != text]
+    return df.select(F.struct(*rest or [F.lit(None).cast("string").alias("none")]).alias("row"), df[f"`{text}`"].cast("string").alias("text"), *(c.alias(name) for name, c in more.items()))
+
 
-    ``_d`` is the doc_id (null: the largest long, so such rows come last in any order),
-    ``_t`` a 64-bit hash of the text. Rows that repeat id and text count as one document.
+def unpacked(columns: list[str], body: str = "text", **new: Column | str) -> list[Column]:
+    """Columns to select from a ``packed`` frame: the input's, and the operator's in place of any of the same name."""
+    new = {name: F.col(c) if isinstance(c, str) else c for name, c in new.items()}
+    old = lambda c: F.col("text") if c == body else F.col("row")[c]
+    return [(new.pop(c) if c in new else old(c)).alias(c) for c in columns] + [c.alias(name) for name, c in new.items()]
+
+
+def keyed(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``packed`` with ``d``, ``t`` and ``u``, which tell rows apart even where doc_id is null or repeated.
+
+    ``d`` is the doc_id (null: the largest long, so such rows come last in any order), ``t`` and
+    ``u`` are 128 bits of hash of the text. Rows that repeat id and text count as one document.
     """
+    return packed(df, text, d=F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)), t=F.xxhash64(text_of(text)), u=F.xxhash64(text_of(text), F.lit(1)))
+
+
+def key_columns(df: DataFrame, doc_id: str = "doc_id") -> list[str]:
+    """The columns of ``keyed`` that tell the rows of ``df`` apart: ``d`` alone where no id is null or repeated."""
+    ids = df.select(F.col(doc_id).cast("long").alias("d")).groupBy("d").agg(F.count("*").alias("rows"))
+    return ["d"] if ids.filter("rows > 1 or d is null").isEmpty() else list(KEYS)
+
+
+def row_key(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     return df.withColumns({
         "_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)),
         "_t": F.xxhash64(text_of(text)),
     })
 
 
-def key_columns(df: DataFrame, doc_id: str = "doc_id") -> list[str]:
-    """The columns of ``row_key`` that tell the rows of ``df`` apart: without ``_t`` where no id is null or repeated."""
-    ids = df.select(F.col(doc_id).cast("long").alias("_d")).groupBy("_d").agg(F.count("*").alias("rows"))
-    return ["_d"] if ids.filter("rows > 1 or _d is null").isEmpty() else ["_d", "_t"]
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

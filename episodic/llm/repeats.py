@@ -128,7 +128,7 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     """The columns of ``df`` without text, and n_words, n_removed, kept (the words left, joined by a space)."""
     small_batches(df.sparkSession)
     n = shuffle_partitions(df.sparkSession)
-    keys = key_columns(df)  # where ids tell all rows apart, places are sent without the texts' hashes
+    keys = ["_d"] if key_columns(df) == ["d"] else ["_d", "_t"]  # where ids tell all rows apart, places are sent without the texts' hashes
     keyed = row_key(df).withColumn("text", F.col("text").cast("string")).select(*df.columns, *keys)
     hits = ", ".join(f"{c} long" for c in ("h", *keys, "at"))
     texts = keyed.repartition(n, *keys)
