@@ -63,13 +63,6 @@ def key_columns(df: DataFrame, doc_id: str = "doc_id") -> list[str]:
     return ["d"] if ids.filter("rows > 1 or d is null").isEmpty() else list(KEYS)
 
 
-def row_key(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return df.withColumns({
-        "_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)),
-        "_t": F.xxhash64(text_of(text)),
-    })
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

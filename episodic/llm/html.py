@@ -12,7 +12,9 @@ trains the same model; it is kept for the life of the process.
 Scripts, styles, comments of the markup and similar elements never make blocks. Character
 references are decoded, white space in a block becomes one space, blocks are joined by a line
 feed. Null html is empty and gives an empty text. Repeated rows each get their text; markup that
-is cut off or unbalanced is read as far as it goes. An empty table gives an empty result.
+is cut off or unbalanced is read as far as it goes, in time that grows with its length. Long pages
+are classified in parts that pass the state on, so memory does not grow with them but for their
+blocks. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,27 +32,78 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, small_batches, unpacked
+
 #: Elements that break text into blocks, have no content, or hold no text of the page.
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = "script|style|noscript|template|svg|iframe|object|math|canvas|textarea"
+SILENT = frozenset("script style noscript template svg iframe object math canvas textarea".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|</?([a-zA-Z])[^>]*>|<[!?][^>]*>", re.S | re.I)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+PLAIN = re.compile(r"[^\"'>]*")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 PART = re.compile(r"[a-z]+")
 
 PATH, WORD, NUMBERS, HIDDEN = 256, 64, 8, 24
 INPUT = PATH + WORD + NUMBERS
 
+#: Of a deeper path the outermost and innermost elements count.
+OUTER, INNER = 8, 24
+
 Block = tuple[tuple[str, ...], str, int]  # path tokens, text, characters inside links
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of each piece of markup; what is no element has an empty name.
+
+    Every character is passed once: where a tag is never closed, quotes are no longer heeded.
+    """
+    at, quotes, closing = 0, True, {}
+    last = page.rfind(">")
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", "", ""
+        elif start >= last:
+            continue
+        elif page.startswith(("!", "?"), at):
+            at = page.find(">", at) + 1
+            yield start, at, "", "", ""
+        elif m := NAME.match(page, at):
+            k = m.end()
+            while quotes:
+                k = PLAIN.match(page, k).end()
+                if k == len(page):
+                    quotes = False
+                elif page[k] == ">":
+                    break
+                else:
+                    end = page.find(page[k], k + 1)
+                    if end < 0:
+                        quotes = False
+                    k = end + 1
+            if not quotes:
+                k = page.find(">", m.end())
+            at, name, said = k + 1, m[2].lower(), page[m.end():k]
+            if not m[1] and name in SILENT and not said.endswith("/"):
+                if name not in closing:
+                    closing[name] = re.compile(rf"</{name}\s*>", re.I)
+                end = closing[name].search(page, at)
+                at = end.end() if end else len(page)
+                name = ""
+            yield start, at, m[1], name, said
+
+
 def blocks(page: str | None) -> list[Block]:
+    page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    open_: Counter[str] = Counter()
     text: list[str] = []
     where: tuple[str, ...] = ()
-    linked = links = at = 0
+    linked = at = 0
 
     def flush() -> None:
         nonlocal linked
@@ -66,41 +120,42 @@ def blocks(page: str | None) -> list[Block]:
             said = entities.unescape(raw) if "&" in raw else raw
             if not said.isspace():
                 if not any(not t.isspace() for t in text):
-                    where = tuple(x for _, names in stack for x in names)
-                if links:
+                    path = stack if len(stack) <= OUTER + INNER else [*stack[:OUTER], *stack[-INNER:]]
+                    where = tuple(x for _, names in path for x in names)
+                if open_["a"]:
                     linked += len(said)
             text.append(said)
 
-    for m in TAG.finditer(page or ""):
-        take(page[at:m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
+    def close(name: str, stops: tuple[str, ...] = ()) -> None:
+        """Closes the innermost open element of that name and all inside it."""
+        if open_[name]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == name:
+                    open_.subtract(t for t, _ in stack[k:])
+                    del stack[k:]
+                    return
+                if stack[k][0] in stops:
+                    return
+
+    for start, end, slash, name, said in tags(page):
+        take(page[at:start])
+        at = end
         if not name:
             continue
         if name in BLOCK:
             flush()
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
+        if slash:
+            close(name)
         elif name not in VOID:
             for old in CLOSES.get(name, ()):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == old:
-                        links -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("ul", "ol", "table", "div", "dl", "article", "section", "td"):
-                        break
-            if not m[4].rstrip().endswith("/"):
+                close(old, ("ul", "ol", "table", "div", "dl", "article", "section", "td"))
+            if not said.rstrip().endswith("/"):
                 names = [name]
-                for value in NAMES.findall(m[4]):
+                for value in NAMES.findall(said):
                     names += ["." + p for p in PART.findall(value.lower())]
                 stack.append((name, tuple(names)))
-                links += name == "a"
-    take((page or "")[at:])
+                open_[name] += 1
+    take(page[at:])
     flush()
     return out
 
@@ -120,17 +175,19 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return v
 
 
-def features(page: list[Block]) -> np.ndarray:
-    x = np.zeros((len(page), INPUT), np.float32)
-    for k, (path, text, linked) in enumerate(page):
+def features(page: list[Block], lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Vectors of the blocks lo to hi of a page."""
+    part = page[lo:hi]
+    x = np.zeros((len(part), INPUT), np.float32)
+    for k, (path, text, linked) in enumerate(part):
         words = text.split(" ")
         x[k, :PATH] = _path_vector(path)
         for w in words:
             i, sign = _slot(w.lower(), WORD)
             x[k, PATH + i] += sign
         x[k, PATH:PATH + WORD] *= 0.3 / len(words) ** 0.5
-        n = len(text)
-        x[k, PATH + WORD:] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1.0, linked / n), k / len(page), (len(page) - k) / len(page), sum(map(text.count, ".!?")) / len(words), len(path) / 10, 1.0)
+        n, place = len(text), lo + k
+        x[k, PATH + WORD:] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1.0, linked / n), place / len(page), (len(page) - place) / len(page), sum(map(text.count, ".!?")) / len(words), len(path) / 10, 1.0)
     return x
 
 
@@ -149,10 +206,11 @@ class Model:
         for d in "fb":
             self.p["b" + d][HIDDEN:2 * HIDDEN] = 1  # remember at first
 
-    def _run(self, z: np.ndarray, mask: np.ndarray, d: str, tape: list | None = None) -> np.ndarray:
-        """States (pages, blocks, HIDDEN) from inputs z; masked steps pass the state on."""
+    def _run(self, z: np.ndarray, mask: np.ndarray, d: str, tape: list | None = None, state: np.ndarray | None = None) -> np.ndarray:
+        """States (pages, blocks, HIDDEN) from inputs z; masked steps pass the state on. ``state`` holds h and c before and after."""
         n, t, _ = z.shape
-        h, c, out = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), np.zeros((n, t, HIDDEN), np.float32)
+        h, c = state if state is not None else np.zeros((2, n, HIDDEN), np.float32)
+        out = np.zeros((n, t, HIDDEN), np.float32)
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
             g = z[:, k] + h @ self.p["U" + d]
             i, f, o, a = _sigmoid(g[:, :HIDDEN]), _sigmoid(g[:, HIDDEN:2 * HIDDEN]), _sigmoid(g[:, 2 * HIDDEN:3 * HIDDEN]), np.tanh(g[:, 3 * HIDDEN:])
@@ -163,23 +221,41 @@ class Model:
                 tape.append((k, i, f, o, a, c, h, new_c, m))
             c, h = np.where(m, new_c, c), np.where(m, new_h, h)
             out[:, k] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
     def _inputs(self, x: np.ndarray, d: str) -> np.ndarray:
         return x @ self.p["W" + d] + self.p["b" + d]
 
-    def predict(self, pages: list[np.ndarray], group: int = 256) -> list[np.ndarray]:
+    def predict(self, pages: list[list[Block]], cells: int = 1 << 14) -> list[np.ndarray]:
+        """Which blocks of each page are main text. Pages run in groups of about ``cells`` steps, padding included; longer ones alone, in parts."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
-        for s in range(0, len(order), group):
-            mine = order[s:s + group]
-            x, mask = _padded([pages[k] for k in mine])
+        order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
+        while order:
+            n = next((n for n, k in enumerate(order) if (n + 1) * len(pages[k]) > cells), len(order))
+            mine, order = order[:max(n, 1)], order[max(n, 1):]
+            if n == 0:
+                out[mine[0]] = self._long(pages[mine[0]], cells)
+                continue
+            x, mask = _padded([features(pages[k]) for k in mine])
             states = np.concatenate([self._run(self._inputs(x, d), mask, d) for d in "fb"], axis=2)
             score = states @ self.p["v"] + self.p["c"]
             for row, k in enumerate(mine):
                 out[k] = score[row, :len(pages[k])] > 0
         return out
 
+    def _long(self, page: list[Block], cells: int) -> np.ndarray:
+        score = np.full(len(page), self.p["c"][0], np.float32)
+        parts = [(lo, min(lo + cells, len(page))) for lo in range(0, len(page), cells)]
+        for side, d in enumerate("fb"):
+            state = np.zeros((2, 1, HIDDEN), np.float32)
+            for lo, hi in parts if d == "f" else parts[::-1]:
+                z = self._inputs(features(page, lo, hi)[None], d)
+                h = self._run(z, np.ones((1, hi - lo), bool), d, state=state)
+                score[lo:hi] += h[0] @ self.p["v"][side * HIDDEN:(side + 1) * HIDDEN]
+        return score > 0
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         tapes: dict[str, list] = {"f": [], "b": []}
         states = {d: self._run(self._inputs(x, d), mask, d, tapes[d]) for d in "fb"}
@@ -315,21 +391,23 @@ def page(rng: random.Random) -> tuple[str, set[str]]:
     return f"<html>{title}<body>{''.join(body)}</body></html>", main
 
 
-def labelled(n: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    rng, xs, ys = random.Random(seed), [], []
-    while len(xs) < n:
+def labelled(n: int, seed: int) -> tuple[list[list[Block]], list[np.ndarray]]:
+    """Made-up pages as blocks, and which of them are main text."""
+    rng, pages, ys = random.Random(seed), [], []
+    while len(pages) < n:
         html, main = page(rng)
         found = blocks(html)
         if found:
-            xs.append(features(found))
+            pages.append(found)
             ys.append(np.array([t in main for _, t, _ in found], np.float32))
-    return xs, ys
+    return pages, ys
 
 
 @lru_cache(maxsize=2)
 def trained(pages: int = 4000, epochs: int = 7, seed: int = 5) -> Model:
     """Adam over batches of pages of similar length."""
-    model, (xs, ys), rng = Model(seed), labelled(pages, seed), np.random.default_rng(seed)
+    model, (made, ys), rng = Model(seed), labelled(pages, seed), np.random.default_rng(seed)
+    xs = [features(x) for x in made]
     first, second, step = {k: np.zeros_like(v) for k, v in model.p.items()}, {k: np.zeros_like(v) for k, v in model.p.items()}, 0
     order = np.argsort([len(x) for x in xs], kind="stable")
     batches = np.array_split(order, max(1, pages // 32))
@@ -350,22 +428,19 @@ def trained(pages: int = 4000, epochs: int = 7, seed: int = 5) -> Model:
 
 
 def extract(pages: DataFrame, model: Model | None = None, html: str = "html") -> DataFrame:
-    """The columns of ``pages`` without ``html``, and ``text``."""
-    rest = [c for c in pages.columns if c not in (html, "text")]
+    """The columns of ``pages`` without ``html``, and ``text`` (in place of one of that name)."""
+    small_batches(pages.sparkSession, 100)
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 1024):
-                part = batch.slice(s, 1024)
-                cut = [blocks(h.as_py()) for h in part.column(len(rest))]
-                keep = shared.value.predict([features(b) for b in cut])
-                text = ["\n".join(t for (_, t, _), k in zip(b, m, strict=True) if k) for b, m in zip(cut, keep, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(rest))), pa.array(text, pa.string())], [*rest, "text"])
-
-    source = pages.select(*rest, F.col(html).cast("string"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]), "text string"])
-    return source.mapInArrow(run, schema)
+            cut = [blocks(h.as_py()) for h in batch.column("text")]
+            keep = shared.value.predict(cut)
+            text = ["\n".join(t for (_, t, _), k in zip(b, m, strict=True) if k) for b, m in zip(cut, keep, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(text, pa.string())], ["row", "text"])
+
+    source = packed(pages, html)
+    return source.mapInArrow(run, source.schema).select(*unpacked([c for c in pages.columns if c != html], html, text="text"))
 
 
 def digest(pages: DataFrame) -> DataFrame:

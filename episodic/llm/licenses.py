@@ -1,106 +1,158 @@
 """License scans: phrases, and templates by an exact set-similarity join.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. The base finds
-places where the words of a phrase stand one after another. The method adds the labels of
-templates: a block (paragraph: lines up to one without words, such as a blank or bare comment
-line) holds a template if it contains ``CONTAINMENT`` or more of the
-template's distinct words. Words of the templates are ordered by the number of documents that
-have them, over the whole table. Prefix filter: a block that holds a template of n words, k of
-them at least, shares one of the n - k + 1 rarest. Length filter: it has k words of templates.
-Positional filter: the shared word and what follows it in both orders can still give k.
-
-The templates are a fixed list, so each row is compared with all of them where it lies; nothing
-is shuffled but the word counts. Null text is empty. Rows are independent; repeated ids stay
-apart. An empty table gives an empty result.
+places where the words of a phrase stand one after another.
+
+The method adds the labels of templates: a block (paragraph: lines up to one without words, such
+as a blank or bare comment line) holds a template if it contains ``CONTAINMENT`` or more of the
+template's distinct words, all words that the template ``needs`` and none that it ``bars`` (so
+licenses that differ by one word are told apart). Templates are a table (label, text, needs,
+bars); ``TEMPLATES`` is the one used where no other is given. Words are ordered by the number of
+documents that have them, over the whole table, so rare ones come first. Blocks and templates
+are joined on the words of their prefixes: a block that holds k of the n words of a template
+shares one of the n - k + 1 rarest with it, and it is one of the first m - k + 1 of the m words
+of templates that the block has. Length filter: m >= k. Positional filter: the shared word and
+what follows it in both orders can still give k. What is left is verified on the whole sets.
+
+The texts stay where they are: of a block only its words of templates are sent on, and only if a
+rare one is among them. The templates' prefixes are broadcast up to ``BROADCAST_ROWS`` rows and
+shuffled beyond. Null text is empty. Rows that repeat id and text get the same labels. An empty
+table gives an empty result. Columns of the input are passed on; those named n_words, places or
+held are replaced. Long texts are split once and in one piece.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import KEYS, key_columns, keyed, lower_ascii, text_of, unpacked
 
 #: Base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Opening sentences of public licenses.
-TEMPLATES = {
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
-    "apache-2": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "gpl-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
-    "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
-    "cc-by-nc": "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License",
-    "cc-by": "This work is licensed under the Creative Commons Attribution 4.0 International License",
-}
-CONTAINMENT = 0.8
+#: Paragraphs of public licenses and notices: label, text, words needed, words barred.
+TEMPLATES = (
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "deal", ""),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions", "sublicense", ""),
+    ("mit", "This software is released under the terms of the MIT license", "mit license", "not"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "fee provided", ""),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "fee", "provided"),
+    ("apache-2", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "apache", ""),
+    ("apache-2", "This project is licensed under the Apache License, Version 2.0", "apache 2", "not"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution", ""),
+    ("bsd", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file", "bsd", ""),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "held damages", ""),
+    ("bsl-1", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software", "accompanying transmit", ""),
+    ("bsl-1", "Distributed under the Boost Software License, Version 1.0", "boost", ""),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered", ""),
+    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", "gnu 3", "lesser affero library"),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3", "gnu 3", "lesser affero library"),
+    ("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version", "gnu 2", "lesser affero library 3"),
+    ("gpl-2", "This work is licensed under the GNU General Public License, version 2", "gnu 2", "lesser affero library 3"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version", "gnu lesser", "affero"),
+    ("lgpl", "This work is licensed under the GNU Lesser General Public License, version 3", "gnu lesser", "affero"),
+    ("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", "gnu affero", ""),
+    ("agpl-3", "This work is licensed under the GNU Affero General Public License, version 3", "gnu affero", ""),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", "mozilla", ""),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "eclipse", ""),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "waived", ""),
+    ("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License", "attribution commons", "noncommercial sharealike noderivatives noderivs nc nd sa"),
+    ("cc-by-sa", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License", "sharealike commons", "noncommercial nc"),
+    ("cc-by-nd", "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License", "noderivatives commons", "noncommercial nc"),
+    ("cc-by-nc", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License", "noncommercial commons", "sharealike noderivatives noderivs nd sa"),
+    ("cc-by-nc-sa", "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "noncommercial sharealike commons", ""),
+    ("cc-by-nc-nd", "This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "noncommercial noderivatives commons", ""),
+)
+CONTAINMENT, BROADCAST_ROWS = 0.8, 20_000
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BLANK = r"\n" + _GAP[:-1] + r"*\n"
+HELD = "array<struct<label:string,containment:double>>"
+Template = tuple[str, str, str, str]
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), _GAP), "")
+    return F.array_remove(F.split(lower_ascii(text), _GAP), "")
 
 
-def template_words() -> dict[str, list[str]]:
-    return {label: sorted(set(re.findall(r"[a-z0-9]+", text.lower()))) for label, text in TEMPLATES.items()}
+def word_set(text: str) -> list[str]:
+    return sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))))
 
 
-def frequencies(df: DataFrame) -> dict[str, int]:
-    """Number of documents that have each word of the templates."""
-    every = sorted({w for ws in template_words().values() for w in ws})
-    found = df.select(F.explode(F.array_intersect(F.array(*map(F.lit, every)), words(text_of()))).alias("w"))
-    return {r.w: r["count"] for r in found.groupBy("w").count().collect()}
+def least_shared(n: int) -> int:
+    return math.ceil(CONTAINMENT * n - 1e-9)
 
 
 def _literal(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values))
+    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def _held(block: Column, order: list[str], rank: dict[str, int]) -> Column:
-    """Containment in ``block`` (its words) of the template whose words are ``order``, or null."""
-    n, k = len(order), math.ceil(CONTAINMENT * len(order) - 1e-9)
-    known = sorted(rank, key=rank.get)
-    shared, all_known = F.array_intersect(_literal(order), block), F.array_intersect(_literal(known), block)
-    i, j = F.array_position(_literal(order), F.get(shared, 0)), F.array_position(all_known, F.get(shared, 0))
-    may = F.arrays_overlap(block, _literal(order[: n - k + 1])) & (F.size(all_known) >= k)
-    place = 1 + F.least(n - i, F.size(all_known) - j) >= k
-    return F.when(may, F.when(place & (F.size(shared) >= k), F.size(shared) / F.lit(float(n))))
+def _frequencies(docs: DataFrame, every: list[str]) -> dict[str, int]:
+    """Number of documents that have each word of the templates."""
+    found = docs.select(F.explode(F.array_intersect(_literal(every), words(text_of()))).alias("w"))
+    return {r.w: r["count"] for r in found.groupBy("w").count().collect()}
 
 
-def scan(df: DataFrame) -> DataFrame:
-    """The columns of ``df`` and n_words, places (of base phrases: start, label), held (templates: label, containment)."""
-    counts = frequencies(df)
-    by = lambda w: (counts.get(w, 0), w)
-    orders = {label: sorted(ws, key=by) for label, ws in template_words().items()}
-    rank = {w: i for i, w in enumerate(sorted({w for ws in orders.values() for w in ws}, key=by))}
-    rare = sorted({w for ws in orders.values() for w in ws[: len(ws) - math.ceil(CONTAINMENT * len(ws) - 1e-9) + 1]})
-    some = df.withColumn("__words", words(text_of()))
+def _prefixes(spark: SparkSession, templates: tuple[Template, ...], order: dict[str, int]) -> DataFrame:
+    """The templates' prefixes as a table: token, place, template, label, k, n, words, needs, bars."""
+    table = spark.sql("SELECT inline(from_json(:rows, 'array<struct<template:int,label:string,words:array<string>,needs:array<string>,bars:array<string>>>'))", args={
+        "rows": json.dumps([{"template": i, "label": label, "words": sorted(word_set(text), key=order.get), "needs": word_set(needs), "bars": word_set(bars)} for i, (label, text, needs, bars) in enumerate(templates)])})
+    n = F.size("words")
+    table = table.withColumn("n", n).withColumn("k", F.ceil(F.col("n") * CONTAINMENT - 1e-9).cast("int"))
+    return table.select("*", F.posexplode(F.slice("words", 1, F.col("n") - F.col("k") + 1)).alias("place", "token"))
+
+
+def holdings(docs: DataFrame, keys: list[str], templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+    """Rows keys, held: the templates that blocks of a document hold (label, best containment)."""
+    sets = [word_set(t[1]) for t in templates]
+    known = sorted({w for s in sets for w in s} | {w for t in templates for w in word_set(f"{t[2]} {t[3]}")})
+    counts = _frequencies(docs, known)
+    ranked = sorted(known, key=lambda w: (counts.get(w, 0), w))
+    order = {w: i for i, w in enumerate(ranked)}
+    rare = sorted({w for s in sets for w in sorted(s, key=order.get)[: len(s) - least_shared(len(s)) + 1]})
+    least = min(least_shared(len(s)) for s in sets)
+    blocks = docs.select(*keys, F.posexplode(F.split(text_of(), _BLANK)).alias("block", "said"))
+    blocks = blocks.select(*keys, "block", F.array_intersect(_literal(ranked), words(F.col("said"))).alias("have")).filter((F.size("have") >= least) & F.arrays_overlap("have", _literal(rare)))
+    posted = blocks.select("*", F.posexplode(F.slice("have", 1, F.size("have") - least + 1)).alias("at", "token"))
+    prefixes = _prefixes(docs.sparkSession, templates, order)
+    size = sum(len(s) - least_shared(len(s)) + 1 for s in sets)
+    met = posted.join(F.broadcast(prefixes) if size <= BROADCAST_ROWS else prefixes, "token")
+    met = met.filter((F.size("have") >= F.col("k")) & (F.least(F.size("have") - F.col("at"), F.col("n") - F.col("place")) >= F.col("k")))
+    met = met.withColumn("shared", F.size(F.array_intersect("have", "words")))
+    met = met.filter((F.col("shared") >= F.col("k")) & (F.size(F.array_except("needs", "have")) == 0) & ~F.arrays_overlap("bars", "have"))
+    best = met.groupBy(*keys, "label").agg(F.max(F.col("shared") / F.col("n")).alias("containment"))
+    return best.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("label", "containment"))).cast(HELD).alias("held"))
+
+
+def phrase_places(text: Column) -> Column:
+    """Places of base phrases in the words of a text: start, label."""
     place = "array<struct<start:bigint,label:string>>"
 
-    def phrase_places(phrase: str, label: str) -> Column:
+    def of(phrase: str, label: str) -> Column:
         parts = phrase.split()
-        at = F.sequence(F.lit(0), F.size("__words") - len(parts))
-        hit = lambda i: F.slice("__words", i + 1, len(parts)) == _literal(parts)
-        loose = text_of().rlike("(?i)" + _GAP.join(parts)) & (F.size("__words") >= len(parts))
-        return F.when(loose, F.transform(F.filter(at, hit), lambda i: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label"))).cast(place)).otherwise(F.array().cast(place))
+        hit = lambda i: F.slice("words", i + 1, len(parts)) == _literal(parts)
+        loose = text.rlike("(?i)" + _GAP.join(parts)) & (F.size("words") >= len(parts))
+        at = F.filter(F.array_compact(F.transform("words", lambda w, i: F.when(w == parts[0], i))), hit)
+        return F.when(loose, F.transform(at, lambda i: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label"))).cast(place)).otherwise(F.array().cast(place))
+
+    return F.flatten(F.array(*(of(p, label) for p, label in PHRASES.items())))
 
-    def held() -> Column:
-        kind = "array<struct<label:string,containment:double>>"
-        blocks = F.transform(F.split(text_of(), _BLANK), lambda s: F.array_distinct(words(s)))
-        each = lambda b: F.array(*(F.struct(F.lit(label).alias("label"), _held(b, order, rank).alias("containment")) for label, order in orders.items()))
-        found = F.filter(F.flatten(F.transform(blocks, each)), lambda x: x["containment"].isNotNull())
-        return F.when(F.arrays_overlap("__words", _literal(rare)), found.cast(kind)).otherwise(F.array().cast(kind))
 
-    return some.withColumns({"n_words": F.size("__words").cast("long"), "places": F.flatten(F.array(*(phrase_places(p, l) for p, l in PHRASES.items()))), "held": held()}).drop("__words")
+def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+    """The columns of ``df`` and n_words, places (of base phrases: start, label), held (templates: label, containment)."""
+    docs, keys = keyed(df), key_columns(df)
+    held = holdings(docs, keys, templates)
+    whole = docs.select("row", "text", *KEYS, words(text_of()).alias("words"))
+    whole = whole.select("row", "text", *keys, F.size("words").cast("long").alias("n_words"), phrase_places(text_of()).alias("places"))
+    return whole.join(held, keys, "left").select(*unpacked(df.columns, n_words="n_words", places="places", held=F.coalesce("held", F.array().cast(HELD))))
 
 
 def digest(df: DataFrame) -> DataFrame:
     """Counts and labels for each document; score is 1 with a base phrase, else the largest containment (0: none)."""
-    out = scan(df.select("doc_id", "text"))
+    out = scan(df.select("doc_id", "text")).drop("text")
     starts = F.transform("places", lambda p: p["start"])
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
     every = F.array_sort(F.array_union(base, F.transform("held", lambda h: h["label"])))

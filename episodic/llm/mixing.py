@@ -16,7 +16,9 @@ by a hash. All draws are hashes of the seed, so a rerun gives the same mix.
 
 Sources are ordered by code point, null last. Null text has no words. Documents without words
 take part with size 0. Rows that repeat doc_id and text are alike: which of them is cut at the
-target is open, how many are is not. An empty table gives an empty result.
+target is open, how many are is not. An empty table gives an empty result. Columns beyond doc_id,
+source and text are not read; the shards carry them, but for epoch, shard, place and words. Of a
+long text only the number of its words is kept.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, row_key, text_of, words_of
+from .common import KEYS, checkpoint, keyed, text_of, unpacked, words_of
 
 MOST_UNITS = 1 << 20  # blocks grow with the corpus so that no more than about so many exist
 BROADCAST_ROWS = 100_000
@@ -39,7 +41,7 @@ def _unit(*parts: Column) -> Column:
 
 def sized(df: DataFrame) -> DataFrame:
     """doc_id, row key, source and number of words of each row."""
-    return row_key(df).select("doc_id", "_d", "_t", "source", F.size(words_of(text_of())).cast("long").alias("size"))
+    return keyed(df).select(F.col("row")["doc_id"].alias("doc_id"), *KEYS, F.col("row")["source"].alias("source"), F.size(words_of(text_of())).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block_words: int = 1 << 16) -> DataFrame:
@@ -88,7 +90,7 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
 def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
         block_words: int = 1 << 16, shard_words: int = 1 << 24, seed: int = 17) -> DataFrame:
-    """Rows doc_id, _d, _t, source, size, source_size, target, taken, places.
+    """Rows doc_id, d, t, u (row keys), source, size, source_size, target, taken, places.
 
     ``places``: for each time the document is taken the epoch, shard, place in the shard's order, and words.
     """
@@ -101,7 +103,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.
     plan = plan.withColumn("rest", wanted - F.col("epochs") * F.col("source_size"))
     few = F.broadcast(plan) if n_sources <= BROADCAST_ROWS else plan
     docs = base.join(few.select(F.col("source").alias("_s"), "sid", "source_size", "target", "n_blocks", "epochs", "rest"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    place = F.xxhash64(F.lit(seed), "_d", "_t")
+    place = F.xxhash64(F.lit(seed), *KEYS)
     docs = docs.withColumns({"h": place, "block": F.floor((F.shiftrightunsigned(place, 11) / F.lit(float(1 << 53))) * F.col("n_blocks")).cast("long")})
     run = W.partitionBy("sid", "block").orderBy("h").rowsBetween(W.unboundedPreceding, -1)
     docs = docs.withColumn("before", F.coalesce(F.sum("size").over(run), F.lit(0)))
@@ -123,19 +125,19 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("offset") - F.col("before")))
     took = lambda e: F.when(e <= F.col("epochs"), F.col("size")).otherwise(rest)
     places = F.filter(F.transform(F.coalesce("shards", F.array().cast("array<struct<epoch:bigint,shard:bigint>>")), lambda x: F.struct(
-        x["epoch"].alias("epoch"), x["shard"].alias("shard"), F.xxhash64(F.lit(seed), x["shard"], x["epoch"], "_d", "_t").alias("place"),
+        x["epoch"].alias("epoch"), x["shard"].alias("shard"), F.xxhash64(F.lit(seed), x["shard"], x["epoch"], *KEYS).alias("place"),
         took(x["epoch"]).alias("words"))), lambda x: x["words"] > 0)
-    return docs.select("doc_id", "_d", "_t", "source", "size", "source_size", "target",
+    return docs.select("doc_id", *KEYS, "source", "size", "source_size", "target",
                        (F.col("epochs") * F.col("size") + F.when(F.col("size") > 0, rest).otherwise(0)).cast("long").alias("taken"), places.alias("places"))
 
 
 def write_shards(df: DataFrame, mixed: DataFrame, path: str) -> None:
     """Writes the mix: a folder for each shard, documents in the shard's shuffled order, cut where the mix cuts them."""
-    each = mixed.select("_d", "_t", F.explode("places").alias("p")).select("_d", "_t", "p.*")
-    full = row_key(df.dropDuplicates(["doc_id", "text"])).join(each, ["_d", "_t"])
+    each = mixed.select(*KEYS, F.explode("places").alias("p")).select(*KEYS, "p.*")
+    full = keyed(df).dropDuplicates(list(KEYS)).join(each, list(KEYS))
     cut = F.array_join(F.slice(words_of(text_of()), 1, F.col("words").cast("int")), " ")
     whole = F.size(words_of(text_of())) == F.col("words")
-    out = full.withColumn("text", F.when(whole, F.col("text")).otherwise(cut)).drop("_d", "_t")
+    out = full.select(*unpacked(df.columns, text=F.when(whole, F.col("text")).otherwise(cut), **{c: c for c in ("epoch", "shard", "place", "words")}))
     out.repartition("shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, row_key, shuffle_partitions, small_batches
+from .common import KEYS, checkpoint, keyed, shuffle_partitions, small_batches, unpacked
 from .components import components
 from .simhash import SMALL, _planes, fingerprint, shingle_hashes, within
 
@@ -34,7 +34,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp, cid, n, mins = [], [], [], []
-        for t in batch.column(2):
+        for t in batch.column("text"):
             h = np.unique(shingle_hashes(t.as_py(), WIDTH))  # a set: one repeated shingle must not outweigh the text
             fp.append(fingerprint(h))
             n.append(len(h))
@@ -43,8 +43,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mins.append(mixed.min(axis=1).view(np.int64).tolist() if len(h) else [0] * len(_ODD))
             cid.append(int((mixed[0] * np.uint64(0xFF51AFD7ED558CCD) ^ (mixed[1] >> np.uint64(7))).sum(dtype=np.uint64)) if len(h) else 0)
         as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), as_long(fp), as_long(cid), pa.array(n, pa.int32()), pa.array(mins, pa.list_(pa.int64()))],
-                                         ["_d", "_t", "fp", "cid", "n", "mins"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEYS), as_long(fp), as_long(cid), pa.array(n, pa.int32()), pa.array(mins, pa.list_(pa.int64()))],
+                                         [*KEYS, "fp", "cid", "n", "mins"])
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,17 +146,17 @@ def keep_one(df: DataFrame) -> DataFrame:
     """The rows of ``df`` without all but one document of each group of near copies."""
     small_batches(df.sparkSession)
     n = shuffle_partitions(df.sparkSession)
-    keyed = row_key(df)
-    base = checkpoint(keyed.select("_d", "_t", F.col("text").cast("string")).mapInArrow(_sketched, "_d long, _t long, fp long, cid long, n int, mins array<long>"))
-    classes = checkpoint(base.groupBy("cid").agg(F.min(F.struct("_d", "_t")).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("mins").alias("mins")))
+    docs = keyed(df)
+    base = checkpoint(docs.select(*KEYS, "text").mapInArrow(_sketched, "d long, t long, u long, fp long, cid long, n int, mins array<long>"))
+    classes = checkpoint(base.groupBy("cid").agg(F.min(F.struct(*KEYS)).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("mins").alias("mins")))
     rows = classes.select("cid", "fp", "n", F.posexplode("mins").alias("band", "key"))
     sort = lambda x: x.repartition(n, "band", "key").sortWithinPartitions("band", "key")
     maybe = checkpoint(sort(rows).mapInArrow(_by_bucket(_candidates, ["band", "key", "cid", "fp", "n"]), "band int, key long, cid long"))
     wanted = maybe.groupBy("cid").agg(F.collect_list(F.struct("band", "key")).alias("buckets")).join(classes.select("cid", "first.*"), "cid")
-    texts = keyed.select("_d", "_t", F.col("text").cast("string")).join(wanted, ["_d", "_t"]).dropDuplicates(["_d", "_t"])
+    texts = docs.select(*KEYS, "text").join(wanted, list(KEYS)).dropDuplicates(list(KEYS))
     sets = texts.select("cid", "buckets", "text").mapInArrow(_whole_sets, "cid long, buckets array<struct<band:int,key:long>>, shingles binary")
     edges = sort(sets.select("cid", "shingles", F.explode("buckets").alias("x")).select("x.*", "cid", "shingles")).mapInArrow(_by_bucket(_verified, ["band", "key", "cid", "shingles"]), "a long, b long")
     root = components(edges)
     named = classes.join(root, F.col("cid") == F.col("a"), "left").select(F.coalesce("b", "cid").alias("root"), "first")
     stay = named.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    return keyed.join(stay, ["_d", "_t"]).dropDuplicates(["_d", "_t"]).select(*df.columns)
+    return docs.join(stay, list(KEYS)).dropDuplicates(list(KEYS)).select(*unpacked(df.columns))

@@ -14,6 +14,8 @@ a chance match of an anchor and of a window around it.
 Every word of a window whose word sequence starts anywhere else, in the same text included, is
 removed; windows are judged on the input. Null text has no words. Shorter texts are kept whole.
 Rows that repeat id and text repeat each other's windows. An empty table gives an empty result.
+Columns of the input that are named as an output (n_words, n_removed, kept) are replaced. A long
+text is hashed in one piece: a task holds its words and one hash for each.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import WordHashes, covered, key_columns, rolling, row_key, shuffle_partitions, small_batches, split_words
+from .common import WordHashes, covered, key_columns, keyed, rolling, shuffle_partitions, small_batches, split_words, unpacked
 
 WINDOW, PERIOD, COVER = 35, 21, (0, 1, 4, 14, 16)
 ANCHOR = WINDOW - PERIOD + 1
@@ -119,25 +122,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             n_words.append(len(words))
             n_removed.append(gone)
-        rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name not in ("_d", "_t", "text", "found")]
-        names = [name for name in batch.schema.names if name not in ("_d", "_t", "text", "found")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept"])
 
 
 def remove_repeats(df: DataFrame) -> DataFrame:
     """The columns of ``df`` without text, and n_words, n_removed, kept (the words left, joined by a space)."""
     small_batches(df.sparkSession)
     n = shuffle_partitions(df.sparkSession)
-    keys = ["_d"] if key_columns(df) == ["d"] else ["_d", "_t"]  # where ids tell all rows apart, places are sent without the texts' hashes
-    keyed = row_key(df).withColumn("text", F.col("text").cast("string")).select(*df.columns, *keys)
+    keys = key_columns(df)  # where ids tell all rows apart, places are sent without the texts' hashes
+    docs = keyed(df).select("row", "text", *keys)
     hits = ", ".join(f"{c} long" for c in ("h", *keys, "at"))
-    texts = keyed.repartition(n, *keys)
-    anchors = keyed.select(*keys, "text").mapInArrow(_hashed(_anchors, keys), hits)
+    texts = docs.repartition(n, *keys)
+    anchors = docs.select(*keys, "text").mapInArrow(_hashed(_anchors, keys), hits)
     candidates = texts.join(_repeated(anchors, keys), keys)
     windows = candidates.mapInArrow(_hashed(_windows, keys), hits)
-    rest = [f for f in df.schema if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "n_words long", "n_removed long", "kept string"])
-    return texts.join(_repeated(windows, keys), keys, "left").mapInArrow(_cut, schema)
+    schema = StructType([docs.schema["row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
+    cut = texts.join(_repeated(windows, keys), keys, "left").select("row", "text", "found").mapInArrow(_cut, schema)
+    return cut.select(*unpacked([c for c in df.columns if c != "text"], n_words="n_words", n_removed="n_removed", kept="kept"))
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -6,18 +6,20 @@ included, and a later run scans only pairs it does not hold. Findings are joined
 from blobs to all rows (paths) that carry the content.
 
 Null text counts as empty. Equal texts share a blob, whatever their ids; rows with null or
-repeated ids each get their blob's findings. An empty table gives an empty result; columns
-of the input beyond the key and the text are not read.
+repeated ids each get their blob's findings. An empty table gives an empty result. Columns of the
+input are passed on; those named ``blob`` or ``found`` are replaced. A text of any length is
+matched in one piece, in time that grows with its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_of
+from .common import checkpoint, packed, text_of, unpacked
 
 
 @dataclass(frozen=True)
@@ -36,14 +38,15 @@ BASE_RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}", 0, 20),
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
 )
-#: Kinds beyond the base.
+#: Kinds beyond the base. None repeats a group, which Java matches by recursion, and none can start again inside its own run.
 EXTRA_RULES = (
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 0),
+    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0),
+    Rule("jwt", 1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", 0, 0),
 )
 RULES = BASE_RULES + EXTRA_RULES
 SPANS = "array<struct<start:bigint,end:bigint>>"
+RUN = 128
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
@@ -57,12 +60,36 @@ def spans_of(text: Column, rule: Rule) -> Column:
     kept = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda x: F.length(x) >= rule.least)
     steps = F.zip_with(F.slice(between, 1, F.size(matched)), F.zip_with(matched, kept, lambda n, k: F.struct(n.alias("n"), k.alias("k"))),
                        lambda gap, m: F.struct(gap.alias("gap"), m["n"].alias("n"), m["k"].alias("k")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out"))
-    folded = F.aggregate(steps, start, lambda s, x: F.struct(
-        (s["at"] + x["gap"] + x["n"]).alias("at"),
-        F.when(x["k"], F.array_append(s["out"], F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["n"]).alias("end"))))
-        .otherwise(s["out"]).alias("out")), lambda s: s["out"])
-    return F.when(text.rlike(rule.pattern), folded).otherwise(F.array().cast(SPANS))
+    add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x["gap"] + x["n"])
+    blocks = lambda xs: F.transform(F.sequence(F.lit(0), ((F.size(xs) - 1) / RUN).cast("int")), lambda b: F.struct(add(F.slice(xs, b * RUN + 1, RUN)).alias("gap"), F.lit(0).cast("long").alias("n")))
+
+    def place(xs: Column, sums: Column, x: Column, i: Column) -> Column:
+        block = (i / RUN).cast("int")
+        start = add(F.slice(sums, 1, block)) + add(F.slice(xs, block * RUN + 1, i - block * RUN)) + x["gap"]
+        return F.when(x["k"], F.struct(start.alias("start"), (start + x["n"]).alias("end")))
+
+    # Sums of whole runs and sums within one keep a text of very many matches from quadratic time.
+    placed = _let(steps, lambda xs: _let(blocks(xs), lambda sums: F.array_compact(F.transform(xs, lambda x, i: place(xs, sums, x, i)))))
+    return F.when(text.rlike(rule.pattern), placed).otherwise(F.array().cast(SPANS))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def versions(df: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each version of a path: path, blob."""
+    return df.select(F.col(path).alias("path"), F.sha2(text_of(text), 256).alias("blob"))
+
+
+def empty_ledger(spark: SparkSession) -> DataFrame:
+    return spark.range(0).select(F.lit("").alias("blob"), F.lit("").alias("rule"), F.lit(0).alias("version"), F.array().cast(SPANS).alias("spans"))
+
+
+def update(df: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The ledger with the rows of pairs added that it does not hold; only those are scanned."""
+    return ledger.unionByName(scan(df, ledger, rules, text))
 
 
 def blobs(df: DataFrame, text: str = "text") -> DataFrame:
@@ -88,7 +115,7 @@ def scan(df: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...]
 
 
 def findings(df: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows of ``df`` with ``found``: all spans of the current rule versions, by start, then rule."""
+    """The rows of ``df`` with ``blob`` and ``found``: all spans of the current rule versions, by start, then rule."""
     order = {r.name: i for i, r in enumerate(rules)}
     now = F.col("rule").isin(*order) & F.concat_ws(":", "rule", "version").isin(*(f"{r.name}:{r.version}" for r in rules))
     rank = F.create_map(*(x for k, v in order.items() for x in (F.lit(k), F.lit(v))))
@@ -97,8 +124,8 @@ def findings(df: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES,
         r["spans"], lambda s: F.struct(s["start"].alias("start"), rank[r["rule"]].alias("rank"), s["end"].alias("end"), r["rule"].alias("rule")))))).alias("found"))
     empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,rule:string>>")
     each = checkpoint(each)  # a side of its own: so Spark can split a blob that very many rows share
-    return (df.withColumn("blob", F.sha2(text_of(text), 256)).join(each, "blob", "left")
-            .withColumn("found", F.coalesce("found", empty)))
+    rows = packed(df, text, blob=F.sha2(text_of(text), 256)).join(each, "blob", "left")
+    return rows.select(*unpacked(df.columns, text, blob="blob", found=F.coalesce("found", empty)))
 
 
 def _joined(found: Column) -> Column:
@@ -107,7 +134,7 @@ def _joined(found: Column) -> Column:
 
 def digest(df: DataFrame) -> DataFrame:
     """One row for each document: counts of the base kinds, digest of the base spans, all spans."""
-    found = findings(df.select("doc_id", "text"), scan(df.select("text")))
+    found = findings(df.select("doc_id", "text"), update(df, empty_ledger(df.sparkSession)))
     base = F.filter("found", lambda s: s["rule"].isin(*(r.name for r in BASE_RULES)))
     count = lambda kind: F.size(F.filter("found", lambda s: s["rule"] == kind)).cast("long")
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),

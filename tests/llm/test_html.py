@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -16,10 +17,19 @@ def test_blocks():
     assert len(html.blocks("<p>x</p>" * 30000)) == 30000
 
 
+def test_broken_markup_takes_linear_time():
+    n = 300_000
+    for text in ("<a " * n, "<a '" * n, '<a "' * n + ">", "<p " * n + "<b>", "<div>" * n + "</b>" * n, "<b>" * n + "<p>x" * n, "<!-- " * n, "<script>" * n, "</script" * n, "<a b='x>" * n, "&" * n, "<" * n):
+        began = time.time()
+        html.blocks(text)
+        assert time.time() - began < 20, text[:10]
+
+
 def test_held_out_accuracy():
-    xs, ys = html.labelled(300, seed=77)
-    got = html.trained().predict(xs)
+    pages, ys = html.labelled(300, seed=77)
+    got = html.trained().predict(pages)
     assert np.mean(np.concatenate(got) == np.concatenate(ys).astype(bool)) > 0.98
+    assert all((a == b).all() for a, b in zip(got, html.trained().predict(pages, cells=7), strict=True))
 
 
 def test_gradients():
@@ -56,3 +66,21 @@ def test_table(spark, sf):
 def test_layouts_vary():
     rng = random.Random(1)
     assert len({html.page(rng)[0][:60] for _ in range(50)}) > 20
+
+
+def test_held_out_layouts(spark):
+    """Pages without <article>, read as a whole."""
+    rng, rows = random.Random(99), []
+    while len(rows) < 80:
+        text, main = html.page(rng)
+        if "<article" not in text:
+            rows.append((len(rows), text, main))
+    got = {r.page_id: r.text.split("\n") for r in html.extract(spark.createDataFrame([r[:2] for r in rows], "page_id long, html string")).collect()}
+    right = sum(len(set(got[i]) & main) for i, _, main in rows)
+    assert right > 0.97 * sum(len(main) for _, _, main in rows) and right > 0.97 * sum(len([t for t in x if t]) for x in got.values())
+
+
+def test_clashing_names(spark):
+    frame = spark.createDataFrame([(1, "<p>x</p>", "old", 7)], "page_id long, html string, text string, row int")
+    got = html.extract(frame)
+    assert got.columns == ["page_id", "text", "row"] and got.first().row == 7 and got.first().text != "old"

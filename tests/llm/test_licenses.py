@@ -1,8 +1,9 @@
 import re
+import textwrap
 
 from episodic.llm import licenses
 
-from .data import documents, empty
+from .data import SCHEMA, documents, empty
 
 EXTRA = [
     (80, "Released UNDER the MIT license. cc-by-nc, cc by nc; CC BY NC", "en", "s", 1), (81, "underthe mit license apache license version 20", "en", "s", 1),
@@ -17,13 +18,17 @@ def brute(doc, text):
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     words = re.findall(word, low)
     hits = sorted((i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i:i + len(p.split())] == p.split())
-    held = {}
-    for line in low.split("\n"):
-        have = set(re.findall(word, line))
-        for label, ws in licenses.template_words().items():
-            share = len(have & set(ws)) / len(ws)
-            if share >= 0.8 - 1e-12:
+    held, block = {}, []
+    for line in [*low.split("\n"), ""]:
+        if have := re.findall(word, line):
+            block += have
+            continue
+        for label, said, needs, bars in licenses.TEMPLATES:
+            ws = set(licenses.word_set(said))
+            share = len(ws & set(block)) / len(ws)
+            if share >= 0.8 - 1e-12 and set(needs.split()) <= set(block) and not set(bars.split()) & set(block):
                 held[label] = max(share, held.get(label, 0))
+        block = []
     base = sorted({x for _, x in hits})
     return (doc, len(words), len(hits), hits[0][0] if hits else None, hits[-1][0] if hits else None, ",".join(base), ",".join(sorted(set(base) | set(held))), 1.0 if hits else max(held.values(), default=0.0))
 
@@ -38,16 +43,31 @@ def test_against_plain_search(spark, sf):
 
 
 def test_wrapped_notices(spark):
-    import textwrap
-
     rows = []
-    for i, (label, text) in enumerate(licenses.TEMPLATES.items()):
+    for i, (label, text, _, _) in enumerate(licenses.TEMPLATES):
         for k, (mark, width) in enumerate((("", 72), (" * ", 60), ("# ", 40), ("// ", 20))):
             body = "\n".join(mark + x for x in textwrap.wrap(text, width))
             rows.append((100 * i + k, f"def before\n\n{body}\r\n{mark}\r\n{mark}other words", label, "s", 1))
         half = " ".join(text.split()[: len(text.split()) // 2])
         rows.append((100 * i + 50, half + "\n\n" + text[len(half):], "", "s", 1))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    got = {r.doc_id: r.labels.split(",") for r in licenses.digest(docs).collect()}
+    got = {r.doc_id: r.labels.split(",") for r in licenses.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
     for r in rows:
-        assert r[2] in got[r[0]] if r[2] else not {"mit", "bsd", "gpl-3", "mpl-2"} & set(got[r[0]]), (r, got[r[0]])
+        assert r[2] in got[r[0]] if r[2] else not {"isc", "bsl-1", "lgpl", "mpl-2"} & set(got[r[0]]), (r, got[r[0]])
+
+
+def test_licenses_that_differ_by_one_word(spark):
+    text = "This work is licensed under the {} {} International License."
+    cc = {"cc-by": "Creative Commons Attribution 4.0", "cc-by-nc": "Creative Commons Attribution-NonCommercial 4.0", "cc-by-sa": "Creative Commons Attribution-ShareAlike 4.0", "cc-by-nc-nd": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0"}
+    rows = [(i, text.format(name, ""), label, "s", 1) for i, (label, name) in enumerate(cc.items())]
+    rows += [(50, licenses.TEMPLATES[[t[0] for t in licenses.TEMPLATES].index("agpl-3")][1], "agpl-3", "s", 1), (51, "M\u0130T license, under the M\u0130T license", "", "s", 1)]
+    got = {r.doc_id: r.labels for r in licenses.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
+def test_own_templates_and_clashing_names(spark):
+    docs = documents(spark, [(90, "all rights belong to the harbour office", "en", "s", 1)]).selectExpr("*", "1 as held", "2 as places", "3 as token", "4 as words", "5 as n_words", "6 as `row`")
+    got = licenses.scan(docs, (("harbour", "rights of the harbour office", "harbour", ""),))
+    assert got.columns == docs.columns
+    assert [(h.label, h.containment) for r in got.filter("doc_id = 90").collect() for h in r.held] == [("harbour", 0.8)]
+    assert {(r.token, r.words, r.row) for r in got.collect()} == {(3, 4, 6)}
+    assert got.count() == docs.count()

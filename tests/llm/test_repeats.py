@@ -43,8 +43,13 @@ def test_table(spark, sf):
 
 def test_cover_and_extra_columns(spark):
     assert {(a - b) % repeats.PERIOD for a in repeats.COVER for b in repeats.COVER} == set(range(repeats.PERIOD))
-    docs = documents(spark).withColumn("found", repeats.F.lit(1)).drop("found").withColumn("n", repeats.F.lit(1))
-    assert "n" in repeats.remove_repeats(docs).columns
+
+
+def test_clashing_names(spark):
+    docs = documents(spark, EXTRA).selectExpr("*", "1 as found", "2 as d", "3 as n_words", "4 as kept", "5 as h", "6 as `row`")
+    got = repeats.remove_repeats(docs)
+    assert sorted(got.columns) == sorted({*docs.columns, "n_removed"} - {"text"})
+    assert {(r.found, r.d, r.h, r.row) for r in got.collect()} == {(1, 2, 5, 6)} and got.agg({"n_words": "max"}).first()[0] > 6000
 
 
 def test_null_ids(spark):

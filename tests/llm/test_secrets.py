@@ -53,3 +53,26 @@ def test_ledger_is_incremental(spark):
 
 def test_empty(spark):
     assert secrets.digest(empty(spark)).count() == 0
+
+
+def test_hard_texts(spark):
+    """Texts of megabytes that invite recursion or quadratic matching."""
+    n = 200_000
+    hard = ["-----BEGIN " + "AB " * n, "-----BEGIN " * n, "eyJ" * n, "eyJaaaaaaaaaa." * n, "ghp_" * n, "password" + " " * n + "=" + "a" * n, "AKIA" * n, "0a" * n, "token=abcdef " * 50_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(hard)], "doc_id long, text string")
+    for r in secrets.findings(docs, secrets.scan(docs)).collect():
+        want = base_spans(hard[r.doc_id])
+        assert [(s.start, s.end, s.rule) for s in r.found if s.rule in KINDS] == [(a, b, k) for a, _, b, k in want]
+
+
+def test_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r.base_sha256 for r in secrets.digest(docs).collect()}
+    assert got == {r.doc_id: hashlib.sha256(",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in base_spans(r.text)).encode()).hexdigest() for r in docs.collect()}
+
+
+def test_clashing_names(spark):
+    docs = documents(spark, HARD).selectExpr("*", "1 as found", "2 as blob", "3 as row", "4 as spans")
+    got = secrets.findings(docs, secrets.update(docs, secrets.empty_ledger(spark)))
+    assert got.columns == docs.columns and {(r.row, r.spans) for r in got.collect()} == {(3, 4)}
+    assert secrets.versions(docs).count() == docs.count()
