@@ -6,14 +6,13 @@ over Parquet in the shared folder, so a lost executor never costs more than its
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from episodic.llm import decontamination, linedup, mixing, nearcopies, quality
-from episodic.llm.common import row_key
+from episodic.llm.common import KEYS, keyed, shared_folder, unpacked
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +40,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix with the words taken from each and the shards they go to."""
     shards = F.transform("places", lambda p: p["shard"]).alias("shards")
     parts = F.sort_array(F.collect_list(F.struct("source", "size", "source_size", "target", "taken", shards))).alias("_parts")
-    mixed = mixing.mix(docs).groupBy("_d", "_t").agg(parts).filter(F.exists("_parts", lambda p: p["taken"] > 0))
+    mixed = mixing.mix(docs).groupBy(*KEYS).agg(parts).filter(F.exists("_parts", lambda p: p["taken"] > 0))
     # Rows that repeat id and text are dealt the parts of their copies one by one, in the order of the sources on both sides.
-    copy = F.row_number().over(W.partitionBy("_d", "_t").orderBy("source"))
-    dealt = row_key(docs).join(mixed, ["_d", "_t"]).withColumn("_part", F.element_at("_parts", copy)).filter("_part.taken > 0")
-    return dealt.select(*docs.columns, *(f"_part.{c}" for c in ("size", "source_size", "target", "taken", "shards")))
+    copy = F.row_number().over(W.partitionBy(*KEYS).orderBy(F.col("row")["source"]))
+    dealt = keyed(docs).join(mixed, list(KEYS)).withColumn("_part", F.element_at("_parts", copy)).filter("_part.taken > 0")
+    return dealt.select(*unpacked(docs.columns, **{c: F.col("_part")[c] for c in ("size", "source_size", "target", "taken", "shards")}))
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix)]
@@ -55,14 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="pipeline-")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{k}"
+        path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
