@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The label set, kinds and hazard words with their labels, in order.
+#: The label set, kinds and hazard words with their labels in order, feature keys of onsets, lengths, zone phrases.
 LABELS = ("normal", "traffic_accident", "traffic_congestion", "stalled_or_broken_down_vehicle", "vehicle_blocking_traffic", "wrong_way_driving",
           "road_spill_or_debris", "waterlogging_or_flood", "fire", "smoke", "fighting_or_violence", "loitering_or_suspicious_presence")
 KIND_LABEL = {"collision_signature": "traffic_accident", "stopped_vehicle": "stalled_or_broken_down_vehicle", "slow_vehicle": "vehicle_blocking_traffic",
@@ -177,19 +178,22 @@ def fused_verdict(rule_anomalous: Column, rule_severity: Column, hazard_visible:
 
 
 def closed_choice(answer: Column, options: list[str]) -> Column:
-    """The longest option in the first line, else in the text before " or ", else anywhere."""
-    flat = lambda c: F.regexp_replace(F.lower(c), r"[-_\s]+", "_")
-    by_length = sorted(options, key=lambda o: (-len(o), o))
-    pick = lambda c: F.coalesce(*(F.when(F.contains(flat(c), F.lit(o)), o) for o in by_length))
-    first = F.get(F.split(F.trim(answer), "\n"), 0)
-    head = F.get(F.split(flat(first), "_or_"), 0)
-    return F.coalesce(pick(head), pick(first), pick(answer))
+    """The longest option named in the first line, else the longest whose part before "_or_" is; else the same in the whole answer."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[-_\s]+", " "))
+    flat = lambda s: re.sub(r"[-_\s]+", " ", s.lower()).strip()
+    by_length = sorted(options, key=len, reverse=True)
+    names = [(flat(o), o) for o in by_length] + [(flat(o.split("_or_")[0]), o) for o in by_length if flat(o.split("_or_")[0])]
+    pick = lambda text: F.coalesce(*(F.when(F.contains(text, F.lit(said)), o) for said, o in names))
+    first = F.get(F.split(F.regexp_replace(answer, r"^\s+", ""), r"\r\n|[\n\r]"), 0)
+    return F.coalesce(pick(plain(first)), pick(plain(answer)))
 
 
 def thresholds_for(duration: Column) -> Column:
-    """Dwell settings by clip length."""
-    pick = lambda a, b, c: F.when(duration < 8, a).when(duration < 30, b).otherwise(c)
-    return F.struct(pick(2.0, 5.0, 8.0).alias("stop_s"), pick(3.0, 6.0, 10.0).alias("loiter_s"))
+    """Settings by clip length; below 8 s they are shares of it."""
+    pick = lambda short, mid, long: F.when(duration < 8, short).when(duration < 30, F.lit(mid)).otherwise(F.lit(long))
+    at_least = lambda low, share: F.greatest(F.lit(low), duration * share)
+    return F.struct(pick(at_least(1.5, 0.35), 5.0, 8.0).alias("stop_s"), pick(at_least(2.0, 0.45), 8.0, 10.0).alias("loiter_s"), pick(at_least(2.0, 0.40), 8.0, 12.0).alias("congestion_s"),
+                    pick(duration, 30.0, 60.0).alias("congestion_cooldown_s"), pick(F.least(F.lit(4.0), duration * 0.5), 4.0, 4.0).alias("duplicate_s"), pick(at_least(1.0, 0.3), 6.0, 6.0).alias("cooldown_s"))
 
 
 def stride_for(fps: Column, wanted: Column) -> Column:

@@ -19,10 +19,10 @@ def ranked(probs: Column) -> Column:
     return F.reverse(F.array_sort(probs))
 
 
-def argmax(probs: Column) -> Column:
-    """Class of the largest p, the lowest class on ties."""
+def argmax(probs: Column, threshold: float | None = None, normal: int = 0) -> Column:
+    """Class of the largest p, the lowest class on ties. With a threshold: null for normal and below it."""
     best = F.array_max(F.transform(probs, lambda x: F.struct(x["p"].alias("p"), (-x["c"]).alias("c"))))
-    return -best["c"]
+    return -best["c"] if threshold is None else F.when((best["c"] != -normal) & (best["p"] >= threshold), -best["c"])
 
 
 def top_margin(probs: Column, threshold: Column | float, k: Column | int, margin: Column | float, scale: Column | float, normal: int = 0) -> Column:
@@ -42,9 +42,10 @@ def gate(probs: Column, p1: float = 0.60, margin: float = 0.25) -> Column:
     return (F.get(r, 0)["p"] >= p1) & (F.get(r, 0)["p"] - F.get(r, 1)["p"] >= margin)
 
 
-def slate(probs: Column, k: int = 3, least: float = 0.05) -> Column:
-    """Candidates for the second opinion: up to k classes of p >= least, the first always."""
-    return F.transform(F.filter(F.slice(ranked(probs), 1, k), lambda x: (x["p"] >= least) | (x["p"] == F.array_max(probs)["p"])), lambda x: x["c"])
+def slate(probs: Column, k: int = 3, least: float = 0.05, normal: int = 0) -> Column:
+    """Candidates for the second opinion: up to k classes of p >= least, the first always, and normal at the end if it is not among them."""
+    some = F.transform(F.filter(F.slice(ranked(probs), 1, k), lambda x: (x["p"] >= least) | (x["p"] == F.array_max(probs)["p"])), lambda x: x["c"])
+    return F.array_distinct(F.concat(some, F.array(F.lit(normal))))
 
 
 def vote(df: DataFrame, keys: list[str], label: str, order: str) -> DataFrame:

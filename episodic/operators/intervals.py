@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: Column | float, strict: bool = False, tie: tuple[str, ...] = ()) -> DataFrame:
@@ -34,20 +39,64 @@ def look_back(df: DataFrame, keys: list[str], t_us: str, span_us: int, columns:
     return df.withColumns({f"ref_{c}": F.first(c).over(w) for c in columns})
 
 
-def others_median(df: DataFrame, keys: list[str], value: str, tie: str, least: int = 3) -> DataFrame:
-    """Adds ``others_median``: median of the group's other rows (null below ``least`` others), from ranks, without a self-join."""
-    group = W.partitionBy(*keys)
-    ranked = df.withColumns({"_all": F.sort_array(F.collect_list(value).over(group)), "_r": F.row_number().over(group.orderBy(value, tie))})
-    n = F.size("_all") - 1
-    at = lambda k: F.get(F.col("_all"), F.when(k < F.col("_r"), k - 1).otherwise(k).cast("int"))  # k-th of the others, from 1
-    low, high = at(F.floor((n + 1) / 2)), at(F.floor(n / 2) + 1)
-    return ranked.withColumn("others_median", F.when(n >= least, (low + high) / 2)).drop("_all", "_r")
-
+def others_median(df: DataFrame, keys: list[str], value: str, tie: str, least: int = 3, peer: Column | None = None) -> DataFrame:
+    """Adds ``others_median``: median of the group's other peers (null below ``least`` of them).
 
-def cooldown(times: Column, c: int) -> Column:
-    """Of sorted times those that lie ``c`` or more after the last one kept."""
-    none = F.slice(times, 1, 0)
-    return F.aggregate(times, none, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.get(kept, F.size(kept) - 1) >= c), F.array_append(kept, t)).otherwise(kept))
+    Only the few middle values of each group are looked up by rank, so a row never carries its group.
+    """
+    group = W.partitionBy(*keys)
+    is_peer = F.lit(True) if peer is None else F.coalesce(peer, F.lit(False))
+    ranked = df.withColumn("_peer", is_peer & F.col(value).isNotNull())
+    ranked = ranked.withColumns({"_n": F.count_if("_peer").over(group), "_r": F.when(F.col("_peer"), F.row_number().over(W.partitionBy(*keys, "_peer").orderBy(value, tie)))})
+    at = lambda k: F.max(F.when(F.col("_r") == k, F.col(value))).over(group)
+    # Of all n peers or of n - 1: the middle ones lie at these ranks of the whole group.
+    low = F.floor(F.col("_n") / 2)
+    ranked = ranked.withColumns({f"_v{k}": at(low + k) for k in (-1, 0, 1, 2)} | {"_low": low})
+    others = F.col("_n") - F.col("_peer").cast("int")
+
+    def kth(k: Column) -> Column:
+        place = F.when(F.col("_r") <= k, k + 1).otherwise(k) - F.col("_low")
+        return F.when(place == -1, F.col("_v-1")).when(place == 0, F.col("_v0")).when(place == 1, F.col("_v1")).when(place == 2, F.col("_v2"))
+
+    median = (kth(F.floor((others + 1) / 2)) + kth(F.floor(others / 2) + 1)) / 2
+    return ranked.withColumn("others_median", F.when(others >= least, median)).drop("_peer", "_n", "_r", "_low", *(f"_v{k}" for k in (-1, 0, 1, 2)))
+
+
+def fold_sorted(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple[object, dict | None]], out: str) -> DataFrame:
+    """An ordered fold over the rows of each key: ``step`` gives the next state and a row to return, or None.
+
+    Keys are spread over the cluster, rows are sorted on disk where they must be and stream through in
+    batches: a task holds one state and one batch, whatever the size of a group.
+    """
+    schema = T._parse_datatype_string(out)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if key != now:
+                    now, state = key, start()
+                state, made = step(state, row)
+                if made is not None:
+                    rows.append(made)
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def cooldown(df: DataFrame, keys: list[str], t: str, c: float) -> DataFrame:
+    """Rows keys, t: of each key's times, in order, those that lie ``c`` or more after the last one kept."""
+
+    def step(last: float | None, row: dict) -> tuple[float | None, dict | None]:
+        if row[t] is None or last is not None and row[t] - last < c:
+            return last, None
+        return row[t], row
+
+    rows = df.select(*keys, t)
+    return fold_sorted(rows, keys, [t], lambda: None, step, ", ".join(f"`{k}` {v}" for k, v in rows.dtypes))
 
 
 def padded(start: Column, end: Column, pad: Column | float, least: float, most: Column | float) -> tuple[Column, Column]:

@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from .intervals import fold_sorted
 
-def _times(m: Column, c: Column) -> Column:
+
+def _times(m: list[float], c: list[float]) -> list[float]:
     """Product of two 2x3 affine matrices stored by row: first c, then m."""
-    at = lambda a, i: F.get(a, i)
-    cell = lambda r, k: at(m, 3 * r) * at(c, k) + at(m, 3 * r + 1) * at(c, 3 + k)
-    return F.array(*(cell(r, k) + (at(m, 3 * r + 2) if k == 2 else F.lit(0.0)) for r in range(2) for k in range(3)))
+    return [m[3 * r] * c[k] + m[3 * r + 1] * c[3 + k] + (m[3 * r + 2] if k == 2 else 0.0) for r in range(2) for k in range(3)]
 
 
 def cumulative_affine(frames: DataFrame, key: str, order: str, matrix: str) -> DataFrame:
-    """For each frame the product of all its key's matrices so far; null matrices (failed frames) are passed over.
+    """For each frame the product of all its key's matrices so far; null matrices (failed frames) are passed over."""
 
-    A key's matrices are folded in one array, so the work is linear in the frames of a video.
-    """
-    one = F.array(*map(F.lit, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)))
-    start = F.struct(one.alias("c"), F.array().cast("array<struct<at:bigint,total:array<double>>>").alias("out"))
+    def step(c: list[float], f: dict) -> tuple[list[float], dict]:
+        c = c if f["m"] is None else _times(f["m"], c)
+        return c, {key: f[key], order: f[order], "total": c}
+
+    rows = frames.select(key, F.col(order).cast("long").alias(order), F.col(matrix).alias("m"))
+    return fold_sorted(rows, [key], [order], lambda: [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], step, f"`{key}` {dict(rows.dtypes)[key]}, `{order}` bigint, total array<double>")
 
-    def step(state: Column, f: Column) -> Column:
-        c = F.when(f["m"].isNull(), state["c"]).otherwise(_times(f["m"], state["c"]))
-        return F.struct(c.alias("c"), F.array_append(state["out"], F.struct(f["at"].alias("at"), c.alias("total"))).alias("out"))
 
-    listed = frames.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("at"), F.col(matrix).alias("m")))).alias("fs"))
-    return listed.select(key, F.explode(F.aggregate("fs", start, step, lambda s: s["out"])).alias("x")).select(key, F.col("x.at").alias(order), "x.total")
+def stabilised(points: DataFrame, totals: DataFrame, key: str, order: str, x: str, y: str) -> DataFrame:
+    """Adds rx, ry: points of each frame mapped back to the key's first frame by the inverse of its running product."""
+    a, b, tx, c, d, ty = (F.get("total", k) for k in range(6))
+    dx, dy, det = F.col(x) - tx, F.col(y) - ty, a * d - b * c
+    both = points.join(totals, [key, order], "left")
+    still = F.col("total").isNull() | (det == 0)
+    return both.withColumns({"rx": F.when(still, F.col(x)).otherwise(F.try_divide(d * dx - b * dy, det)), "ry": F.when(still, F.col(y)).otherwise(F.try_divide(a * dy - c * dx, det))}).drop("total")
 
 
 def camera_moves(frames: DataFrame, key: str, order: str, shift: str, rows: int = 30, least: float = 1.0) -> DataFrame:
@@ -36,18 +40,27 @@ def camera_moves(frames: DataFrame, key: str, order: str, shift: str, rows: int
 
 
 def picked_frames(frames: DataFrame, key: str, order: str, motion: str, n: int) -> DataFrame:
-    """At most n frames of each key: both ends, evenly spaced ones for about half, then those with most motion."""
+    """At most n frames of each key: both ends, evenly spaced ones for about half, those with most motion, evenly spaced ones for what is left."""
     w = W.partitionBy(key)
     ranked = frames.withColumns({"_k": F.row_number().over(w.orderBy(order)) - 1, "_m": F.count("*").over(w)})
-    half = max(2, n // 2)
-    spot = F.exists(F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda i: F.floor(i * (F.col("_m") - 1) / (half - 1))), lambda x: x == F.col("_k"))
-    ranked = ranked.withColumn("_p", F.row_number().over(w.orderBy(F.when(spot, 0).otherwise(1), F.desc(motion), order)))
-    return ranked.filter(F.col("_p") <= n).drop("_k", "_m", "_p")
+    spots = lambda many: F.exists(F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda i: F.floor(i * (F.col("_m") - 1) / max(many - 1, 1))), lambda x: x == F.col("_k"))
+    half, top = max(2, n // 2), max(1, n // 4)
+    ranked = ranked.withColumn("_even", spots(half)).withColumn("_top", F.row_number().over(w.orderBy(F.col("_even"), F.desc(motion), order)) <= top)
+    turn = F.when(F.col("_even"), 0).when(F.col("_top"), 1).when(spots(n), 2).otherwise(3)
+    ranked = ranked.withColumn("_p", F.row_number().over(w.orderBy(turn, F.desc(motion), order)))
+    return ranked.filter(F.col("_p") <= n).drop("_k", "_m", "_p", "_even", "_top")
 
 
 def shard(rows: DataFrame, order: str, n: int, index: int) -> DataFrame:
-    """Rows whose hash falls to shard ``index`` of n; the shards are disjoint and hold all rows."""
-    return rows.filter(F.pmod(F.xxhash64(order), F.lit(n)) == index)
+    """Every n-th row in the given order, from ``index``; the shards are disjoint and hold all rows.
+
+    Places come from the sizes of sorted ranges, so no task sees the whole list.
+    """
+    part = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    part = part.withColumn("_own", F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1)
+    sizes = part.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(W.orderBy("_part")) - F.col("_size")).alias("_before"))  # one row for each range
+    return part.join(F.broadcast(before), "_part").filter(F.pmod(F.col("_before") + F.col("_own"), F.lit(n)) == index).drop("_part", "_own", "_before")
 
 
 def stale(cached: DataFrame, allowed: DataFrame, keys: list[str]) -> DataFrame:

@@ -35,11 +35,16 @@ def set_accuracy(truth: DataFrame, pred: DataFrame, key: str, label: str) -> Dat
     return both.agg(F.count("*").alias("n"), F.count_if(F.col("t") == F.col("p")).alias("exact"))
 
 
-def overlaps(truth: DataFrame, pred: DataFrame, keys: list[str], least: float = 0.0) -> DataFrame:
-    """Pairs of intervals (id, start, end) of equal keys that overlap, with their iou."""
-    t = truth.select(*keys, F.col("id").alias("t_id"), F.col("start").alias("t0"), F.col("end").alias("t1"))
-    p = pred.select(*keys, F.col("id").alias("p_id"), F.col("start").alias("p0"), F.col("end").alias("p1"))
-    return t.join(p, keys).withColumn("iou", iou_1d(F.col("t0"), F.col("t1"), F.col("p0"), F.col("p1"))).filter(F.col("iou") >= least)
+def overlaps(truth: DataFrame, pred: DataFrame, keys: list[str], least: float = 0.0, width: float = 24.0) -> DataFrame:
+    """Pairs of intervals (id, start, end) of equal keys that overlap, with their iou.
+
+    Both sides are dealt to time cells of ``width`` and meet there; a pair counts in the cell of the later start.
+    """
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
+    t = truth.select(*keys, F.col("id").alias("t_id"), F.col("start").alias("t0"), F.col("end").alias("t1")).filter("t0 <= t1").withColumn("cell", cells("t0", "t1"))
+    p = pred.select(*keys, F.col("id").alias("p_id"), F.col("start").alias("p0"), F.col("end").alias("p1")).filter("p0 <= p1").withColumn("cell", cells("p0", "p1"))
+    meet = t.join(p, [*keys, "cell"]).filter((F.col("t0") < F.col("p1")) & (F.col("p0") < F.col("t1")) & (F.col("cell") == F.floor(F.greatest("t0", "p0") / width)))
+    return meet.drop("cell").withColumn("iou", iou_1d(F.col("t0"), F.col("t1"), F.col("p0"), F.col("p1"))).filter(F.col("iou") >= least)
 
 
 def greedy_match(pairs: DataFrame, key: str) -> DataFrame:

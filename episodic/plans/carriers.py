@@ -59,6 +59,11 @@ epi AS (SELECT user_id, event_type, island, min(t_us) AS s, max(t_us) AS e, coun
 IVS = EPI + """, gt AS (SELECT user_id, island AS id, s/3600000000.0 AS s, e/3600000000.0 AS e FROM epi WHERE event_type='purchase' AND n > 1),
 pr AS (SELECT user_id, island AS id, s/3600000000.0 AS s, e/3600000000.0 AS e FROM epi WHERE event_type='click' AND n > 1),
 ov AS (SELECT g.user_id, g.id AS t_id, p.id AS p_id, g.s AS t0, g.e AS t1, greatest(0, least(g.e,p.e)-greatest(g.s,p.s)) / nullif((g.e-g.s)+(p.e-p.s)-greatest(0, least(g.e,p.e)-greatest(g.s,p.s)),0) AS iou FROM gt g JOIN pr p USING (user_id))"""
+#: One-to-one matches by rank, with the used ids carried along: done(user_id, ts, ps, ious).
+GREEDY = """pk AS (SELECT user_id, t_id, p_id, iou, row_number() OVER (PARTITION BY user_id ORDER BY iou DESC, t_id DESC, p_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM ov WHERE iou >= {gate}),
+mt AS (SELECT user_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS ts, CAST([] AS BIGINT[]) AS ps, CAST([] AS DOUBLE[]) AS ious, any_value(n) AS n FROM pk GROUP BY 1 UNION ALL
+SELECT mt.user_id, pk.r, CASE WHEN list_contains(ts, t_id) OR list_contains(ps, p_id) THEN ts ELSE list_append(ts, t_id) END, CASE WHEN list_contains(ts, t_id) OR list_contains(ps, p_id) THEN ps ELSE list_append(ps, p_id) END,
+CASE WHEN list_contains(ts, t_id) OR list_contains(ps, p_id) THEN ious ELSE list_append(ious, pk.iou) END, mt.n FROM mt JOIN pk ON pk.user_id=mt.user_id AND pk.r=mt.r+1), done AS (SELECT * FROM mt WHERE r = n)"""
 PROBS = """x AS (SELECT vec_id, label AS truth, unnest(range(10)) AS c, CAST(unnest(embedding[1:10]) AS DOUBLE) AS z FROM embeddings),
 ex AS (SELECT vec_id, truth, c, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM x), pb AS (SELECT vec_id, truth, c, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM ex)"""
 TRUE = EV + ", tl AS (SELECT user_id, event_type AS label FROM ev GROUP BY 1, 2 HAVING count(*) > 11), pl AS (SELECT DISTINCT user_id, (['click','error','purchase','signup','view'])[CAST(floor(value) AS BIGINT) % 5 + 1] AS label FROM ev WHERE value > 150)"

@@ -9,20 +9,24 @@ neighbours, so a video is the unit of work; videos spread over the cluster. Stat
 from __future__ import annotations
 
 import math
-import pickle
+import json
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, fields
+from itertools import groupby
 from statistics import median
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.expr import LENGTH_M, ZONE_PHRASE
+from ..operators import traffic
 
-VEHICLES = frozenset("car truck bus motorcycle van motor tricycle awning-tricycle".split())
-PEOPLE = frozenset("person pedestrian people".split())
+VEHICLES, PEOPLE = frozenset(traffic.VEHICLES), frozenset(traffic.PEOPLE)
 
 
 @dataclass(frozen=True)
@@ -100,6 +104,26 @@ class Tracker:
         self.cooled = {"crowd": -1e18, "jam": -1e18, "hit": -1e18, "sweep": -1e18}
         self.jam_since: float | None = None
 
+    def dump(self, last: float, held: list[tuple]) -> str:
+        tracks = {k: asdict(t) | {c: list(getattr(t, c)) for c in ("history", "scales", "slow")} for k, t in self.tracks.items()}
+        return json.dumps({"version": STATE, "last": last, "held": held, "tracks": tracks, "recent": self.recent, "cooled": self.cooled, "jam_since": self.jam_since})
+
+    @classmethod
+    def load(cls, text: str, zones: dict | None, config: Config) -> tuple[Tracker, float, list]:
+        """The tracker, the time of its last frame and the rows held back; fields that a later version adds get their defaults."""
+        v = json.loads(text)
+        if v["version"] > STATE:
+            raise ValueError(f"state of version {v['version']}: this code reads up to {STATE}")
+        out, known = cls(zones, config), {f.name for f in fields(Track)}
+        for k, t in v["tracks"].items():
+            deques = {c: deque(map(tuple, t[c]) if c == "history" else t[c], n) for c, n in (("history", 120), ("scales", 15), ("slow", 20))}
+            tuples = {c: tuple(t[c]) for c in ("box", "zone", "anchor")}
+            out.tracks[int(k)] = Track(**{c: x for c, x in t.items() if c in known} | deques | tuples)
+        out.recent = [(t, tuple(b), k) for t, b, k in v["recent"]]
+        out.cooled |= v["cooled"]
+        out.jam_since = v["jam_since"]
+        return out, v["last"], v["held"]
+
     def _zone(self, x: float, y: float) -> tuple:
         for _, kind, polygon, *flow in self.zones["zones"]:
             if _inside(x, y, polygon):
@@ -134,15 +158,16 @@ class Tracker:
         return [t for k, t in sorted(self.tracks.items()) if k != me and t.vehicle and now - t.last <= 1.0]
 
     def update(self, frame_idx: int, now: float, rows: list[tuple]) -> list[dict]:
-        """rows: (track_id, class, x1, y1, x2, y2, frame_diag)."""
+        """rows: (track_id, class, x1, y1, x2, y2, frame_diag, rx, ry); rx, ry: the centre without the camera's motion, or None."""
         live = []
-        for key, name, x1, y1, x2, y2, frame_diag in sorted(rows):
+        for key, name, x1, y1, x2, y2, frame_diag, rx, ry in sorted(rows, key=lambda r: r[0]):
             t = self.tracks.get(key)
             if t is not None and now - t.last > self.c.expire:
                 t = None
             if t is None:
                 t = self.tracks[key] = Track(now, name)
-            w, h, x, y = x2 - x1, y2 - y1, (x1 + x2) / 2, (y1 + y2) / 2
+            w, h = x2 - x1, y2 - y1
+            x, y = ((x1 + x2) / 2, (y1 + y2) / 2) if rx is None or ry is None else (rx, ry)
             t.last, t.name, t.box, t.diag, t.frame_diag = now, name, (x1, y1, x2, y2), math.hypot(w, h), frame_diag
             t.m_per_px = LENGTH_M[name] / max(w, h) if name in LENGTH_M and max(w, h) > 2 else None
             t.history.append((now, x, y, t.diag))
@@ -220,9 +245,9 @@ class Tracker:
             self.cooled["crowd"] = now
             add("crowd_density", whole(people), False, 0.3, {"people": float(len(people))}, f"{len(people)} people are in view.")
         cars = [t for _, t in sorted(self.tracks.items()) if t.vehicle and now - t.last <= 1.0]
-        stopped = [t for t in cars if t.since is not None]
-        fresh = sorted((t for t in stopped if now - t.since <= c.hit_settle and t.since - t.first >= c.hit_moving), key=lambda t: t.since)
-        if cars and len(fresh) >= c.hit_n and len(stopped) / len(cars) < 0.6 and now - self.cooled["hit"] >= c.hit_cool:
+        share = sum(t.speed < c.still for t in cars) / len(cars) if cars else 1.0
+        fresh = sorted((t for t in cars if t.since is not None and now - t.first >= c.least_age and now - t.since <= c.hit_settle and t.since - t.first >= c.hit_moving), key=lambda t: t.since)
+        if len(cars) >= c.hit_n and len(fresh) >= c.hit_n and share < c.jam_share and now - self.cooled["hit"] >= c.hit_cool:
             groups = [[t for t in fresh[i:] if t.since - a.since <= c.hit_window] for i, a in enumerate(fresh)]
             group = max(groups, key=len)
             reach = c.hit_near * median(t.diag for t in group)
@@ -232,7 +257,11 @@ class Tracker:
                 self.cooled["hit"] = now
                 xs, ys = zip(*(centre(t) for t in near), strict=True)
                 box = (min(xs) - reach / 2, min(ys) - reach / 2, max(xs) + reach / 2, max(ys) + reach / 2)
-                add("collision_signature", box, True, 0.85, {"vehicles": float(len(near)), "age_s": now - near[0].since}, f"{len(near)} vehicles stopped at once, close to each other, while traffic flows.")
+                onset, zone = min(t.since for t in near), near[0].zone[0]
+                place = ZONE_PHRASE.get(zone, "a " + zone.replace("_", " "))
+                said = f"{len(near)} vehicles ({', '.join(sorted({t.name for t in near}))}) stopped within {c.hit_window:.0f} s of each other and close together in {place}; only {100 * share:.0f}% of the traffic in view stands."
+                features = {"vehicles_stopped_together": float(len(near)), "stopped_share": round(share, 2), "onset_s": round(onset, 2), "age_s": round(now - onset, 2)}
+                out.append(self._event(frame_idx, now, "collision_signature", None, "vehicle", zone, box, True, 0.85, features, said))
         if len(cars) >= c.jam_n and sum(t.speed < c.crawl for t in cars) / len(cars) >= c.jam_share:
             self.jam_since = now if self.jam_since is None else self.jam_since
             held = now - self.jam_since
@@ -243,7 +272,7 @@ class Tracker:
             self.jam_since = None
         if c.sweep_s > 0 and now - self.cooled["sweep"] >= c.sweep_s:
             self.cooled["sweep"] = now
-            add("scene_sweep", (0, 0, 0, 0), False, 0.0, {}, "Regular look at the whole scene.")
+            add("scene_sweep", whole(list(self.tracks.values())) if self.tracks else (0, 0, 0, 0), False, 0.0, {}, "Regular look at the whole scene.")
         return out
 
     @staticmethod
@@ -256,39 +285,86 @@ EVENTS = "video_id string, frame_idx long, t double, kind string, track_id long,
 _COLUMNS = [x.strip().split(" ")[0] for x in EVENTS.split(", ")]
 
 
-def _fold(tracker: Tracker, frame: pd.DataFrame) -> list[dict]:
-    out = []
-    for (idx, t), rows in frame.sort_values(["t", "frame_idx", "track_id"]).groupby(["frame_idx", "t"], sort=False):
-        out += tracker.update(int(idx), float(t), [(int(r.track_id), r.class_name, r.x1, r.y1, r.x2, r.y2, r.frame_diag) for r in rows.itertuples() if not pd.isna(r.track_id)])
-    return out
+_INPUT = ("video_id", "frame_idx", "t", "track_id", "class_name", "x1", "y1", "x2", "y2", "frame_diag", "rx", "ry")
+
+
+def _columns(detections: DataFrame) -> DataFrame:
+    return detections.select(*(F.col(c) if c in detections.columns else F.lit(None).cast("double").alias(c) for c in _INPUT))
 
 
-def _frame(video: str, events: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame([{"video_id": video, **e} for e in events], columns=_COLUMNS).astype({"track_id": "Int64"})
+def _detection(r: dict) -> tuple | None:
+    return None if r["track_id"] is None else (int(r["track_id"]), r["class_name"], r["x1"], r["y1"], r["x2"], r["y2"], r["frame_diag"], r["rx"], r["ry"])
 
 
 def run(detections: DataFrame, zones: dict | None = None, config: Config = Config()) -> DataFrame:
-    """Events of all videos; detections: video_id, frame_idx, t, track_id, class_name, x1, y1, x2, y2, frame_diag."""
+    """Events of all videos; detections: video_id, frame_idx, t, track_id, class_name, x1, y1, x2, y2, frame_diag,
+    and rx, ry where the camera moves (``motion.stabilised``).
+
+    Videos are spread over the cluster and sorted there (on disk where they must be); a task streams through them with
+    the state of one video and the detections of one frame at a time.
+    """
+
+    schema = to_arrow_schema(T._parse_datatype_string(EVENTS))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, frame, tracker, held = object(), None, None, []
 
-    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return _frame(key[0], _fold(Tracker(zones, config), frame))
+        def flush() -> list[dict]:
+            return [{"video_id": video, **e, "features": list(e["features"].items())} for e in tracker.update(int(frame[0]), float(frame[1]), held)] if frame is not None else []
 
-    return detections.groupBy("video_id").applyInPandas(one, EVENTS)
+        out: list[dict] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["video_id"] != video:
+                    out += flush()
+                    video, frame, tracker, held = r["video_id"], None, Tracker(zones, config), []
+                if (r["frame_idx"], r["t"]) != frame:
+                    out += flush()
+                    frame, held = (r["frame_idx"], r["t"]), []
+                if (found := _detection(r)) is not None:
+                    held.append(found)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            out = []
+        yield pa.RecordBatch.from_pylist(flush(), schema=schema)
 
+    rows = _columns(detections).repartition("video_id").sortWithinPartitions("video_id", "t", "frame_idx", "track_id")
+    return rows.mapInArrow(fold, EVENTS)
 
-def run_stream(detections: DataFrame, zones: dict | None = None, config: Config = Config()) -> DataFrame:
-    """The same fold over a stream: state for each video, rows sorted within a micro-batch, rows older than the last frame dropped."""
+
+IDLE_MS, STATE = 10 * 60 * 1000, 1  # STATE: version of what is kept between micro-batches
+
+
+def run_stream(detections: DataFrame, zones: dict | None = None, config: Config = Config(), idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """The same fold over a stream, with state for each video.
+
+    The last frame of a micro-batch may still get rows, so it is held back until a later one is seen or the video has
+    been idle for ``idle_ms`` (processing time); then the held frame is read and the state is freed. Rows older than the
+    last frame read come too late and are dropped. With ``idle_ms`` None state is kept for good and a trigger that ends
+    (availableNow) does end; the timer of idle videos would keep it running. State is JSON of plain values under a version, so it outlives an upgrade.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        tracker, last = pickle.loads(state.get[0]) if state.exists else (Tracker(zones, config), -math.inf)
-        rows = pd.concat(list(frames))
-        rows = rows[rows["t"] > last]
-        if len(rows):
-            events, last = _fold(tracker, rows), float(rows["t"].max())
-            yield _frame(key[0], events)
-        state.update((pickle.dumps((tracker, last)),))
-
-    return detections.groupBy("video_id").applyInPandasWithState(step, EVENTS, "state binary", "append", "NoTimeout")
+        tracker, last, held = Tracker.load(state.get[0], zones, config) if state.exists else (Tracker(zones, config), -math.inf, [])
+        ended = state.hasTimedOut
+        new = [] if ended else [tuple(None if pd.isna(v) else v for v in row) for f in frames for row in f[list(_INPUT[1:])].itertuples(index=False)]
+        rows = sorted((r for r in [*map(tuple, held), *new] if r[1] > last), key=lambda r: (r[1], r[0], -1 if r[2] is None else r[2]))
+        newest = max((r[1] for r in rows), default=-math.inf)
+        ready = rows if ended else [r for r in rows if r[1] < newest]
+        events: list[dict] = []
+        for frame, group in groupby(ready, key=lambda r: r[:2]):
+            found = (_detection(dict(zip(_INPUT[1:], r, strict=True))) for r in group)
+            events += tracker.update(int(frame[0]), float(frame[1]), [x for x in found if x is not None])
+            last = float(frame[1])
+        if ended:
+            state.remove()
+        else:
+            state.update((tracker.dump(last, [r for r in rows if r[1] == newest]),))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        if events:
+            yield pd.DataFrame([{"video_id": key[0], **e} for e in events], columns=_COLUMNS).astype({"track_id": "Int64"})
+
+    return _columns(detections).groupBy("video_id").applyInPandasWithState(step, EVENTS, "state string", "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")
 
 
 def scenarios(spark: SparkSession) -> DataFrame:
