@@ -1,17 +1,25 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Runs of five words
-(fewer where an item is shorter) that a document shares with a benchmark item are its seeds,
-found by rolling Karp-Rabin hashes. Seeds on one diagonal join to maximal matches; the longest
-is marked in both texts again and again, cut down where parts of it are marked already, until
-no unmarked match of the least length is left. The marked share of the item is its coverage,
-whatever order its passages stand in; a document is contaminated if any item is covered by
-``threshold`` or more.
-
-The benchmark is read in blocks of at most ``block_words`` words, so what is sent to the
-executors has a fixed bound; each further block is one more pass over the documents. Hashes of
-seeds have 64 bits. Null texts have no words; items without words match nothing. Rows with null
-or repeated ids keep their own verdicts. Empty tables: no document is contaminated.
+(fewer where an item is shorter) that a document shares with a benchmark item are its seeds. Seeds
+on one diagonal join to maximal matches; the longest (of equal ones the first in the item, then
+in the text) is marked in both texts again and again, cut down where parts of it are marked
+already, until no unmarked match of the least length is left. The marked share of the item is its
+coverage, whatever order its passages stand in; a document is contaminated if any item is covered
+by ``threshold`` or more.
+
+1. Rolling Karp-Rabin hashes of all runs of the items make a table of seeds, and a bit map of
+   bounded size that is sent to all tasks. Tasks hash the runs of their documents and send on those
+   the bit map has.
+2. Seeds of documents and items are joined by hash: the items' side is broadcast up to
+   ``BROADCAST_ROWS`` rows and shuffled beyond. For each document and item the seeds' places in
+   the item bound its coverage from above, and pairs that cannot reach the threshold go.
+3. For what is left the texts are joined and tiled on the words themselves.
+
+Null texts have no words; items without words match nothing. Rows with null or repeated ids keep
+their own verdicts. Empty tables: no document is contaminated. A long text is hashed in one piece;
+runs of one repeated word count up to twice an item's length, more cannot change its coverage.
+Columns of the input are passed on; one named ``hits`` is replaced by ``scan``.
 """
 
 from __future__ import annotations
@@ -23,10 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import WordHashes, covered, rolling, small_batches
+from .common import WordHashes, checkpoint, key_columns, keyed, rolling, small_batches, unpacked
 
-TILE, THRESHOLD, BLOCK_WORDS = 5, 0.5, 2_000_000
+TILE, THRESHOLD = 5, 0.5
+BROADCAST_ROWS = 1_000_000
+MAP_BITS = (20, 27)  # the bit map has 2**20 to 2**27 bits
+HITS = "array<struct<item_id:bigint,coverage:double>>"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
 
@@ -58,83 +70,138 @@ def tile(i: np.ndarray, j: np.ndarray, width: int, n_item: int) -> list[tuple[in
     return tiles
 
 
-class Index:
-    """Seeds of the items of one block."""
+def _grams(words: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of the runs of ``width`` words, equal where the runs are equal; -1 with an unknown word (-1) in the run."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    known = np.ones(n, bool)
+    for k in range(width):
+        known &= words[k:k + n] >= 0
+    at, out = np.flatnonzero(known), np.full(n, -1, np.int64)
+    number, base = words[at], int(words.max()) + 1
+    for k in range(1, width):
+        number = np.unique(number * base + words[at + k], return_inverse=True)[1] if len(at) else number
+    out[at] = number
+    return out
+
 
-    def __init__(self, items: list[tuple[int, str | None]], width: int = TILE):
-        memo, rows = WordHashes(), {}
-        self.items, self.length = [], []
-        for item, text in items:
+def coverage(item: list[bytes], text: list[bytes], width: int = TILE) -> float:
+    """Share of the item's words that greedy string tiling marks; words are compared as they are."""
+    n, width = len(item), min(width, len(item))
+    if not n:
+        return 0.0
+    ids: dict[bytes, int] = {}
+    mine = np.array([ids.setdefault(w, len(ids)) for w in item], np.int64)
+    other = np.fromiter((ids.get(w, -1) for w in text), np.int64, len(text))
+    if len(other):  # long runs of one word, or of words the item does not have, are cut
+        start = np.flatnonzero(np.append(True, other[1:] != other[:-1]))
+        inside = np.arange(len(other)) - np.repeat(start, np.diff(np.append(start, len(other))))
+        other = other[inside < np.where(other < 0, 1, 2 * n)]
+    grams = _grams(np.concatenate([mine, [-1], other]), width)
+    a, b = grams[:n - width + 1], grams[n + 1:]
+    order = np.argsort(a, kind="stable")
+    lo, hi = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
+    many = np.where(b >= 0, hi - lo, 0)
+    j = np.repeat(np.arange(len(b)), many)
+    i = order[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+    return sum(t[2] for t in tile(i, j, width, n)) / n if len(i) else 0.0
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        memo = WordHashes()
+        columns: list[list] = [[], [], [], [], [], []]
+        for item, mark, text in zip(*(batch.column(c).to_pylist() for c in ("item_id", "mark", "text")), strict=True):
             words = tokens(text)
-            if words:
-                h = rolling(memo.of(words), w := min(width, len(words)))
-                rows.setdefault(w, []).append((h, np.full(len(h), len(self.items)), np.arange(len(h))))
-                self.items.append(item)
-                self.length.append(len(words))
-        self.seeds = {}
-        for w, parts in rows.items():
-            h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(h, kind="stable")
-            filter_ = np.zeros(1 << 20, bool)
-            filter_[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.seeds[w] = (h[order], item[order], at[order], filter_)
-
-    def coverage(self, hashes: np.ndarray, least: float) -> list[tuple[int, float]]:
-        """(item, coverage) of the items that a text with these word hashes covers by ``least`` or more."""
-        out = []
-        for width, (keys, item, at, filter_) in self.seeds.items():
-            h = rolling(hashes, width)
-            maybe = np.flatnonzero(filter_[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            lo, hi = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
-            real = hi > lo
-            if not real.any():
-                continue
-            maybe, lo, n = maybe[real], lo[real], (hi - lo)[real]
-            row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            who, i, j = item[row], at[row], np.repeat(maybe, n)
-            for x in np.unique(who):
-                mine, m = who == x, self.length[x]
-                if covered(np.unique(i[mine]), width, m).sum() >= least * m:  # tiles cover no more than seeds do
-                    share = sum(t[2] for t in tile(i[mine], j[mine], width, m)) / m
-                    if share >= least:
-                        out.append((self.items[x], share))
-        return out
-
-
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str | None]]]:
-    """Items (item_id, text) in blocks whose texts have about ``block_words`` words at most."""
-    sized = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // (2 * block_words)) or 1
-    for k in range(n):
-        part = sized.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == k)
-        yield [(r[0], r[1]) for r in part.collect()]
-
-
-def scan(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+            width = min(TILE, len(words))
+            h = rolling(memo.of(words), width) if words else np.empty(0, np.uint64)
+            for c, v in zip(columns, (h.view(np.int64), np.arange(len(h)), [item] * len(h), [mark] * len(h), [width] * len(h), [len(words)] * len(h)), strict=True):
+                c.extend(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h", "at", "item_id", "mark", "width", "n"])
+
+
+def _bit_map(seeds: DataFrame, rows: int) -> np.ndarray:
+    """Bits of the seeds' hashes; its size follows their number within bounds."""
+    bits = max(MAP_BITS[0], min(MAP_BITS[1], (16 * rows).bit_length()))
+    place = F.col("h").bitwiseAND((1 << bits) - 1)
+    parts = seeds.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("v")).collect()
+    out = np.zeros(1 << bits, bool)
+    for r in parts:  # bucket k holds the places from 32768 * (k - 1) + 1 on
+        part = np.unpackbits(np.frombuffer(bytes(r.v), np.uint8), bitorder="little").astype(bool)
+        lo = 32768 * (r.k - 1) + 1 if r.k > 0 else 0
+        out[lo:lo + len(part)] |= part[:max(0, len(out) - lo)]
+    return out
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast where it is small enough, as it is beyond that."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def contaminated(docs: DataFrame, keys: list[str], benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows keys, hits: the items that a document (keys, text) covers by ``threshold`` or more."""
+    spark = docs.sparkSession
+    items = checkpoint(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mark"), F.col("text").cast("string").alias("text")).dropDuplicates(["item_id", "mark"]))
+    seeds = checkpoint(items.mapInArrow(_item_seeds, "h long, at long, item_id long, mark long, width long, n long"))
+    rows, widths = seeds.agg(F.count("*"), F.collect_set("width")).first()
+    bits = spark.sparkContext.broadcast((_bit_map(seeds, rows), sorted(widths)))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, (bit_map, wanted) = WordHashes(), bits.value
+        mask = np.uint64(len(bit_map) - 1)
+        for batch in batches:
+            row, hashes = [], []
+            for k, text in enumerate(batch.column("text")):
+                h = memo.of(tokens(text.as_py()))
+                for width in wanted:
+                    r = rolling(h, width)
+                    r = np.unique(r[bit_map[(r & mask).astype(np.int64)]])
+                    if len(r):
+                        row.append(np.full(len(r), k))
+                        hashes.append(r)
+            if row:
+                at = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keys), pa.array(np.concatenate(hashes).view(np.int64))], [*keys, "h"])
+
+    schema = StructType([*(docs.schema[k] for k in keys), StructField("h", LongType())])
+    met = docs.select(*keys, "text").mapInArrow(found, schema).join(F.broadcast(seeds) if rows <= BROADCAST_ROWS else seeds, "h")
+    places = met.groupBy(*keys, "item_id", "mark").agg(F.sort_array(F.collect_set("at")).alias("places"), F.first("width").alias("width"), F.first("n").alias("n"))
+    span = lambda x, i: F.coalesce(F.least(F.col("width"), F.get("places", i + 1) - x), F.col("width"))
+    most = F.aggregate(F.transform("places", span), F.lit(0).cast("long"), lambda s, x: s + x)
+    maybe = checkpoint(places.filter(most >= threshold * F.col("n")).select(*keys, "item_id", "mark"))
+    same = maybe["item_id"].eqNullSafe(items["item_id"]) & (maybe["mark"] == items["mark"])
+    pairs = maybe.join(items, same).select(*keys, F.struct(items["item_id"], items["text"]).alias("item")).groupBy(*keys).agg(F.collect_list("item").alias("items"))
+
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = []
+            for text, some in zip(batch.column("text").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                words = tokens(text)
+                shares = ((x["item_id"], coverage(tokens(x["text"]), words)) for x in some)
+                hits.append([{"item_id": i, "coverage": c} for i, c in shares if c >= threshold])
+            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(hits, kind)], [*keys, "hits"])
+
+    texts = docs.select(*keys, "text").join(_small(checkpoint(pairs)), keys).dropDuplicates(keys)
+    return texts.select(*keys, "text", "items").mapInArrow(tiled, ", ".join([*(f"{k} long" for k in keys), f"hits {HITS}"])).filter(F.size("hits") > 0)
+
+
+def scan(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The columns of ``df`` and ``hits``: array of (item_id, coverage) of the items it covers."""
     small_batches(df.sparkSession)
-    spark, out = df.sparkSession, df.withColumn("hits", F.array().cast("array<struct<item_id:bigint,coverage:double>>"))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
-    for items in blocks(benchmark, block_words):
-        index = spark.sparkContext.broadcast(Index(items))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            memo = WordHashes()
-            for batch in batches:
-                old, at = batch.column("hits").to_pylist(), batch.schema.names.index("hits")
-                found = [had + [{"item_id": i, "coverage": c} for i, c in index.value.coverage(memo.of(tokens(t.as_py())), threshold)] for had, t in zip(old, batch.column("text"), strict=True)]
-                columns = [batch.column(i) for i in range(batch.num_columns)]
-                columns[at] = pa.array(found, kind)
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+    docs, keys = keyed(df), key_columns(df)
+    found = _small(checkpoint(contaminated(docs, keys, benchmark, threshold)))
+    rows = docs.join(found, keys, "left")
+    return rows.select(*unpacked(df.columns, hits=F.coalesce("hits", F.array().cast(HITS))))
 
 
 def clean(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` that no benchmark item contaminates."""
-    return scan(df, benchmark, threshold).filter(F.size("hits") == 0).drop("hits")
+    small_batches(df.sparkSession)
+    docs, keys = keyed(df), key_columns(df)
+    found = checkpoint(contaminated(docs, keys, benchmark, threshold).select(*keys))
+    return docs.join(_small(found), keys, "left_anti").select(*unpacked(df.columns))
 
 
 def digest(df: DataFrame, benchmark: DataFrame) -> DataFrame:

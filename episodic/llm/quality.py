@@ -14,7 +14,10 @@ it shows, are not tested and lose nothing. So with probability 1 - delta no stra
 
 Statistics and label counts cover whole texts and all documents; the driver gets counts for
 each stratum, rule and grid step only. Null text has no words and fails the base; a null
-language is a stratum like any other, and one without labels loses nothing. Repeated rows each get a verdict. Empty tables give an empty result.
+language is a stratum like any other, and one without labels loses nothing. Repeated rows each get a
+verdict. Of repeated labels one counts, and a document with labels of both kinds counts as good;
+labels of ids that several rows share are not used, so no label is counted twice. Empty tables give
+an empty result. Columns of the input are passed on, but for those named as a statistic.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .common import WordHashes, checkpoint, covered, rolling, small_batches
@@ -118,8 +121,9 @@ def _rejected(cuts: dict[str, dict[str, float]], stratum: Column) -> Column:
 def choose(stats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05, weight: float = 20.0, levels: int = 3) -> dict[str, dict[str, float]]:
     """Certified cutoffs for each stratum: {stratum: {rule: cutoff}}."""
     half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
-    known = labels.filter("quality in (0, 1)").select(F.col("doc_id").alias("_id"), "quality")
-    seen = checkpoint(stats.filter(~base_failed()).join(known, F.col("doc_id") == F.col("_id")).withColumn("half", half).withColumn("stratum", F.coalesce(F.col(stratum).cast("string"), F.lit(NULL))))
+    known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("quality"))
+    one = stats.join(known, F.col("doc_id") == F.col("_id")).withColumn("_rows", F.count("*").over(W.partitionBy("doc_id")))
+    seen = checkpoint(one.filter((F.col("_rows") == 1) & ~base_failed()).withColumn("half", half).withColumn("stratum", F.coalesce(F.col(stratum).cast("string"), F.lit(NULL))))
     hold = seen.filter("half = 1 and quality = 1")
     # A holdout that would not pass one test even without a false rejection is not tested; which these are depends on sizes only.
     able = sorted(r[0] for r in hold.groupBy("stratum").count().collect() if binomial_at_most(0, r[1], alpha) <= delta / levels)

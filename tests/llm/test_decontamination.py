@@ -31,13 +31,19 @@ def brute(item, text, least=5):
 
 def test_tiling_against_plain_search():
     rng = np.random.default_rng(0)
-    for _ in range(60):
-        item = [f"w{x}" for x in rng.integers(0, 12, rng.integers(3, 30))]
+    for k in range(150):
+        item = [b"w%d" % x for x in rng.integers(0, 12 if k % 2 else 3, rng.integers(1, 30))]
         cut = int(rng.integers(0, len(item)))
-        text = [f"w{x}" for x in rng.integers(0, 12, 20)] + item[cut:] + ["gap"] + item[:cut] + [f"w{x}" for x in rng.integers(0, 12, 20)]
-        index = d.Index([(1, " ".join(item))])
-        got = dict(index.coverage(d.WordHashes().of([w.encode() for w in text]), 0.0001))
-        assert abs(got.get(1, 0) - brute(item, text)) <= 5 / len(item)  # ties between equally long tiles may differ
+        text = [b"w%d" % x for x in rng.integers(0, 12, 20)] + item[cut:] + [b"gap"] + item[:cut] + [b"w%d" % x for x in rng.integers(0, 4, 20)]
+        assert d.coverage(item, text) == brute(item, text), (item, text)
+    assert d.coverage([b"a"] * 40, [b"a"] * 2_000_000) == 1.0 and d.coverage([b"a", b"b"] * 10, [b"c"] * 1000 + [b"a", b"b"] * 7) == 0.7
+
+
+def test_bit_map(spark):
+    rng = np.random.default_rng(1)
+    h = rng.integers(-2**63, 2**63 - 1, 5000)
+    found = d._bit_map(spark.createDataFrame([(int(x),) for x in h], "h long"), 5000)
+    assert found[(h & (len(found) - 1))].all() and found.sum() == len(np.unique(h & (len(found) - 1)))
 
 
 def test_reordered_and_clean(spark):
@@ -48,14 +54,32 @@ def test_reordered_and_clean(spark):
     assert got[70].contaminated and got[70].coverage == 1.0 and got[70]["items"] == [1]
     assert not got[71].contaminated and got[72]["items"] == [3]
     assert d.digest(docs, bench).count() == docs.count()
-    small = {r.doc_id: r for r in d.scan(docs.select("doc_id", "text"), bench, block_words=4).collect()}
-    assert [h.item_id for h in small[70].hits] == [1] and [h.item_id for h in small[72].hits] == [3]
     assert d.clean(docs, bench).columns == docs.columns
     assert not any(r.contaminated for r in d.digest(docs, bench.limit(0)).collect()) and d.digest(empty(spark), bench).count() == 0
 
 
-def test_planted_items_of_the_table(spark, sf):
+def test_table_against_plain_tiling(spark, sf):
+    """Every hit of the table and no other: items that share no run of five words with a document are not tiled."""
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet").collect(), spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    grams = lambda w, n: {tuple(w[k:k + n]) for k in range(len(w) - n + 1)}
+    items = [(b.item_id, d.tokens(b.text)) for b in bench]
+    items = [(i, w, grams(w, min(5, len(w)))) for i, w in items if w]
+    want = set()
+    for r in docs:
+        words = d.tokens(r.text)
+        mine = {n: grams(words, n) for n in range(1, 6)}
+        for i, w, g in items:
+            if len(g & mine[min(5, len(w))]) * 5 >= 0.5 * len(w) and d.coverage(w, words) >= 0.5:
+                want.add((r.doc_id, i))
+    got = {(r.doc_id, i) for r in d.digest(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")).collect() for i in r["items"]}
+    assert got == want and len(want) >= 3
+
+
+def test_shuffled_seeds_and_clashing_names(spark, sf, monkeypatch):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
-    whole = {(r.doc_id, b.item_id) for r in docs.collect() for b in bench.collect() if " ".join(d.tokens(b.text)[k].decode() for k in range(len(d.tokens(b.text)))) in " ".join(x.decode() for x in d.tokens(r.text))}
-    got = {(r.doc_id, i) for r in d.digest(docs, bench).collect() for i in r["items"]}
-    assert whole <= got
+    want = sorted(map(tuple, d.digest(docs, bench).collect()), key=repr)
+    monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, d.digest(docs, bench).collect()), key=repr) == want
+    more = documents(spark).selectExpr("*", "1 as hits", "2 as h", "3 as items", "4 as item_id")
+    assert d.clean(more, bench).columns == more.columns and {r.hits for r in d.clean(more, bench).collect()} == {1}
+    assert d.scan(more, bench).columns == more.columns and d.scan(more, bench).count() == more.count()

@@ -1,6 +1,10 @@
+import math
+import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from episodic.llm import quality
 
 from .data import documents, empty
@@ -72,3 +76,27 @@ def test_more_than_200_languages_are_tested(spark):
                                                "0L n_dup_lines", "0L n_repeat_words", "1L n_lines", "2L n_capitals", "90L n_distinct")
     labels = stats.selectExpr("doc_id", "int(n_symbols = 0) quality", "0 toxic")
     assert len(quality.choose(stats, labels)) == 202
+
+
+def test_repeated_labels_count_once(spark):
+    docs, labels = corpus(spark, 60, 10)
+    many = labels
+    for _ in range(5):
+        many = many.union(labels)
+    assert all(r.kept or r.base_failed for r in quality.digest(docs, many).collect())  # 360 label rows, but 60 documents: too few to certify anything
+    stats = quality.measured(docs, ["doc_id", "lang"])
+    assert quality.choose(stats, many) == quality.choose(stats, labels) == {}
+
+
+def test_guarantee_by_simulation(spark):
+    """40 strata with known distributions: the true share of good documents lost stays below alpha in all of them."""
+    rng, rows, rates = random.Random(12), [], {}
+    for s in range(40):
+        rates[f"l{s}"] = mean = rng.choice((0.01, 0.02, 0.04, 0.06))
+        for _ in range(1400):
+            good = rng.random() < 0.8
+            rows.append((len(rows), f"l{s}", 100, 500, int(100 * rng.expovariate(1 / (mean if good else 10 * mean))), 0, 0, 1, 2, 90, int(good)))
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, n_distinct long, quality int")
+    cuts = quality.choose(frame.drop("quality"), frame.select("doc_id", "quality", F.lit(0).alias("toxic")))
+    lost = {s: math.exp(-math.ceil(100 * c["symbols"] + 1e-9) / 100 / rates[s]) for s, c in cuts.items() if "symbols" in c}
+    assert len(lost) > 10 and max(lost.values()) < 0.02
