@@ -1,113 +1,120 @@
 """Near-duplicate documents: one document of each group stays.
 
 Two documents are near copies if their sets of five-word shingles (A-Z lower-cased) have a
-Jaccard similarity of 0.8 or more. Candidates share one of eight min-hashes of their shingles: a
-pair at 0.8 misses all eight with a chance of 0.2**8. In a bucket SimHash fingerprints are
-compared in bit planes and blocks beyond the radius are abandoned; they are taken of the distinct
-shingles, so at a similarity of 0.8 about 10 of 64 bits differ, and the radius is 24. Documents with few shingles, whose fingerprints
-scatter more, skip this test. What is left is verified on the whole shingle sets, as 64-bit
-hashes, which are made again from the texts of the candidate classes only.
-
-Documents with equal sets form one class before anything is compared. Buckets give spanning
-forests of their links; groups are the components; the document with the smallest id (null
-last) stays. Null text counts as empty; all texts without words are one group, texts with fewer
-than five words have one shingle. Of repeated rows one stays. An empty table stays empty.
+Jaccard similarity of 0.8 or more. Documents with equal sets form one class, so what is compared
+are classes. Candidates share one of eight min-hashes of their shingles: a pair at 0.8 misses all
+eight with a chance of 0.2**8. They are compared by SimHash fingerprints of 256 bits over the
+distinct shingles: at a similarity of 0.8 about 52 bits differ, at 0 about 128, and the radius is
+``RADIUS``. Classes of few shingles, whose fingerprints scatter more, pass if their sizes allow the
+similarity. What is left is verified on the whole shingle sets, as 64-bit hashes, which are made
+again from the texts of these classes only.
+
+1. In each bucket (band and min-hash) every class is compared with the bucket's first one, so
+   thousands of near copies give one pair each. Classes that are similar to it are settled.
+2. What is not in the first one's component is then compared, in bit planes, with all others of
+   its bucket. A bucket is dealt to cells of at most about ``CELL`` by ``CELL`` classes, each a row group of
+   its own, so no bucket is gathered in one task.
+
+Groups are the components of the verified links; the document with the smallest id (null last)
+stays. Null text counts as empty; all texts without words are one group, texts with fewer than
+five words have one shingle. Of repeated rows one stays. An empty table stays empty. Columns of
+the input are passed on, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEYS, checkpoint, keyed, shuffle_partitions, small_batches, unpacked
+from .common import KEYS, checkpoint, keyed, shuffle_partitions, small_batches, stored, unpacked
 from .components import components
-from .simhash import SMALL, _planes, fingerprint, shingle_hashes, within
+from .simhash import _planes, fingerprint, shingle_hashes, within
 
-WIDTH, SIMILARITY, RADIUS, FEW = 5, 0.8, 24, 64
+WIDTH, SIMILARITY, RADIUS, FEW, CELL = 5, 0.8, 88, 64, 512
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+PRINTS = ("f0", "f1", "f2", "f3")
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fp, cid, n, mins = [], [], [], []
+        prints: list[list[int]] = [[] for _ in PRINTS]
+        cid, n, mins = [], [], []
         for t in batch.column("text"):
             h = np.unique(shingle_hashes(t.as_py(), WIDTH))  # a set: one repeated shingle must not outweigh the text
-            fp.append(fingerprint(h))
-            n.append(len(h))
             mixed = h[None, :] * _ODD[:, None]
             mixed ^= mixed >> np.uint64(31)
+            for k, out in enumerate(prints):
+                f = mixed[k] * np.uint64(0xD1B54A32D192ED03)
+                out.append(fingerprint(f ^ (f >> np.uint64(29))))
+            n.append(len(h))
             mins.append(mixed.min(axis=1).view(np.int64).tolist() if len(h) else [0] * len(_ODD))
             cid.append(int((mixed[0] * np.uint64(0xFF51AFD7ED558CCD) ^ (mixed[1] >> np.uint64(7))).sum(dtype=np.uint64)) if len(h) else 0)
         as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEYS), as_long(fp), as_long(cid), pa.array(n, pa.int32()), pa.array(mins, pa.list_(pa.int64()))],
-                                         [*KEYS, "fp", "cid", "n", "mins"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEYS), *map(as_long, prints), as_long(cid), pa.array(n, pa.int32()), pa.array(mins, pa.list_(pa.int64()))],
+                                         [*KEYS, *PRINTS, "cid", "n", "mins"])
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cid, buckets, and the distinct shingle hashes in order."""
+    """cid and the distinct shingle hashes in order."""
     for batch in batches:
         sets = pa.array([np.unique(shingle_hashes(t.as_py(), WIDTH)).tobytes() for t in batch.column("text")], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("buckets"), sets], ["cid", "buckets", "shingles"])
-
-
-def _by_bucket(handle: Callable[[list[np.ndarray | list]], Iterator[pa.RecordBatch]], columns: list[str]):
-    """For mapInArrow over rows sorted by band and key: calls handle with the columns of each run of whole buckets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            band, key = (batch.column(c).to_numpy() for c in ("band", "key"))
-            last = np.flatnonzero((band != band[-1]) | (key != key[-1]))
-            begins = held[0].column("band")[0].as_py() != band[-1] or held[0].column("key")[0].as_py() != key[-1]
-            if begins:
-                cut = int(last[-1]) + 1 if len(last) else 0
-                whole = pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
-                held = [batch.slice(cut)]
-                yield from handle([whole.column(c) for c in columns])
-        if held:
-            yield from handle([pa.Table.from_batches(held).column(c) for c in columns])
-
-    return run
-
-
-def _edges_of(band: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])))
-    return start, np.diff(np.append(start, len(band)))
-
-
-def _candidates(columns: list) -> Iterator[pa.RecordBatch]:
-    """Rows whose bucket has another fingerprint within the radius."""
-    band, key, cid, fp, n = (c.to_numpy() for c in columns)
-    fp = fp.view(np.uint64) if fp.dtype == np.int64 else fp.astype(np.uint64)
-    start, size = _edges_of(band, key)
-    bucket, hit = np.repeat(np.arange(len(start)), size), np.zeros(len(fp), bool)
-    small = size <= SMALL
-    for step in range(1, int(size[small].max(initial=1))):
-        a = np.flatnonzero((bucket[:-step] == bucket[step:]) & small[bucket[:-step]])
-        if len(a):
-            near = within(_planes(fp[a] ^ fp[a + step]), 0, RADIUS, len(a)) | ((n[a] <= FEW) & (n[a + step] <= FEW))
-            hit[a[near]] = hit[a[near] + step] = True
-    for k in np.flatnonzero(~small):
-        mine = slice(start[k], start[k] + size[k])
-        planes, few = _planes(fp[mine]), n[mine] <= FEW
-        found = few & (few.sum() > 1)
-        for i in range(size[k]):
-            if not found[i]:
-                near = within(planes, int(fp[mine][i]), RADIUS, size[k])
-                near[i] = False
-                if near.any():
-                    found |= near
-                    found[i] = True
-        hit[mine] = found
-    if hit.any():
-        yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (band, key, cid)], ["band", "key", "cid"])
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), sets], ["cid", "shingles"])
+
+
+def _may_be_similar(x: str, y: str) -> Column:
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    apart = reduce(add, (F.bit_count(F.col(f"{x}{f}").bitwiseXOR(F.col(f"{y}{f}"))) for f in PRINTS))
+    return (F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & ((F.greatest(n, m) <= FEW) | (apart <= RADIUS))
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell: pairs (a, b) of a class outside the first one's component and another class of the cell."""
+
+    def handle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        open_, label, cid, n = (rows.column(c).to_numpy() for c in ("open", "label", "cid", "n"))
+        prints = [rows.column(f).to_numpy().view(np.uint64) for f in PRINTS]
+        planes, out = np.concatenate([_planes(p) for p in prints]), []
+        for i in np.flatnonzero(open_):
+            query = sum(int(p[i]) << 64 * k for k, p in enumerate(prints))
+            near = within(planes, query, RADIUS, len(cid)) | (np.maximum(n, n[i]) <= FEW)
+            near &= (label != label[i]) & (np.minimum(n, n[i]) >= SIMILARITY * np.maximum(n, n[i])) & (~open_ | (cid < cid[i]))
+            out.append((np.full(near.sum(), cid[i]), cid[near]))
+        if out:
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        cell = list(zip(*(batch.column(c).to_pylist() for c in ("band", "key", "i", "j")), strict=True))
+        last = next((k for k in range(len(cell) - 1, -1, -1) if cell[k] != cell[-1]), -1)
+        first = tuple(held[0].column(c)[0].as_py() for c in ("band", "key", "i", "j"))
+        if first != cell[-1]:
+            whole = pa.Table.from_batches([*held[:-1], batch.slice(0, last + 1)])
+            held = [batch.slice(last + 1)]
+            yield from _by_cell(whole, handle)
+    if held:
+        yield from _by_cell(pa.Table.from_batches(held), handle)
+
+
+def _by_cell(rows: pa.Table, handle) -> Iterator[pa.RecordBatch]:
+    names = [rows.column(c).to_numpy() for c in ("band", "key", "i", "j")]
+    change = np.zeros(rows.num_rows, bool)
+    change[:1] = True
+    for c in names:
+        change[1:] |= c[1:] != c[:-1]
+    start = np.flatnonzero(change)
+    for lo, hi in zip(start, np.append(start[1:], rows.num_rows), strict=True):
+        if hi - lo > 1:
+            yield from handle(rows.slice(lo, hi - lo))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -116,47 +123,59 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def _verified(columns: list) -> Iterator[pa.RecordBatch]:
-    """Links (cid, first of its component in the bucket) between documents that are similar."""
-    band, key, cid = (c.to_numpy() for c in columns[:3])
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in columns[3]]
-    n = [len(x) for x in sets]
-    a_out, b_out = [], []
-    for s, size in zip(*_edges_of(band, key), strict=True):
-        open_ = list(range(s, s + size))
-        while len(open_) > 1:
-            seed = open_.pop(0)
-            queue = [seed]
-            while queue and open_:
-                x, rest = queue.pop(), []
-                for y in open_:
-                    ratio = min(n[x], n[y]) >= SIMILARITY * max(n[x], n[y])
-                    if ratio and similarity(sets[x], sets[y]) >= SIMILARITY:
-                        queue.append(y)
-                        a_out.append(cid[y])
-                        b_out.append(cid[seed])
-                    else:
-                        rest.append(y)
-                open_ = rest
-    if a_out:
-        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sets are similar."""
+    for batch in batches:
+        sets = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("x", "y"))
+        good = pa.array([similarity(x, y) >= SIMILARITY for x, y in zip(*sets, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
+
+
+def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Verified links (a, b) between classes that make their components. docs: keys and text."""
+    spark = docs.sparkSession
+    n = shuffle_partitions(spark)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = checkpoint(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "first.*"), "cid")
+        texts = docs.select(*KEYS, "text").join(wanted, list(KEYS)).dropDuplicates(list(KEYS))
+        sets = stored(texts.select("cid", "text").mapInArrow(_whole_sets, "cid long, shingles binary"))
+        both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
+        return checkpoint(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"))
+
+    rows = classes.select("cid", "n", *PRINTS, F.posexplode("mins").alias("band", "key"))
+    lead = F.struct("cid", "n", *PRINTS)
+    first = rows.groupBy("band", "key").agg(F.min(lead).alias("y"), F.count("*").alias("rows")).filter("rows > 1")
+    first = first.select("band", "key", "rows", F.col("y.cid").alias("y_cid"), F.col("y.n").alias("y_n"), *(F.col(f"y.{f}").alias(f"y_{f}") for f in PRINTS))
+    met = checkpoint(rows.join(first, ["band", "key"]))
+    edges = verified(met.filter((F.col("cid") != F.col("y_cid")) & _may_be_similar("", "y_")).select(F.col("cid").alias("a"), F.col("y_cid").alias("b")))
+    root = components(edges)
+    label = lambda c, name: root.select(F.col("a").alias(c), F.col("b").alias(name))
+    named = met.select("band", "key", "rows", "cid", "n", *PRINTS, "y_cid").join(label("cid", "_own"), "cid", "left").join(label("y_cid", "_lead"), "y_cid", "left")
+    named = named.withColumns({"label": F.coalesce("_own", "cid"), "open": F.coalesce("_own", "cid") != F.coalesce("_lead", "y_cid")}).drop("_own", "_lead", "y_cid")
+    left = named.filter("open").groupBy("band", "key").agg(F.count("*").alias("open_rows"))
+    dealt = named.join(left, ["band", "key"])
+    part = lambda seed, many: F.pmod(F.xxhash64("cid", F.lit(seed)), F.ceil(F.col(many) / CELL)).cast("int")
+    every = lambda many: F.sequence(F.lit(0), (F.ceil(F.col(many) / CELL) - 1).cast("int"))
+    # As one of all, a class goes to its column of cells; an open one also goes to its row of them, where it is the query.
+    all_ = dealt.withColumn("j", part(1, "rows")).withColumn("i", F.explode(every("open_rows"))).withColumn("open", F.col("open") & (F.col("i") == part(2, "open_rows")))
+    queries = dealt.filter("open").withColumn("i", part(2, "open_rows")).withColumn("j", F.explode(every("rows"))).filter(F.col("j") != part(1, "rows"))
+    fields = ["band", "key", "i", "j", "cid", "n", "label", "open", *PRINTS]
+    cells = all_.select(*fields).unionByName(queries.select(*fields)).repartition(n, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    more = verified(cells.mapInArrow(_cells, "a long, b long"))
+    return edges.union(more)
 
 
 def keep_one(df: DataFrame) -> DataFrame:
     """The rows of ``df`` without all but one document of each group of near copies."""
     small_batches(df.sparkSession)
-    n = shuffle_partitions(df.sparkSession)
     docs = keyed(df)
-    base = checkpoint(docs.select(*KEYS, "text").mapInArrow(_sketched, "d long, t long, u long, fp long, cid long, n int, mins array<long>"))
-    classes = checkpoint(base.groupBy("cid").agg(F.min(F.struct(*KEYS)).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("mins").alias("mins")))
-    rows = classes.select("cid", "fp", "n", F.posexplode("mins").alias("band", "key"))
-    sort = lambda x: x.repartition(n, "band", "key").sortWithinPartitions("band", "key")
-    maybe = checkpoint(sort(rows).mapInArrow(_by_bucket(_candidates, ["band", "key", "cid", "fp", "n"]), "band int, key long, cid long"))
-    wanted = maybe.groupBy("cid").agg(F.collect_list(F.struct("band", "key")).alias("buckets")).join(classes.select("cid", "first.*"), "cid")
-    texts = docs.select(*KEYS, "text").join(wanted, list(KEYS)).dropDuplicates(list(KEYS))
-    sets = texts.select("cid", "buckets", "text").mapInArrow(_whole_sets, "cid long, buckets array<struct<band:int,key:long>>, shingles binary")
-    edges = sort(sets.select("cid", "shingles", F.explode("buckets").alias("x")).select("x.*", "cid", "shingles")).mapInArrow(_by_bucket(_verified, ["band", "key", "cid", "shingles"]), "a long, b long")
-    root = components(edges)
+    prints = ", ".join(f"{f} long" for f in PRINTS)
+    base = docs.select(*KEYS, "text").mapInArrow(_sketched, f"d long, t long, u long, {prints}, cid long, n int, mins array<long>")
+    firsts = [F.first(c).alias(c) for c in (*PRINTS, "n", "mins")]
+    classes = stored(base.groupBy("cid").agg(F.min(F.struct(*KEYS)).alias("first"), *firsts))
+    root = components(links(docs, classes))
     named = classes.join(root, F.col("cid") == F.col("a"), "left").select(F.coalesce("b", "cid").alias("root"), "first")
-    stay = named.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    stay = checkpoint(named.groupBy("root").agg(F.min("first").alias("first")).select("first.*"))
     return docs.join(stay, list(KEYS)).dropDuplicates(list(KEYS)).select(*unpacked(df.columns))

@@ -75,7 +75,7 @@ def within(planes: np.ndarray, query: int, radius: int, n: int) -> np.ndarray:
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     counters = [np.zeros(planes.shape[1], np.uint64) for _ in range(radius.bit_length())]
     over = np.zeros(planes.shape[1], np.uint64)
-    for k in range(BITS):
+    for k in range(len(planes)):
         carry = planes[k] ^ full if query >> k & 1 else planes[k].copy()
         for c in counters:
             c ^= carry
@@ -154,6 +154,8 @@ def bucket_links(fp: np.ndarray, start: np.ndarray, radius: int) -> Iterator[tup
 
 def links(classes: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (a, b) between fingerprints of ``classes`` (column fp, distinct) that make their components."""
+    if radius > 2:
+        raise ValueError("the keys find all links up to a radius of 2")
     blocks = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF) for k in range(4)]
     keys = [F.struct(F.lit(4 * i + j).alias("t"), (blocks[i] * 65536 + blocks[j]).alias("key")) for i in range(4) for j in range(i)]
     rows = classes.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.t", "k.key", "fp")

@@ -99,3 +99,26 @@ def test_null_ids(spark):
     rows = [(None, f"own{i} " * 2 + " ".join(f"t{i}x{j}" for j in range(8)), "en", "s", 1) for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.text for r in nearcopies.keep_one(docs).collect()} == {r[1] for r in rows}
+
+
+def test_cells_of_a_large_bucket(spark, monkeypatch):
+    """Many classes share min-hashes but fall into several groups, some not similar to the bucket's first class."""
+    monkeypatch.setattr(nearcopies, "CELL", 16)
+    rng, rows = random.Random(3), []
+    shared = [f"s{i}" for i in range(60)]
+    for g in range(12):
+        own = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(15):
+            words = [*shared, *own]
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(60, 120)] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words), "en", "s", 1))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == brute([(r[0], r[1]) for r in sorted(rows)])
+
+
+def test_clashing_names(spark):
+    docs = documents(spark).selectExpr("*", "1 as d", "2 as cid", "3 as `row`", "4 as first")
+    got = nearcopies.keep_one(docs)
+    assert got.columns == docs.columns and {(r.d, r.cid, r.row, r.first) for r in got.collect()} == {(1, 2, 3, 4)}
