@@ -68,7 +68,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the session's Arrow batch size: texts can be long, and a batch stands in memory several times."""
+    """Lowers the session's Arrow batch size: texts can be long, and a batch stands in memory several times.
+
+    It stays lowered, as frames made here run later; only frames with Python functions are slower for it.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
@@ -125,7 +128,7 @@ def split_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Memo of 64-bit word hashes, emptied when it grows past its bound."""
 
-    bound = 250_000
+    bound = 120_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.bound:
