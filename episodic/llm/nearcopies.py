@@ -9,10 +9,10 @@ distinct shingles: at a similarity of 0.8 about 52 bits differ, at 0 about 128,
 similarity. What is left is verified on the whole shingle sets, as 64-bit hashes, which are made
 again from the texts of these classes only.
 
-1. In each bucket (band and min-hash) every class is compared with the bucket's first one, so
-   thousands of near copies give one pair each. Classes that are similar to it are settled.
-2. What is not in the first one's component is then compared, in bit planes, with all others of
-   its bucket. A bucket is dealt to cells of at most about ``CELL`` by ``CELL`` classes, each a row group of
+1. In each bucket (band and min-hash) every class is compared with the first one that also has its
+   next min-hash, so thousands of near copies give one pair each, in each band.
+2. What is not in the bucket's largest component so far is then compared, in bit planes, with all
+   others of its bucket. A bucket is dealt to cells of at most about ``CELL`` by ``CELL`` classes, each a row group of
    its own, so no bucket is gathered in one task.
 
 Groups are the components of the verified links; the document with the smallest id (null last)
@@ -74,7 +74,7 @@ def _may_be_similar(x: str, y: str) -> Column:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell: pairs (a, b) of a class outside the first one's component and another class of the cell."""
+    """Rows sorted by cell: pairs (a, b) of an open class and another one of the cell that is near and not in its component."""
 
     def handle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         open_, label, cid, n = (rows.column(c).to_numpy() for c in ("open", "label", "cid", "n"))
@@ -144,18 +144,18 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
         return checkpoint(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"))
 
-    rows = classes.select("cid", "n", *PRINTS, F.posexplode("mins").alias("band", "key"))
-    lead = F.struct("cid", "n", *PRINTS)
-    first = rows.groupBy("band", "key").agg(F.min(lead).alias("y"), F.count("*").alias("rows")).filter("rows > 1")
-    first = first.select("band", "key", "rows", F.col("y.cid").alias("y_cid"), F.col("y.n").alias("y_n"), *(F.col(f"y.{f}").alias(f"y_{f}") for f in PRINTS))
-    met = checkpoint(rows.join(first, ["band", "key"]))
-    edges = verified(met.filter((F.col("cid") != F.col("y_cid")) & _may_be_similar("", "y_")).select(F.col("cid").alias("a"), F.col("y_cid").alias("b")))
-    root = components(edges)
-    label = lambda c, name: root.select(F.col("a").alias(c), F.col("b").alias(name))
-    named = met.select("band", "key", "rows", "cid", "n", *PRINTS, "y_cid").join(label("cid", "_own"), "cid", "left").join(label("y_cid", "_lead"), "y_cid", "left")
-    named = named.withColumns({"label": F.coalesce("_own", "cid"), "open": F.coalesce("_own", "cid") != F.coalesce("_lead", "y_cid")}).drop("_own", "_lead", "y_cid")
-    left = named.filter("open").groupBy("band", "key").agg(F.count("*").alias("open_rows"))
-    dealt = named.join(left, ["band", "key"])
+    rows = classes.select("cid", "n", *PRINTS, "mins", F.posexplode("mins").alias("band", "key"))
+    rows = rows.withColumn("next", F.get("mins", (F.col("band") + 1) % len(_ODD))).drop("mins")
+    met = checkpoint(rows.join(rows.groupBy("band", "key").agg(F.count("*").alias("rows")).filter("rows > 1"), ["band", "key"]))
+    some = ["band", "key", "next"]
+    first = met.groupBy(*some).agg(F.min(F.struct("cid", "n", *PRINTS)).alias("y"), F.count("*").alias("_rows")).filter("_rows > 1")
+    first = first.select(*some, F.col("y.cid").alias("y_cid"), F.col("y.n").alias("y_n"), *(F.col(f"y.{f}").alias(f"y_{f}") for f in PRINTS))
+    edges = verified(met.join(first, some).filter((F.col("cid") != F.col("y_cid")) & _may_be_similar("", "y_")).select(F.col("cid").alias("a"), F.col("y_cid").alias("b")))
+    root = components(edges).select(F.col("a").alias("cid"), F.col("b").alias("_root"))
+    named = checkpoint(met.drop("next").join(root, "cid", "left").withColumn("label", F.coalesce("_root", "cid")).drop("_root"))
+    sizes = named.groupBy("band", "key", "label").agg(F.count("*").alias("_n"))
+    top = sizes.groupBy("band", "key").agg(F.max(F.struct("_n", "label"))["label"].alias("_top"), (F.sum("_n") - F.max("_n")).alias("open_rows")).filter("open_rows > 0")
+    dealt = named.join(top, ["band", "key"]).withColumn("open", F.col("label") != F.col("_top"))
     part = lambda seed, many: F.pmod(F.xxhash64("cid", F.lit(seed)), F.ceil(F.col(many) / CELL)).cast("int")
     every = lambda many: F.sequence(F.lit(0), (F.ceil(F.col(many) / CELL) - 1).cast("int"))
     # As one of all, a class goes to its column of cells; an open one also goes to its row of them, where it is the query.
