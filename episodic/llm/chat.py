@@ -64,7 +64,8 @@ def digest(conversations: DataFrame) -> DataFrame:
     """The examples of all conversations and of conversation -1, read back and digested."""
     spark = conversations.sparkSession
     hard = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    two = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"))
+    more = two.withColumn("text", F.lit(hard))
     every = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(more)
     back = read_back(examples(every))
     loss = F.array_join("losses", "")

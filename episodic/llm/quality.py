@@ -17,7 +17,7 @@ each stratum, rule and grid step only. Null text has no words and fails the base
 language is a stratum like any other, and one without labels loses nothing. Repeated rows each get a
 verdict. Of repeated labels one counts, and a document with labels of both kinds counts as good;
 labels of ids that several rows share are not used, so no label is counted twice. Empty tables give
-an empty result. Columns of the input are passed on, but for those named as a statistic.
+an empty result. ``filter_documents`` passes all columns on; ``judge`` replaces those named as a statistic.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import WordHashes, checkpoint, covered, rolling, small_batches
+from .common import WordHashes, checkpoint, covered, packed, rolling, small_batches, unpacked
 
 #: Fixed values of the base.
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
@@ -82,8 +83,7 @@ def measured(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             rows = np.array([statistics(t.as_py(), memo) for t in batch.column(at)], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(rows[:, i]) for i in range(len(names)))], [*keep, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:len(keep)])
-    return source.mapInArrow(run, f"{schema}, {BASE}")
+    return source.mapInArrow(run, StructType([*source.schema[:len(keep)], *(StructField(name, LongType()) for name in names)]))
 
 
 def base_failed() -> Column:
@@ -161,6 +161,8 @@ def choose(stats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: fl
 
 def judge(df: DataFrame, labels: DataFrame, keep: list[str], stratum: str = "lang") -> DataFrame:
     """``keep`` columns, statistics, base_failed, kept."""
+    made = {*(x.split()[0] for x in BASE.split(", ")), "base_failed", "kept"}
+    keep = [c for c in keep if c not in made]
     named = keep if "doc_id" in keep else ["doc_id", *keep]
     named = named if stratum in named else [*named, stratum]
     stats = checkpoint(measured(df, named))
@@ -171,10 +173,11 @@ def judge(df: DataFrame, labels: DataFrame, keep: list[str], stratum: str = "lan
 
 def filter_documents(df: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of ``df`` that are kept, with their columns; texts are judged twice rather than shuffled."""
-    stats = measured(df, ["doc_id", stratum])
-    cuts = choose(checkpoint(stats.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), labels, stratum)
-    full = measured(df, df.columns)
-    return full.filter(~(base_failed() | _rejected(cuts, F.col(stratum).cast("string")))).select(*df.columns)
+    docs = packed(df, doc_id=F.col("doc_id"), stratum=F.col(stratum).cast("string"))
+    stats = measured(docs, ["doc_id", "stratum"])
+    cuts = choose(checkpoint(stats.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), labels, "stratum")
+    full = measured(docs, ["row", "text", "stratum"])
+    return full.filter(~(base_failed() | _rejected(cuts, F.col("stratum")))).select(*unpacked(df.columns))
 
 
 def digest(df: DataFrame, labels: DataFrame) -> DataFrame:
