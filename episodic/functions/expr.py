@@ -198,3 +198,21 @@ def thresholds_for(duration: Column) -> Column:
 
 def stride_for(fps: Column, wanted: Column) -> Column:
     return F.when(fps < 5, 1).when(fps < 15, F.least(wanted, F.lit(2))).otherwise(wanted)
+
+
+def checked_label(label: Column) -> Column:
+    """The label; one that is not in the set fails the query."""
+    return F.when(label.isin(*LABELS), label).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(label, F.lit("null")))))
+
+
+#: Shape of a model's verdict as JSON schema, as it is sent along with a request.
+VERDICT_SCHEMA = {"type": "object", "required": ["anomalous", "severity", "reason"], "properties": {"anomalous": {"type": "boolean"}, "severity": {"type": "number", "minimum": 0, "maximum": 1}, "reason": {"type": "string"}}}
+
+
+def strict_verdict(text: Column) -> Column:
+    """The verdict of a text that is wholly one JSON object of the right types with a severity in 0..1, else null."""
+    v = F.try_parse_json(text)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    severity = F.try_variant_get(v, "$.severity", "double")
+    good = (kind("$.anomalous") == "BOOLEAN") & (kind("$.reason") == "STRING") & severity.between(0.0, 1.0) & (kind("$.severity") != "STRING")
+    return F.when(good, F.struct(F.try_variant_get(v, "$.anomalous", "boolean").alias("anomalous"), severity.alias("severity"), F.try_variant_get(v, "$.reason", "string").alias("reason")))

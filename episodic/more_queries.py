@@ -457,6 +457,33 @@ def q78_rows_to_events(s, d):
     return validate.events_from_rows(ids, rows, 0.2).select("id", "level", "label", "start", "end")
 
 
+_CUTS = (0.1, 0.3, 0.6)
+
+
+@query(f"""{_TRACKS}, s AS (SELECT stream_id, day, cut, avg(CASE WHEN ns < cut THEN 1.0 ELSE 0.0 END) AS share FROM tr CROSS JOIN (VALUES {",".join(f"(CAST({c} AS DOUBLE))" for c in _CUTS)}) c(cut) GROUP BY 1, 2, 3), f AS (SELECT *, share >= 0.6 AS ok, row_number() OVER (PARTITION BY stream_id, cut ORDER BY day) AS k FROM s),
+g AS (SELECT stream_id, cut, k - row_number() OVER (PARTITION BY stream_id, cut ORDER BY day) AS run FROM f WHERE ok), r AS (SELECT stream_id, cut, run, count(*) AS n FROM g GROUP BY 1, 2, 3), l AS (SELECT stream_id, cut, max(n) AS n FROM r GROUP BY 1, 2)
+SELECT f.stream_id, f.cut, floor(avg(share)*1000000+0.5)/1000000 AS mean_share, count(*) FILTER (ok) AS frames, CAST(coalesce(any_value(l.n), 0) AS DOUBLE) AS longest FROM f LEFT JOIN l ON l.stream_id=f.stream_id AND l.cut=f.cut GROUP BY 1, 2""")
+def q80_speed_profile(s, d):
+    out = traffic.speed_profile(_tracks(s, d), ["stream_id"], "day", "norm_speed", _CUTS)
+    return out.withColumn("mean_share", X.floored(F.col("mean_share"), 6))
+
+
+@query(f"""{_TRACKS} SELECT stream_id, day, floor(quantile_cont(ns,0.1)*1000000+0.5)/1000000 AS p10, floor(quantile_cont(ns,0.25)*1000000+0.5)/1000000 AS p25, floor(quantile_cont(ns,0.5)*1000000+0.5)/1000000 AS p50, floor(quantile_cont(ns,0.75)*1000000+0.5)/1000000 AS p75 FROM tr GROUP BY 1, 2""")
+def q81_speed_quantiles(s, d):
+    out = traffic.speed_quantiles(_tracks(s, d), ["stream_id", "day"], "norm_speed")
+    return out.select("stream_id", "day", *(X.floored(F.col(c), 6).alias(c) for c in ("p10", "p25", "p50", "p75")))
+
+
+@query(f"""WITH {C.EV}, r AS (SELECT user_id, event_id, t_us, (['slow','stopped','near','slow'])[event_id % 4 + 1] AS reason, CASE WHEN t_us - lag(t_us) OVER w > 48*3600000000 OR lag(t_us) OVER w IS NULL THEN 1 ELSE 0 END AS brk FROM ev WHERE event_type='error' WINDOW w AS (PARTITION BY user_id ORDER BY t_us)),
+k AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY user_id ORDER BY t_us ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM r), f AS (SELECT user_id, island, reason, min(t_us) AS first FROM k GROUP BY 1, 2, 3) SELECT user_id, island, string_agg(reason, ',' ORDER BY first) AS reasons FROM f GROUP BY 1, 2""")
+def q82_episode_reasons(s, d):
+    from .operators.intervals import gap_merge, ordered_distinct
+
+    e = C.events(s, d).filter("event_type = 'error'").withColumn("reason", _pick(("slow", "stopped", "near", "slow"), "event_id"))
+    out = gap_merge(e, ["user_id"], "t_us", "t_us", 48 * C.HOUR, [ordered_distinct("t_us", "reason").alias("reasons")])
+    return out.select("user_id", "island", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query()
 def q79_zone_calibration(s, d):
     o = C.observations(s, d)

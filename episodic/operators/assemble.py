@@ -14,8 +14,12 @@ def complete(ids: DataFrame, rows: DataFrame, key: str, normal: str = "normal")
     return rows.select(key, "label").unionByName(missing)
 
 
-def patch(banked: DataFrame, candidate: DataFrame, key: str) -> DataFrame:
-    """Rows of the candidate's ids replace the banked ones."""
+def patch(banked: DataFrame, candidate: DataFrame, key: str, chosen: DataFrame | None = None) -> DataFrame:
+    """Rows of the candidate's ids replace the banked ones. With ``chosen`` only those ids; one that the candidate lacks is an error."""
+    if chosen is not None:
+        if some := unknown_ids(candidate, chosen, key).limit(8).collect():
+            raise ValueError(f"the candidate has no rows for {[r[0] for r in some]}")
+        candidate = candidate.join(chosen.select(key).distinct(), key, "left_semi")
     return banked.join(candidate.select(key).distinct(), key, "left_anti").unionByName(candidate)
 
 

@@ -112,3 +112,9 @@ def label_tasks(events: DataFrame, done: DataFrame, key: str, in_rate: float, ou
     """Frames still to label, with the expected cost of each (1300 tokens in, 90 out); rows that failed are due again."""
     todo = events.join(done.filter("error is null").select(key), key, "left_anti")
     return todo.withColumn("cost", F.lit(0.0 if free else (1300 * in_rate + 90 * out_rate) / 1_000_000))
+
+
+def sample_times(duration: Column, n: int, motion: bool = False) -> Column:
+    """n sample times over 5 to 95 % of a clip; with motion they begin at 4 s, if that is earlier than 5 % (a reference frame needs what lies before)."""
+    low = F.least(F.lit(4.0), duration * 0.05) if motion else duration * 0.05
+    return linspace(low, duration * 0.95, n)

@@ -25,6 +25,11 @@ def gap_merge(df: DataFrame, keys: list[str], start: str, end: str, gap: Column
     return islands(df, keys, start, end, gap, strict, tie).groupBy(*keys, "island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n"), *aggs)
 
 
+def ordered_distinct(order: str, value: str) -> Column:
+    """Aggregate: the distinct values of a group in the order in which they first come."""
+    return F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value]))
+
+
 def runs(df: DataFrame, keys: list[str], order: str, flag: Column) -> DataFrame:
     """Unbroken runs of rows whose flag holds: keys, first, last, length."""
     w = W.partitionBy(*keys).orderBy(order)

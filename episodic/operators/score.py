@@ -75,3 +75,7 @@ def level_timed(n_truth: Column, n_pred: Column, matched: Column, mean_iou: Colu
     return F.when(n_truth == 0, normal).otherwise(w_alert * (n_pred > 0).cast("int") + w_match * matched / n_truth + w_timing * F.coalesce(mean_iou, F.lit(0.0)))
 
 
+def paired(student: DataFrame, teacher: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of both sides with equal keys and a verdict on the student's; of a teacher's repeated keys the last row counts."""
+    last = teacher.groupBy(key).agg(F.max_by("verdict", order).alias("teacher"))
+    return student.filter("verdict is not null").select(key, F.col("verdict").alias("student")).join(last, key)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import iou_2d, metres_per_pixel
-from .intervals import others_median
+from .intervals import others_median, runs
 
 #: Names of the detector's classes by role.
 VEHICLES = ("car", "motorcycle", "bus", "truck", "van", "motor", "tricycle", "awning-tricycle")
@@ -226,3 +226,17 @@ def latency(frames: DataFrame, keys: list[str], order: str, ms: str, warmup: int
     warm = F.when((F.col("_n") <= warmup) | (F.col("_r") > warmup), F.col(ms))
     return rows.groupBy(*keys).agg(F.max(F.when(F.col("_r") == 1, F.col(ms))).alias("cold_ms"), F.avg(warm).alias("mean_ms"), F.percentile(warm, F.lit(0.95)).alias("p95_ms"),
                                    F.try_divide(F.count(warm) * 1000.0, F.sum(warm)).alias("warm_fps"))
+
+
+def speed_profile(tracks: DataFrame, keys: list[str], frame: str, speed: str, cuts: tuple[float, ...], share: float = 0.6, dt: float = 1.0) -> DataFrame:
+    """For each key and cut: mean share of tracks below it in a frame, frames where the share reaches ``share``, longest run of such frames in time."""
+    below = F.array(*(F.struct(F.lit(c).alias("cut"), F.avg((F.col(speed) < c).cast("double")).alias("share")) for c in cuts))
+    per = tracks.groupBy(*keys, frame).agg(below.alias("x")).select(*keys, frame, F.explode("x").alias("x")).select(*keys, frame, "x.*")
+    mean = per.groupBy(*keys, "cut").agg(F.avg("share").alias("mean_share"), F.count_if(F.col("share") >= share).alias("frames"))
+    long = runs(per, [*keys, "cut"], frame, F.col("share") >= share).groupBy(*keys, "cut").agg((F.max("length") * dt).alias("longest"))
+    return mean.join(long, [*keys, "cut"], "left").withColumn("longest", F.coalesce("longest", F.lit(0.0)))
+
+
+def speed_quantiles(tracks: DataFrame, frame: list[str], speed: str) -> DataFrame:
+    """p10, p25, p50, p75 of the speeds of each frame."""
+    return tracks.groupBy(*frame).agg(*(F.percentile(speed, F.lit(q)).alias(f"p{int(100 * q)}") for q in (0.10, 0.25, 0.50, 0.75)))

@@ -382,3 +382,11 @@ def scenarios(spark: SparkSession) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def scenarios_truth(spark: SparkSession) -> DataFrame:
+    """What the made-up detections hold: video_id, kind, start (s), box; videos without a row are normal."""
+    rows = [("stop", "stopped_vehicle", 0.0, [100.0, 300.0, 160.0, 340.0]), ("wrong", "wrong_way_vehicle", 0.0, [900.0, 300.0, 960.0, 340.0]), ("twice", "stopped_vehicle", 0.0, [100.0, 300.0, 160.0, 340.0]),
+            ("walk", "person_in_roadway", 0.0, [500.0, 300.0, 560.0, 340.0]), ("jam", "traffic_congestion", 0.0, [0.0, 300.0, 660.0, 340.0])]
+    listed = F.array(*(F.struct(F.lit(v).alias("video_id"), F.lit(k).alias("kind"), F.lit(s).alias("start"), F.array(*map(F.lit, b)).alias("box")) for v, k, s, b in rows))
+    return spark.range(1).select(F.explode(listed).alias("x")).select("x.*")

@@ -7,8 +7,10 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
+from episodic.functions import expr as X
 from episodic.operators import assemble, dataset, decide, evidence, intervals, marks, motion, policy, score, traffic, validate, windows
 from episodic.sources import readers
+from episodic.streaming import tracker
 
 
 def one(spark, column):
@@ -188,3 +190,26 @@ def test_more_sources(spark, tmp_path):
     assert (r.frames, r.wall_ms, r.model_runtimes[0].call_count) == (3, 9.0, 2)
     labels = readers.frame_labels(spark.createDataFrame([("v", 1.0, ("fire", "d")), ("v", 2.0, ("odd", None)), ("v", 3.0, None)], "video_id string, t_sec double, parsed struct<class_name:string,description_summary:string>"), ("fire",))
     assert [(r.label, r.text) for r in labels.orderBy("t_sec").collect()] == [("fire", "d"), (None, ""), (None, "")]
+
+
+def test_guards(spark):
+    assert one(spark, X.checked_label(F.lit("fire"))) == "fire"
+    with pytest.raises(Exception, match="unknown label: ufo"):
+        one(spark, X.checked_label(F.lit("ufo")))
+    good = one(spark, X.strict_verdict(F.lit('{"anomalous": true, "severity": 0.5, "reason": "r"}')))
+    assert tuple(good) == (True, 0.5, "r")
+    for bad in ('{"anomalous": "true", "severity": 0.5, "reason": "r"}', '{"anomalous": true, "severity": 2, "reason": "r"}', '{"anomalous": true, "severity": 1}', 'x {"anomalous": true, "severity": 1, "reason": "r"}', "{"):
+        assert one(spark, X.strict_verdict(F.lit(bad))) is None, bad
+    a, b = spark.createDataFrame([("x", 1)], "k string, v int"), spark.createDataFrame([("x", 2), ("y", 3)], "k string, v int")
+    assert [r.v for r in assemble.patch(a, b, "k", a).collect()] == [2]
+    with pytest.raises(ValueError, match="y"):
+        assemble.patch(b, a, "k", b)
+    t = spark.createDataFrame([("i", 1, True), ("i", 2, False)], "k string, o int, verdict boolean")
+    assert [(r.student, r.teacher) for r in score.paired(spark.createDataFrame([("i", True), ("j", None)], "k string, verdict boolean"), t, "k", "o").collect()] == [(True, False)]
+    assert one(spark, dataset.sample_times(F.lit(200.0), 3, True)) == [4.0, 97.0, 190.0] and one(spark, dataset.sample_times(F.lit(20.0), 2)) == [1.0, 19.0]
+
+
+def test_scenarios_hold_their_truth(spark):
+    truth = {(r.video_id, r.kind) for r in tracker.scenarios_truth(spark).collect()}
+    found = {(r.video_id, r.kind) for r in tracker.run(tracker.scenarios(spark), tracker.LANE).collect() if r.anomalous}
+    assert truth <= found and {v for v, _ in found} == {v for v, _ in truth}
