@@ -28,8 +28,16 @@ def argmax(probs: Column, threshold: float | None = None, normal: int = 0) -> Co
 def top_margin(probs: Column, threshold: Column | float, k: Column | int, margin: Column | float, scale: Column | float, normal: int = 0) -> Column:
     """Classes to report: eligible ones at or above the threshold; the first must reach scale * p(normal), others lie
     within the margin of the first; at most k; none means normal."""
-    background = F.get(F.filter(probs, lambda x: x["c"] == normal), 0)["p"]
-    able = F.filter(ranked(probs), lambda x: (x["c"] != normal) & (x["p"] >= threshold))
+    return top_of_ranked(ranked(probs), background(probs, normal), threshold, k, margin, scale, normal)
+
+
+def background(probs: Column, normal: int = 0) -> Column:
+    return F.get(F.filter(probs, lambda x: x["c"] == normal), 0)["p"]
+
+
+def top_of_ranked(order: Column, background: Column, threshold: Column | float, k: Column | int, margin: Column | float, scale: Column | float, normal: int = 0) -> Column:
+    """``top_margin`` from what ``ranked`` and ``background`` give, so that many settings share one ranking."""
+    able = F.filter(order, lambda x: (x["c"] != normal) & (x["p"] >= threshold))
     first = F.get(able, 0)["p"]
     near = F.slice(F.filter(able, lambda x: first - x["p"] <= margin), 1, k)
     none = F.array().cast("array<int>")

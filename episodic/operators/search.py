@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import floored, ratio
-from .decide import top_margin
+from .decide import background, ranked, top_of_ranked
 
 
 def rule_grid() -> list[tuple[float, int, float, float]]:
@@ -22,8 +22,8 @@ def rule_grid() -> list[tuple[float, int, float, float]]:
 def sweep(clips: DataFrame, grid: list[tuple[float, int, float, float]], classes: int, normal: int = 0) -> DataFrame:
     """Macro-F1 of every setting; the settings ride along as a literal array, so nothing is joined."""
     cfg = F.array(*(F.struct(F.lit(i).alias("cfg"), F.lit(t).alias("thr"), F.lit(k).alias("k"), F.lit(m).alias("margin"), F.lit(z).alias("scale")) for i, (t, k, m, z) in enumerate(grid)))
-    rows = clips.select("truth", "probs", F.explode(cfg).alias("g"))
-    rows = rows.select("truth", "g.*", top_margin(F.col("probs"), F.col("g.thr"), F.col("g.k"), F.col("g.margin"), F.col("g.scale"), normal).alias("chosen"))
+    rows = clips.select("truth", ranked(F.col("probs")).alias("order"), background(F.col("probs"), normal).alias("low")).select("*", F.explode(cfg).alias("g"))
+    rows = rows.select("truth", "g.*", top_of_ranked(F.col("order"), F.col("low"), F.col("g.thr"), F.col("g.k"), F.col("g.margin"), F.col("g.scale"), normal).alias("chosen"))
     some = [c for c in range(classes) if c != normal]
     aggs = []
     for c in some:
