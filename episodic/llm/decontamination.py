@@ -37,7 +37,7 @@ from .common import WordHashes, checkpoint, key_columns, keyed, rolling, small_b
 
 TILE, THRESHOLD = 5, 0.5
 BROADCAST_ROWS = 1_000_000
-MAP_BITS = (20, 27)  # the bit map has 2**20 to 2**27 bits
+MAP_BITS = (20, 25)  # the bit map has 2**20 to 2**25 places, a byte each
 HITS = "array<struct<item_id:bigint,coverage:double>>"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 

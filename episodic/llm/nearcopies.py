@@ -4,16 +4,16 @@ Two documents are near copies if their sets of five-word shingles (A-Z lower-cas
 Jaccard similarity of 0.8 or more. Documents with equal sets form one class, so what is compared
 are classes. Candidates share one of eight min-hashes of their shingles: a pair at 0.8 misses all
 eight with a chance of 0.2**8. They are compared by SimHash fingerprints of 256 bits over the
-distinct shingles: at a similarity of 0.8 about 52 bits differ, at 0 about 128, and the radius is
-``RADIUS``. Classes of few shingles, whose fingerprints scatter more, pass if their sizes allow the
-similarity. What is left is verified on the whole shingle sets, as 64-bit hashes, which are made
-again from the texts of these classes only.
+distinct shingles: at a similarity of 0.8 about 40 bits differ (48 for four shingles), with a spread
+of 6, at 0 about 128, and the radius is ``RADIUS``. What is left is verified on the whole shingle
+sets, as 64-bit hashes, which are made again from the texts of these classes only.
 
 1. In each bucket (band and min-hash) every class is compared with the first one that also has its
    next min-hash, so thousands of near copies give one pair each, in each band.
 2. What is not in the bucket's largest component so far is then compared, in bit planes, with all
-   others of its bucket. A bucket is dealt to cells of at most about ``CELL`` by ``CELL`` classes, each a row group of
-   its own, so no bucket is gathered in one task.
+   others of its bucket. A bucket is dealt to cells of about ``CELL`` by ``CELL`` classes, so no bucket
+   is gathered in one task. Classes that are near another one come back to their cells with their
+   sets, and a cell gives a forest of verified links, never its pairs.
 
 Groups are the components of the verified links; the document with the smallest id (null last)
 stays. Null text counts as empty; all texts without words are one group, texts with fewer than
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,9 @@ from .common import KEYS, checkpoint, keyed, shuffle_partitions, small_batches,
 from .components import components
 from .simhash import _planes, fingerprint, shingle_hashes, within
 
-WIDTH, SIMILARITY, RADIUS, FEW, CELL = 5, 0.8, 88, 64, 512
+WIDTH, SIMILARITY, RADIUS, CELL = 5, 0.8, 72, 512
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-PRINTS = ("f0", "f1", "f2", "f3")
+PRINTS, CELL_KEY = ("f0", "f1", "f2", "f3"), ("band", "key", "i", "j")
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,51 +70,76 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _may_be_similar(x: str, y: str) -> Column:
     n, m = F.col(f"{x}n"), F.col(f"{y}n")
     apart = reduce(add, (F.bit_count(F.col(f"{x}{f}").bitwiseXOR(F.col(f"{y}{f}"))) for f in PRINTS))
-    return (F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & ((F.greatest(n, m) <= FEW) | (apart <= RADIUS))
+    return (F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & (apart <= RADIUS)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell: pairs (a, b) of an open class and another one of the cell that is near and not in its component."""
-
-    def handle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        open_, label, cid, n = (rows.column(c).to_numpy() for c in ("open", "label", "cid", "n"))
-        prints = [rows.column(f).to_numpy().view(np.uint64) for f in PRINTS]
-        planes, out = np.concatenate([_planes(p) for p in prints]), []
-        for i in np.flatnonzero(open_):
-            query = sum(int(p[i]) << 64 * k for k, p in enumerate(prints))
-            near = within(planes, query, RADIUS, len(cid)) | (np.maximum(n, n[i]) <= FEW)
-            near &= (label != label[i]) & (np.minimum(n, n[i]) >= SIMILARITY * np.maximum(n, n[i])) & (~open_ | (cid < cid[i]))
-            out.append((np.full(near.sum(), cid[i]), cid[near]))
-        if out:
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
+def _each_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The whole cells of two rows or more, from rows sorted by cell."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        cell = list(zip(*(batch.column(c).to_pylist() for c in ("band", "key", "i", "j")), strict=True))
-        last = next((k for k in range(len(cell) - 1, -1, -1) if cell[k] != cell[-1]), -1)
-        first = tuple(held[0].column(c)[0].as_py() for c in ("band", "key", "i", "j"))
-        if first != cell[-1]:
-            whole = pa.Table.from_batches([*held[:-1], batch.slice(0, last + 1)])
-            held = [batch.slice(last + 1)]
-            yield from _by_cell(whole, handle)
-    if held:
-        yield from _by_cell(pa.Table.from_batches(held), handle)
-
-
-def _by_cell(rows: pa.Table, handle) -> Iterator[pa.RecordBatch]:
-    names = [rows.column(c).to_numpy() for c in ("band", "key", "i", "j")]
-    change = np.zeros(rows.num_rows, bool)
-    change[:1] = True
-    for c in names:
-        change[1:] |= c[1:] != c[:-1]
-    start = np.flatnonzero(change)
-    for lo, hi in zip(start, np.append(start[1:], rows.num_rows), strict=True):
-        if hi - lo > 1:
-            yield from handle(rows.slice(lo, hi - lo))
+        if batch.num_rows:
+            names = [batch.column(c).to_numpy() for c in CELL_KEY]
+            edge = np.flatnonzero(reduce(or_, (c[1:] != c[:-1] for c in names))) + 1
+            if held and any(held[-1].column(c)[-1].as_py() != v[0] for c, v in zip(CELL_KEY, names, strict=True)):
+                edge = np.append(0, edge)
+            for lo, hi in zip(np.append(0, edge), np.append(edge, batch.num_rows), strict=True):
+                if hi in edge:
+                    whole = pa.Table.from_batches([*held, batch.slice(lo, hi - lo)])
+                    held = []
+                    if whole.num_rows > 1:
+                        yield whole
+                elif hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
+    if held and sum(b.num_rows for b in held) > 1:
+        yield pa.Table.from_batches(held)
+
+
+def _near(cell: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For each open class of a cell: its row, and the mask of near classes that are not in its component."""
+    open_, label, cid, n = (cell.column(c).to_numpy() for c in ("open", "label", "cid", "n"))
+    prints = [cell.column(f).to_numpy().view(np.uint64) for f in PRINTS]
+    planes = np.concatenate([_planes(p) for p in prints])
+    for i in np.flatnonzero(open_):
+        query = sum(int(p[i]) << 64 * k for k, p in enumerate(prints))
+        near = within(planes, query, RADIUS, len(cid))
+        near &= (label != label[i]) & (np.minimum(n, n[i]) >= SIMILARITY * np.maximum(n, n[i])) & (~open_ | (cid < cid[i]))
+        if near.any():
+            yield int(i), near
+
+
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each cell that are near another one."""
+    for cell in _each_cell(batches):
+        hit = np.zeros(cell.num_rows, bool)
+        for i, near in _near(cell):
+            hit |= near
+            hit[i] = True
+        if hit.any():
+            yield from cell.filter(pa.array(hit)).to_batches()
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links (a, b) of each cell that join components which nothing else in the cell has joined yet."""
+    for cell in _each_cell(batches):
+        cid, label = (cell.column(c).to_pylist() for c in ("cid", "label"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column("shingles")]
+        root: dict[int, int] = {}
+
+        def find(x: int, root=root) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        out = []
+        for i, near in _near(cell):
+            for j in np.flatnonzero(near).tolist():
+                x, y = find(label[i]), find(label[j])
+                if x != y and similarity(sets[i], sets[j]) >= SIMILARITY:
+                    root[x] = y
+                    out.append((cid[i], cid[j]))
+        if out:
+            a, b = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -136,11 +161,15 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
 
+    def shingles(ids: DataFrame) -> DataFrame:
+        """cid, shingles of some classes."""
+        wanted = ids.distinct().join(classes.select("cid", "first.*"), "cid")
+        texts = docs.select(*KEYS, "text").join(wanted, list(KEYS)).dropDuplicates(list(KEYS))
+        return stored(texts.select("cid", "text").mapInArrow(_whole_sets, "cid long, shingles binary"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = checkpoint(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "first.*"), "cid")
-        texts = docs.select(*KEYS, "text").join(wanted, list(KEYS)).dropDuplicates(list(KEYS))
-        sets = stored(texts.select("cid", "text").mapInArrow(_whole_sets, "cid long, shingles binary"))
+        sets = shingles(pairs.select(F.explode(F.array("a", "b")).alias("cid")))
         both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
         return checkpoint(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"))
 
@@ -161,10 +190,12 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     # As one of all, a class goes to its column of cells; an open one also goes to its row of them, where it is the query.
     all_ = dealt.withColumn("j", part(1, "rows")).withColumn("i", F.explode(every("open_rows"))).withColumn("open", F.col("open") & (F.col("i") == part(2, "open_rows")))
     queries = dealt.filter("open").withColumn("i", part(2, "open_rows")).withColumn("j", F.explode(every("rows"))).filter(F.col("j") != part(1, "rows"))
-    fields = ["band", "key", "i", "j", "cid", "n", "label", "open", *PRINTS]
-    cells = all_.select(*fields).unionByName(queries.select(*fields)).repartition(n, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    more = verified(cells.mapInArrow(_cells, "a long, b long"))
-    return edges.union(more)
+    fields = [*CELL_KEY, "cid", "n", "label", "open", *PRINTS]
+    in_cells = lambda rows: rows.repartition(n, *CELL_KEY).sortWithinPartitions(*CELL_KEY)
+    cells = in_cells(all_.select(*fields).unionByName(queries.select(*fields)))
+    maybe = checkpoint(cells.mapInArrow(_flagged, cells.schema))
+    more = in_cells(maybe.join(shingles(maybe.select("cid")), "cid")).mapInArrow(_linked, "a long, b long")
+    return edges.union(checkpoint(more))
 
 
 def keep_one(df: DataFrame) -> DataFrame:
