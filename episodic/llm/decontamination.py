@@ -12,7 +12,7 @@ by ``threshold`` or more.
    bounded size that is sent to all tasks. Tasks hash the runs of their documents and send on those
    the bit map has.
 2. Seeds of documents and items are joined by hash: the items' side is broadcast up to
-   ``BROADCAST_ROWS`` rows and shuffled beyond. For each document and item the seeds' places in
+   ``BROADCAST_BYTES`` and shuffled beyond. For each document and item the seeds' places in
    the item bound its coverage from above, and pairs that cannot reach the threshold go.
 3. For what is left the texts are joined and tiled on the words themselves.
 
@@ -29,14 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import WordHashes, checkpoint, key_columns, keyed, rolling, small_batches, unpacked
 
 TILE, THRESHOLD = 5, 0.5
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 MAP_BITS = (20, 25)  # the bit map has 2**20 to 2**25 places, a byte each
 HITS = "array<struct<item_id:bigint,coverage:double>>"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -134,9 +134,9 @@ def _bit_map(seeds: DataFrame, rows: int) -> np.ndarray:
     return out
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast where it is small enough, as it is beyond that."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: Column) -> DataFrame:
+    """``df`` marked for broadcast where its rows, of ``size`` bytes each, are at most ``BROADCAST_BYTES``; beyond that as it is."""
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def contaminated(docs: DataFrame, keys: list[str], benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -165,7 +165,7 @@ def contaminated(docs: DataFrame, keys: list[str], benchmark: DataFrame, thresho
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keys), pa.array(np.concatenate(hashes).view(np.int64))], [*keys, "h"])
 
     schema = StructType([*(docs.schema[k] for k in keys), StructField("h", LongType())])
-    met = docs.select(*keys, "text").mapInArrow(found, schema).join(F.broadcast(seeds) if rows <= BROADCAST_ROWS else seeds, "h")
+    met = docs.select(*keys, "text").mapInArrow(found, schema).join(_small(seeds, F.lit(64)), "h")
     places = met.groupBy(*keys, "item_id", "mark").agg(F.sort_array(F.collect_set("at")).alias("places"), F.first("width").alias("width"), F.first("n").alias("n"))
     span = lambda x, i: F.coalesce(F.least(F.col("width"), F.get("places", i + 1) - x), F.col("width"))
     most = F.aggregate(F.transform("places", span), F.lit(0).cast("long"), lambda s, x: s + x)
@@ -183,7 +183,8 @@ def contaminated(docs: DataFrame, keys: list[str], benchmark: DataFrame, thresho
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(hits, kind)], [*keys, "hits"])
 
-    texts = docs.select(*keys, "text").join(_small(checkpoint(pairs)), keys).dropDuplicates(keys)
+    weight = 64 + F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + 48 + F.coalesce(F.octet_length(x["text"]), F.lit(0)))
+    texts = docs.select(*keys, "text").join(_small(checkpoint(pairs), weight), keys).dropDuplicates(keys)
     return texts.select(*keys, "text", "items").mapInArrow(tiled, ", ".join([*(f"{k} long" for k in keys), f"hits {HITS}"])).filter(F.size("hits") > 0)
 
 
@@ -191,7 +192,7 @@ def scan(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> D
     """The columns of ``df`` and ``hits``: array of (item_id, coverage) of the items it covers."""
     small_batches(df.sparkSession)
     docs, keys = keyed(df), key_columns(df)
-    found = _small(checkpoint(contaminated(docs, keys, benchmark, threshold)))
+    found = _small(checkpoint(contaminated(docs, keys, benchmark, threshold)), 64 + 32 * F.size("hits"))
     rows = docs.join(found, keys, "left")
     return rows.select(*unpacked(df.columns, hits=F.coalesce("hits", F.array().cast(HITS))))
 
@@ -201,7 +202,7 @@ def clean(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
     small_batches(df.sparkSession)
     docs, keys = keyed(df), key_columns(df)
     found = checkpoint(contaminated(docs, keys, benchmark, threshold).select(*keys))
-    return docs.join(_small(found), keys, "left_anti").select(*unpacked(df.columns))
+    return docs.join(_small(found, F.lit(64)), keys, "left_anti").select(*unpacked(df.columns))
 
 
 def digest(df: DataFrame, benchmark: DataFrame) -> DataFrame:

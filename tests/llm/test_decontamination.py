@@ -78,7 +78,7 @@ def test_table_against_plain_tiling(spark, sf):
 def test_shuffled_seeds_and_clashing_names(spark, sf, monkeypatch):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     want = sorted(map(tuple, d.digest(docs, bench).collect()), key=repr)
-    monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(d, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, d.digest(docs, bench).collect()), key=repr) == want
     more = documents(spark).selectExpr("*", "1 as hits", "2 as h", "3 as items", "4 as item_id")
     assert d.clean(more, bench).columns == more.columns and {r.hits for r in d.clean(more, bench).collect()} == {1}
