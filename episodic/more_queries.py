@@ -443,7 +443,7 @@ def q77_severity_and_iou(s, d):
     return marks.severity_error(e, "a", "b").select("severity_mae").crossJoin(marks.iou_summary(best, "iou"))  # one row by one row
 
 
-@query(f"""WITH {C.EPI}, ids AS (SELECT DISTINCT user_id AS id, 1 + user_id % 3 AS level, 600.0 AS dur FROM ev), rw AS (SELECT user_id AS id, CASE event_type WHEN 'click' THEN 'fire' WHEN 'error' THEN 'smoke' WHEN 'view' THEN 'normal' ELSE 'ufo' END AS label, CASE WHEN island % 4 = 0 THEN NULL ELSE (s - {_T0})/3600000000.0 - 1 END AS a, (e - {_T0})/3600000000.0 AS b, (n % 10)/10.0 AS conf, island*10 + length(event_type) AS row FROM epi),
+@query(f"""WITH {C.EPI}, ids AS (SELECT DISTINCT user_id AS id, 1 + user_id % 3 AS level, 600.0 AS dur FROM ev), rw AS (SELECT user_id AS id, CASE event_type WHEN 'click' THEN 'fire' WHEN 'error' THEN 'smoke' WHEN 'view' THEN 'normal' ELSE 'ufo' END AS label, CASE WHEN island % 4 = 0 THEN NULL ELSE (s - {_T0})/3600000000.0 - 1 END AS a, (e - {_T0})/3600000000.0 AS b, (n % 10)/10.0 AS conf, island*2 + CASE WHEN event_type='error' THEN 1 ELSE 0 END AS row FROM epi),
 k AS (SELECT ids.*, label, a, b, conf, row FROM rw JOIN ids USING (id) WHERE label IN ('fire','smoke')), one AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY conf DESC, row) AS r FROM k WHERE level = 1),
 m AS (SELECT id, level, label, conf, row, greatest(0.0, a) AS s, CASE WHEN b > dur THEN dur - 0.05 ELSE b END AS e FROM k WHERE level >= 2 AND a IS NOT NULL), mm AS (SELECT id, level, label, conf, row, floor(s*1000+0.5)/1000 AS s, floor(e*1000+0.5)/1000 AS e FROM m WHERE e > s), d AS (SELECT *, row_number() OVER (PARTITION BY id, label, s, e ORDER BY conf DESC, row) AS r FROM mm)
 SELECT id, level, label, CAST(NULL AS DOUBLE) AS start, CAST(NULL AS DOUBLE) AS "end" FROM one WHERE r = 1 AND conf >= 0.2 UNION ALL SELECT id, level, label, s, e FROM d WHERE r = 1""")
@@ -453,7 +453,7 @@ def q78_rows_to_events(s, d):
     ids = C.events(s, d).select(F.col("user_id").alias("id")).distinct().select("id", (1 + F.col("id") % 3).alias("level"), F.lit(600.0).alias("duration"))
     t, at = F.col("event_type"), lambda c: (F.col(c) - F.col("t0")) / float(C.HOUR)
     rows = e.select(F.col("user_id").alias("id"), F.lit(1).alias("level"), F.when(t == "click", "fire").when(t == "error", "smoke").when(t == "view", "normal").otherwise("ufo").alias("label"), F.when(F.col("island") % 4 != 0, at("start") - 1).alias("start"), at("end").alias("end"),
-                    ((F.col("n") % 10) / F.lit(10.0)).alias("conf"), (F.col("island") * 10 + F.length("event_type")).alias("row"))
+                    ((F.col("n") % 10) / F.lit(10.0)).alias("conf"), (F.col("island") * 2 + (t == "error").cast("int")).alias("row"))
     return validate.events_from_rows(ids, rows, 0.2).select("id", "level", "label", "start", "end")
 
 
