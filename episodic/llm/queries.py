@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, html, licenses, linedup, mixing, quality, repeats, secrets, simhash
+from . import chat, decontamination, html, licenses, linedup, middles, mixing, quality, repeats, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +27,9 @@ def queries() -> dict[str, Query]:
         "op10_license_scan": lambda s, d: licenses.digest(table(s, d, "documents")),
         "op8_main_text": lambda s, d: html.digest(table(s, d, "pages")),
         "op9_simhash_groups": lambda s, d: simhash.digest(table(s, d, "documents")),
+        "op11_fill_middle": lambda s, d: middles.digest(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat.ORACLE}
+    return {"op5_chat_format": chat.ORACLE, "op11_fill_middle": middles.ORACLE}
