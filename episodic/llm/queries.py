@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, html, lexical, licenses, linedup, middles, mixing, quality, repeats, secrets, simhash
+from . import chat, decontamination, html, lexical, licenses, linedup, middles, mixing, quality, repeats, secrets, simhash, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op8_main_text": lambda s, d: html.digest(table(s, d, "pages")),
         "op9_simhash_groups": lambda s, d: simhash.digest(table(s, d, "documents")),
         "op11_fill_middle": lambda s, d: middles.digest(table(s, d, "documents")),
+        "op12_suffix_dedup": lambda s, d: suffixes.digest(table(s, d, "documents")),
         "op13_ranked_search": lambda s, d: lexical.digest(table(s, d, "documents"), table(s, d, "benchmark")),
     }
 

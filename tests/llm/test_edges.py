@@ -2,7 +2,7 @@
 
 import pytest
 
-from episodic.llm import chat, decontamination, html, licenses, linedup, mixing, nearcopies, quality, repeats, secrets, simhash
+from episodic.llm import chat, decontamination, html, lexical, licenses, linedup, middles, mixing, nearcopies, quality, repeats, secrets, simhash, suffixes
 
 from .data import documents, empty
 
@@ -23,6 +23,7 @@ DOCUMENTS = {
     "op4": lambda s, df: repeats.remove_repeats(df), "op6": lambda s, df: quality.judge(df, labels(s), df.columns), "op6 filter": lambda s, df: quality.filter_documents(df, labels(s)),
     "op7": lambda s, df: decontamination.scan(df, bench(s)), "op7 clean": lambda s, df: decontamination.clean(df, bench(s)), "op8": lambda s, df: html.extract(df.withColumnRenamed("text", "html")),
     "op9": lambda s, df: simhash.groups(df), "op10": lambda s, df: licenses.scan(df), "near copies": lambda s, df: nearcopies.keep_one(df),
+    "op11": lambda s, df: middles.examples(df), "op12": lambda s, df: suffixes.remove_repeats(df),
 }
 FEWER = {"op6 filter", "op7 clean", "near copies"}
 
@@ -52,3 +53,11 @@ def test_hard_conversations(spark):
     assert [(t.role, t.text) for t in back[1].turns] == [("user", long), ("assistant", long), ("assistant", long)] and back[1].losses == [long, long]
     assert [(t.role, t.text) for t in back[None].turns] == [("", ""), ("assistant", "")] and back[2].losses == [""]
     assert chat.examples(df.limit(0)).count() == 0
+
+
+def test_hard_search(spark):
+    long = " ".join(f"w{i % 7919}x{i % 13}" for i in range(250_000))
+    docs = documents(spark, [(500, long, None, None, None), (None, None, None, None, None)]).selectExpr("*", *(f"{k} as `{c}`" for k, c in enumerate(WORKING)))
+    items = bench(spark).selectExpr("*", "1 as tid", "2 as s", "3 as q").union(spark.createDataFrame([(9, long, 1, 2, 3)], "item_id long, text string, tid int, s int, q int"))
+    got = lexical.search(docs, items)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"] and got.filter("item_id = 9 and rank = 1").first().doc_id == 500
