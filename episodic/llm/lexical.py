@@ -4,11 +4,12 @@ Terms are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A p
 holds a document and its score there; lists are sorted by falling score and dealt over the
 partitions by ranges of (term, score), so that the list of a common term spans many of them.
 
-1. The ``k`` heads of every list are fetched, and the documents in them are scored exactly. An
+1. The first ``heads`` entries of every list (``k`` at least) are fetched, and the documents in them are scored exactly. An
    item's k-th best of those bounds its k-th best score from below: tau.
-2. A document that reaches tau has an entry of at least tau / m in one of the item's m lists. All
-   such entries are fetched. Their sums raise tau, and with a cap for every list where a document
-   was not fetched (its best entry, or just below the threshold) they bound it from above.
+2. One threshold holds for all lists of an item: the largest T for which entries below T, or a
+   list's best where that is less, cannot sum to tau (at least tau / m in m lists). A document that
+   reaches tau has an entry of T or more; all such entries are fetched, dealt by document, and
+   with a cap for every list where a document was not fetched their sum bounds it from above.
 3. Documents whose bound reaches tau are looked up in the table of documents and scored exactly.
 
 Nothing is cut but what cannot reach tau, so the ranking is that of scoring every document. Only
@@ -32,10 +33,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from . import decontamination
 from .common import shuffle_partitions, small_batches, stored
 from .decontamination import _bit_map, _small, tokens
 
-K = 10
+K, HEADS = 10, 50
 
 
 def _hash(term: bytes) -> int:
@@ -50,22 +52,30 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["iid", "item_id", "term", "h", "q"])
 
 
+class _Asked(dict):
+    """Memo of which terms the bit map has, emptied when it grows past its bound."""
+
+    def __init__(self, bit_map: np.ndarray):
+        self.bit_map, self.mask = bit_map, len(bit_map) - 1
+
+    def __missing__(self, term: bytes) -> bool:
+        if len(self) >= 200_000:
+            self.clear()
+        value = self[term] = bool(self.bit_map[_hash(term) & self.mask])
+        return value
+
+
 def _counted(bits) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit_map = bits.value
-        mask, asked = len(bit_map) - 1, {}
+        asked = _Asked(bits.value)
         for batch in batches:
             n, terms, counts = [], [], []
             for text in batch.column("text"):
-                count = Counter(tokens(text.as_py()))
-                n.append(sum(count.values()))
-                for t in count.keys() - asked.keys():
-                    if len(asked) > 200_000:
-                        asked.clear()
-                    asked[t] = bool(bit_map[_hash(t) & mask])
-                own = [(t, c) for t, c in count.items() if (asked[t] if t in asked else bit_map[_hash(t) & mask])]
-                terms.append([t.decode("utf-8", "replace") for t, _ in own])
-                counts.append([c for _, c in own])
+                words = tokens(text.as_py())
+                own = Counter(filter(asked.__getitem__, words))
+                n.append(len(words))
+                terms.append([t.decode("utf-8", "replace") for t in own])
+                counts.append(list(own.values()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], ["doc_id", "n", "terms", "counts"])
 
     return run
@@ -111,38 +121,107 @@ class Index:
     def scored(self, pairs: DataFrame) -> DataFrame:
         return pairs.join(self.small_lists("term", "tid", "w"), "term").withColumn("s", F.col("w") * self.share())
 
-    def looked_up(self, found: DataFrame) -> DataFrame:
-        """Exact scores of the pairs (iid, uid) in ``found``: iid, item_id, uid, doc_id, score."""
-        docs = self.docs.join(_small(found.select("iid", "uid"), F.lit(32)), "uid")
-        mine = self.scored(self.pairs(docs, "iid", "doc_id")).join(_small(self.asked, F.lit(64)), ["iid", "tid"])
-        return mine.groupBy("iid", "uid").agg(F.first("item_id").alias("item_id"), F.first("doc_id").alias("doc_id"), F.sum(F.col("q") * F.col("s")).alias("score"))
+    def looked_up(self, found: DataFrame, tau: DataFrame | None = None) -> DataFrame:
+        """Exact scores of documents for the items in ``found`` (uid, iids), those below an item's bound in ``tau`` (iid, kth) left out: iid, item_id, uid, doc_id, score.
+
+        Items and their terms go to every task up to ``BROADCAST_BYTES``, and are joined beyond.
+        """
+        docs = self.docs.join(found, "uid")
+        bytes_of = lambda df, size: df.agg(F.sum(size.cast("long"))).first()[0] or 0
+        if bytes_of(self.asked, F.lit(48)) + bytes_of(self.lists, F.lit(96) + F.octet_length("term")) <= decontamination.BROADCAST_BYTES:
+            rows = self.lists.select("tid", "term", "w").collect(), self.asked.select("iid", "item_id", "tid", "q").collect(), tau.collect() if tau else []
+            sent = self.asked.sparkSession.sparkContext.broadcast(_Sent(*rows))
+            return docs.mapInArrow(_scores(sent), "iid long, item_id long, uid long, doc_id long, score long")
+        pairs = self.pairs(docs.withColumn("iid", F.explode("iids")), "iid", "doc_id")
+        mine = self.scored(pairs).join(self.asked, ["iid", "tid"])
+        scored = mine.groupBy("iid", "uid").agg(F.first("item_id").alias("item_id"), F.first("doc_id").alias("doc_id"), F.sum(F.col("q") * F.col("s")).alias("score"))
+        return scored if tau is None else scored.join(tau, "iid", "left").filter("kth is null or score >= kth").drop("kth")
+
+
+class _Sent:
+    """Items and their terms as arrays: the terms' numbers and weights, and for each item its terms behind one another."""
+
+    def __init__(self, lists: list, asked: list, tau: list):
+        self.of = {r.term: k for k, r in enumerate(lists)}
+        self.w = np.array([r.w for r in lists], np.int64)
+        by_tid = {r.tid: k for k, r in enumerate(lists)}
+        asked = sorted(asked, key=lambda r: r.iid)
+        self.at, self.q = np.array([by_tid[r.tid] for r in asked], np.int64), np.array([r.q for r in asked], np.int64)
+        iids = np.array([r.iid for r in asked], np.int64)
+        self.iids, self.start, self.n = np.unique(iids, return_index=True, return_counts=True)
+        self.items = [asked[k].item_id for k in self.start]
+        least = {r.iid: r.kth for r in tau}
+        self.tau = np.array([least.get(i, 0) for i in self.iids.tolist()], np.int64)
+
+    def score(self, dense: np.ndarray, iids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = np.searchsorted(self.iids, iids)
+        n = self.n[row]
+        first = np.cumsum(n) - n
+        at = np.repeat(self.start[row] - first, n) + np.arange(n.sum())
+        score = np.add.reduceat(dense[self.at[at]] * self.q[at], first)
+        good = score >= self.tau[row]
+        return row[good], score[good]
+
+
+def _scores(sent) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = sent.value
+        dense = np.zeros(len(items.w), np.int64)
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for uid, doc, length, terms, counts, iids in zip(*(batch.column(c) for c in ("uid", "doc_id", "length", "terms", "counts", "iids")), strict=True):
+                known = [(items.of[t], c) for t, c in zip(terms.as_py(), counts.as_py(), strict=True) if t in items.of]
+                if not known or not len(iids.values):
+                    continue
+                k, tf = np.array(known, np.int64).T
+                dense[k] = items.w[k] * (1_000_000_000 * tf // (1000 * tf + 8 * length.as_py()))
+                row, score = items.score(dense, iids.values.to_numpy(zero_copy_only=False))
+                dense[k] = 0
+                for c, v in zip(out, (items.iids[row], [items.items[r] for r in row], [uid.as_py()] * len(row), [doc.as_py()] * len(row), score), strict=True):
+                    c.extend(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["iid", "item_id", "uid", "doc_id", "score"])
+
+    return run
+
+
+def _per_document(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("uid").agg(F.collect_list("iid").alias("iids"))
 
 
-def _kth(rows: DataFrame, score: str, k: int) -> DataFrame:
-    """The k-th largest score of each item, for items with k rows: iid, kth."""
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy("iid").orderBy(F.desc(score), "uid"))).filter(F.col("_r") <= k).groupBy("iid").agg(F.count("*").alias("c"), F.min(score).alias("kth")).filter(F.col("c") == k).drop("c")
+def bounds(index: Index, k: int = K, heads: int = HEADS) -> DataFrame:
+    """Phase 1: for items with k scored documents the k-th best of them, iid and kth."""
+    head = index.postings.withColumn("_r", F.row_number().over(W.partitionBy("tid").orderBy(F.desc("s"), "uid"))).filter(F.col("_r") <= max(k, heads))
+    first = stored(_per_document(head.join(_small(index.asked, F.lit(64)), "tid").select("iid", "uid").distinct()))
+    scored = index.looked_up(_small(first, F.lit(48) + 8 * F.size("iids")))
+    rank = F.row_number().over(W.partitionBy("iid").orderBy(F.desc("score"), "uid"))
+    return stored(scored.withColumn("_r", rank).filter(F.col("_r") == k).select("iid", F.col("score").alias("kth")))
 
 
-def candidates(index: Index, k: int = K) -> DataFrame:
-    """Phases 1 and 2: pairs (iid, uid) that hold every item's ``k`` best."""
-    heads = index.postings.withColumn("_r", F.row_number().over(W.partitionBy("tid").orderBy(F.desc("s"), "uid"))).filter(F.col("_r") <= k)
-    first = stored(heads.join(_small(index.asked, F.lit(64)), "tid").select("iid", "uid").distinct())
-    tau = stored(_kth(index.looked_up(first), "score", k))
-    lists = index.asked.groupBy("iid").agg(F.count("*").alias("m")).join(tau, "iid", "left").select("iid", "m", F.coalesce("kth", F.lit(0)).alias("tau"))
-    cap = F.least(F.col("q") * F.col("best"), F.greatest(F.expr("div(tau + m - 1, m) - 1"), F.lit(0)))
-    asked = stored(index.asked.join(lists, "iid").withColumn("cap", cap))
-    caps = asked.groupBy("iid").agg(F.sum("cap").alias("caps"), F.first("tau").alias("tau"))
-    fetched = index.postings.join(_small(asked.select("iid", "tid", "q", "m", "tau", "cap"), F.lit(80)), "tid").filter(F.col("q") * F.col("s") * F.col("m") >= F.col("tau"))
-    sums = stored(fetched.groupBy("iid", "uid").agg(F.sum(F.col("q") * F.col("s")).alias("part"), F.sum("cap").alias("had")))
-    raised = caps.join(_kth(sums, "part", k), "iid", "left").select("iid", "caps", F.greatest("tau", F.coalesce("kth", F.lit(0))).alias("tau"))
-    return sums.join(_small(stored(raised), F.lit(48)), "iid").filter(F.col("part") + F.col("caps") - F.col("had") >= F.col("tau")).select("iid", "uid")
+def candidates(index: Index, tau: DataFrame) -> DataFrame:
+    """Phase 2: rows uid, iids of all documents that can reach an item's bound in ``tau``."""
+    best = F.col("q") * F.col("best")
+    # With the lists by rising best, T is the largest of (tau - best of the first j) / (m - j).
+    by_best = W.partitionBy("iid").orderBy(best, "tid")
+    rest = F.count("*").over(W.partitionBy("iid")) - F.row_number().over(by_best) + 1
+    need = F.expr("div(tau - before + rest - 1, rest)")
+    lists = index.asked.join(tau, "iid", "left").withColumns({"tau": F.coalesce("kth", F.lit(0)), "before": F.sum(best).over(by_best) - best, "rest": rest}).withColumn("need", F.greatest(need, F.lit(0)))
+    lists = lists.withColumn("need", F.max("need").over(W.partitionBy("iid")))
+    cap = F.least(best, F.greatest(F.col("need") - 1, F.lit(0)))
+    asked = stored(lists.select("iid", "tid", "q", "need", cap.alias("cap"), (F.col("tau") - F.sum(cap).over(W.partitionBy("iid"))).alias("over")))
+    # A posting is fetched if any item asks for it; dealt by document, the sums of its items need no further exchange.
+    least = asked.groupBy("tid").agg(F.min(F.expr("div(need + q - 1, q)")).alias("least"))
+    fetched = index.postings.join(_small(least, F.lit(32)), "tid").filter("s >= least").select("tid", "uid", "s").repartition(shuffle_partitions(index.postings.sparkSession), "uid")
+    mine = fetched.join(_small(asked, F.lit(80)), "tid").filter(F.col("q") * F.col("s") >= F.col("need"))
+    sums = mine.groupBy("uid", "iid").agg(F.sum(F.col("q") * F.col("s") - F.col("cap")).alias("part"), F.first("over").alias("over"))
+    return _per_document(sums.filter(F.col("part") >= F.col("over")))
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     """The ``k`` best documents of each item with a score above 0: item_id, rank, doc_id, score."""
     index = Index(docs, items)
     best = W.partitionBy("iid").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "uid")
-    ranked = index.looked_up(stored(candidates(index, k))).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    tau = bounds(index, k)
+    ranked = index.looked_up(candidates(index, tau), tau).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("item_id", "rank", "doc_id", "score")
 
 
