@@ -17,8 +17,9 @@ by ``threshold`` or more.
 3. For what is left the texts are joined and tiled on the words themselves.
 
 Null texts have no words; items without words match nothing. Rows with null or repeated ids keep
-their own verdicts. Empty tables: no document is contaminated. A long text is hashed in one piece;
-runs of one repeated word count up to twice an item's length, more cannot change its coverage.
+their own verdicts. Empty tables: no document is contaminated. A long text is hashed in one piece
+and matched in pieces of ``PIECE`` words, so the seeds in memory are at most item x piece; of a
+repetition with a period of up to ``PERIOD`` words no more is read than can change the coverage.
 Columns of the input are passed on; one named ``hits`` is replaced by ``scan``.
 """
 
@@ -36,6 +37,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import WordHashes, checkpoint, key_columns, keyed, rolling, small_batches, unpacked
 
 TILE, THRESHOLD = 5, 0.5
+PIECE, PERIOD = 1 << 15, 64  # long texts are matched in pieces of so many words; repetitions up to this period are cut short first
 BROADCAST_BYTES = 32 << 20
 MAP_BITS = (20, 25)  # the bit map has 2**20 to 2**25 places, a byte each
 HITS = "array<struct<item_id:bigint,coverage:double>>"
@@ -46,13 +48,9 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def tile(i: np.ndarray, j: np.ndarray, width: int, n_item: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling from seeds (place in item, place in text): tiles (item place, text place, length)."""
-    order = np.lexsort((i, j - i))
-    i, j = i[order], j[order]
-    new = np.flatnonzero(np.append(True, (np.diff(j - i) != 0) | (np.diff(i) != 1)))
-    length = np.diff(np.append(new, len(i))) + width - 1
-    heap = [(-int(n), int(a), int(b)) for n, a, b in zip(length, i[new], j[new], strict=True)]
+def tile(i: np.ndarray, j: np.ndarray, length: np.ndarray, width: int, n_item: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling from maximal matches (place in item, place in text, length): tiles (item place, text place, length)."""
+    heap = list(zip((-length).tolist(), i.tolist(), j.tolist(), strict=True))
     heapq.heapify(heap)
     in_item, in_text, tiles = np.zeros(n_item, bool), set(), []
     while heap and not in_item.all():
@@ -86,6 +84,46 @@ def _grams(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _without_periods(words: np.ndarray, n: int, width: int) -> np.ndarray:
+    """The text with long repetitions of up to ``PERIOD`` words cut short by whole periods, in their middle.
+
+    Tiles are at most n / width and mark n words; each leaves less than a period and a tile unused
+    beside it, so what stays of a repetition holds every tile that the whole of it could.
+    """
+    for p in range(1, PERIOD + 1):
+        keep = 4 * (n + p) + 2 * n * (p + width) // width
+        same = np.concatenate([[False], words[p:] == words[:-p], [False]])
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        long = edge[1::2] - edge[::2] > keep
+        if long.any():
+            stay = np.ones(len(words), bool)
+            for a, b in zip(edge[::2][long].tolist(), edge[1::2][long].tolist(), strict=True):
+                stay[a + keep // 2:a + keep // 2 + (b - a - keep) // p * p] = False
+            words = words[stay]
+    return words
+
+
+def _runs(item: np.ndarray, text: np.ndarray, width: int, before: int, size: int, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal matches that begin in the first ``size`` words of a piece of text that stands at ``at`` behind the word ``before``: place in item, in text, length."""
+    n = len(item)
+    grams = _grams(np.concatenate([item, [-1], text]), width)
+    a, b = grams[:n - width + 1], grams[n + 1:]
+    order = np.argsort(a, kind="stable")
+    lo, hi = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
+    many = np.where(b >= 0, hi - lo, 0)
+    j = np.repeat(np.arange(len(b)), many)
+    i = order[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+    order = np.lexsort((i, j - i))
+    i, j = i[order], j[order]
+    if not len(i):
+        return i, j, i
+    new = np.flatnonzero(np.append(True, (np.diff(j - i) != 0) | (np.diff(i) != 1)))
+    length = np.diff(np.append(new, len(i))) + width - 1
+    i, j = i[new], j[new]
+    own = (j < size) & ~((j == 0) & (i > 0) & (item[i - 1] == before) & (at > 0))
+    return i[own], j[own] + at, length[own]
+
+
 def coverage(item: list[bytes], text: list[bytes], width: int = TILE) -> float:
     """Share of the item's words that greedy string tiling marks; words are compared as they are."""
     n, width = len(item), min(width, len(item))
@@ -94,18 +132,13 @@ def coverage(item: list[bytes], text: list[bytes], width: int = TILE) -> float:
     ids: dict[bytes, int] = {}
     mine = np.array([ids.setdefault(w, len(ids)) for w in item], np.int64)
     other = np.fromiter((ids.get(w, -1) for w in text), np.int64, len(text))
-    if len(other):  # long runs of one word, or of words the item does not have, are cut
-        start = np.flatnonzero(np.append(True, other[1:] != other[:-1]))
-        inside = np.arange(len(other)) - np.repeat(start, np.diff(np.append(start, len(other))))
-        other = other[inside < np.where(other < 0, 1, 2 * n)]
-    grams = _grams(np.concatenate([mine, [-1], other]), width)
-    a, b = grams[:n - width + 1], grams[n + 1:]
-    order = np.argsort(a, kind="stable")
-    lo, hi = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
-    many = np.where(b >= 0, hi - lo, 0)
-    j = np.repeat(np.arange(len(b)), many)
-    i = order[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-    return sum(t[2] for t in tile(i, j, width, n)) / n if len(i) else 0.0
+    if len(other):  # runs of words the item does not have count as one
+        other = other[np.append(True, (other[1:] >= 0) | (other[:-1] >= 0))]
+    if len(other) > PIECE:
+        other = _without_periods(other, n, width)
+    runs = [_runs(mine, other[k:k + PIECE + n], width, min(k, 1) and other[k - 1], PIECE, k) for k in range(0, len(other), PIECE)]
+    i, j, length = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.empty(0, np.int64),) * 3
+    return sum(t[2] for t in tile(i, j, length, width, n)) / n if len(i) else 0.0
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,3 +83,26 @@ def test_shuffled_seeds_and_clashing_names(spark, sf, monkeypatch):
     more = documents(spark).selectExpr("*", "1 as hits", "2 as h", "3 as items", "4 as item_id")
     assert d.clean(more, bench).columns == more.columns and {r.hits for r in d.clean(more, bench).collect()} == {1}
     assert d.scan(more, bench).columns == more.columns and d.scan(more, bench).count() == more.count()
+
+
+def test_periodic_texts(monkeypatch):
+    """Against plain tiling, with pieces and periods so small that both are cut everywhere; then a long one in bounded memory and time."""
+    import tracemalloc
+    rng = np.random.default_rng(2)
+    with monkeypatch.context() as m:
+        m.setattr(d, "PIECE", 16)
+        for k in range(200):
+            p = int(rng.integers(1, 6))
+            motif = [b"w%d" % x for x in rng.integers(0, 4, p)]
+            item = ((motif * 12)[int(rng.integers(0, 3)):][:int(rng.integers(4, 16))] + [b"w%d" % x for x in rng.integers(0, 6, int(rng.integers(0, 8)))])
+            text = motif * int(rng.integers(20, 70)) + [b"w%d" % x for x in rng.integers(0, 6, 10)] + item[5:] + motif * int(rng.integers(0, 30))
+            assert d.coverage(item, text) == brute(item, text), (item, text)
+    words = np.array([1, 2] * 500_000)
+    assert len(d._without_periods(words, 400, 5)) < 5000
+    item = [b"ha", b"ho"] * 150 + [b"x%d" % i for i in range(100)]
+    tracemalloc.start()
+    assert d.coverage(item, [b"ha", b"ho"] * 1_000_000) == 0.75
+    mixed = sum(([b"ha", b"ho"] * 400 + [b"gap%d" % i] for i in range(100)), [])
+    assert d.coverage(item, mixed) == 0.75
+    assert tracemalloc.get_traced_memory()[1] < 700 << 20
+    tracemalloc.stop()

@@ -24,10 +24,20 @@ def brute(doc, text):
             block += have
             continue
         for label, said, needs, bars in licenses.TEMPLATES:
-            ws = set(licenses.word_set(said))
-            share = len(ws & set(block)) / len(ws)
-            if share >= 0.8 - 1e-12 and set(needs.split()) <= set(block) and not set(bars.split()) & set(block):
-                held[label] = max(share, held.get(label, 0))
+            mine = licenses.word_list(said)
+            ws, pairs, size = set(mine), set(zip(mine, mine[1:], strict=False)), len(mine) + max(4, len(mine) // 2)
+            if len(ws & set(block)) / len(ws) < 0.8 - 1e-12:
+                continue
+            for i in (i for i, x in enumerate(zip(block, block[1:], strict=False)) if x in pairs):
+                start = max(0, i - len(mine) // 2 - 1)
+                window, wide = block[i:i + size], block[start:i + size]
+                found = [j for j, x in enumerate(zip(window, window[1:], strict=False)) if x in pairs]
+                spread = [start + j for j, x in enumerate(zip(wide, wide[1:], strict=False)) if x in pairs]
+                passage = block[max(0, start - 3, spread[0] - 3):spread[-1] + 2]
+                nots = [sum(w in licenses.NEGATIONS for w in x) for x in (passage, mine)]
+                share = len(ws & set(wide)) / len(ws)
+                if share >= 0.8 - 1e-12 and len(pairs & {(window[j], window[j + 1]) for j in found}) * 2 >= len(pairs) and set(needs.split()) <= set(wide) and not set(bars.split()) & set(wide) and nots[0] <= nots[1]:
+                    held[label] = max(share, held.get(label, 0))
         block = []
     base = sorted({x for _, x in hits})
     return (doc, len(words), len(hits), hits[0][0] if hits else None, hits[-1][0] if hits else None, ",".join(base), ",".join(sorted(set(base) | set(held))), 1.0 if hits else max(held.values(), default=0.0))
@@ -71,3 +81,21 @@ def test_own_templates_and_clashing_names(spark):
     assert [(h.label, h.containment) for r in got.filter("doc_id = 90").collect() for h in r.held] == [("harbour", 0.8)]
     assert {(r.token, r.words, r.row) for r in got.collect()} == {(3, 4, 6)}
     assert got.count() == docs.count()
+
+
+FALSE = [
+    "The general public may view this old work. Version 3 of the gnu statue is under repair; nobody is licensed to enter, no license needed.",
+    "This work is not licensed under the GNU General Public License, version 3", "This work was never licensed under the GNU General Public License, version 2, they say",
+    "This work isn't licensed under the Creative Commons Attribution 4.0 International License", "This software is not released under the terms of the MIT license",
+    "Nothing here is free and no one has unencumbered it: this software is released when the public asks, into no domain of ours and of the state",
+]
+
+
+def test_prose_and_negation(spark):
+    """Words of a notice spread over prose, and notices that are denied, have no label; the longer the paragraph, no surer."""
+    filler = " ".join(f"filler{i} the work of version 3 public" for i in range(400))
+    rows = [(i, f"{a}{text}{b}", "", "s", 1) for i, (text, a, b) in enumerate((t, a, b) for t in FALSE for a, b in (("", ""), (filler + " ", ""), ("", " " + filler)))]
+    rows += [(100, filler + " This work is licensed under the GNU General Public License, version 3. It is not for sale. " + filler, "gpl-3", "s", 1),
+             (101, "It is not old. It was drawn in June by hand. This work is licensed under the GNU General Public License, version 3", "gpl-3", "s", 1)]
+    got = {r.doc_id: r.labels for r in licenses.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {r[0]: r[2] for r in rows}
