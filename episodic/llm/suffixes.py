@@ -1,17 +1,20 @@
 """Suffix-array dedup: bytes covered by a string of 200 bytes that starts anywhere else go.
 
-1. What can repeat. A string of 200 bytes has 81 grams of 120 bytes, and equal strings have the same
+1. What can repeat. A string of 200 bytes has 61 grams of 140 bytes, and equal strings have the same
    least gram hash. A window is a candidate if its least hash stands at two places or more; that
    loses no repeat, and chance matches only add candidates. Runs of candidate windows are cut at
    places their content names, and equal pieces become one, with a mark that there were several. A
    window stands in one piece, so only different pieces go on: copies, however many, weigh once.
-2. The suffix array of the pieces, by the difference cover {1, 2} modulo 3. Sampled suffixes are
+2. The suffix array of the pieces, by the difference cover {0, 1, 3} modulo 7. Sampled suffixes are
    sorted by triples of eight-byte words and named by rank; the string of names is named again in
-   triples until names reach 198 bytes. Remaining suffixes merge by one or two leading bytes and the
-   name behind them: any two windows have a shift below 3 that takes both to sampled places, so they
-   are neighbours in the order of that shift if they are equal. Adjacent prefixes of 200 bytes are
-   compared as names and bytes, never as hashes. The recursion ends at the depth asked for, and a
-   suffix whose name is its own alone drops out, as no longer prefix of it can repeat.
+   triples until names reach 192 bytes, and the last sort also compares whole windows. A suffix
+   whose name is its own alone drops out, as no longer prefix of it can repeat; so the recursion
+   ends at the depth asked for. Of seven neighbouring windows that repeat, one is sampled where its
+   partner is, so what lies between two windows found is covered by them. The remaining suffixes,
+   those before the first and behind the last, merge: by up to six leading bytes, the name behind
+   them and the bytes up to 200. Any two windows have a shift below 7 that takes both to sampled
+   places, so equal ones are neighbours in the order of that shift. Adjacent prefixes are compared
+   as names and bytes, never as hashes.
 
 Sorts are range partitioned; a group of pieces (about ``GROUP`` bytes) sends each triple once and
 gets its name back, so a triple that fills a text reaches the sort once a group. Pieces and names
@@ -26,6 +29,7 @@ named as an output (n_bytes, n_removed, n_spans, kept) are replaced, others are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import _BASE, _INVERSE, _powers, covered, key_columns, keyed, shuffle_partitions, small_batches, stored, unpacked
-from .decontamination import _small
+from .decontamination import _bit_map, _small
 from .repeats import FLUSH, TWICE, _combined, _repeated
 
 WIDTH = 200
 SLICE = 1 << 18
 GROUP = 2 << 20
-CUT = 15  # one least hash in 16 begins a piece
+CUT = 63  # one least hash in 64 begins a piece
+PERIOD, COVER = 7, (0, 1, 3)
 _BYTES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) ^ np.uint64(0x94D049BB133111EB)
 
 
@@ -50,7 +55,7 @@ class Grams:
     """Hashes of all grams of a slice and the least hash of each window."""
 
     def __init__(self, width: int):
-        self.width, self.gram = width, width * 3 // 5
+        self.width, self.gram = width, width * 7 // 10
         self.span = width - self.gram + 1
         self.up, self.down = _powers(_BASE, SLICE + width), _powers(_INVERSE, SLICE + width)
 
@@ -146,81 +151,135 @@ def _pieces(keys: list[str], width: int):
     return run
 
 
+class Step(NamedTuple):
+    """A sort: of sampled places by three shifted words or names (``kind`` words, names), of sampled windows (whole), or of the windows that a bit map asks for (ends)."""
+
+    kind: str
+    depth: int
+    shifts: tuple[int, ...] = ()
+    width: int = 0
+
+
+def steps(width: int) -> list[Step]:
+    """Rounds of naming, as deep as leaves room for every shift below the period; further shifts are multiples of it, so they stay in the sample."""
+    depth, most = 24, width - PERIOD + 1
+    if most < depth:
+        raise ValueError(f"strings of at least {depth + PERIOD - 1} bytes")
+    out = [Step("words", depth, (0, 8, 16))]
+    while most - depth >= PERIOD:
+        one = depth // PERIOD * PERIOD
+        two = min((one + depth) // PERIOD, (most - depth) // PERIOD) * PERIOD
+        out.append(Step("names", depth + two, (0, min(one, two), two)))
+        depth += two
+    return [*out, Step("whole", depth, width=width), Step("ends", depth, width=width)]
+
+
+def _mixed(keys: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        out = (out ^ k.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
 class Group:
-    """The pieces of a group behind one another, in the order of their keys."""
+    """The pieces of a group behind one another, in the order of their keys, with their names and the windows found so far."""
 
     def __init__(self, table: pa.Table):
         self.table = table.combine_chunks().sort_by([("k1", "ascending"), ("k2", "ascending")])
-        pieces = self.table.column("piece").to_pylist()
+        pieces, names, found = (self.table.column(c).to_pylist() for c in ("piece", "names", "found"))
         self.lengths = np.array([len(p) for p in pieces], np.int64)
         self.data = np.frombuffer(b"".join(pieces), np.uint8)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.place = np.arange(len(self.data)) - np.repeat(self.starts, self.lengths)
-        self.left = np.repeat(self.lengths, self.lengths) - self.place
+        self.start = np.repeat(self.starts, self.lengths)
+        self.left = self.start + np.repeat(self.lengths, self.lengths) - np.arange(len(self.data))
         self.many = np.repeat(np.array(self.table.column("many").to_pylist(), bool), self.lengths)
-        names = self.table.column("names").to_pylist() if "names" in self.table.column_names else [None]
         self.names = None if names[0] is None else np.frombuffer(b"".join(names), np.int64)
+        self.found = None if found[0] is None else np.frombuffer(b"".join(found), bool)
+        self.residue = ((np.arange(len(self.data)) - self.start) % PERIOD).astype(np.int8)
+
+    def sampled(self, d: int = 0) -> np.ndarray:
+        return np.isin(np.arange(PERIOD) + d, [c + k * PERIOD for c in COVER for k in (0, 1)])[self.residue]
 
-    def packed(self, at: np.ndarray, size: int) -> np.ndarray:
-        out = np.zeros(len(at), np.uint64)
-        for k in range(size):
-            out = (out << np.uint64(8)) | self.data[at + k].astype(np.uint64)
+    def packed(self, places: list[np.ndarray], n: int) -> np.ndarray:
+        out = np.zeros(n, np.uint64)
+        for at in places:
+            out = (out << np.uint64(8)) | self.data[at].astype(np.uint64)
         return out
 
-    def keys(self, step: tuple) -> tuple[np.ndarray, ...]:
-        """Places and the three parts of their keys, for a round (its depth and shifts) or for the merge (the names' depth and the width)."""
-        kind, depth, shifts = step
-        if kind == "merge":
-            width, parts = shifts, []
-            for d in range(3):
-                at = np.flatnonzero((self.left >= width) & ((self.place + d) % 3 != 0))
-                at = at[self.names[at + d] >= 0]
-                parts.append((at, (d << 16) + self.packed(at, d).astype(np.int64), self.names[at + d], self.packed(at + d + depth, width - d - depth).astype(np.int64)))
-            return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
-        at = np.flatnonzero((self.left >= depth) & (self.place % 3 != 0))
-        if kind == "words":
-            return (at, *((self.packed(at + k, 8) ^ np.uint64(1 << 63)).view(np.int64) for k in shifts))
-        for k in shifts:
-            at = at[self.names[at + k] >= 0]
-        return (at, *(self.names[at + k] for k in shifts))
-
-    def slots(self, step: tuple) -> tuple[np.ndarray, ...]:
-        """Places in an order that brings equal keys together, the number of each place's key, and the keys."""
-        at, *keys = self.keys(step)
-        mixed = np.zeros(len(at), np.uint64)
-        for k in keys:
-            mixed = (mixed ^ k.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(32)
-        order = np.argsort(mixed, kind="stable")
+    def shifted(self, at: np.ndarray, d: int, step: Step) -> list[np.ndarray]:
+        """Keys of windows in the order of shift d: the shift, the name d behind the start, the bytes before and behind it."""
+        other = [at + k + (step.depth if k >= d else 0) for k in range(step.width - step.depth)]
+        return [np.full(len(at), d, np.int64), self.names[at + d], self.packed(other[:8], len(at)).view(np.int64), self.packed(other[8:], len(at)).view(np.int64)]
+
+    def windows(self, step: Step, mask: np.ndarray, shifts: range) -> list[np.ndarray]:
+        parts = []
+        for d in shifts:
+            at = np.flatnonzero(mask & self.sampled(d))
+            at = at[self.names[at + d] >= 0]
+            parts.append([at, *self.shifted(at, d, step)])
+        return [np.concatenate(p) for p in zip(*parts, strict=True)]
+
+    def open(self, step: Step) -> list[np.ndarray]:
+        """The windows that are neither found nor between two that are, and cover no byte beside theirs."""
+        window, here = self.left >= step.width, np.arange(len(self.data))
+        known = (self.found | self.many) & window
+        low = np.maximum.accumulate(np.where(known, here, -1))
+        high = np.minimum.accumulate(np.where(known, here, len(here) * 2)[::-1])[::-1]
+        between = (low >= self.start) & (high < here + self.left) & (high - low <= step.width)
+        return self.windows(step, window & ~known & ~between, range(1, PERIOD))
+
+    def keys(self, step: Step, bits: np.ndarray | None) -> list[np.ndarray]:
+        """Places and the four parts of their keys."""
+        if step.kind == "whole":
+            return self.windows(step, self.left >= step.width, range(1))
+        if step.kind == "ends":
+            at, *keys = self.windows(step, self.left >= step.width, range(1, PERIOD))
+            asked = bits[(_mixed(keys) & np.uint64(len(bits) - 1)).astype(np.int64)]
+            return [at[asked], *(k[asked] for k in keys)]
+        at = np.flatnonzero((self.left >= step.depth) & self.sampled())
+        if step.kind == "words":
+            keys = [(self.packed([at + k + j for j in range(8)], len(at)) ^ np.uint64(1 << 63)).view(np.int64) for k in step.shifts]
+        else:
+            for k in step.shifts:
+                at = at[self.names[at + k] >= 0]
+            keys = [self.names[at + k] for k in step.shifts]
+        return [at, *keys, np.zeros(len(at), np.int64)]
+
+    def slots(self, step: Step, bits: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """Places in an order that brings equal keys together, whether a key is new there, and the keys."""
+        at, *keys = self.keys(step, bits)
+        order = np.argsort(_mixed(keys), kind="stable")
         at, keys = at[order], [k[order] for k in keys]
         new = np.ones(len(at), bool)
         if len(at):
             new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-        return at, np.cumsum(new) - 1, new, *keys
+        return at, new, *keys
+
+    def named(self, names: pa.Table, step: Step, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and the names they got, -1 for none."""
+        at, new, *_ = self.slots(step, bits)
+        by_slot = np.full(int(new.sum()), -1, np.int64)
+        by_slot[names.column("slot").to_numpy()] = names.column("name").to_numpy()
+        return at, by_slot[np.cumsum(new) - 1]
+
+    def cut(self, flat: np.ndarray) -> pa.Array:
+        return pa.array([flat[a:a + n].tobytes() for a, n in zip(self.starts, self.lengths, strict=True)], pa.binary())
 
 
-def _steps(width: int) -> list[tuple]:
-    """Rounds of naming up to a multiple of 3 of at most width - 2 bytes, then the merge; shifts are multiples of 3, so they stay in the sample."""
-    depth, goal = 24, (width - 2) // 3 * 3
-    if goal < depth:
-        raise ValueError("strings of at least 26 bytes")
-    steps: list[tuple] = [("words", depth, (0, 8, 16))]
-    while depth < goal:
-        to = min(3 * depth, goal)
-        steps.append(("names", to, (0, min(depth, to - depth), to - depth)))
-        depth = to
-    return [*steps, ("merge", depth, width)]
+_KEYS = ["a0", "a1", "a2", "a3"]
 
 
-def _sent(step: tuple):
+def _sent(step: Step, bits):
     def run(table: pa.Table) -> pa.Table:
         group = Group(table)
-        at, slot, new, *keys = group.slots(step)
+        at, new, *keys = group.slots(step, bits and bits.value)
         first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(at)))
-        twice = (count > 1) | (np.add.reduceat(group.many[at], first) > 0 if len(first) else np.zeros(0, bool))
+        twice = np.diff(np.append(first, len(at))) > 1
+        if len(first):
+            twice |= np.logical_or.reduceat(group.many[at], first)
         g = table.column("g")[0].as_py()
-        return pa.table({"g": pa.array(np.full(len(first), g)), "slot": pa.array(slot[first]), "twice": pa.array(twice), **{f"a{k}": pa.array(x[first]) for k, x in enumerate(keys)}})
+        return pa.table({"g": pa.array(np.full(len(first), g)), "slot": pa.array(np.arange(len(first))), "twice": pa.array(twice), **{c: pa.array(x[first]) for c, x in zip(_KEYS, keys, strict=True)}})
 
     return run
 
@@ -236,7 +295,7 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(cols[0][good]), pa.array(cols[1][good]), pa.array((name + np.cumsum(new))[good])], ["g", "slot", "name"])
 
     for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "slot", "twice", "a0", "a1", "a2")]
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "slot", "twice", *_KEYS)]
         cols = cols if held is None else [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
         if not len(cols[0]):
             continue
@@ -253,23 +312,28 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield named(held, new, name)
 
 
-def _filled(group: Group, names: pa.Table, step: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Places and the names they got, -1 for none."""
-    at, slot, new, *_ = group.slots(step)
-    by_slot = np.full(int(new.sum()), -1, np.int64)
-    by_slot[names.column("slot").to_numpy()] = names.column("name").to_numpy()
-    return at, by_slot[slot]
+def _kept(step: Step):
+    """The group with the names, or the windows found, of a step."""
 
-
-def _kept(step: tuple):
     def run(pieces: pa.Table, names: pa.Table) -> pa.Table:
         group = Group(pieces)
-        at, got = _filled(group, names, step)
+        at, got = group.named(names, step, None)
+        table = group.table.select(["g", "k1", "k2", "many", "piece"])
+        if step.kind == "whole":
+            found = np.zeros(len(group.data), bool)
+            found[at[got >= 0]] = True
+            return table.append_column("names", group.cut(group.names)).append_column("found", group.cut(found))
         out = np.full(len(group.data), -1, np.int64)
         out[at] = got
-        parts = [out[a:a + n].tobytes() for a, n in zip(group.starts, group.lengths, strict=True)]
-        table = group.table.select(["g", "k1", "k2", "many", "piece"])
-        return table.append_column("names", pa.array(parts, pa.binary()))
+        return table.append_column("names", group.cut(out)).append_column("found", pa.nulls(len(table), pa.binary()))
+
+    return run
+
+
+def _asked(step: Step):
+    def run(table: pa.Table) -> pa.Table:
+        _, *keys = Group(table).open(step)
+        return pa.table({"h": pa.array(np.unique(_mixed(keys)).view(np.int64))})
 
     return run
 
@@ -279,15 +343,15 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _judged(step: tuple):
+def _judged(step: Step, bits):
     def run(pieces: pa.Table, names: pa.Table) -> pa.Table:
-        group, width = Group(pieces), step[2]
-        at, got = _filled(group, names, step)
-        repeated = group.many & (group.left >= width)
+        group = Group(pieces)
+        at, got = group.named(names, step, bits.value)
+        repeated = (group.many | group.found) & (group.left >= step.width)
         repeated[at[got >= 0]] = True
         begins, ends = [], []
         for a, n in zip(group.starts, group.lengths, strict=True):
-            x, y = _spans(covered(np.flatnonzero(repeated[a:a + n]), width, n))
+            x, y = _spans(covered(np.flatnonzero(repeated[a:a + n]), step.width, n))
             begins.append(x)
             ends.append(y)
         kind = pa.list_(pa.int64())
@@ -301,17 +365,20 @@ def repeated_spans(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
     spark = pieces.sparkSession
     size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     groups = -(-size // GROUP) or 1
-    now = pieces.select(F.pmod("k1", F.lit(groups)).alias("g"), "k1", "k2", "many", "piece")
+    none = F.lit(None).cast("binary")
+    now, bits = pieces.select(F.pmod("k1", F.lit(groups)).alias("g"), "k1", "k2", "many", "piece", none.alias("names"), none.alias("found")), None
     n = shuffle_partitions(spark)
-    kept = "g long, k1 long, k2 long, many boolean, piece binary, names binary"
-    for step in _steps(width):
-        sent = now.groupBy("g").applyInArrow(_sent(step), "g long, slot long, twice boolean, a0 long, a1 long, a2 long")
-        order = ["a0", "a1", "a2"]
-        names = sent.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_named, "g long, slot long, name long")
+    keys = ", ".join(f"{k} long" for k in _KEYS)
+    for step in steps(width):
+        if step.kind == "ends":
+            asked = stored(now.groupBy("g").applyInArrow(_asked(step), "h long"))
+            bits = spark.sparkContext.broadcast(_bit_map(asked, asked.count()))
+        sent = now.groupBy("g").applyInArrow(_sent(step, bits), f"g long, slot long, twice boolean, {keys}")
+        names = sent.repartitionByRange(n, *_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_named, "g long, slot long, name long")
         both = now.groupBy("g").cogroup(names.groupBy("g"))
-        if step[0] == "merge":
-            return stored(both.applyInArrow(_judged(step), "k1 long, k2 long, begins array<long>, ends array<long>"))
-        now = stored(both.applyInArrow(_kept(step), kept))
+        if step.kind == "ends":
+            return stored(both.applyInArrow(_judged(step, bits), "k1 long, k2 long, begins array<long>, ends array<long>"))
+        now = stored(both.applyInArrow(_kept(step), "g long, k1 long, k2 long, many boolean, piece binary, names binary, found binary"))
     raise AssertionError
 
 

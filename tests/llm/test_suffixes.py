@@ -44,7 +44,7 @@ def test_small(spark):
     assert suffixes.digest(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("width", [26, 27, 40, 73])
+@pytest.mark.parametrize("width", [30, 37, 53, 90])
 def test_low_entropy(spark, width):
     """Two letters, so that words, names and neighbours tie everywhere; every residue of the cover meets every other."""
     data = [(i, letters(i % 7, 40 + i, "ab") + letters(i, 150, "ab") + "ab" * (i % 90)) for i in range(120)]
@@ -52,6 +52,17 @@ def test_low_entropy(spark, width):
     assert rows(got) == brute(data, width)
 
 
+def test_steps():
+    cover = suffixes.COVER
+    assert {(a - b) % suffixes.PERIOD for a in cover for b in cover} == set(range(suffixes.PERIOD))
+    for width in range(30, 300):
+        rounds = suffixes.steps(width)
+        for before, step in zip(rounds, rounds[1:-2]):
+            assert all(k % suffixes.PERIOD == 0 for k in step.shifts) and step.shifts[1] <= before.depth and step.shifts[2] <= step.shifts[1] + before.depth and step.shifts[2] + before.depth == step.depth
+        assert width - 16 <= rounds[-1].depth <= width - suffixes.PERIOD + 1
+    assert suffixes.steps(200)[-1].depth == 192
+
+
 def test_suffix_array_alone(spark, monkeypatch):
     """The array over whole pieces, no candidates chosen before, in several groups."""
     data = [letters(i % 5, 300) + letters(50 + i, 200) + letters(i % 3, 250) for i in range(60)]
