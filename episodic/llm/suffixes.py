@@ -16,8 +16,9 @@
    places, so equal ones are neighbours in the order of that shift. Adjacent prefixes are compared
    as names and bytes, never as hashes.
 
-Sorts are range partitioned; a group of pieces (about ``GROUP`` bytes) sends each triple once and
-gets its name back, so a triple that fills a text reaches the sort once a group. Pieces and names
+Sorts are dealt by ranges of the first part; a group of pieces (about ``GROUP`` bytes, alike where
+they share their least hash) sends each triple once and gets its name back, so a triple that fills
+a text reaches the sort once a group. Pieces and names
 stand in the shared folder after every round.
 
 A null text is empty. Matches never cross documents; windows are judged on the input; rows that repeat
@@ -34,7 +35,6 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
@@ -104,9 +104,9 @@ def _anchors(keys: list[str], width: int):
     return run
 
 
-def _runs_of(grams: Grams, data: np.ndarray, found: np.ndarray) -> list[tuple[int, int]]:
-    """Candidate windows as pieces (first window, end)."""
-    starts, ends, cuts = [], [], []
+def _runs_of(grams: Grams, data: np.ndarray, found: np.ndarray) -> list[tuple[int, int, int]]:
+    """Candidate windows as pieces (first window, end, least hash)."""
+    starts, ends, cuts, values = [], [], [], []
     for at, h, least in grams.slices(data):
         own = found[(found >= at) & (found < at + len(h))] - at
         if not len(own):
@@ -116,18 +116,19 @@ def _runs_of(grams: Grams, data: np.ndarray, found: np.ndarray) -> list[tuple[in
         hit = np.isin(value, h[own])
         starts.append(at + begin[hit])
         ends.append(at + end[hit])
+        values.append(value[hit])
         cuts.append(((value & np.uint64(CUT)) == 0)[hit] & (begin[hit] > 0))
     if not starts:
         return []
-    start, end, cut = (np.concatenate(x) for x in (starts, ends, cuts))
+    start, end, cut, value = (np.concatenate(x) for x in (starts, ends, cuts, values))
     if not len(start):
         return []
     new = np.flatnonzero(np.append(True, (start[1:] != end[:-1]) | cut[1:]))
-    return list(zip(start[new].tolist(), np.append(end[new[1:] - 1], end[-1]).tolist(), strict=True))
+    return list(zip(start[new].tolist(), np.append(end[new[1:] - 1], end[-1]).tolist(), np.minimum.reduceat(value, new).view(np.int64).tolist(), strict=True))
 
 
 def _pieces(keys: list[str], width: int):
-    """Rows keys, start, k1, k2, piece; the piece is null where the task has sent it before."""
+    """Rows keys, start, k1, k2, least (hash), piece; the piece is null where the task has sent it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, sent = Grams(width), set()
@@ -135,10 +136,10 @@ def _pieces(keys: list[str], width: int):
             for row in range(batch.num_rows):
                 text = batch.column("text")[row].as_py() or b""
                 out = []
-                for a, b in _runs_of(grams, np.frombuffer(text, np.uint8), np.unique(batch.column("found")[row].values.to_numpy(zero_copy_only=False))):
+                for a, b, least in _runs_of(grams, np.frombuffer(text, np.uint8), np.unique(batch.column("found")[row].values.to_numpy(zero_copy_only=False))):
                     piece = text[a:b + width - 1]
                     key = xxhash.xxh3_128_digest(piece)
-                    out.append((a, key, None if key in sent else piece))
+                    out.append((a, key, None if key in sent else piece, least))
                     sent.add(key)
                 if len(sent) > 1_000_000:
                     sent.clear()
@@ -146,7 +147,7 @@ def _pieces(keys: list[str], width: int):
                 for i in range(0, len(out), 2000):
                     s, n = slice(i, i + 2000), len(out[i:i + 2000])
                     yield pa.RecordBatch.from_arrays([*(pa.array([batch.column(c)[row].as_py()] * n, pa.int64()) for c in keys), pa.array([o[0] for o in out[s]], pa.int64()),
-                                                      pa.array(k[s, 0]), pa.array(k[s, 1]), pa.array([o[2] for o in out[s]], pa.binary())], [*keys, "start", "k1", "k2", "piece"])
+                                                      pa.array(k[s, 0]), pa.array(k[s, 1]), pa.array([o[3] for o in out[s]], pa.int64()), pa.array([o[2] for o in out[s]], pa.binary())], [*keys, "start", "k1", "k2", "least", "piece"])
 
     return run
 
@@ -208,9 +209,9 @@ class Group:
         return out
 
     def shifted(self, at: np.ndarray, d: int, step: Step) -> list[np.ndarray]:
-        """Keys of windows in the order of shift d: the shift, the name d behind the start, the bytes before and behind it."""
+        """Keys of windows in the order of shift d: the name d behind the start, the shift, the bytes before and behind it."""
         other = [at + k + (step.depth if k >= d else 0) for k in range(step.width - step.depth)]
-        return [np.full(len(at), d, np.int64), self.names[at + d], self.packed(other[:8], len(at)).view(np.int64), self.packed(other[8:], len(at)).view(np.int64)]
+        return [self.names[at + d], np.full(len(at), d, np.int64), self.packed(other[:8], len(at)).view(np.int64), self.packed(other[8:], len(at)).view(np.int64)]
 
     def windows(self, step: Step, mask: np.ndarray, shifts: range) -> list[np.ndarray]:
         parts = []
@@ -270,7 +271,9 @@ class Group:
 _KEYS = ["a0", "a1", "a2", "a3"]
 
 
-def _sent(step: Step, bits):
+def _sent(step: Step, bits, bounds):
+    """Each different key of a group, with its number there, whether it stands there twice, and its bucket of first parts."""
+
     def run(table: pa.Table) -> pa.Table:
         group = Group(table)
         at, new, *keys = group.slots(step, bits and bits.value)
@@ -279,28 +282,29 @@ def _sent(step: Step, bits):
         if len(first):
             twice |= np.logical_or.reduceat(group.many[at], first)
         g = table.column("g")[0].as_py()
-        return pa.table({"g": pa.array(np.full(len(first), g)), "slot": pa.array(np.arange(len(first))), "twice": pa.array(twice), **{c: pa.array(x[first]) for c, x in zip(_KEYS, keys, strict=True)}})
+        return pa.table({"g": pa.array(np.full(len(first), g)), "slot": pa.array(np.arange(len(first))), "twice": pa.array(twice), "bucket": pa.array(np.searchsorted(bounds, keys[0][first], "right")),
+                         **{c: pa.array(x[first]) for c, x in zip(_KEYS, keys, strict=True)}})
 
     return run
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sorted keys: names by rank for the keys that stand twice, by the order of partitions and a count within."""
-    name, held = TaskContext.get().partitionId() << 40, None
+    """From sorted keys: names by rank for the keys that stand twice, by the order of buckets and a count within."""
+    name, held = 0, None
 
     def named(cols: list[np.ndarray], new: np.ndarray, name: int) -> pa.RecordBatch:
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(new)))
         good = np.repeat((count > 1) | np.logical_or.reduceat(cols[2], first), count)
-        return pa.RecordBatch.from_arrays([pa.array(cols[0][good]), pa.array(cols[1][good]), pa.array((name + np.cumsum(new))[good])], ["g", "slot", "name"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0][good]), pa.array(cols[1][good]), pa.array(((cols[3] << 40) + name + np.cumsum(new))[good])], ["g", "slot", "name"])
 
     for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "slot", "twice", *_KEYS)]
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "slot", "twice", "bucket", *_KEYS)]
         cols = cols if held is None else [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
         if not len(cols[0]):
             continue
         new = np.ones(len(cols[0]), bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[3:]])
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[4:]])
         last = int(np.flatnonzero(new)[-1])
         held = [c[last:] for c in cols]
         if last:
@@ -361,20 +365,28 @@ def _judged(step: Step, bits):
 
 
 def repeated_spans(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
-    """By the suffix array of the different pieces (k1, k2, many, piece): k1, k2, begins, ends of what repeated windows cover."""
+    """By the suffix array of the different pieces (k1, k2, many, least, piece): k1, k2, begins, ends of what repeated windows cover."""
     spark = pieces.sparkSession
     size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     groups = -(-size // GROUP) or 1
+    # Pieces with one least hash are mostly alike: in one group, they send what they share once. Many of them are split.
+    parts = pieces.groupBy("least").agg(F.ceil(F.sum(F.octet_length("piece")) / GROUP).alias("parts")).filter("parts > 1")
+    g = F.pmod(F.xxhash64("least", F.pmod("k1", F.coalesce("parts", F.lit(1)))), F.lit(groups))
     none = F.lit(None).cast("binary")
-    now, bits = pieces.select(F.pmod("k1", F.lit(groups)).alias("g"), "k1", "k2", "many", "piece", none.alias("names"), none.alias("found")), None
-    n = shuffle_partitions(spark)
+    now = stored(pieces.join(_small(parts, F.lit(32)), "least", "left").select(g.alias("g"), "k1", "k2", "many", "piece", none.alias("names"), none.alias("found")))
+    bits, n = None, shuffle_partitions(spark)
     keys = ", ".join(f"{k} long" for k in _KEYS)
+    row = f"g long, slot long, twice boolean, bucket long, {keys}"
     for step in steps(width):
         if step.kind == "ends":
             asked = stored(now.groupBy("g").applyInArrow(_asked(step), "h long"))
             bits = spark.sparkContext.broadcast(_bit_map(asked, asked.count()))
-        sent = now.groupBy("g").applyInArrow(_sent(step, bits), f"g long, slot long, twice boolean, {keys}")
-        names = sent.repartitionByRange(n, *_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_named, "g long, slot long, name long")
+        # Buckets of first parts by quantiles over a few groups; a wrong guess makes them uneven, not the names wrong.
+        some = now.filter(F.pmod(F.xxhash64("g"), F.lit(max(1, groups // 8))) == 0).groupBy("g").applyInArrow(_sent(step, bits, np.empty(0, np.int64)), row)
+        at = [k / (4 * n) for k in range(1, 4 * n)]
+        bounds = np.unique(np.array(some.agg(F.percentile_approx("a0", at, 10_000)).first()[0] or [], np.int64))
+        sent = now.groupBy("g").applyInArrow(_sent(step, bits, bounds), row)
+        names = sent.repartition(n, "bucket").sortWithinPartitions("bucket", *_KEYS).mapInArrow(_named, "g long, slot long, name long")
         both = now.groupBy("g").cogroup(names.groupBy("g"))
         if step.kind == "ends":
             return stored(both.applyInArrow(_judged(step, bits), "k1 long, k2 long, begins array<long>, ends array<long>"))
@@ -410,8 +422,8 @@ def remove_repeats(df: DataFrame, width: int = WIDTH) -> DataFrame:
     ids = ", ".join(f"{k} long" for k in keys)
     found = stored(_repeated(long.mapInArrow(_anchors(keys, width), f"h long, {ids}, at long"), keys))
     candidates = long.join(_small(found, F.lit(48) + 4 * F.size("found")), keys)
-    pieces = stored(candidates.mapInArrow(_pieces(keys, width), f"{ids}, start long, k1 long, k2 long, piece binary"))
-    single = stored(pieces.groupBy("k1", "k2").agg((F.count("*") > 1).alias("many"), F.max("piece").alias("piece")))
+    pieces = stored(candidates.mapInArrow(_pieces(keys, width), f"{ids}, start long, k1 long, k2 long, least long, piece binary"))
+    single = stored(pieces.groupBy("k1", "k2").agg((F.count("*") > 1).alias("many"), F.max("least").alias("least"), F.max("piece").alias("piece")))
     judged = repeated_spans(single, width).filter(F.size("begins") > 0)
     spans = pieces.select(*keys, "start", "k1", "k2").join(_small(judged, F.lit(64) + 16 * F.size("begins")), ["k1", "k2"]).groupBy(*keys).agg(F.collect_list(F.struct("start", "begins", "ends")).alias("spans"))
     spans = stored(spans)
