@@ -1,13 +1,17 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into leaf blocks: runs of text between block-level tags. Each block gets a vector
-of hashed tag-path tokens (tags, classes, ids of all open elements), hashed words and a few
-numbers (length, link share, place). A bidirectional LSTM in numpy reads the blocks of a page in
-order, so every block is classified knowing the whole document; blocks labelled main are kept.
+of hashed tag-path tokens (tags, classes, ids of all open elements, folded into bits as elements
+open, however deep), hashed words, numbers of its own (length, link share, punctuation, place) and
+of all blocks that stand under the same path (their share of the page's text, their mean length and
+punctuation). A bidirectional LSTM in numpy reads the blocks of a page in order, so every block is
+classified knowing the whole document; blocks labelled main are kept.
 
 The model is trained here, on the driver, on pages that ``page()`` makes up from many layouts
-(semantic tags, classes on plain divs, tables) with known labels. Seeds are fixed, so each run
-trains the same model; it is kept for the life of the process.
+(semantic tags, classes on plain divs, tables) with known labels; in a third of them the names are
+dropped, or replaced by meaningless ones, and in a third the semantic tags are plain divs, so that
+the verdict does not hang on names. Seeds are fixed, so each run trains the same model; it is kept
+for the life of the process.
 
 Scripts, styles, comments of the markup and similar elements never make blocks. Character
 references are decoded, white space in a block becomes one space, blocks are joined by a line
@@ -44,13 +48,40 @@ PLAIN = re.compile(r"[^\"'>]*")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 PART = re.compile(r"[a-z]+")
 
-PATH, WORD, NUMBERS, HIDDEN = 256, 64, 8, 24
+PATH, WORD, NUMBERS, HIDDEN = 256, 64, 20, 32
 INPUT = PATH + WORD + NUMBERS
 
-#: Of a deeper path the outermost and innermost elements count.
-OUTER, INNER = 8, 24
 
-Block = tuple[tuple[str, ...], str, int]  # path tokens, text, characters inside links
+@lru_cache(maxsize=1 << 16)
+def _slot(token: str, size: int) -> tuple[int, float]:
+    h = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 11)
+    return h % size, 1.0 if h >> 40 & 1 else -1.0
+
+
+class Path:
+    """The open elements, outermost first, as a chain: tokens of the innermost, bits of the hashed tokens of all, their number, and a key equal for equal paths."""
+
+    __slots__ = ("depth", "key", "minus", "names", "outer", "plus")
+
+    def __init__(self, outer: Path | None, names: tuple[str, ...]):
+        self.outer, self.names = outer, names
+        self.plus, self.minus, self.depth, self.key = (outer.plus, outer.minus, outer.depth + 1, hash((outer.key, names))) if outer else (0, 0, 0, 0)
+        for token in names:
+            i, sign = _slot(token, PATH)
+            if sign > 0:
+                self.plus |= 1 << i
+            else:
+                self.minus |= 1 << i
+
+    def tokens(self) -> list[str]:
+        out, at = [], self
+        while at:
+            out.append(at.names)
+            at = at.outer
+        return [t for names in reversed(out) for t in names]
+
+
+Block = tuple[Path, str, int]  # path, text, characters inside links
 
 
 def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
@@ -99,10 +130,11 @@ def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
 def blocks(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root = Path(None, ())
+    stack: list[tuple[str, Path]] = []
     open_: Counter[str] = Counter()
     text: list[str] = []
-    where: tuple[str, ...] = ()
+    where = root
     linked = at = 0
 
     def flush() -> None:
@@ -120,8 +152,7 @@ def blocks(page: str | None) -> list[Block]:
             said = entities.unescape(raw) if "&" in raw else raw
             if not said.isspace():
                 if not any(not t.isspace() for t in text):
-                    path = stack if len(stack) <= OUTER + INNER else [*stack[:OUTER], *stack[-INNER:]]
-                    where = tuple(x for _, names in path for x in names)
+                    where = stack[-1][1] if stack else root
                 if open_["a"]:
                     linked += len(said)
             text.append(said)
@@ -153,41 +184,54 @@ def blocks(page: str | None) -> list[Block]:
                 names = [name]
                 for value in NAMES.findall(said):
                     names += ["." + p for p in PART.findall(value.lower())]
-                stack.append((name, tuple(names)))
+                stack.append((name, Path(stack[-1][1] if stack else root, tuple(names))))
                 open_[name] += 1
     take(page[at:])
     flush()
     return out
 
 
-@lru_cache(maxsize=1 << 16)
-def _slot(token: str, size: int) -> tuple[int, float]:
-    h = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 11)
-    return h % size, 1.0 if h >> 40 & 1 else -1.0
-
-
 @lru_cache(maxsize=1 << 14)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH, np.float32)
-    for token in {*path, *("leaf " + t for t in path[-2:])}:
-        i, sign = _slot(token, PATH)
+def _path_vector(plus: int, minus: int, leaf: tuple[str, ...]) -> np.ndarray:
+    bits = lambda x: np.unpackbits(np.frombuffer(x.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
+    v = bits(plus) - bits(minus)
+    for token in leaf:
+        i, sign = _slot("leaf " + token, PATH)
         v[i] += sign
     return v
 
 
-def features(page: list[Block], lo: int = 0, hi: int | None = None) -> np.ndarray:
+def _numbers(page: list[Block]) -> np.ndarray:
+    """Numbers of each block of a whole page, and of the blocks under its path."""
+    own = np.zeros((len(page), 8), np.float32)
+    group: dict[tuple, int] = {}
+    of = np.zeros(len(page), np.int64)
+    for k, (path, text, linked) in enumerate(page):
+        n, words = len(text), text.count(" ") + 1
+        own[k] = n, words, min(1.0, linked / n), text.count(".") + text.count("!") + text.count("?"), text.count(",") + text.count(";"), sum(map(str.isdigit, text[:200])), text[-1] in ".!?:\"\u201d\u3002", text[:1].isupper()
+        of[k] = group.setdefault(path.key, len(group))
+    count = np.bincount(of).astype(np.float32)
+    mean = lambda x: (np.bincount(of, x) / count)[of]
+    n, words, link, stops, commas, digits, ends, upper = own.T
+    total, place = n.sum() + 1, np.arange(len(page))
+    share = np.bincount(of, n)[of] / total
+    best = np.bincount(of, n * (1 - link)).max() + 1
+    return np.stack([np.log1p(n) / 5, np.log1p(words) / 4, link, place / len(page), (len(page) - place) / len(page), stops / words, np.array([p.depth for p, _, _ in page]) ** 0.5 / 5, np.ones(len(page)),
+                     commas / words, digits / np.minimum(n, 200), ends, upper, share, np.bincount(of, n * (1 - link))[of] / best, np.log1p(count[of]) / 4, np.log1p(mean(n)) / 5, mean(link), mean(ends), mean(stops / words), np.cumsum(n) / total], 1).astype(np.float32)
+
+
+def features(page: list[Block], lo: int = 0, hi: int | None = None, numbers: np.ndarray | None = None) -> np.ndarray:
     """Vectors of the blocks lo to hi of a page."""
     part = page[lo:hi]
     x = np.zeros((len(part), INPUT), np.float32)
-    for k, (path, text, linked) in enumerate(part):
+    for k, (path, text, _) in enumerate(part):
         words = text.split(" ")
-        x[k, :PATH] = _path_vector(path)
+        x[k, :PATH] = _path_vector(path.plus, path.minus, path.names[-2:])
         for w in words:
             i, sign = _slot(w.lower(), WORD)
             x[k, PATH + i] += sign
         x[k, PATH:PATH + WORD] *= 0.3 / len(words) ** 0.5
-        n, place = len(text), lo + k
-        x[k, PATH + WORD:] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1.0, linked / n), place / len(page), (len(page) - place) / len(page), sum(map(text.count, ".!?")) / len(words), len(path) / 10, 1.0)
+    x[:, PATH + WORD:] = (_numbers(page) if numbers is None else numbers)[lo:hi]
     return x
 
 
@@ -246,12 +290,12 @@ class Model:
         return out
 
     def _long(self, page: list[Block], cells: int) -> np.ndarray:
-        score = np.full(len(page), self.p["c"][0], np.float32)
+        score, numbers = np.full(len(page), self.p["c"][0], np.float32), _numbers(page)
         parts = [(lo, min(lo + cells, len(page))) for lo in range(0, len(page), cells)]
         for side, d in enumerate("fb"):
             state = np.zeros((2, 1, HIDDEN), np.float32)
             for lo, hi in parts if d == "f" else parts[::-1]:
-                z = self._inputs(features(page, lo, hi)[None], d)
+                z = self._inputs(features(page, lo, hi, numbers)[None], d)
                 h = self._run(z, np.ones((1, hi - lo), bool), d, state=state)
                 score[lo:hi] += h[0] @ self.p["v"][side * HIDDEN:(side + 1) * HIDDEN]
         return score > 0
@@ -300,10 +344,10 @@ _NAMES = {
     "side": ("aside", "aside.sidebar", "div.sidebar", "div#sidebar", "div.related", "div.widget", "div.share", "aside.related", "div.side", "section.recommended", "div.social"),
     "notice": ("div.notice", "div.cookie", "div.cookie-banner", "div#gdpr", "div.alert", "p.notice", "div.consent", "div.message", "div.warning", "div.popup", "div.banner", "div.newsletter", "div.disclaimer"),
     "form": ("form", "form.search", "div.login form", "form.newsletter", "div.subscribe form", "form#contact"),
-    "foot": ("footer", "div.footer", "div#footer", "footer.site-footer", "div.copyright", "div.legal", "div.bottom"),
+    "foot": ("footer", "div.footer", "div#footer", "footer.site-footer", "div.copyright", "div.legal", "div.bottom", "p.copyright", "div"),
     "reply": ("section.comments", "div#comments", "div.comments", "ol.comment-list", "div.comment", "ul.comments", "section.replies", "div.responses", "div.disqus", "section#reader-comments", "div.discussion"),
 }
-_MAIN = ("article", "article", "article", "main article", "main", "div#content", "div.content", "div.post", "div.post-content", "div.entry-content", "div#main div.article", "section.article-body", "div.story", "table td.content", "div.article", "main div.text", "div.page article.post", "div.wrapper div.main", "div#article", "div.body-text")
+_MAIN = ("article", "article", "article", "main article", "main", "div#content", "div.content", "div.post", "div.post-content", "div.entry-content", "div#main div.article", "section.article-body", "div.story", "table td.content", "div.article", "main div.text", "div.page article.post", "div.wrapper div.main", "div#article", "div.body-text", "div", "div div", "div", "td", "section")
 
 
 def page(rng: random.Random) -> tuple[str, set[str]]:
@@ -344,6 +388,8 @@ def page(rng: random.Random) -> tuple[str, set[str]]:
             return nest(spec, (f"<h3>{stock()}</h3>" if rng.random() < 0.6 else "") + "".join(each))
         long = rng.random() < 0.3
         inner = said(8, 45) if long else said(2, 14)
+        if kind == "foot" and rng.random() < 0.5:
+            inner = f"{rng.choice(('©', '&copy;', 'Copyright', '(c)', 'Copyright ©'))} {rng.randint(1990, 2026)} {said(1, 4)} {rng.choice(('All rights reserved.', '', 'Imprint', 'Ltd.'))}".strip() if rng.random() < 0.6 else f"{rng.choice(('©', '&copy;', 'Copyright'))} {word()}.{word()} · {said(3, 45)}"
         return nest(spec, rng.choice((inner, f"<p>{inner}</p>", f"<p>{inner}</p><p>{said(2, 20)}</p>", f"<span>{inner}</span>", f"<h3>{said(1, 4)}</h3><p>{inner}</p>")))
 
     def part() -> str:
@@ -351,6 +397,8 @@ def page(rng: random.Random) -> tuple[str, set[str]]:
         t = said(1, 7) if chance < 0.2 else f"{rng.choice(_STOCK)} {said(1, 3)}" if chance < 0.25 else said(8, 70)
         main.add(t)
         kind = rng.random()
+        if bare:
+            return bare.format(t)
         if kind < 0.6:
             if rng.random() < 0.15:
                 return f"<p><b>{t}<br>"
@@ -366,20 +414,36 @@ def page(rng: random.Random) -> tuple[str, set[str]]:
             return "<ul>" + "".join(f"<li>{x}</li>" for x in (t, *more)) + "</ul>"
         return rng.choice(("<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>", "<div>{}</div>", "<table><tr><td>{}</td></tr></table>", "<figure><figcaption>{}</figcaption></figure>", "<section><p>{}</p></section>", "<div class=text>{}</div>")).format(t)
 
-    body = []
+    # Some pages have no paragraphs: every part of the text is the same component.
+    body, bare = [], rng.random() < 0.15 and rng.choice(("<div>{}</div>", "<div class=part><span>{}</span></div>", "<div class=line>{}</div>", "<div><div>{}</div></div>", "<span class=row>{}</span><br><br>", "<div class=cell><div class=inner><span>{}</span></div></div>"))
     for _ in range(rng.randint(0, 3)):
         body.append(junk(rng.choice(("menu", "menu", "head", "advert", "notice", "form"))))
     if rng.random() < 0.96:
         title = said(2, 12)
         main.add(title)
-        head = f"<h1>{title}</h1>"
+        head = rng.choice((*["<h1>{}</h1>"] * 6, "<h2>{}</h2>", "<div class=title>{}</div>", "<p><b>{}</b></p>")).format(title)
         inner = [f"<header>{head}</header>" if rng.random() < 0.15 else head]
+        odd = rng.random()
+        if odd < 0.08:  # a line that is said again and again
+            t = said(1, 12)
+            main.add(t)
+            inner += [rng.choice((f"<p>{t}</p>", f"<p><b>{t}<br>", f"<p>{t}")) for _ in range(rng.randint(4, 40))]
+        elif odd < 0.16:  # shouted, or full of signs
+            for _ in range(rng.randint(2, 12)):
+                t = said(4, 40).upper()
+                t = re.sub(" ", lambda m: rng.choice(("!! ", "### ", " $$ ", "!! ", " ")), t) if rng.random() < 0.7 else t
+                main.add(t)
+                inner.append(rng.choice((f"<p>{t}</p>", f"<p>{t}</p>", f"<p><b>{t}<br>")))
         for _ in range(rng.choice((1, 2, 3, 5, 8, 14, 25))):
             inner.append(part())
             if rng.random() < 0.06:
                 inner.append(junk(rng.choice(("advert", "side", "notice", "form"))))
         if rng.random() < 0.12:
             inner.append(junk(rng.choice(("reply", "side", "foot"))))
+        if rng.random() < 0.2:  # the text in a box of its own, with lists of links in the box around it
+            cut = rng.choice((0, 1))
+            around = [junk(rng.choice(("side", "menu", "advert", "foot"))) for _ in range(rng.randint(1, 2))]
+            inner = [*inner[:cut], nest(rng.choice(("div.text", "div", "div#body", "div.output", "section", "div.inner div.block")), "".join(inner[cut:])), *around]
         body.append(nest(rng.choice(_MAIN), "".join(inner)))
         if rng.random() < 0.1:
             body.append(nest(rng.choice(_MAIN), "".join(part() for _ in range(rng.randint(1, 5)))))
@@ -391,12 +455,27 @@ def page(rng: random.Random) -> tuple[str, set[str]]:
     return f"<html>{title}<body>{''.join(body)}</body></html>", main
 
 
-def labelled(n: int, seed: int) -> tuple[list[list[Block]], list[np.ndarray]]:
+_PLAIN = re.compile(r"<(/?)(?:article|main|nav|header|footer|aside|section)\b(?!-)")
+_NAMED = re.compile(r' (?:class|id)="([^"]*)"| class=(\w+)')
+
+
+def disguised(rng: random.Random, text: str) -> str:
+    """The page with other names, the same for the same, or none, and with plain divs; or as it is."""
+    how, made = rng.random(), {}
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(1, 6))) if how < 0.26 else "".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 3)))
+    if how < 0.15:
+        text = _NAMED.sub("", text)
+    elif how < 0.36:
+        text = _NAMED.sub(lambda m: f' class="{made.setdefault(m[0], word())}"', text)
+    return _PLAIN.sub(r"<\1div", text) if rng.random() < 0.35 else text
+
+
+def labelled(n: int, seed: int, plain: bool = True) -> tuple[list[list[Block]], list[np.ndarray]]:
     """Made-up pages as blocks, and which of them are main text."""
     rng, pages, ys = random.Random(seed), [], []
     while len(pages) < n:
         html, main = page(rng)
-        found = blocks(html)
+        found = blocks(disguised(rng, html) if plain else html)
         if found:
             pages.append(found)
             ys.append(np.array([t in main for _, t, _ in found], np.float32))
@@ -404,7 +483,7 @@ def labelled(n: int, seed: int) -> tuple[list[list[Block]], list[np.ndarray]]:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 4000, epochs: int = 7, seed: int = 5) -> Model:
+def trained(pages: int = 7000, epochs: int = 11, seed: int = 5) -> Model:
     """Adam over batches of pages of similar length."""
     model, (made, ys), rng = Model(seed), labelled(pages, seed), np.random.default_rng(seed)
     xs = [features(x) for x in made]
@@ -423,7 +502,7 @@ def trained(pages: int = 4000, epochs: int = 7, seed: int = 5) -> Model:
                 v = v * min(1.0, 1.0 / (size + 1e-9))
                 first[k] = 0.9 * first[k] + 0.1 * v
                 second[k] = 0.99 * second[k] + 0.01 * v * v
-                model.p[k] -= np.float32(0.01 * 0.6**epoch) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+                model.p[k] -= np.float32(0.01 * 0.65**epoch) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
     return model
 
 
