@@ -143,9 +143,17 @@ def clean_description(text: Column, fallback: Column, least: int = 20, most: int
     return F.when(F.length(s) < least, fallback).when(F.length(s) <= most, s).otherwise(cut)
 
 
+def whole(x: Column) -> Column:
+    """Rounded to a whole number, halves to the even one."""
+    return F.bround(x.cast("double"), 0).cast("long")
+
+
 def where_phrase(start: Column, end: Column, duration: Column) -> Column:
-    share = start / duration
-    return F.format_string("%s, from %.1f to %.1f s", F.when(share < 0.33, "early").when(share < 0.66, "midway").otherwise("late"), start, end)
+    """Where an interval lies in its clip, in whole seconds with its span; no part without a known duration, empty without times."""
+    share = start / F.when(duration > 0, duration)
+    part = F.when(share < 0.33, "early in the clip").when(share < 0.66, "midway through the clip").when(share.isNotNull(), "late in the clip")
+    times = F.format_string("from %ds to %ds (%ds)", whole(start), whole(end), whole(F.greatest(end - start, F.lit(0.0))))
+    return F.when(start.isNull() | end.isNull(), "").otherwise(F.concat_ws(", ", part, times))
 
 
 def picked_phrase(key: Column, variants: list[str]) -> Column:
@@ -154,18 +162,54 @@ def picked_phrase(key: Column, variants: list[str]) -> Column:
     return F.get(F.array(*map(F.lit, variants)), total % len(variants))
 
 
+def _json_object(c: Column) -> Column:
+    """The text as a JSON object, else null; parsed once."""
+    return F.get(F.transform(F.array(c), lambda t: F.when(F.trim(t).startswith("{"), F.try_parse_json(t))), 0)
+
+
+def _fits(v: Column, kinds: dict[str, str]) -> Column:
+    """Whether the fields are there with their types."""
+    good = F.lit(True)
+    for name, kind in kinds.items():
+        good = good & F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")) == kind, F.lit(False))
+    return good
+
+
 def salvaged_json(text: Column, schema: str) -> Column:
-    """Whole text, else its first {...} block, else first { to last }."""
-    parse = lambda c: F.from_json(c, schema, {"mode": "PERMISSIVE"})
-    def solid(c: Column) -> Column:
-        parsed = parse(c)
-        return F.when(F.try_parse_json(c).isNotNull() & F.trim(c).startswith("{"), parsed)
-    return F.coalesce(solid(text), solid(F.regexp_extract(text, r"(?s)\{.*?\}", 0)), solid(F.regexp_extract(text, r"(?s)\{.*\}", 0)))
+    """Whole text, else its first {...} block that is a JSON object, else first { to last }."""
+    blocks = F.concat(F.array(text), F.regexp_extract_all(text, F.lit(r"(?s)(\{.*?\})"), 1), F.array(F.regexp_extract(text, r"(?s)\{.*\}", 0)))
+    good = F.filter(blocks, lambda b: F.trim(b).startswith("{") & F.try_parse_json(b).isNotNull())
+    return F.from_json(F.get(good, 0), schema, {"mode": "PERMISSIVE"})
+
+
+#: The fields of an observation and their types.
+OBSERVATION = {"hazard_visible": "BOOLEAN", "hazard_type": "STRING", "surroundings": "STRING"}
+
+
+def observation(text: Column) -> Column:
+    """(hazard_visible, hazard_type, surroundings) of a model's answer with prose around it, or null.
+
+    The whole text and then each {...} block is tried, and the first whose fields have their types counts; last, the
+    text from the first { to the last } is read as it comes: missing fields are false, none and empty, the
+    surroundings end after 300 characters.
+    """
+    blocks = F.concat(F.array(F.trim(text)), F.regexp_extract_all(text, F.lit(r"(?s)(\{.*?\})"), 1))
+    tried = F.transform(blocks, _json_object)
+    strict = F.get(F.filter(tried, lambda v: v.isNotNull() & _fits(v, OBSERVATION)), 0)
+    loose = _json_object(F.regexp_extract(text, r"(?s)\{.*\}", 0))
+    field = lambda v, name: F.try_variant_get(v, f"$.{name}", "string")
+    read = lambda v: F.struct(tolerant_bool(field(v, "hazard_visible")).alias("hazard_visible"), F.coalesce(field(v, "hazard_type"), F.lit("none")).alias("hazard_type"),
+                              F.coalesce(field(v, "surroundings"), F.lit("")).alias("surroundings"))
+    short = read(loose).withField("surroundings", F.substring(read(loose)["surroundings"], 1, 300))
+    return F.when(strict.isNotNull(), read(strict)).when(loose.isNotNull(), short)
 
 
 def verdict(text: Column) -> Column:
-    """(anomalous, severity in 0..1, reason up to 300 characters) or null."""
-    v = salvaged_json(text, "anomalous string, severity string, reason string")
+    """(anomalous, severity in 0..1, reason up to 300 characters) or null; parsed once."""
+    return F.get(F.transform(F.array(salvaged_json(text, "anomalous string, severity string, reason string")), _bounded), 0)
+
+
+def _bounded(v: Column) -> Column:
     return F.when(v.isNotNull(), F.struct(tolerant_bool(v["anomalous"]).alias("anomalous"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(v["severity"].try_cast("double"), F.lit(0.0)))).alias("severity"),
                                           F.substring(F.coalesce(v["reason"], F.lit("")), 1, 300).alias("reason")))
 
@@ -177,6 +221,27 @@ def fused_verdict(rule_anomalous: Column, rule_severity: Column, hazard_visible:
     return F.struct((seen | rule_anomalous).alias("anomalous"), F.when(seen, F.greatest(floor, rule_severity)).otherwise(rule_severity).alias("severity"))
 
 
+#: What a verdict says of an event, by kind and by whether its rule holds.
+VERDICT_LEADS = {"stopped_vehicle": "Vehicle stopped in live traffic while surrounding vehicles keep moving.", "person_in_roadway": "Person detected in a live traffic lane.",
+                 "wrong_way_vehicle": "Vehicle travelling against the direction of its lane."}
+ANY_LEAD = "Tracker rule flagged this object."
+NORMAL_LEADS = {"stopped_vehicle": "Vehicle stopped, but surrounding traffic is stopped too - congestion, not an incident."}
+ANY_NORMAL = "Behaviour consistent with normal traffic."
+
+
+def fused_reason(kind: Column, rule_anomalous: Column, hazard_visible: Column, hazard: Column, surroundings: Column, watch: tuple[str, ...] = ()) -> Column:
+    """The text of a fused verdict: the hazard seen, else what the rule says of the kind, then the surroundings."""
+    seen = F.coalesce(hazard_visible, F.lit(False)) & real_hazard(hazard, watch)
+    named = F.concat(F.upper(F.substring(hazard, 1, 1)), F.lower(F.substring(hazard, 2, 1_000_000)), F.lit(" visible at the scene."))
+    lead = F.when(seen, named).when(rule_anomalous, F.coalesce(lookup(kind, VERDICT_LEADS), F.lit(ANY_LEAD))).otherwise(F.coalesce(lookup(kind, NORMAL_LEADS), F.lit(ANY_NORMAL)))
+    return F.trim(F.concat(lead, F.lit(" "), F.coalesce(surroundings, F.lit(""))))
+
+
+def first_option(prompt: Column) -> Column:
+    """Stand-in of the second opinion: the first listed option of the prompt (a line "- name: ..."), else normal."""
+    return F.coalesce(F.nullif(F.rtrim(F.regexp_extract(prompt, r"(?m)^[ \t]*- ([^:\r\n]*)", 1)), F.lit("")), F.lit("normal"))
+
+
 def closed_choice(answer: Column, options: list[str]) -> Column:
     """The longest option named in the first line, else the longest whose part before "_or_" is; else the same in the whole answer."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[-_\s]+", " "))

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import expr as X
-from .operators import dataset, decide, evidence, marks, policy, score, traffic, validate, windows
+from .operators import dataset, decide, evidence, intervals, marks, motion, policy, score, search, traffic, validate, windows
 from .plans import carriers as C
 from .queries import _S, DAY, q41_level_scores, query
 
@@ -489,3 +489,103 @@ def q79_zone_calibration(s, d):
     o = C.observations(s, d)
     boxes = o.select("stream_id", "track_id", (F.col("t_us") / 6e9).alias("t"), F.lit("car").alias("class_name"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
     return traffic.calibrate_zones(traffic.heat(boxes, ["stream_id"], "track_id", "t", 0.05, 0.02, 32), "stream_id", 640, 1056, 32, sigma=1.0, dilate=1, least_area=0.004)
+
+
+_GRID7 = (0.05, 0.10, 0.15, 0.20, 0.30, 0.45, 0.60)
+_CLASSES = 6
+
+
+def _retuned_sql() -> str:
+    """Coordinate ascent for every fold at once; a step keeps the first of the best grid values where it gains."""
+    out = [f"""WITH x AS (SELECT vec_id, unnest(range({_CLASSES})) AS c, CAST(unnest(embedding[1:{_CLASSES}]) AS DOUBLE) AS z FROM embeddings),
+ex AS (SELECT vec_id, c, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM x), pb AS (SELECT vec_id // 25 AS vid, c, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM ex),
+pv AS MATERIALIZED (SELECT vid, c, floor(avg(p)*1000000+0.5)/1000000 AS p FROM pb GROUP BY 1, 2), v AS MATERIALIZED (SELECT vec_id // 25 AS vid, arg_min(label, vec_id) % {_CLASSES} AS truth FROM embeddings GROUP BY 1),
+nrm AS (SELECT vid, p AS p0 FROM pv WHERE c = 0), st0 AS MATERIALIZED (SELECT vid, [{", ".join(["CAST(0.2 AS DOUBLE)"] * _CLASSES)}] AS thr, CAST(-1 AS DOUBLE) AS best FROM v)"""]
+    steps = [None, *(c for _ in range(2) for c in range(1, _CLASSES))]
+    for i, c in enumerate(steps):
+        tries = f"SELECT vid AS fold, 0 AS gi, thr, best FROM st{i}" if c is None else f"SELECT vid AS fold, gi, list_concat(list_append(thr[1:{c}], g), thr[{c + 2}:]) AS thr, best FROM st{i} CROSS JOIN (SELECT unnest({list(_GRID7)}::DOUBLE[]) AS g, unnest(range({len(_GRID7)})) AS gi)"
+        out.append(f"""tr{i} AS MATERIALIZED ({tries}),
+ok{i} AS MATERIALIZED (SELECT fold, gi, pv.vid, arg_max(c, (p, c)) AS c, max(p) AS p FROM tr{i} JOIN pv ON pv.c > 0 AND pv.vid <> fold AND p >= thr[c + 1] GROUP BY 1, 2, 3),
+pk{i} AS MATERIALIZED (SELECT tr{i}.fold, tr{i}.gi, v.vid, v.truth, CASE WHEN o.p >= p0 THEN o.c ELSE 0 END AS pick FROM tr{i} JOIN v ON v.vid <> fold JOIN nrm ON nrm.vid = v.vid LEFT JOIN ok{i} o ON o.fold=tr{i}.fold AND o.gi=tr{i}.gi AND o.vid=v.vid),
+cc{i} AS (SELECT fold, gi, k, count(*) FILTER (truth = k) AS sup, count(*) FILTER (pick = k) AS rep, count(*) FILTER (pick = k AND truth = k) AS hit FROM pk{i} CROSS JOIN (SELECT unnest(range({_CLASSES})) AS k) GROUP BY 1, 2, 3),
+mm{i} AS MATERIALIZED (SELECT fold, gi, floor(avg(floor(2*hit/CAST(rep+sup AS DOUBLE)*1000+0.5)/1000) FILTER (sup > 0)*1000+0.5)/1000 AS m FROM cc{i} GROUP BY 1, 2),
+bb{i} AS (SELECT fold, max(m) AS m, arg_min(gi, (-m, gi)) AS gi FROM mm{i} GROUP BY 1),
+st{i + 1} AS MATERIALIZED (SELECT st{i}.vid, CASE WHEN b.m > st{i}.best + 1e-9 THEN t.thr ELSE st{i}.thr END AS thr, greatest(b.m, st{i}.best) AS best FROM st{i} JOIN bb{i} b ON b.fold = st{i}.vid JOIN (SELECT fold, gi, thr FROM tr{i}) t ON t.fold = b.fold AND t.gi = b.gi)""")
+    return ", ".join(out) + f""", own AS (SELECT v.vid, any_value(v.truth) AS truth, arg_max(pv.c, (pv.p, pv.c)) FILTER (pv.c > 0 AND pv.p >= thr[pv.c + 1]) AS c, max(pv.p) FILTER (pv.c > 0 AND pv.p >= thr[pv.c + 1]) AS p FROM v JOIN st{len(steps)} s ON s.vid = v.vid JOIN pv ON pv.vid = v.vid GROUP BY 1),
+fin AS (SELECT own.vid, truth, CASE WHEN p >= p0 THEN own.c ELSE 0 END AS pick FROM own JOIN nrm ON nrm.vid = own.vid),
+n AS (SELECT k, count(*) FILTER (truth = k) AS support, count(*) FILTER (pick = k AND truth = k) AS hit, count(*) FILTER (pick = k) AS reported FROM fin CROSS JOIN (SELECT unnest(range({_CLASSES})) AS k) GROUP BY 1),
+f AS (SELECT *, CASE WHEN reported + support = 0 THEN 0.0 ELSE floor(2*hit/CAST(reported+support AS DOUBLE)*1000+0.5)/1000 END AS f1 FROM n)
+SELECT CAST(k AS INTEGER) AS class, support, hit AS "right", reported, f1, (SELECT floor(avg(f1) FILTER (support > 0)*1000+0.5)/1000 FROM f) AS macro_f1 FROM f"""
+
+
+@query(_retuned_sql())
+def q83_held_out_retuning(s, d):
+    e = C.table(s, d, "embeddings").select(F.expr("vec_id div 25").alias("vid"), "vec_id", "label", decide.softmax(F.slice("embedding", 1, _CLASSES)).alias("probs"))
+    truth = e.groupBy("vid").agg(F.array((F.min_by("label", "vec_id") % _CLASSES).cast("int")).alias("truth"))
+    p = e.select("vid", F.explode("probs").alias("x")).groupBy("vid", "x.c").agg(X.floored(F.avg("x.p"), 6).alias("p"))
+    videos = truth.join(p.groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("p", "c"))).alias("probs")), "vid")
+    return search.pooled_score(search.retuned(videos, "vid", _CLASSES, list(_GRID7), 0.2), _CLASSES)
+
+
+@query(f"""WITH {C.EV}, k AS (SELECT user_id, event_id, t_us FROM ev WHERE event_type = 'click'), v AS (SELECT user_id, event_id, t_us FROM ev WHERE event_type = 'view'),
+j AS (SELECT k.event_id, k.t_us, v.t_us AS near, row_number() OVER (PARTITION BY k.event_id ORDER BY abs(v.t_us - k.t_us), v.t_us) AS r FROM k JOIN v ON v.user_id = k.user_id AND abs(v.t_us - k.t_us) <= {6 * C.HOUR})
+SELECT event_id, near AS near_us, near - t_us AS shift_us FROM j WHERE r = 1""")
+def q84_nearest_frames(s, d):
+    e = C.events(s, d).select("user_id", "event_id", "event_type", "t_us")
+    met = intervals.nearest(e.filter("event_type = 'click'").drop("event_type"), e.filter("event_type = 'view'").drop("event_type"), ["user_id"], "t_us", "event_id", 6 * C.HOUR)
+    return met.select("event_id", F.col("near_t_us").alias("near_us"), (F.col("near_t_us") - F.col("t_us")).alias("shift_us"))
+
+
+@query(f"""WITH {C.EV}, m AS (SELECT user_id, event_id, (event_id % 3) - 1 AS b, (event_id % 5) - 2 AS tx, (event_id * 7 % 11) - 5 AS ty FROM ev),
+c AS (SELECT *, sum(ty) OVER w AS y, sum(b) OVER w AS bs, sum(ty) OVER w - ty AS y0 FROM m WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, CAST(bs AS DOUBLE) AS shear, CAST(sum(b * y0 + tx) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM c""")
+def q85_running_camera_products(s, d):
+    """Shears and shifts by whole numbers, so that the products are exact: x' = x + b y + tx, y' = y + ty."""
+    k = F.col("event_id")
+    matrix = F.array(F.lit(1.0), ((k % 3) - 1).cast("double"), ((k % 5) - 2).cast("double"), F.lit(0.0), F.lit(1.0), ((k * 7 % 11) - 5).cast("double"))
+    total = motion.cumulative_affine(C.events(s, d).select("user_id", "event_id", matrix.alias("m")), "user_id", "event_id", "m")
+    return total.select("event_id", F.get("total", 1).alias("shear"), F.get("total", 2).alias("x"), F.get("total", 5).alias("y"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[{}"\\\x00-\x1F]', ' ', 'g') AS t FROM documents),
+a AS (SELECT doc_id, t[41:60] AS seen, length(t) % 4 AS k, length(t) % 3 = 0 AS flag FROM d)
+SELECT doc_id, CASE WHEN k = 3 THEN false ELSE flag END AS visible, CASE WHEN k = 3 THEN 'none' ELSE 'smoke ' || seen END AS hazard FROM a WHERE k <> 2""")
+def q86_observations_in_prose(s, d):
+    """Answers with prose and other blocks before the object: each block is tried; of a third kind the whole from { to } is read loosely."""
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), r'[{}"\\\x00-\x1F]', " ")
+    docs = C.table(s, d, "documents").select("doc_id", F.substring(t, 1, 40).alias("prose"), F.substring(t, 41, 20).alias("seen"), F.length(t).alias("n"))
+    flag, kind = F.when(F.col("n") % 3 == 0, "true").otherwise("false"), F.col("n") % 4
+    whole = F.concat(F.lit('{"hazard_visible": '), flag, F.lit(', "hazard_type": "smoke '), "seen", F.lit('", "surroundings": "'), "prose", F.lit('"}'))
+    said = (F.when(kind == 0, whole).when(kind == 1, F.concat("prose", F.lit(' {"note": 1} then {x} '), whole, F.lit(" {done}")))
+            .when(kind == 2, F.concat("prose", F.lit(" {no object here"))).otherwise(F.concat(F.lit("Sure: "), F.lit('{"inner": {"a": 1}}'))))
+    return docs.select("doc_id", X.observation(said).alias("o")).filter("o is not null").select("doc_id", F.col("o.hazard_visible").alias("visible"), F.col("o.hazard_type").alias("hazard"))
+
+
+_WHERE = "CAST(o_orderkey % 97 AS DOUBLE) / 4"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, {_WHERE} AS a, {_WHERE} + (o_custkey % 41) / 4.0 AS b, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN 0.0 ELSE 30.0 END AS d FROM orders)
+SELECT o_orderkey, CASE WHEN d > 0 THEN CASE WHEN a/d < 0.33 THEN 'early in the clip, ' WHEN a/d < 0.66 THEN 'midway through the clip, ' ELSE 'late in the clip, ' END ELSE '' END || 'from ' || CAST(round_even(a, 0) AS BIGINT) || 's to ' || CAST(round_even(b, 0) AS BIGINT) || 's (' || CAST(round_even(b - a, 0) AS BIGINT) || 's)' AS said FROM o""")
+def q87_where_phrases(s, d):
+    o = C.table(s, d, "orders")
+    a = (F.col("o_orderkey") % 97).cast("double") / 4
+    b = a + (F.col("o_custkey") % 41) / F.lit(4.0)
+    span = F.when(F.col("o_orderkey") % 5 == 1, 0.0).when(F.col("o_orderkey") % 5 > 1, 30.0)
+    return o.select("o_orderkey", X.where_phrase(a, b, span).alias("said"))
+
+
+_SAID_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.VERDICT_LEADS.items()) + f" ELSE '{X.ANY_LEAD}' END"
+_CALM_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.NORMAL_LEADS.items()) + f" ELSE '{X.ANY_NORMAL}' END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, trim(substr(coalesce(text, ''), 1, 30), ' ') AS t, length(coalesce(text, '')) AS n FROM documents),
+k AS (SELECT *, ({_sql_list([*X.VERDICT_LEADS, "loitering"])})[n % 4 + 1] AS kind, n % 2 = 0 AS rule, n % 7 = 0 AS seen FROM d)
+SELECT doc_id, trim((CASE WHEN seen THEN 'Smoke ' || lower(lang) || ' visible at the scene.' WHEN rule THEN {_SAID_SQL} ELSE {_CALM_SQL} END) || ' ' || t, ' ') AS reason, CASE WHEN seen THEN 'yes' ELSE 'no' END AS first FROM k""")
+def q88_verdict_texts(s, d):
+    """Verdict texts by kind, and the stand-in of the second opinion on a prompt of options."""
+    docs = C.table(s, d, "documents").select("doc_id", "lang", F.trim(F.substring(F.coalesce("text", F.lit("")), 1, 30)).alias("t"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    kind = _pick([*X.VERDICT_LEADS, "loitering"], "n")
+    seen = F.col("n") % 7 == 0
+    reason = X.fused_reason(kind, F.col("n") % 2 == 0, seen, F.when(seen, F.concat(F.lit("sMOKE "), F.upper("lang"))).otherwise("none"), F.col("t"))
+    prompt = F.concat(F.lit("Which one?\n"), F.when(seen, "  - yes: something burns\n- no: nothing").otherwise("- no\n- yes: it burns"))
+    return docs.select("doc_id", reason.alias("reason"), X.first_option(prompt).alias("first"))

@@ -10,14 +10,47 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Rows of a key that are ordered in one piece.
+SLICE_ROWS = 500_000
 
-def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: Column | float, strict: bool = False, tie: tuple[str, ...] = ()) -> DataFrame:
+
+def slices(df: DataFrame, keys: list[str], at: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """Adds ``_slice``: keys with more than ``rows`` rows are cut along ``at`` into that many even parts.
+
+    Equal values stay in one slice, and slices of a key are in the order of ``at``. The cut follows from the
+    key's rows, least and largest value alone, so every run of the plan makes the same one.
+    """
+    size = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.count("*").alias("_rows"), F.min(at).alias("_least"), F.max(at).alias("_most")).filter(F.col("_rows") > rows)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    parts = F.ceil(F.col("_rows") / rows)
+    place = F.floor((F.col(at) - F.col("_least")) / F.nullif(F.col("_most") - F.col("_least"), F.lit(0)) * parts)
+    return df.join(size, same, "left").withColumn("_slice", F.coalesce(F.least(place, parts - 1), F.lit(0)).cast("long")).select(*df.columns, "_slice")
+
+
+def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: Column | float, strict: bool = False, tie: tuple[str, ...] = (), rows: int = SLICE_ROWS) -> DataFrame:
     """Adds ``island``: rows of a key in order of start; a new island begins where a start lies more than
-    ``gap`` (strict: ``gap`` or more) after every end so far."""
-    order = W.partitionBy(*keys).orderBy(start, end, *tie)
-    before = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
+    ``gap`` (strict: ``gap`` or more) after every end so far.
+
+    A key with more than ``rows`` rows is cut into slices of time that are ordered apart: each slice finds its own
+    running end, and one row of each (its largest end, then its number of islands) carries on to the slices behind.
+    """
+    cut = slices(df, keys, start, rows)
+    own, order = [*keys, "_slice"], W.partitionBy(*keys, "_slice").orderBy(start, end, *tie)
+    upto = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+
+    def carried(frame: DataFrame, name: str, one: Column, all_: Callable[[str], Column]) -> DataFrame:
+        """Joins to each row what the slices before its own give."""
+        each = frame.groupBy(*own).agg(one.alias(name)).withColumn(name, all_(name).over(upto)).filter(F.col(name).isNotNull())
+        each = each.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(own)), name)
+        return frame.join(each, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(own)], "left").select(*frame.columns, name)
+
+    cut = carried(cut, "_reach", F.max(end), F.max)
+    before = F.greatest(F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1)), F.col("_reach"))
     apart = (F.col(start) - before >= gap) if strict else (F.col(start) - before > gap)
-    return df.withColumn("island", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    cut = cut.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int"))
+    cut = carried(cut, "_past", F.sum("_new"), F.sum)
+    island = F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce("_past", F.lit(0))
+    return cut.withColumn("island", island).select(*df.columns, "island")
 
 
 def gap_merge(df: DataFrame, keys: list[str], start: str, end: str, gap: Column | float, aggs: list[Column] = (), strict: bool = False, tie: tuple[str, ...] = ()) -> DataFrame:
@@ -104,6 +137,25 @@ def cooldown(df: DataFrame, keys: list[str], t: str, c: float) -> DataFrame:
     return fold_sorted(rows, keys, [t], lambda: None, step, ", ".join(f"`{k}` {v}" for k, v in rows.dtypes))
 
 
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, within: int) -> DataFrame:
+    """Rows of ``left`` with the nearest row of ``right`` of equal keys: adds ``near_<at>`` and ``near_<value>``; of two
+    equally near the earlier one counts, and rows with none at most ``within`` away are dropped.
+
+    Both sides lie in one order and each row takes the last row of the right side before it and the first one behind,
+    so no pairs are made. ``at`` is a whole number (such as microseconds).
+    """
+    one = lambda df, mark: df.select(*keys, at, F.struct(*df.columns).alias("_row") if mark else F.lit(None).alias("_row"), (F.lit(None) if mark else F.struct(F.col(at).alias("t"), F.col(value).alias("v"))).alias("_seen"))
+    both = one(left, True).unionByName(one(right.filter(F.col(at).isNotNull()), False))
+    order = W.partitionBy(*keys).orderBy(at)
+    low = F.last("_seen", True).over(order.rangeBetween(W.unboundedPreceding, 0))
+    high = F.first("_seen", True).over(order.rangeBetween(0, W.unboundedFollowing))
+    met = both.withColumns({"_low": low, "_high": high}).filter("_row is not null")
+    before, behind = F.col(at) - F.col("_low.t"), F.col("_high.t") - F.col(at)
+    best = F.when(F.coalesce(before <= behind, behind.isNull()), F.col("_low")).otherwise(F.col("_high"))
+    rows = met.withColumn("_best", best).filter(F.abs(F.col("_best.t") - F.col(at)) <= within)
+    return rows.select("_row.*", F.col("_best.t").alias(f"near_{at}"), F.col("_best.v").alias(f"near_{value}"))
+
+
 def padded(start: Column, end: Column, pad: Column | float, least: float, most: Column | float) -> tuple[Column, Column]:
     """Pads an interval, then grows or trims it about its centre; the start is clipped at 0, the end is not."""
     s, e = start - pad, end + pad

@@ -17,10 +17,11 @@ GATE = 0.5
 def timed_counts(videos: DataFrame, truth: DataFrame, pred: DataFrame, video: str, keys: list[str], gate: float = GATE) -> DataFrame:
     """For each video: n_truth, n_pred, matched one to one at ``gate`` or more, false_alarms, mean_iou of the matches.
 
-    truth and pred: ``keys`` (the video, and the class where it must agree), id, start, end. A prediction
-    without times matches nothing and counts as a false alarm.
+    truth and pred: ``keys`` (the video, and the class where it must agree), id, start, end. Truth without times is of
+    another level and does not count; a prediction without times matches nothing and counts as a false alarm.
     """
-    match = greedy_match(overlaps(truth.filter("start is not null and end is not null"), pred.filter("start is not null and end is not null"), keys, gate), video)
+    truth = truth.filter("start is not null and end is not null")
+    match = greedy_match(overlaps(truth, pred.filter("start is not null and end is not null"), keys, gate), video)
     per = match.groupBy(video).agg(F.count("*").alias("matched"), F.avg("iou").alias("mean_iou"))
     n = lambda df, name: df.groupBy(video).agg(F.count("*").alias(name))
     all_ = videos.select(video).join(n(truth, "n_truth"), video, "left").join(n(pred, "n_pred"), video, "left").join(per, video, "left").fillna(0, ["n_truth", "n_pred", "matched"])

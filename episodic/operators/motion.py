@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .intervals import fold_sorted
 
-
-def _times(m: list[float], c: list[float]) -> list[float]:
+def _times(m: Column, c: Column) -> Column:
     """Product of two 2x3 affine matrices stored by row: first c, then m."""
-    return [m[3 * r] * c[k] + m[3 * r + 1] * c[3 + k] + (m[3 * r + 2] if k == 2 else 0.0) for r in range(2) for k in range(3)]
+    at = lambda r, k: F.get(m, 3 * r) * F.get(c, k) + F.get(m, 3 * r + 1) * F.get(c, 3 + k) + (F.get(m, 3 * r + 2) if k == 2 else F.lit(0.0))
+    return F.array(*(at(r, k) for r in range(2) for k in range(3)))
+
 
+IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
 
-def cumulative_affine(frames: DataFrame, key: str, order: str, matrix: str) -> DataFrame:
-    """For each frame the product of all its key's matrices so far; null matrices (failed frames) are passed over."""
 
-    def step(c: list[float], f: dict) -> tuple[list[float], dict]:
-        c = c if f["m"] is None else _times(f["m"], c)
-        return c, {key: f[key], order: f[order], "total": c}
+def cumulative_affine(frames: DataFrame, key: str, order: str, matrix: str, block: int = 256) -> DataFrame:
+    """For each frame the product of all its key's matrices so far; null matrices (failed frames) are passed over.
 
-    rows = frames.select(key, F.col(order).cast("long").alias(order), F.col(matrix).alias("m"))
-    return fold_sorted(rows, [key], [order], lambda: [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], step, f"`{key}` {dict(rows.dtypes)[key]}, `{order}` bigint, total array<double>")
+    The product is associative, so it is a scan: blocks of ``block`` frame numbers are multiplied apart, blocks of
+    blocks in the same way, and what lies before a block is multiplied into its frames. No array is longer than
+    ``block`` frames (the last one: frames / block^2), and a long video spreads over the tasks.
+    """
+    one = F.array(*map(F.lit, IDENTITY))
+    rows = frames.select(key, F.col(order).cast("long").alias("_at"), F.coalesce(F.col(matrix).cast("array<double>"), one).alias("_m"))
+    return _scan(rows, key, block, 2).select(key, F.col("_at").alias(order), F.col("_m").alias("total"))
+
+
+def _scan(rows: DataFrame, key: str, block: int, levels: int) -> DataFrame:
+    """Running products of rows key, _at, _m."""
+    blocks = rows.withColumn("_b", F.floor(F.col("_at") / block) if levels else F.lit(0).cast("long"))
+    lists = blocks.groupBy(key, "_b").agg(F.sort_array(F.collect_list(F.struct("_at", "_m"))).alias("_l"))
+    step = lambda s, x: F.array_append(s, F.struct(x["_at"].alias("_at"), _times(x["_m"], F.coalesce(F.element_at(s, F.lit(-1))["_m"], F.array(*map(F.lit, IDENTITY)))).alias("_m")))
+    none = F.array().cast("array<struct<_at:bigint,_m:array<double>>>")
+    first = lambda l: F.array(F.struct(F.get(l, 0)["_at"].alias("_at"), F.get(l, 0)["_m"].alias("_m")))
+    done = lists.withColumn("_l", F.when(F.size("_l") > 0, F.aggregate(F.slice("_l", 2, F.size("_l")), first(F.col("_l")), step)).otherwise(none))
+    if not levels:
+        return done.select(key, F.explode("_l").alias("x")).select(key, "x._at", "x._m")
+    total = done.select(key, (F.col("_b") + 1).alias("_at"), F.element_at("_l", -1)["_m"].alias("_m"))
+    # The product up to a block stands at the number of the next block that the key has.
+    before = _scan(total, key, block, levels - 1)
+    order = W.partitionBy(key).orderBy("_b")
+    marked = done.unionByName(before.select(key, F.col("_at").alias("_b"), F.col("_m").alias("_p")), allowMissingColumns=True)
+    carried = marked.withColumn("_c", F.last("_p", True).over(order.rangeBetween(W.unboundedPreceding, 0))).filter("_l is not null")
+    return carried.select(key, F.explode("_l").alias("x"), "_c").select(key, "x._at", F.when(F.col("_c").isNull(), F.col("x._m")).otherwise(_times(F.col("x._m"), F.col("_c"))).alias("_m"))
 
 
 def stabilised(points: DataFrame, totals: DataFrame, key: str, order: str, x: str, y: str) -> DataFrame:

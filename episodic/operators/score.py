@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import f1, floored, iou_1d, ratio
+from .rounds import checkpointed
 
 
 def confusion(df: DataFrame, truth: Column, pred: Column, keys: list[str] = ()) -> DataFrame:
@@ -35,32 +34,76 @@ def set_accuracy(truth: DataFrame, pred: DataFrame, key: str, label: str) -> Dat
     return both.agg(F.count("*").alias("n"), F.count_if(F.col("t") == F.col("p")).alias("exact"))
 
 
+def leveled(df: DataFrame, start: str, end: str, width: float, most: Column) -> DataFrame:
+    """Deals intervals to an index of nested cells: adds level, cell and home.
+
+    Cells of level k are ``width`` * 4^k long. An interval is at home on the first level whose cells are as long as it,
+    where it touches two cells at most; it visits the levels above, up to ``most``, to meet longer ones. So a long
+    interval makes no more rows than a short one.
+    """
+    own = F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest((F.col(end) - F.col(start)) / width, F.lit(1.0))))).cast("int")
+    size = lambda k: F.lit(width) * F.pow(F.lit(4.0), k)
+    rows = df.withColumn("_own", own).withColumn("level", F.explode(F.sequence("_own", F.greatest(most, F.col("_own")))))
+    rows = rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col(start) / size(F.col("level"))), F.floor(F.col(end) / size(F.col("level"))))))
+    return rows.withColumn("home", F.col("level") == F.col("_own")).drop("_own")
+
+
 def overlaps(truth: DataFrame, pred: DataFrame, keys: list[str], least: float = 0.0, width: float = 24.0) -> DataFrame:
     """Pairs of intervals (id, start, end) of equal keys that overlap, with their iou.
 
-    Both sides are dealt to time cells of ``width`` and meet there; a pair counts in the cell of the later start.
+    Both sides meet in nested time cells, on the level of the longer one; a pair counts in the cell of the later start.
+    """
+    t = truth.select(*keys, F.col("id").alias("t_id"), F.col("start").alias("t0"), F.col("end").alias("t1")).filter("t0 <= t1")
+    p = pred.select(*keys, F.col("id").alias("p_id"), F.col("start").alias("p0"), F.col("end").alias("p1")).filter("p0 <= p1")
+    span = lambda df, a, b: df.agg(F.coalesce(F.max(F.col(b) - F.col(a)), F.lit(0)).alias("_most"))
+    level = F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(F.col("_most") / width, F.lit(1.0))))).cast("int")
+    # What is longer than all of the other side is met at home: no interval visits further than the longest of the other side is.
+    t = leveled(t.crossJoin(F.broadcast(span(p, "p0", "p1"))), "t0", "t1", width, level).drop("_most")  # one row on the right
+    p = leveled(p.crossJoin(F.broadcast(span(truth.select(F.col("start").alias("t0"), F.col("end").alias("t1")), "t0", "t1"))), "p0", "p1", width, level).drop("_most")  # one row on the right
+    t, p = t.withColumnRenamed("home", "_t"), p.withColumnRenamed("home", "_p")
+    here = F.col("cell") == F.floor(F.greatest("t0", "p0") / (F.lit(width) * F.pow(F.lit(4.0), F.col("level"))))
+    meet = t.join(p, [*keys, "level", "cell"]).filter((F.col("t0") < F.col("p1")) & (F.col("p0") < F.col("t1")) & (F.col("_t") | F.col("_p")) & here)
+    return meet.drop("cell", "level", "_t", "_p").withColumn("iou", iou_1d(F.col("t0"), F.col("t1"), F.col("p0"), F.col("p1"))).filter(F.col("iou") >= least)
+
+
+def _dominant(left: DataFrame, key: str) -> DataFrame:
+    """Pairs that are the largest at both of their ends."""
+    best = lambda side: left.groupBy(key, side).agg(F.max(F.struct("iou", "t_id", "p_id")).alias("b")).select(F.col(key), "b.*")
+    return best("t_id").join(best("p_id"), [key, "t_id", "p_id", "iou"])
+
+
+def greedy_match(pairs: DataFrame, key: str, small: int = 200) -> DataFrame:
+    """One-to-one matches for each key: pairs from large to small (iou, t_id, p_id), taken if both are free.
+
+    Keys with up to ``small`` pairs are walked through in one sorted array. Larger ones go in rounds over all their
+    pairs: what is the largest pair at both its ends is taken, as nothing can come before it, and its neighbours
+    drop out. That equals the order from large to small, and no task sees a whole key; a round goes through the
+    checkpoint folder, and their number is the longest chain of neighbours with falling overlaps.
     """
-    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    t = truth.select(*keys, F.col("id").alias("t_id"), F.col("start").alias("t0"), F.col("end").alias("t1")).filter("t0 <= t1").withColumn("cell", cells("t0", "t1"))
-    p = pred.select(*keys, F.col("id").alias("p_id"), F.col("start").alias("p0"), F.col("end").alias("p1")).filter("p0 <= p1").withColumn("cell", cells("p0", "p1"))
-    meet = t.join(p, [*keys, "cell"]).filter((F.col("t0") < F.col("p1")) & (F.col("p0") < F.col("t1")) & (F.col("cell") == F.floor(F.greatest("t0", "p0") / width)))
-    return meet.drop("cell").withColumn("iou", iou_1d(F.col("t0"), F.col("t1"), F.col("p0"), F.col("p1"))).filter(F.col("iou") >= least)
-
-
-def greedy_match(pairs: DataFrame, key: str) -> DataFrame:
-    """One-to-one matches for each key: pairs from large to small (iou, t_id, p_id), taken if both are free."""
-
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        used_t, used_p, keep = set(), set(), []
-        for row in frame.sort_values(["iou", "t_id", "p_id"], ascending=False, kind="stable").itertuples():
-            if row.t_id not in used_t and row.p_id not in used_p:
-                used_t.add(row.t_id)
-                used_p.add(row.p_id)
-                keep.append(row.Index)
-        return frame.loc[keep, [key, "t_id", "p_id", "iou"]]
-
-    kinds = dict(pairs.dtypes)
-    return pairs.groupBy(key).applyInPandas(pick, ", ".join(f"{c} {kinds[c]}" for c in (key, "t_id", "p_id", "iou")))
+    kind = dict(pairs.dtypes)
+    rows = pairs.select(key, "t_id", "p_id", "iou").filter(F.col(key).isNotNull())
+    size = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    pair = F.struct("iou", "t_id", "p_id")
+    nothing = F.struct(*(F.array().cast(f"array<{kind[c]}>").alias(c) for c in ("t_id", "p_id")), F.array().cast(f"array<struct<iou:{kind['iou']},t_id:{kind['t_id']},p_id:{kind['p_id']}>>").alias("taken"))
+
+    def walk(s: Column, x: Column) -> Column:
+        free = ~F.array_contains(s["t_id"], x["t_id"]) & ~F.array_contains(s["p_id"], x["p_id"])
+        return F.when(free, F.struct(F.array_append(s["t_id"], x["t_id"]).alias("t_id"), F.array_append(s["p_id"], x["p_id"]).alias("p_id"), F.array_append(s["taken"], x).alias("taken"))).otherwise(s)
+
+    def walked(some: DataFrame) -> DataFrame:
+        lists = some.groupBy(key).agg(F.sort_array(F.collect_list(pair), False).alias("all"))
+        return lists.select(key, F.explode(F.aggregate("all", nothing, walk, lambda s: s["taken"])).alias("x")).select(key, "x.t_id", "x.p_id", "x.iou")
+
+    large = size.filter(F.col("_n") > small).select(key)
+    if large.isEmpty():
+        return walked(rows)
+    out = walked(rows.join(large, key, "left_anti"))
+    left = checkpointed(rows.join(large, key, "left_semi"))
+    while not left.isEmpty():
+        taken = checkpointed(_dominant(left, key))
+        out = out.unionByName(taken.select(key, "t_id", "p_id", "iou"))
+        left = checkpointed(left.join(taken.select(key, "t_id"), [key, "t_id"], "left_anti").join(taken.select(key, "p_id"), [key, "p_id"], "left_anti"))
+    return out
 
 
 def level_one(df: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import product
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import floored, ratio
 from .decide import background, ranked, top_of_ranked
+from .rounds import checkpointed
 
 
 def rule_grid() -> list[tuple[float, int, float, float]]:
@@ -71,3 +72,84 @@ def held_out(rows: DataFrame, key: str, setting: str, good: str) -> DataFrame:
     others = F.sum("own").over(W.partitionBy(setting)) - F.col("own")
     ranked = own.withColumn("others", others).withColumn("r", F.row_number().over(W.partitionBy(key).orderBy(F.desc("others"), setting)))
     return ranked.filter("r = 1").select(key, setting, "own", "others")
+
+
+def _picked(order: Column, low: Column, thresholds: Column, k: int, margin: float, normal: int) -> Column:
+    """Classes to report under one threshold for each class, normal where there is none."""
+    able = F.filter(order, lambda x: (x["c"] != normal) & (x["p"] >= F.get(thresholds, x["c"])))
+    first = F.get(able, 0)["p"]
+    near = F.slice(F.filter(able, lambda x: first - x["p"] <= margin), 1, k)
+    return F.coalesce(F.when(first >= low, F.transform(near, lambda x: x["c"])), F.array(F.lit(normal)))
+
+
+def _counts(picked: Column, truth: Column, classes: int) -> tuple[Column, Column]:
+    """Right and reported classes of one video, as arrays of 0 and 1."""
+    every = F.sequence(F.lit(0), F.lit(classes - 1))
+    return F.transform(every, lambda c: (F.array_contains(picked, c) & F.array_contains(truth, c)).cast("long")), F.transform(every, lambda c: F.array_contains(picked, c).cast("long"))
+
+
+def _macro(right: Column, reported: Column, support: Column) -> Column:
+    """Mean of the rounded F1 over classes with support, rounded again."""
+    f1 = F.array_compact(F.transform(support, lambda s, i: F.when(s > 0, floored(2 * F.get(right, i) / (F.get(reported, i) + s), 3))))
+    return F.coalesce(F.when(F.size(f1) > 0, floored(F.aggregate(f1, F.lit(0.0), lambda a, x: a + x) / F.size(f1), 3)), F.lit(0.0))
+
+
+def retuned(videos: DataFrame, key: str, classes: int, grid: list[float], start: float, passes: int = 2, k: int = 1, margin: float = 0.0, normal: int = 0) -> DataFrame:
+    """Leave-one-video-out tuning of one threshold for each class: rows key, truth, thresholds, picked (for the video, under
+    thresholds tuned without it).
+
+    videos: key, truth (array of classes), probs. Every fold climbs by coordinates, from ``start`` for all classes: a
+    value of the grid is taken where it gains more than 1e-9 of macro-F1 over the other videos. Folds that stand at
+    the same thresholds share one count over all videos, from which each takes its own video's part away; so a step is
+    one aggregate, whatever the number of folds, and the driver holds different thresholds and counts, no videos.
+    """
+    rows = videos.select(key, "truth", ranked(F.col("probs")).alias("order"), background(F.col("probs"), normal).alias("low"))
+    every = F.sequence(F.lit(0), F.lit(classes - 1))
+    own_support = F.transform(every, lambda c: F.array_contains("truth", c).cast("long"))
+    support = rows.agg(*(F.sum(F.get(own_support, c)).alias(f"s{c}") for c in range(classes))).first()
+    support = F.array(*(F.lit(int(s or 0)).cast("long") for s in support))
+    minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    floats = lambda values: F.array(*(F.lit(float(v)) for v in values))
+
+    def step(folds: DataFrame, c: int | None) -> DataFrame:
+        """All folds try the grid for class c (None: only what they have)."""
+        settings = [list(r.thr) for r in folds.select("thr").distinct().collect()]
+        tries = lambda thr: [thr] if c is None else [[*thr[:c], g, *thr[c + 1:]] for g in grid]
+        cfg = F.array(*(F.struct(F.lit(i).alias("sid"), F.lit(j).alias("at"), floats(t).alias("thr")) for i, thr in enumerate(settings) for j, t in enumerate(tries(thr))))
+        each = rows.select("truth", "order", "low", F.explode(cfg).alias("g")).select("truth", "g.sid", "g.at", "g.thr", _picked(F.col("order"), F.col("low"), F.col("g.thr"), k, margin, normal).alias("picked"))
+        right, reported = _counts(F.col("picked"), F.col("truth"), classes)
+        each = each.select("sid", "at", "thr", right.alias("right"), reported.alias("reported"))
+        sums = [F.sum(F.get(n, i)).alias(f"{n}{i}") for n in ("right", "reported") for i in range(classes)]
+        total = each.groupBy("sid", "at", "thr").agg(*sums)
+        total = total.select("sid", F.struct("at", "thr", *(F.array(*(f"{n}{i}" for i in range(classes))).alias(n) for n in ("right", "reported"))).alias("t"))
+        total = total.groupBy("sid").agg(F.sort_array(F.collect_list("t")).alias("tried"))
+        here = folds.withColumn("sid", (F.array_position(F.array(*map(floats, settings)), F.col("thr")) - 1).cast("int")).join(F.broadcast(total), "sid")  # a row for each setting
+
+        def score(t: Column) -> Column:
+            right, reported = _counts(_picked(F.col("order"), F.col("low"), t["thr"], k, margin, normal), F.col("truth"), classes)
+            return _macro(minus(t["right"], right), minus(t["reported"], reported), minus(support, own_support))
+
+        scored = here.withColumn("tried", F.transform("tried", lambda t: F.struct(score(t).alias("m"), t["thr"].alias("thr"))))
+        better = F.aggregate("tried", F.struct(F.col("best").alias("m"), F.col("thr").alias("thr")), lambda s, t: F.when(t["m"] > s["m"] + 1e-9, t).otherwise(s))
+        return checkpointed(scored.select(key, "truth", "order", "low", better.alias("b")).select(key, "truth", "order", "low", F.col("b.thr").alias("thr"), F.col("b.m").alias("best")))
+
+    folds = step(rows.select("*", floats([start] * classes).alias("thr"), F.lit(-1.0).alias("best")), None)
+    for _ in range(passes):
+        before = folds.agg(F.sum("best")).first()[0]
+        for c in range(classes):
+            if c != normal:
+                folds = step(folds, c)
+        if folds.agg(F.sum("best")).first()[0] == before:
+            break
+    return folds.select(key, "truth", F.col("thr").alias("thresholds"), _picked(F.col("order"), F.col("low"), F.col("thr"), k, margin, normal).alias("picked"))
+
+
+def pooled_score(rows: DataFrame, classes: int) -> DataFrame:
+    """All held-out predictions (truth, picked) scored together: class, support, right, reported, f1 and macro_f1."""
+    right, reported = _counts(F.col("picked"), F.col("truth"), classes)
+    held = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.array_contains("truth", c).cast("long"))
+    each = rows.select(F.posexplode(F.arrays_zip(right.alias("right"), reported.alias("reported"), held.alias("support"))).alias("class", "n"))
+    n = each.groupBy("class").agg(*(F.sum(f"n.{c}").alias(c) for c in ("support", "right", "reported")))
+    n = n.withColumn("f1", floored(F.coalesce(F.try_divide(2 * F.col("right"), F.col("reported") + F.col("support")), F.lit(0.0)), 3))
+    macro = n.agg(floored(F.avg(F.when(F.col("support") > 0, F.col("f1"))), 3).alias("macro_f1"))
+    return n.crossJoin(F.broadcast(macro))  # one row on the right

@@ -72,21 +72,28 @@ def rollup(docs: DataFrame) -> DataFrame:
 
 
 def write_document(predictions: DataFrame, path: str, head: dict[str, object], errors: DataFrame | None = None, limit: int = LIMIT_BYTES) -> int:
-    """Writes one JSON document of the predictions; returns its size. The file is written even if it has errors, which are raised after.
+    """Writes one JSON document of the predictions; returns its size.
 
-    A document is bounded by ``limit``: beyond it nothing is collected and the call fails.
+    The file is written even if it is too large or has errors, so that it can be looked at; those are raised after.
+    Rows stream to the file one partition at a time, so the driver never holds the document.
     """
     import json
 
-    rows = predictions.select(F.to_json(F.struct("*")).alias("v"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("v") + 1), F.lit(0))).first()[0] + len(json.dumps(head))
-    if size > limit:
-        raise ValueError(f"{size} bytes: a submission may have {limit}")
-    text = json.dumps(head | {"predictions": [json.loads(r.v) for r in rows.collect()]}, indent=2, ensure_ascii=False)
+    size, first = 0, True
     with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
-    if len(text.encode()) > limit:
-        raise ValueError(f"{len(text.encode())} bytes: a submission may have {limit}")
-    if errors is not None and (some := errors.limit(20).collect()):
-        raise ValueError("; ".join(f"{r.id}: {r.rule}" for r in some))
-    return len(text.encode())
+        def put(text: str) -> None:
+            nonlocal size
+            f.write(text)
+            size += len(text.encode())
+
+        put(json.dumps(head, indent=2, ensure_ascii=False)[:-1].rstrip() + (",\n" if head else "\n") + '  "predictions": [')
+        for r in predictions.select(F.to_json(F.struct("*")).alias("v")).toLocalIterator():
+            put(("\n" if first else ",\n") + "    " + json.dumps(json.loads(r.v), indent=2, ensure_ascii=False).replace("\n", "\n    "))
+            first = False
+        put("\n  ]\n}" if not first else "]\n}")
+    said = [f"{size} bytes: a submission may have {limit}"] if size > limit else []
+    if errors is not None:
+        said += [f"{r.id}: {r.rule}" for r in errors.limit(20).collect()]
+    if said:
+        raise ValueError("; ".join(said))
+    return size

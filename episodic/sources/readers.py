@@ -182,3 +182,21 @@ def write_rows(df: DataFrame, path: str) -> None:
 
 def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
+
+
+def append_stream(stream: DataFrame, path: str, checkpoint: str, **options: str):
+    """Starts a query that appends a stream to a folder of JSON lines; a batch that runs again replaces its own rows.
+
+    Every batch has a folder of its own, named by its number: the folders are the ledger of batches, and writing one
+    anew after a failure leaves neither half a batch nor rows twice. ``read_stream_folder`` reads them.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").json(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(options or {"availableNow": True})).start()
+
+
+def read_stream_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows that ``append_stream`` wrote, without the batch numbers."""
+    return spark.read.schema(f"{schema}, batch bigint").json(path).drop("batch")
