@@ -29,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -191,6 +192,20 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
+class _WordSlots(dict):
+    """Memo of the place of a word, twice, and its sign; emptied when it grows past its bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        i, sign = _slot(word.lower(), WORD)
+        value = self[word] = i << 1 | (sign > 0)
+        return value
+
+
+_WORDS = _WordSlots()
+
+
 @lru_cache(maxsize=1 << 14)
 def _path_vector(plus: int, minus: int, leaf: tuple[str, ...]) -> np.ndarray:
     bits = lambda x: np.unpackbits(np.frombuffer(x.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
@@ -208,7 +223,7 @@ def _numbers(page: list[Block]) -> np.ndarray:
     of = np.zeros(len(page), np.int64)
     for k, (path, text, linked) in enumerate(page):
         n, words = len(text), text.count(" ") + 1
-        own[k] = n, words, min(1.0, linked / n), text.count(".") + text.count("!") + text.count("?"), text.count(",") + text.count(";"), sum(map(str.isdigit, text[:200])), text[-1] in ".!?:\"\u201d\u3002", text[:1].isupper()
+        own[k] = n, words, min(1.0, linked / n), text.count(".") + text.count("!") + text.count("?"), text.count(",") + text.count(";"), sum(map(text[:200].count, "0123456789")), text[-1] in ".!?:\"\u201d\u3002", text[:1].isupper()
         of[k] = group.setdefault(path.key, len(group))
     count = np.bincount(of).astype(np.float32)
     mean = lambda x: (np.bincount(of, x) / count)[of]
@@ -224,13 +239,13 @@ def features(page: list[Block], lo: int = 0, hi: int | None = None, numbers: np.
     """Vectors of the blocks lo to hi of a page."""
     part = page[lo:hi]
     x = np.zeros((len(part), INPUT), np.float32)
-    for k, (path, text, _) in enumerate(part):
-        words = text.split(" ")
+    words = [text.split(" ") for _, text, _ in part]
+    for k, (path, _, _) in enumerate(part):
         x[k, :PATH] = _path_vector(path.plus, path.minus, path.names[-2:])
-        for w in words:
-            i, sign = _slot(w.lower(), WORD)
-            x[k, PATH + i] += sign
-        x[k, PATH:PATH + WORD] *= 0.3 / len(words) ** 0.5
+    count = np.fromiter(map(len, words), np.int64, len(part))
+    code = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(words)), np.int64, int(count.sum()))
+    sums = np.bincount(np.repeat(np.arange(len(part)) * WORD, count) + (code >> 1), (code & 1) * 2 - 1, len(part) * WORD).reshape(-1, WORD)
+    x[:, PATH:PATH + WORD] = sums * (0.3 / np.maximum(count, 1) ** 0.5)[:, None]
     x[:, PATH + WORD:] = (_numbers(page) if numbers is None else numbers)[lo:hi]
     return x
 
