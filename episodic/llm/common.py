@@ -109,15 +109,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``checkpoint``, but as a Parquet table, which is compressed; the session's end removes it."""
+def stored(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
+    """Like ``checkpoint``, but as a Parquet table, which is compressed; the session's end removes it.
+
+    ``instead`` is an earlier result of this function that is no longer read: its table goes at once.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     with _shuffles_freed(spark):
         df.select("*").write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
-    return spark.read.parquet(path)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.deleteOnExit(at)
+    if old := getattr(instead, "_stored_at", None):
+        files.delete(old, True)
+    out = spark.read.parquet(path)
+    out._stored_at = at
+    return out
 
 
 def split_words(text: str | None) -> list[bytes]:

@@ -195,9 +195,11 @@ class Group:
         self.start = np.repeat(self.starts, self.lengths)
         self.left = self.start + np.repeat(self.lengths, self.lengths) - np.arange(len(self.data))
         self.many = np.repeat(np.array(self.table.column("many").to_pylist(), bool), self.lengths)
-        self.names = None if names[0] is None else np.frombuffer(b"".join(names), np.int64)
         self.found = None if found[0] is None else np.frombuffer(b"".join(found), bool)
         self.residue = ((np.arange(len(self.data)) - self.start) % PERIOD).astype(np.int8)
+        self.names = None if names[0] is None else np.full(len(self.data), -1, np.int64)
+        if self.names is not None:
+            self.names[self.sampled()] = np.frombuffer(b"".join(names), np.int64)
 
     def sampled(self, d: int = 0) -> np.ndarray:
         return np.isin(np.arange(PERIOD) + d, [c + k * PERIOD for c in COVER for k in (0, 1)])[self.residue]
@@ -264,15 +266,18 @@ class Group:
         by_slot[names.column("slot").to_numpy()] = names.column("name").to_numpy()
         return at, by_slot[np.cumsum(new) - 1]
 
-    def cut(self, flat: np.ndarray) -> pa.Array:
-        return pa.array([flat[a:a + n].tobytes() for a, n in zip(self.starts, self.lengths, strict=True)], pa.binary())
+    def cut(self, flat: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+        """Values of all places, or of those of the mask, as bytes for each piece."""
+        return pa.array([(flat[a:a + n] if mask is None else flat[a:a + n][mask[a:a + n]]).tobytes() for a, n in zip(self.starts, self.lengths, strict=True)], pa.binary())
 
 
-_KEYS = ["a0", "a1", "a2", "a3"]
+def _columns(step: Step) -> list[str]:
+    """The parts of a key: three, or four where more than eight bytes stand beside the name."""
+    return ["a0", "a1", "a2", "a3"][:4 if step.width - step.depth > 8 else 3]
 
 
 def _sent(step: Step, bits, bounds):
-    """Each different key of a group, with its number there, whether it stands there twice, and its bucket of first parts."""
+    """Each different key of a group: who (group and its number there), its bucket of first parts and whether it stands there twice, in one number, and its parts."""
 
     def run(table: pa.Table) -> pa.Table:
         group = Group(table)
@@ -281,39 +286,43 @@ def _sent(step: Step, bits, bounds):
         twice = np.diff(np.append(first, len(at))) > 1
         if len(first):
             twice |= np.logical_or.reduceat(group.many[at], first)
-        g = table.column("g")[0].as_py()
-        return pa.table({"g": pa.array(np.full(len(first), g)), "slot": pa.array(np.arange(len(first))), "twice": pa.array(twice), "bucket": pa.array(np.searchsorted(bounds, keys[0][first], "right")),
-                         **{c: pa.array(x[first]) for c, x in zip(_KEYS, keys, strict=True)}})
+        who = (table.column("g")[0].as_py() << 32) + np.arange(len(first))
+        bucket = np.searchsorted(bounds, keys[0][first], "right") << 1 | twice
+        return pa.table({"who": pa.array(who), "bucket": pa.array(bucket), **{c: pa.array(x[first]) for c, x in zip(_columns(step), keys, strict=False)}})
 
     return run
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named(step: Step):
     """From sorted keys: names by rank for the keys that stand twice, by the order of buckets and a count within."""
-    name, held = 0, None
 
     def named(cols: list[np.ndarray], new: np.ndarray, name: int) -> pa.RecordBatch:
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(new)))
-        good = np.repeat((count > 1) | np.logical_or.reduceat(cols[2], first), count)
-        return pa.RecordBatch.from_arrays([pa.array(cols[0][good]), pa.array(cols[1][good]), pa.array(((cols[3] << 40) + name + np.cumsum(new))[good])], ["g", "slot", "name"])
+        good = np.repeat((count > 1) | np.logical_or.reduceat((cols[1] & 1).astype(bool), first), count)
+        made = ((cols[1] >> 1 << 40) + name + np.cumsum(new))[good]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0][good] >> 32), pa.array(cols[0][good] & 0xFFFFFFFF), pa.array(made)], ["g", "slot", "name"])
 
-    for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "slot", "twice", "bucket", *_KEYS)]
-        cols = cols if held is None else [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
-        if not len(cols[0]):
-            continue
-        new = np.ones(len(cols[0]), bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[4:]])
-        last = int(np.flatnonzero(new)[-1])
-        held = [c[last:] for c in cols]
-        if last:
-            yield named([c[:last] for c in cols], new[:last], name)
-            name += int(new[:last].sum())
-    if held is not None:
-        new = np.zeros(len(held[0]), bool)
-        new[0] = True
-        yield named(held, new, name)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = 0, None
+        for batch in batches:
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("who", "bucket", *_columns(step))]
+            cols = cols if held is None else [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            new = np.ones(len(cols[0]), bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[2:]])
+            last = int(np.flatnonzero(new)[-1])
+            held = [c[last:] for c in cols]
+            if last:
+                yield named([c[:last] for c in cols], new[:last], name)
+                name += int(new[:last].sum())
+        if held is not None:
+            new = np.zeros(len(held[0]), bool)
+            new[0] = True
+            yield named(held, new, name)
+
+    return run
 
 
 def _kept(step: Step):
@@ -326,10 +335,10 @@ def _kept(step: Step):
         if step.kind == "whole":
             found = np.zeros(len(group.data), bool)
             found[at[got >= 0]] = True
-            return table.append_column("names", group.cut(group.names)).append_column("found", group.cut(found))
+            return table.append_column("names", group.cut(group.names, group.sampled())).append_column("found", group.cut(found))
         out = np.full(len(group.data), -1, np.int64)
         out[at] = got
-        return table.append_column("names", group.cut(out)).append_column("found", pa.nulls(len(table), pa.binary()))
+        return table.append_column("names", group.cut(out, group.sampled())).append_column("found", pa.nulls(len(table), pa.binary()))
 
     return run
 
@@ -375,9 +384,9 @@ def repeated_spans(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
     none = F.lit(None).cast("binary")
     now = stored(pieces.join(_small(parts, F.lit(32)), "least", "left").select(g.alias("g"), "k1", "k2", "many", "piece", none.alias("names"), none.alias("found")))
     bits, n = None, shuffle_partitions(spark)
-    keys = ", ".join(f"{k} long" for k in _KEYS)
-    row = f"g long, slot long, twice boolean, bucket long, {keys}"
     for step in steps(width):
+        keys = _columns(step)
+        row = ", ".join(f"{k} long" for k in ("who", "bucket", *keys))
         if step.kind == "ends":
             asked = stored(now.groupBy("g").applyInArrow(_asked(step), "h long"))
             bits = spark.sparkContext.broadcast(_bit_map(asked, asked.count()))
@@ -386,11 +395,12 @@ def repeated_spans(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
         at = [k / (4 * n) for k in range(1, 4 * n)]
         bounds = np.unique(np.array(some.agg(F.percentile_approx("a0", at, 10_000)).first()[0] or [], np.int64))
         sent = now.groupBy("g").applyInArrow(_sent(step, bits, bounds), row)
-        names = sent.repartition(n, "bucket").sortWithinPartitions("bucket", *_KEYS).mapInArrow(_named, "g long, slot long, name long")
+        dealt = sent.repartition(n, F.shiftright("bucket", 1)).sortWithinPartitions(F.shiftright("bucket", 1), *keys)
+        names = dealt.mapInArrow(_named(step), "g long, slot long, name long")
         both = now.groupBy("g").cogroup(names.groupBy("g"))
         if step.kind == "ends":
-            return stored(both.applyInArrow(_judged(step, bits), "k1 long, k2 long, begins array<long>, ends array<long>"))
-        now = stored(both.applyInArrow(_kept(step), "g long, k1 long, k2 long, many boolean, piece binary, names binary, found binary"))
+            return stored(both.applyInArrow(_judged(step, bits), "k1 long, k2 long, begins array<long>, ends array<long>"), instead=now)
+        now = stored(both.applyInArrow(_kept(step), "g long, k1 long, k2 long, many boolean, piece binary, names binary, found binary"), instead=now)
     raise AssertionError
 
 
