@@ -77,27 +77,33 @@ def look_back(df: DataFrame, keys: list[str], t_us: str, span_us: int, columns:
     return df.withColumns({f"ref_{c}": F.first(c).over(w) for c in columns})
 
 
-def others_median(df: DataFrame, keys: list[str], value: str, tie: str, least: int = 3, peer: Column | None = None) -> DataFrame:
-    """Adds ``others_median``: median of the group's other peers (null below ``least`` of them).
+def others_median(df: DataFrame, keys: list[str], value: str, tie: str, least: int = 3, peer: Column | None = None, rows: int = SLICE_ROWS) -> DataFrame:
+    """Adds ``others_median``: median of the group's other peers (null below ``least`` of them); ``tie`` is not needed.
 
-    Only the few middle values of each group are looked up by rank, so a row never carries its group.
+    The middle is found by selection: a large group is cut into slices of values, their sizes tell which slices hold
+    the few middle ranks, and only the rows of those are ordered. With those values at hand a row's own value tells
+    what its absence moves: of all but one, the k-th is the next one of all, if the one left out is no larger.
     """
-    group = W.partitionBy(*keys)
     is_peer = F.lit(True) if peer is None else F.coalesce(peer, F.lit(False))
-    ranked = df.withColumn("_peer", is_peer & F.col(value).isNotNull())
-    ranked = ranked.withColumns({"_n": F.count_if("_peer").over(group), "_r": F.when(F.col("_peer"), F.row_number().over(W.partitionBy(*keys, "_peer").orderBy(value, tie)))})
-    at = lambda k: F.max(F.when(F.col("_r") == k, F.col(value))).over(group)
-    # Of all n peers or of n - 1: the middle ones lie at these ranks of the whole group.
-    low = F.floor(F.col("_n") / 2)
-    ranked = ranked.withColumns({f"_v{k}": at(low + k) for k in (-1, 0, 1, 2)} | {"_low": low})
-    others = F.col("_n") - F.col("_peer").cast("int")
+    marked = df.withColumn("_peer", is_peer & F.col(value).isNotNull())
+    cut, group = slices(marked.filter("_peer").select(*keys, value), keys, value, rows), W.partitionBy(*keys)
+    sizes = cut.groupBy(*keys, "_slice").agg(F.count("*").alias("_c"))
+    sizes = sizes.withColumns({"_before": F.sum("_c").over(group.orderBy("_slice")) - F.col("_c"), "_n": F.sum("_c").over(group)})
+    low = F.floor(F.col("_n") / 2)  # of all n or of n - 1, the middle ones lie at ranks low - 1 to low + 2 of the whole group
+    wanted = sizes.filter((F.col("_before") < low + 2) & (F.col("_before") + F.col("_c") >= low - 1)).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_slice"])), "_before", "_n")
+    near = cut.join(wanted, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, "_slice"])])
+    near = near.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(value)) + F.col("_before"))
+    stats = near.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.first("_n").alias("_n"), *(F.max(F.when(F.col("_r") == low + k, F.col(value))).alias(f"_v{k}") for k in (-1, 0, 1, 2)))
+    both = marked.join(stats, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left").withColumn("_low", low)
+    others = F.coalesce(F.col("_n"), F.lit(0)) - F.col("_peer").cast("int")
 
     def kth(k: Column) -> Column:
-        place = F.when(F.col("_r") <= k, k + 1).otherwise(k) - F.col("_low")
-        return F.when(place == -1, F.col("_v-1")).when(place == 0, F.col("_v0")).when(place == 1, F.col("_v1")).when(place == 2, F.col("_v2"))
+        at = lambda place: F.when(place == -1, F.col("_v-1")).when(place == 0, F.col("_v0")).when(place == 1, F.col("_v1")).when(place == 2, F.col("_v2"))
+        place = k - F.col("_low")
+        return F.when(F.col("_peer") & (F.col(value) <= at(place)), at(place + 1)).otherwise(at(place))
 
     median = (kth(F.floor((others + 1) / 2)) + kth(F.floor(others / 2) + 1)) / 2
-    return ranked.withColumn("others_median", F.when(others >= least, median)).drop("_peer", "_n", "_r", "_low", *(f"_v{k}" for k in (-1, 0, 1, 2)))
+    return both.withColumn("others_median", F.when(others >= least, median)).select(*df.columns, "others_median")
 
 
 def fold_sorted(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple[object, dict | None]], out: str) -> DataFrame:

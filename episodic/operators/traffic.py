@@ -237,6 +237,20 @@ def speed_profile(tracks: DataFrame, keys: list[str], frame: str, speed: str, cu
     return mean.join(long, [*keys, "cut"], "left").withColumn("longest", F.coalesce("longest", F.lit(0.0)))
 
 
-def speed_quantiles(tracks: DataFrame, frame: list[str], speed: str) -> DataFrame:
-    """p10, p25, p50, p75 of the speeds of each frame."""
-    return tracks.groupBy(*frame).agg(*(F.percentile(speed, F.lit(q)).alias(f"p{int(100 * q)}") for q in (0.10, 0.25, 0.50, 0.75)))
+def speed_quantiles(tracks: DataFrame, frame: list[str], speed: str, sketch: int | None = None) -> DataFrame:
+    """p10, p25, p50, p75 of the speeds of each frame; with ``sketch`` (its size) from mergeable sketches of bounded size in place of all values."""
+    qs = (0.10, 0.25, 0.50, 0.75)
+    if sketch:
+        return quantiles_of(sketched(tracks, frame, speed, sketch), frame, qs)
+    return tracks.groupBy(*frame).agg(*(F.percentile(speed, F.lit(q)).alias(f"p{round(100 * q)}") for q in qs))
+
+
+def sketched(rows: DataFrame, keys: list[str], value: str, size: int = 400) -> DataFrame:
+    """A quantile sketch of each key's values: rows keys, sketch. A sketch of size 400 is some KB, whatever it has seen, and off by about 0.7 % in rank."""
+    return rows.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(size)).alias("sketch"))
+
+
+def quantiles_of(sketches: DataFrame, keys: list[str], qs: tuple[float, ...]) -> DataFrame:
+    """Quantiles p<percent> of each key from one or more sketches of it (of days, of files: they merge)."""
+    whole = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    return whole.select(*keys, *(F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(f"p{round(100 * q)}") for q in qs))

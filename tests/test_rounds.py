@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from episodic.functions import expr as X
-from episodic.operators import intervals, marks, motion, score, search, validate
+from episodic.operators import intervals, marks, motion, score, search, traffic, validate
 from episodic.sources import readers
 
 
@@ -190,3 +190,25 @@ def test_stream_sink_replay(spark, tmp_path):
         os.remove(f"{state}/commits/{name}")
     run()
     assert read() == list(range(25))
+
+
+def test_selection_in_slices(spark):
+    rng = random.Random(8)
+    rows = [(k, i, rng.choice((None, 1.0, 2.0, 2.0, float(rng.randrange(40)), rng.random())), rng.random() < 0.7) for k, n in (("hot", 400), ("few", 5), (None, 9), ("two", 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int, v double, p boolean")
+    for size in (10, 10_000):
+        for r in intervals.others_median(df, ["g"], "v", "i", 2, F.col("p"), size).collect():
+            others = [v for g, i, v, p in rows if g == r.g and i != r.i and v is not None and p]
+            assert r.others_median == (float(np.median(others)) if len(others) >= 2 else None), (size, r)
+
+
+def test_quantile_sketches(spark):
+    """Rank error of merged sketches against all values."""
+    df = spark.range(200_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 10).alias("day"), F.pow(F.rand(3) * 30, 2).alias("v"))
+    values = {g: np.sort([r.v for r in df.filter(f"g = {g}").collect()]) for g in (0, 1)}
+    got = traffic.quantiles_of(traffic.sketched(df, ["g", "day"], "v"), ["g"], (0.1, 0.5, 0.95)).collect()
+    for r in got:
+        for q, name in ((0.1, "p10"), (0.5, "p50"), (0.95, "p95")):
+            assert abs(np.searchsorted(values[r.g], r[name]) / len(values[r.g]) - q) < 0.02
+    exact, near = (traffic.speed_quantiles(df, ["g"], "v", size).orderBy("g").collect() for size in (None, 400))
+    assert all(abs(a.p50 - b.p50) < 0.05 * a.p50 for a, b in zip(exact, near, strict=True))
