@@ -16,7 +16,8 @@
    places, so equal ones are neighbours in the order of that shift. Adjacent prefixes are compared
    as names and bytes, never as hashes.
 
-Sorts are dealt by ranges of the first part; a group of pieces (about ``GROUP`` bytes, alike where
+The cover is counted in each piece from the gram of least hash, so pieces that are alike sample the
+same content. Sorts are dealt by ranges of the first part; a group of pieces (about ``GROUP`` bytes, alike where
 they share their least hash) sends each triple once and gets its name back, so a triple that fills
 a text reaches the sort once a group. Pieces and names
 stand in the shared folder after every round.
@@ -104,9 +105,9 @@ def _anchors(keys: list[str], width: int):
     return run
 
 
-def _runs_of(grams: Grams, data: np.ndarray, found: np.ndarray) -> list[tuple[int, int, int]]:
-    """Candidate windows as pieces (first window, end, least hash)."""
-    starts, ends, cuts, values = [], [], [], []
+def _runs_of(grams: Grams, data: np.ndarray, found: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Candidate windows as pieces (first window, end, least hash, its place)."""
+    starts, ends, cuts, values, places = [], [], [], [], []
     for at, h, least in grams.slices(data):
         own = found[(found >= at) & (found < at + len(h))] - at
         if not len(own):
@@ -117,18 +118,20 @@ def _runs_of(grams: Grams, data: np.ndarray, found: np.ndarray) -> list[tuple[in
         starts.append(at + begin[hit])
         ends.append(at + end[hit])
         values.append(value[hit])
+        places.append(at + begin[hit] + np.argmin(h[begin[hit][:, None] + np.arange(grams.span)], axis=1))
         cuts.append(((value & np.uint64(CUT)) == 0)[hit] & (begin[hit] > 0))
     if not starts:
         return []
-    start, end, cut, value = (np.concatenate(x) for x in (starts, ends, cuts, values))
+    start, end, cut, value, place = (np.concatenate(x) for x in (starts, ends, cuts, values, places))
     if not len(start):
         return []
     new = np.flatnonzero(np.append(True, (start[1:] != end[:-1]) | cut[1:]))
-    return list(zip(start[new].tolist(), np.append(end[new[1:] - 1], end[-1]).tolist(), np.minimum.reduceat(value, new).view(np.int64).tolist(), strict=True))
+    best = [a + int(np.argmin(value[a:b])) for a, b in zip(new.tolist(), [*new[1:].tolist(), len(value)], strict=True)]
+    return list(zip(start[new].tolist(), np.append(end[new[1:] - 1], end[-1]).tolist(), value[best].view(np.int64).tolist(), place[best].tolist(), strict=True))
 
 
 def _pieces(keys: list[str], width: int):
-    """Rows keys, start, k1, k2, least (hash), piece; the piece is null where the task has sent it before."""
+    """Rows keys, start, k1, k2, least (hash), phase, piece; the piece is null where the task has sent it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, sent = Grams(width), set()
@@ -136,10 +139,10 @@ def _pieces(keys: list[str], width: int):
             for row in range(batch.num_rows):
                 text = batch.column("text")[row].as_py() or b""
                 out = []
-                for a, b, least in _runs_of(grams, np.frombuffer(text, np.uint8), np.unique(batch.column("found")[row].values.to_numpy(zero_copy_only=False))):
+                for a, b, least, place in _runs_of(grams, np.frombuffer(text, np.uint8), np.unique(batch.column("found")[row].values.to_numpy(zero_copy_only=False))):
                     piece = text[a:b + width - 1]
                     key = xxhash.xxh3_128_digest(piece)
-                    out.append((a, key, None if key in sent else piece, least))
+                    out.append((a, key, None if key in sent else piece, least, (place - a) % PERIOD))
                     sent.add(key)
                 if len(sent) > 1_000_000:
                     sent.clear()
@@ -147,7 +150,8 @@ def _pieces(keys: list[str], width: int):
                 for i in range(0, len(out), 2000):
                     s, n = slice(i, i + 2000), len(out[i:i + 2000])
                     yield pa.RecordBatch.from_arrays([*(pa.array([batch.column(c)[row].as_py()] * n, pa.int64()) for c in keys), pa.array([o[0] for o in out[s]], pa.int64()),
-                                                      pa.array(k[s, 0]), pa.array(k[s, 1]), pa.array([o[3] for o in out[s]], pa.int64()), pa.array([o[2] for o in out[s]], pa.binary())], [*keys, "start", "k1", "k2", "least", "piece"])
+                                                      pa.array(k[s, 0]), pa.array(k[s, 1]), pa.array([o[3] for o in out[s]], pa.int64()), pa.array([o[4] for o in out[s]], pa.int64()), pa.array([o[2] for o in out[s]], pa.binary())],
+                                                     [*keys, "start", "k1", "k2", "least", "phase", "piece"])
 
     return run
 
@@ -196,7 +200,8 @@ class Group:
         self.left = self.start + np.repeat(self.lengths, self.lengths) - np.arange(len(self.data))
         self.many = np.repeat(np.array(self.table.column("many").to_pylist(), bool), self.lengths)
         self.found = None if found[0] is None else np.frombuffer(b"".join(found), bool)
-        self.residue = ((np.arange(len(self.data)) - self.start) % PERIOD).astype(np.int8)
+        phase = np.repeat(self.table.column("phase").to_numpy(), self.lengths)
+        self.residue = ((np.arange(len(self.data)) - self.start - phase) % PERIOD).astype(np.int8)
         self.names = None if names[0] is None else np.full(len(self.data), -1, np.int64)
         if self.names is not None:
             self.names[self.sampled()] = np.frombuffer(b"".join(names), np.int64)
@@ -331,7 +336,7 @@ def _kept(step: Step):
     def run(pieces: pa.Table, names: pa.Table) -> pa.Table:
         group = Group(pieces)
         at, got = group.named(names, step, None)
-        table = group.table.select(["g", "k1", "k2", "many", "piece"])
+        table = group.table.select(["g", "k1", "k2", "many", "phase", "piece"])
         if step.kind == "whole":
             found = np.zeros(len(group.data), bool)
             found[at[got >= 0]] = True
@@ -374,7 +379,7 @@ def _judged(step: Step, bits):
 
 
 def repeated_spans(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
-    """By the suffix array of the different pieces (k1, k2, many, least, piece): k1, k2, begins, ends of what repeated windows cover."""
+    """By the suffix array of the different pieces (k1, k2, many, least, phase, piece): k1, k2, begins, ends of what repeated windows cover."""
     spark = pieces.sparkSession
     size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     groups = -(-size // GROUP) or 1
@@ -382,7 +387,7 @@ def repeated_spans(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
     parts = pieces.groupBy("least").agg(F.ceil(F.sum(F.octet_length("piece")) / GROUP).alias("parts")).filter("parts > 1")
     g = F.pmod(F.xxhash64("least", F.pmod("k1", F.coalesce("parts", F.lit(1)))), F.lit(groups))
     none = F.lit(None).cast("binary")
-    now = stored(pieces.join(_small(parts, F.lit(32)), "least", "left").select(g.alias("g"), "k1", "k2", "many", "piece", none.alias("names"), none.alias("found")))
+    now = stored(pieces.join(_small(parts, F.lit(32)), "least", "left").select(g.alias("g"), "k1", "k2", "many", "phase", "piece", none.alias("names"), none.alias("found")))
     bits, n = None, shuffle_partitions(spark)
     for step in steps(width):
         keys = _columns(step)
@@ -400,7 +405,7 @@ def repeated_spans(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
         both = now.groupBy("g").cogroup(names.groupBy("g"))
         if step.kind == "ends":
             return stored(both.applyInArrow(_judged(step, bits), "k1 long, k2 long, begins array<long>, ends array<long>"), instead=now)
-        now = stored(both.applyInArrow(_kept(step), "g long, k1 long, k2 long, many boolean, piece binary, names binary, found binary"), instead=now)
+        now = stored(both.applyInArrow(_kept(step), "g long, k1 long, k2 long, many boolean, phase long, piece binary, names binary, found binary"), instead=now)
     raise AssertionError
 
 
@@ -432,8 +437,8 @@ def remove_repeats(df: DataFrame, width: int = WIDTH) -> DataFrame:
     ids = ", ".join(f"{k} long" for k in keys)
     found = stored(_repeated(long.mapInArrow(_anchors(keys, width), f"h long, {ids}, at long"), keys))
     candidates = long.join(_small(found, F.lit(48) + 4 * F.size("found")), keys)
-    pieces = stored(candidates.mapInArrow(_pieces(keys, width), f"{ids}, start long, k1 long, k2 long, least long, piece binary"))
-    single = stored(pieces.groupBy("k1", "k2").agg((F.count("*") > 1).alias("many"), F.max("least").alias("least"), F.max("piece").alias("piece")))
+    pieces = stored(candidates.mapInArrow(_pieces(keys, width), f"{ids}, start long, k1 long, k2 long, least long, phase long, piece binary"))
+    single = stored(pieces.groupBy("k1", "k2").agg((F.count("*") > 1).alias("many"), F.max("least").alias("least"), F.max("phase").alias("phase"), F.max("piece").alias("piece")))
     judged = repeated_spans(single, width).filter(F.size("begins") > 0)
     spans = pieces.select(*keys, "start", "k1", "k2").join(_small(judged, F.lit(64) + 16 * F.size("begins")), ["k1", "k2"]).groupBy(*keys).agg(F.collect_list(F.struct("start", "begins", "ends")).alias("spans"))
     spans = stored(spans)

@@ -66,7 +66,7 @@ def test_steps():
 def test_suffix_array_alone(spark, monkeypatch):
     """The array over whole pieces, no candidates chosen before, in several groups."""
     data = [letters(i % 5, 300) + letters(50 + i, 200) + letters(i % 3, 250) for i in range(60)]
-    pieces = spark.createDataFrame([(i * 7 - 90, i, False, i % 4, d.encode()) for i, d in enumerate(data)], "k1 long, k2 long, many boolean, least long, piece binary")
+    pieces = spark.createDataFrame([(i * 7 - 90, i, False, i % 4, i % 7, d.encode()) for i, d in enumerate(data)], "k1 long, k2 long, many boolean, least long, phase long, piece binary")
     monkeypatch.setattr(suffixes, "GROUP", 5000)
     got = {r.k2: sum(b - a for a, b in zip(r.begins, r.ends, strict=True)) for r in suffixes.repeated_spans(pieces).collect()}
     assert got == {r[0]: r[2] for r in brute(list(enumerate(data)))}
