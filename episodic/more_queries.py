@@ -8,9 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import expr as X
-from .operators import dataset, decide, evidence, intervals, marks, motion, policy, score, search, traffic, validate, windows
+from .operators import assemble, dataset, decide, evidence, intervals, marks, motion, policy, sample, score, search, traffic, validate, windows
 from .plans import carriers as C
 from .queries import _S, DAY, q41_level_scores, query
+from .sources import readers
 
 _T0 = "(SELECT min(t_us) FROM ev)"
 _HOURS = f"(t_us - {_T0})/3600000000.0"
@@ -589,3 +590,47 @@ def q88_verdict_texts(s, d):
     reason = X.fused_reason(kind, F.col("n") % 2 == 0, seen, F.when(seen, F.concat(F.lit("sMOKE "), F.upper("lang"))).otherwise("none"), F.col("t"))
     prompt = F.concat(F.lit("Which one?\n"), F.when(seen, "  - yes: something burns\n- no: nothing").otherwise("- no\n- yes: it burns"))
     return docs.select("doc_id", reason.alias("reason"), X.first_option(prompt).alias("first"))
+
+
+@query(f"""WITH {C.EV}, f AS (SELECT user_id, event_type, event_id, {_HOURS} AS t, (event_id*37 % 100)/100.0 AS p FROM ev), k AS (SELECT * FROM f WHERE p >= 0.4),
+b AS (SELECT *, CASE WHEN t - lag(t) OVER w > 6.0 OR lag(t) OVER w IS NULL THEN 1 ELSE 0 END AS brk FROM k WINDOW w AS (PARTITION BY user_id, event_type ORDER BY t)),
+i AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY user_id, event_type ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM b)
+SELECT user_id, event_type, island, floor(min(t)*10000+0.5)/10000 AS start_h, floor(greatest(max(t), min(t)+1)*10000+0.5)/10000 AS end_h, count(*) AS n, floor(avg(p)*10000+0.5)/10000 AS conf FROM i GROUP BY 1, 2, 3""")
+def q89_argmax_windows(s, d):
+    out = windows.argmax_windows(_hours(s, d), ["user_id"], "event_type", "t", "p", 0.4)
+    return out.select("user_id", "event_type", "island", X.floored(F.col("start"), 4).alias("start_h"), X.floored(F.col("end"), 4).alias("end_h"), "n", X.floored(F.col("conf"), 4).alias("conf"))
+
+
+@query("""WITH todo AS (SELECT o_orderkey, o_custkey FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_custkey % 2 = 0)), r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM todo)
+SELECT o_orderkey, o_custkey FROM r WHERE k % 4 = 1""")
+def q90_resumed_shard(s, d):
+    """One worker of four takes up what is left: rows that are done (without an error) are out, the rest is dealt in order."""
+    o = C.table(s, d, "orders").select("o_orderkey", "o_custkey")
+    done = o.filter("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_custkey") % 2 == 1, "timeout").alias("error"))
+    return motion.shard(readers.not_done(o, done, "o_orderkey"), "o_orderkey", 4, 1)
+
+
+@query("""WITH ok AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 7 = 0), b AS (SELECT o_custkey AS c_custkey, CASE WHEN count(*) > 10 THEN CAST(count(*) AS DOUBLE) END AS c_acctbal FROM orders GROUP BY 1)
+SELECT c.c_custkey, coalesce(b.c_acctbal, CAST(c.c_acctbal AS DOUBLE)) AS c_acctbal, NOT EXISTS (SELECT 1 FROM ok WHERE ok.c_nationkey = c.c_nationkey AND ok.c_mktsegment = c.c_mktsegment) AS stale FROM customer c LEFT JOIN b USING (c_custkey)""")
+def q91_overlay_and_stale(s, d):
+    """Columns of a second source over those of the first where it has them, and rows whose provenance is no longer allowed."""
+    c = C.table(s, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    n = F.count("*")
+    more = C.table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.when(n > 10, n.cast("double")).alias("c_acctbal"))
+    old = motion.stale(c, c.filter("c_custkey % 7 = 0"), ["c_nationkey", "c_mktsegment"]).select("c_custkey", F.lit(True).alias("stale"))
+    return assemble.overlay(c, more, "c_custkey").join(old, "c_custkey", "left").select("c_custkey", "c_acctbal", F.coalesce("stale", F.lit(False)).alias("stale"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 50 AS DOUBLE) + 0.5 AS d, CAST(o_custkey % 30 AS DOUBLE) AS fps FROM orders)
+SELECT o_orderkey, CASE WHEN d < 8 THEN greatest(1.5, d*0.35) WHEN d < 30 THEN 5.0 ELSE 8.0 END AS stop_s, CASE WHEN d < 8 THEN greatest(2.0, d*0.45) WHEN d < 30 THEN 8.0 ELSE 10.0 END AS loiter_s,
+CASE WHEN d < 8 THEN greatest(2.0, d*0.40) WHEN d < 30 THEN 8.0 ELSE 12.0 END AS congestion_s, CASE WHEN d < 8 THEN d WHEN d < 30 THEN 30.0 ELSE 60.0 END AS congestion_cooldown_s,
+CASE WHEN d < 8 THEN least(4.0, d*0.5) ELSE 4.0 END AS duplicate_s, CASE WHEN d < 8 THEN greatest(1.0, d*0.3) ELSE 6.0 END AS cooldown_s, CASE WHEN fps < 5 THEN 1 WHEN fps < 15 THEN 2 ELSE 3 END AS stride FROM o""")
+def q92_settings_by_length(s, d):
+    o = C.table(s, d, "orders").select("o_orderkey", ((F.col("o_orderkey") % 50).cast("double") + 0.5).alias("d"), (F.col("o_custkey") % 30).cast("double").alias("fps"))
+    return o.select("o_orderkey", X.thresholds_for(F.col("d")).alias("x"), X.stride_for(F.col("fps"), F.lit(3)).alias("stride")).select("o_orderkey", "x.*", "stride")
+
+
+@query("""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('s'||doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+m AS (SELECT *, least(60, n * 3) AS most FROM r), k AS (SELECT *, CASE WHEN r <= most THEN CAST(floor((most - r) / CAST(n AS DOUBLE)) AS INTEGER) + 1 ELSE 0 END AS many FROM m) SELECT doc_id, lang, CAST(unnest(range(1, many + 1)) AS INTEGER) AS copy FROM k WHERE many > 0""")
+def q93_balanced_languages(s, d):
+    return sample.balance(C.table(s, d, "documents").select("doc_id", "lang"), ["lang"], "doc_id", 60)
