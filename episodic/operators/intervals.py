@@ -152,9 +152,9 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, value:
     """
     one = lambda df, mark: df.select(*keys, at, F.struct(*df.columns).alias("_row") if mark else F.lit(None).alias("_row"), (F.lit(None) if mark else F.struct(F.col(at).alias("t"), F.col(value).alias("v"))).alias("_seen"))
     both = one(left, True).unionByName(one(right.filter(F.col(at).isNotNull()), False))
-    order = W.partitionBy(*keys).orderBy(at)
-    low = F.last("_seen", True).over(order.rangeBetween(W.unboundedPreceding, 0))
-    high = F.first("_seen", True).over(order.rangeBetween(0, W.unboundedFollowing))
+    # Both windows grow from one end, so a key takes time in proportion to its rows.
+    seen = lambda order: F.last("_seen", True).over(W.partitionBy(*keys).orderBy(order).rangeBetween(W.unboundedPreceding, 0))
+    low, high = seen(F.asc(at)), seen(F.desc(at))
     met = both.withColumns({"_low": low, "_high": high}).filter("_row is not null")
     before, behind = F.col(at) - F.col("_low.t"), F.col("_high.t") - F.col(at)
     best = F.when(F.coalesce(before <= behind, behind.isNull()), F.col("_low")).otherwise(F.col("_high"))
