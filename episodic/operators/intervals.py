@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+
+from .rounds import checkpointed
 
 #: Rows of a key that are ordered in one piece.
 SLICE_ROWS = 500_000
@@ -106,41 +106,51 @@ def others_median(df: DataFrame, keys: list[str], value: str, tie: str, least: i
     return both.withColumn("others_median", F.when(others >= least, median)).select(*df.columns, "others_median")
 
 
-def fold_sorted(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple[object, dict | None]], out: str) -> DataFrame:
-    """An ordered fold over the rows of each key: ``step`` gives the next state and a row to return, or None.
+def cooldown(df: DataFrame, keys: list[str], t: str, c: float, rows: int = SLICE_ROWS, most: int = 1000) -> DataFrame:
+    """Rows keys, t: of each key's times, in order, those that lie ``c`` or more after the last one kept.
 
-    Keys are spread over the cluster, rows are sorted on disk where they must be and stream through in
-    batches: a task holds one state and one batch, whatever the size of a group.
+    A time that lies ``c`` or more behind the one before it is kept whatever came earlier, so times fall into islands that do
+    not depend on each other. Small ones are folded as one sorted array. Those with more than ``rows`` times, or of a span
+    that may keep more than ``most``, are walked by pointers: each time points to the first one ``c`` or more behind it
+    (found in slices of time), and each round doubles both the stretch that a pointer spans and the times known to be kept,
+    so the joins spread a hot key over all tasks. Null times are left out, null keys are one key. Whole numbers (such as
+    microseconds) are exact; for doubles the two ways may round the sum t + c in different ways.
     """
-    schema = T._parse_datatype_string(out)
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, None
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                key = tuple(row[k] for k in keys)
-                if key != now:
-                    now, state = key, start()
-                state, made = step(state, row)
-                if made is not None:
-                    rows.append(made)
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
-
-
-def cooldown(df: DataFrame, keys: list[str], t: str, c: float) -> DataFrame:
-    """Rows keys, t: of each key's times, in order, those that lie ``c`` or more after the last one kept."""
-
-    def step(last: float | None, row: dict) -> tuple[float | None, dict | None]:
-        if row[t] is None or last is not None and row[t] - last < c:
-            return last, None
-        return row[t], row
-
-    rows = df.select(*keys, t)
-    return fold_sorted(rows, keys, [t], lambda: None, step, ", ".join(f"`{k}` {v}" for k, v in rows.dtypes))
+    times = df.select(*keys, t).filter(F.col(t).isNotNull())
+    if c <= 0:
+        return times
+    own = [*keys, "island"]
+    same = lambda names: [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(names)]
+    renamed = lambda names: [F.col(k).alias(f"_k{i}") for i, k in enumerate(names)]
+    marked = islands(times.distinct(), keys, t, t, c, strict=True, rows=rows)
+    size = marked.groupBy(*renamed(own)).agg(F.count("*").alias("_n"), F.min(t).alias("_least"), ((F.max(t) - F.min(t)) / c).alias("_steps"))
+    large = checkpointed(size.filter((F.col("_n") > rows) | (F.col("_steps") >= most)))
+    steps = large.agg(F.max("_steps")).first()[0]
+    small = marked if steps is None else marked.join(large, same(own), "left_anti")
+    fold = F.aggregate(F.sort_array(F.collect_list(t)), F.array().cast(f"array<{dict(times.dtypes)[t]}>"), lambda kept, x: F.when((F.size(kept) == 0) | (x - F.get(kept, F.size(kept) - 1) >= c), F.array_append(kept, x)).otherwise(kept))
+    kept = small.groupBy(*own).agg(fold.alias("_kept")).select(*keys, F.explode("_kept").alias(t))
+    if steps is None:
+        return kept
+    walked = marked.join(large.select(*(f"_k{i}" for i in range(len(own)))), same(own), "left_semi")
+    # Times and the places that they look from lie in one order; the first time at or behind a place is the least one seen from the end.
+    places = walked.select(*own, F.col(t).alias("_at"), F.col(t).alias("_time"), F.lit(None).cast(dict(times.dtypes)[t]).alias("_from"))
+    places = slices(places.unionByName(walked.select(*own, (F.col(t) + c).alias("_at"), F.lit(None).cast(dict(times.dtypes)[t]).alias("_time"), F.col(t).alias("_from"))), own, "_at", rows)
+    behind = places.groupBy(*own, "_slice").agg(F.min("_time").alias("_first"))
+    behind = behind.withColumn("_first", F.min("_first").over(W.partitionBy(*own).orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)))
+    seen = F.min("_time").over(W.partitionBy(*own, "_slice").orderBy(F.desc("_at")).rangeBetween(W.unboundedPreceding, 0))
+    found = places.withColumn("_seen", seen).filter("_from is not null").join(behind.select(*renamed([*own, "_slice"]), "_first"), same([*own, "_slice"]), "left")
+    jumps = checkpointed(found.select(*own, F.col("_from").alias(t), F.coalesce("_seen", "_first").alias("_next")))
+    reached = large.select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(own)), F.col("_least").alias(t))
+
+    def jumped(frame: DataFrame, by: str) -> DataFrame:
+        """Adds ``_to``, where the pointer of the time ``by`` leads."""
+        to = jumps.select(*renamed(own), F.col(t).alias("_t"), F.col("_next").alias("_to"))
+        return frame.join(to, [*same(own), F.col(by) == F.col("_t")], "left").select(*frame.columns, "_to")
+
+    for _ in range(max(1, math.ceil(math.log2(steps + 2)))):
+        reached = checkpointed(reached.unionByName(jumped(reached, t).filter("_to is not null").select(*own, F.col("_to").alias(t))))
+        jumps = checkpointed(jumped(jumps.filter("_next is not null"), "_next").select(*own, t, F.col("_to").alias("_next")))
+    return kept.unionByName(reached.select(*keys, t))
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, within: int) -> DataFrame:
