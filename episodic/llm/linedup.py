@@ -12,8 +12,9 @@ without words always stay. The rest of the text is joined as before.
 3. Prefix filter: of n words, the first n - ceil(4n/5) + 1 in the order are posted. Similar lines
    share their first common word, and both post it. Length filter: 4/5 <= n/m <= 5/4. Positional
    filter: the shared word and what follows it must suffice for the overlap. Parity maps of the
-   words (64 bits, 128 for lines of more than ``WIDE`` words) bound the symmetric difference from below. A semi-join
-   keeps the postings that pass with any partner.
+   words (64 bits, 128 for lines of more than ``WIDE`` words) bound the symmetric difference from below. Postings that
+   no length and place of the same word can pass with go first, in one pass over the word's postings; a semi-join
+   keeps those that pass with any partner.
 4. Each line that is left is compared, word by word, with the earlier partner whose parity map is
    nearest, of the first and the last ``NEAR`` in each posting. Lines that this does not settle are compared
    with every earlier partner they have, so the choice of step 4 decides only how much is left.
@@ -53,17 +54,22 @@ def _shifted(x: Column, by: Column) -> Column:
     return F.call_function("shiftleft", x, by.cast("int"))
 
 
-def line_words(line: Column) -> Column:
-    """``words_of`` a line, by plain spaces where it has no other white space, which is faster."""
+def _parts(line: Column) -> Column:
+    """A line split at white space, by plain spaces where it has no other, which is faster; some parts may be empty."""
     odd = reduce(or_, (F.contains(line, F.lit(c)) for c in "\t\v\f\r"))
-    return F.array_remove(F.when(odd, F.split(line, SPACES)).otherwise(F.split(line, " ")), "")
+    return F.when(odd, F.split(line, SPACES)).otherwise(F.split(line, " "))
+
+
+def line_words(line: Column) -> Column:
+    """``words_of`` a line."""
+    return F.array_remove(_parts(line), "")
 
 
 def rarity(texts: DataFrame) -> list[int]:
     """Levels 0..126 of all counters; they grow with the number of words counted there."""
     slot = _hashed(F.col("w")).bitwiseAND(COUNTERS - 1)
-    lines = texts.select(F.explode(F.split(text_of(), "\n", -1)).alias("line"))
-    counts = lines.select(F.explode(line_words(F.col("line"))).alias("w")).groupBy(slot.cast("int").alias("k")).count()
+    words = texts.select(F.explode(_parts(F.replace(text_of(), F.lit("\n"), F.lit(" ")))).alias("w")).filter("w <> ''")
+    counts = words.groupBy(slot.cast("int").alias("k")).count()
     levels = [0] * COUNTERS
     for r in counts.select("k", F.least(F.lit(126), F.floor(3 * F.log2(1 + F.col("count")))).cast("int").alias("v")).collect():
         levels[r.k] = r.v
@@ -88,7 +94,7 @@ def _parity(words: Column, half: int | None = None) -> Column:
 
 
 def _postings(lines: DataFrame, ids: list[str]) -> DataFrame:
-    """One row for each word of each line's prefix: key (token, words, place), b0, ids, b1, far (words, place of very long lines)."""
+    """One row for each word of each line's prefix: token, key (token, words, place), b0, ids, b1, far (words, place of very long lines)."""
     n = F.size("words")
     words = F.col("words")
     lines = lines.withColumns({"n": n, "b0": F.when(n > WIDE, _parity(words, 0)).otherwise(_parity(words)), "b1": F.when(n > WIDE, _parity(words, 1)).otherwise(F.lit(0).cast("long"))})
@@ -98,7 +104,7 @@ def _postings(lines: DataFrame, ids: list[str]) -> DataFrame:
     token = F.shiftleft(F.shiftright("w", 18), 32)
     key = token.bitwiseOR(F.shiftleft(F.least(n, F.lit(SHORT)), 16)).bitwiseOR(F.least(place, F.lit(SHORT)))
     # Few columns, what changes from row to row side by side: less to shuffle.
-    return rows.select(key.alias("key"), "b0", *ids, "b1", F.when(n >= SHORT, F.shiftleft(n, 32).bitwiseOR(place)).alias("far"))
+    return rows.select(F.shiftright(key, 32).alias("token"), key.alias("key"), "b0", *ids, "b1", F.when(n >= SHORT, F.shiftleft(n, 32).bitwiseOR(place)).alias("far"))
 
 
 def _n(p: Callable) -> Column:
@@ -115,6 +121,19 @@ def _apart(x: Callable, y: Callable) -> Column:
     return F.when((_n(x) > WIDE) & (_n(y) > WIDE), F.bit_count(b0) + F.bit_count(b1)).otherwise(F.bit_count(b0.bitwiseXOR(b1)))
 
 
+def _reach(p: Callable) -> Column:
+    """Four times the most words that a partner may have: length and positional filters of both sides hold if and only if
+    each line has no more words than the other reaches."""
+    return _n(p) * 5 - _place(p) * 9
+
+
+def _meets(posted: DataFrame) -> DataFrame:
+    """Postings whose token has another posting and, in some posting each, few enough words and reach enough."""
+    token, n, reach = W.partitionBy("token"), _n(F.col), _reach(F.col)
+    met = posted.withColumns({"of": F.count("*").over(token), "shortest": F.min(n).over(token), "furthest": F.max(reach).over(token)})
+    return met.filter((F.col("of") > 1) & (F.col("shortest") * 4 <= reach) & (n * 4 <= F.col("furthest"))).drop("of", "shortest", "furthest")
+
+
 def _near(x: Callable, y: Callable) -> Column:
     """Whether postings of one token may belong to similar lines."""
     n, m = _n(x), _n(y)
@@ -174,10 +193,10 @@ def remove_similar_lines(df: DataFrame) -> DataFrame:
 
     x, y = _side("x"), _side("y")
     posted = _postings(said(by_text(first)).select(*ids, ordered_words(F.col("said"), levels).alias("words")), ids)
-    maybe = posted.alias("x").join(posted.alias("y"), _same_token(x, y) & _near(x, y) & reduce(or_, (x(c) != y(c) for c in ids)), "left_semi")
+    maybe = _meets(posted).alias("x").join(posted.alias("y"), (x("token") == y("token")) & _near(x, y) & reduce(or_, (x(c) != y(c) for c in ids)), "left_semi")
     # The nearest of the last partners before each posting and of the first one.
     post = ["key", "b0", "b1", "far"]
-    order, line = W.partitionBy(F.shiftright("key", 32)).orderBy(*ids), F.struct(*post, *ids)
+    order, line = W.partitionBy("token").orderBy(*ids), F.struct(*post, *ids)
     past = F.concat(F.collect_list(line).over(order.rowsBetween(-NEAR, -1)), F.array(F.first(line).over(order)))
     maybe = maybe.withColumn("past", F.filter(past, lambda p: reduce(or_, (p[c] != F.col(c) for c in ids))))
     near = F.transform(F.filter("past", lambda p: _near(F.col, lambda c: p[c])), lambda p: F.struct(_apart(F.col, lambda c: p[c]).alias("apart"), *(p[c].alias(f"y_{c}") for c in ids)))

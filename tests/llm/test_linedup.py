@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from episodic.llm import linedup
 
 from .data import SCHEMA, documents, empty
@@ -104,3 +106,17 @@ def test_clashing_names(spark):
     got = linedup.remove_similar_lines(docs)
     assert got.columns == [*docs.columns, "removed"]
     assert {(r.d, r.t, r.row, r["a.b"], r.at, r.list) for r in got.collect()} == {(5, 6, 7, 8, "x", 0)}
+
+
+def test_shared_rare_word(spark):
+    """Lines that share a word too late for any partner are dropped before they meet each other."""
+    rows = [(1, "\n".join(f"zq{i} posted on forum page" for i in range(3000)), "en", "s", 1), (2, "zq7 posted on forum page now\nposted on forum page", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: sorted(r.removed) for r in linedup.remove_similar_lines(docs).collect()}
+    assert got == {1: [], 2: [0, 1]}
+    side = lambda s: {"key": F.shiftleft(f"n{s}", 16).bitwiseOR(F.col(f"p{s}")), "far": F.lit(None).cast("long"), "b0": F.lit(0).cast("long"), "b1": F.lit(0).cast("long")}.__getitem__
+    lengths = spark.range(1, 14).select(F.col("id").alias("n")).select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("p"))
+    cases = lengths.toDF("n1", "p1").join(lengths.toDF("n2", "p2"), F.abs(F.col("n1") - F.col("n2")) < 20)
+    x, y = side(1), side(2)
+    both = (linedup._n(y) * 4 <= linedup._reach(x)) & (linedup._n(x) * 4 <= linedup._reach(y))
+    assert cases.count() == 91 ** 2 and cases.filter(linedup._near(x, y) != both).count() == 0
