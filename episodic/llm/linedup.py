@@ -193,6 +193,8 @@ def remove_similar_lines(df: DataFrame) -> DataFrame:
 
     x, y = _side("x"), _side("y")
     posted = _postings(said(by_text(first)).select(*ids, ordered_words(F.col("said"), levels).alias("words")), ids)
+    # Dealt by hand, without nulls: so both sides of the join read one shuffle, though only one of them has windows.
+    posted = posted.filter(reduce(and_, (F.col(c).isNotNull() for c in ["token", *(ids if one else [])]))).repartition(n, "token")
     maybe = _meets(posted).alias("x").join(posted.alias("y"), (x("token") == y("token")) & _near(x, y) & reduce(or_, (x(c) != y(c) for c in ids)), "left_semi")
     # The nearest of the last partners before each posting and of the first one.
     post = ["key", "b0", "b1", "far"]
