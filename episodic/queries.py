@@ -393,9 +393,9 @@ def q41_level_scores(s, d):
 @query(f"""WITH {C.EPI}, u AS (SELECT DISTINCT user_id FROM ev) SELECT u.user_id, count(epi.n) AS events, coalesce(string_agg(event_type || '@' || (s // 1000000), ';' ORDER BY s, event_type), '') AS listed, CAST(coalesce(sum(n),0) AS BIGINT) AS frames FROM u LEFT JOIN epi ON u.user_id=epi.user_id AND n > 2 GROUP BY 1""")
 def q42_nested_submission(s, d):
     ids = C.events(s, d).select(F.col("user_id").alias("video_id")).distinct()
-    ev = C.episodes(s, d).filter("n > 2").select(F.col("user_id").alias("video_id"), F.col("event_type").alias("class_name"), F.expr("start div 1000000").alias("start"), F.expr("end div 1000000").alias("end"), "n")
-    doc = assemble.documents(ids, ev, more=["n"])
-    flat = F.transform("events", lambda e: F.concat_ws("@", e["class_name"], e["start"].cast("string")))
+    ev = C.episodes(s, d).filter("n > 2").select(F.col("user_id").alias("video_id"), F.col("event_type").alias("class_name"), "start", "end", "n")
+    doc = assemble.documents(ids, ev, more=["n"])  # ordered by microseconds, so seconds are cut behind it
+    flat = F.transform("events", lambda e: F.concat_ws("@", e["class_name"], F.call_function("div", e["start"], F.lit(1_000_000)).cast("string")))
     return doc.select(F.col("video_id").alias("user_id"), F.size("events").cast("long").alias("events"), F.array_join(flat, ";").alias("listed"), F.aggregate("events", F.lit(0).cast("long"), lambda a, e: a + e["n"]).alias("frames"))
 
 
