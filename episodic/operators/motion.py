@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from .rounds import checkpointed
+
 
 def _times(m: Column, c: Column) -> Column:
     """Product of two 2x3 affine matrices stored by row: first c, then m."""
@@ -76,10 +78,13 @@ def picked_frames(frames: DataFrame, key: str, order: str, motion: str, n: int)
 def shard(rows: DataFrame, order: str, n: int, index: int) -> DataFrame:
     """Every n-th row in the given order, from ``index``; the shards are disjoint and hold all rows.
 
-    Places come from the sizes of sorted ranges, so no task sees the whole list.
+    Places come from the sizes of sorted ranges, so no task sees the whole list. The bounds of ranges are sampled, anew for
+    each plan: so the rows are written once with their range, and sizes and places are of the same ranges. Rows equal in
+    ``order`` stand in the order of their other columns (maps aside).
     """
-    part = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    part = part.withColumn("_own", F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1)
+    rest = [f.name for f in rows.schema if f.name != order and "map<" not in f.dataType.simpleString()]
+    part = checkpointed(rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
+    part = part.withColumn("_own", F.row_number().over(W.partitionBy("_part").orderBy(order, *rest)) - 1)
     sizes = part.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.select("_part", (F.sum("_size").over(W.orderBy("_part")) - F.col("_size")).alias("_before"))  # one row for each range
     return part.join(F.broadcast(before), "_part").filter(F.pmod(F.col("_before") + F.col("_own"), F.lit(n)) == index).drop("_part", "_own", "_before")

@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from episodic.operators import motion
 from episodic.queries import queries
 
 
@@ -14,3 +15,16 @@ def test_listed_by_microseconds(spark, tmp_path):
     first = int((datetime.datetime(2024, 1, 1) - datetime.datetime(1970, 1, 1)).total_seconds())
     got = queries()["q42_nested_submission"](spark, str(tmp_path)).collect()
     assert [tuple(r[c] for c in ("user_id", "events", "listed", "frames")) for r in got] == [(1, 2, f"view@{first};click@{first}", 6)]
+
+
+def test_shards_of_sampled_ranges(spark):
+    """Of many rows the bounds of ranges are sampled, and sizes and places must come from the same sample."""
+    n = 600_000
+    rows = spark.range(0, n, 1, 6).select((F.col("id") * 7919 % n).alias("k"), F.col("id").alias("other")).filter("k % 3 > 0")
+    got = motion.shard(rows, "k", 4, 1).select("k").toPandas()["k"]
+    assert sorted(got) == [k for k in range(n) if k % 3][1::4]
+
+
+def test_shards_of_equal_rows(spark):
+    rows = spark.range(0, 5000, 1, 4).select((F.col("id") % 7).alias("k"), F.col("id").alias("other"))
+    assert sorted(r.other for i in range(3) for r in motion.shard(rows, "k", 3, i).collect()) == list(range(5000))
