@@ -2,7 +2,9 @@
 
 1. What can repeat. A string of 200 bytes has 61 grams of 140 bytes, and equal strings have the same
    least gram hash. A window is a candidate if its least hash stands at two places or more; that
-   loses no repeat, and chance matches only add candidates. Runs of candidate windows are cut at
+   loses no repeat, and chance matches only add candidates. Windows with one such gram at about the same
+   distance (``STEPS`` of them) also share what stands around it in all of them, some 185 bytes: of these
+   strings too one must stand at two places. Runs of candidate windows are cut at
    places their content names, and equal pieces become one, with a mark that there were several. A
    window stands in one piece, so only different pieces go on: copies, however many, weigh once.
 2. The suffix array of the pieces, by the difference cover {0, 1, 3} modulo 7. Sampled suffixes are
@@ -30,7 +32,7 @@ named as an output (n_bytes, n_removed, n_spans, kept) are replaced, others are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -47,30 +49,69 @@ from .repeats import FLUSH, TWICE, _combined, _repeated
 WIDTH = 200
 SLICE = 1 << 18
 GROUP = 2 << 20
+STEPS = 4  # distances of a window's start from its least gram that are told apart
 CUT = 63  # one least hash in 64 begins a piece
 PERIOD, COVER = 7, (0, 1, 3)
 _BYTES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) ^ np.uint64(0x94D049BB133111EB)
 
 
+class Segments(NamedTuple):
+    """First windows, ends, places of the least gram, its hash, whether the gram's run begins there, hash of what the windows share."""
+
+    start: np.ndarray
+    end: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+    head: np.ndarray
+    shared: np.ndarray
+
+
 class Grams:
     """Hashes of all grams of a slice and the least hash of each window."""
 
     def __init__(self, width: int):
         self.width, self.gram = width, width * 7 // 10
         self.span = width - self.gram + 1
+        self.step = -(-self.span // STEPS)
         self.up, self.down = _powers(_BASE, SLICE + width), _powers(_INVERSE, SLICE + width)
 
-    def slices(self, data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Start, gram hashes and least hash of each window, slice by slice."""
+    def slices(self, data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Start, gram hashes, least hash of each window and running sums, slice by slice."""
         for at in range(0, len(data) - self.width + 1, SLICE):
             part = data[at:at + SLICE + self.width - 1]
             sums = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(_BYTES[part] * self.up[:len(part)], dtype=np.uint64, out=sums[1:])
-            h = (sums[self.gram:] - sums[:-self.gram]) * self.down[:len(part) - self.gram + 1]
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(29)
-            yield at, h, _least(h, self.span)
+            h = _spread((sums[self.gram:] - sums[:-self.gram]) * self.down[:len(part) - self.gram + 1])
+            yield at, h, _least(h, self.span), sums
+
+    def segments(self, h: np.ndarray, least: np.ndarray, sums: np.ndarray, grams: np.ndarray) -> Segments:
+        """Neighbouring windows of a slice with one least gram (the leftmost of equal ones) at about one distance, for least hashes that stand at ``grams``."""
+        begin = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+        n = np.diff(np.append(begin, len(least)))
+        hit = np.isin(least[begin], h[grams])
+        begin, n = begin[hit], n[hit]
+        window = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        leftmost = lambda at: at + np.argmin(h[at[:, None] + np.arange(self.span)], axis=1)
+        place = np.repeat(leftmost(begin), n)
+        late = np.flatnonzero(place < window)
+        for i in range(0, len(late), 1 << 14):
+            x = late[i:i + (1 << 14)]
+            place[x] = leftmost(window[x])
+        far = (place - window) // self.step
+        new = np.ones(len(window), bool)
+        new[1:] = (np.diff(window) != 1) | (np.diff(place) != 0) | (np.diff(far) != 0)
+        first = np.flatnonzero(new)
+        start, place, far = window[first], place[first], far[first]
+        end = window[np.append(first[1:], len(window))[:len(first)] - 1] + 1
+        low, high = place - far * self.step, place + self.width - np.minimum(far * self.step + self.step - 1, self.span - 1)
+        shared = _spread(((sums[high] - sums[low]) * self.down[low]) ^ (far.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        return Segments(start, end, place, least[start], np.isin(start, begin), shared)
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
 
 
 def _least(h: np.ndarray, span: int, pick=np.minimum) -> np.ndarray:
@@ -90,7 +131,7 @@ def _anchors(keys: list[str], width: int):
             ids = [batch.column(k) for k in keys]
             for row, text in enumerate(batch.column("text")):
                 data = np.frombuffer(text.as_py() or b"", np.uint8)
-                for at, h, least in grams.slices(data):
+                for at, h, least, _ in grams.slices(data):
                     top = _least(np.pad(least, grams.span - 1), grams.span, np.maximum)
                     value, first, count = np.unique(h[place := np.flatnonzero(top == h)], return_index=True, return_counts=True)
                     where = (at + place[first]).astype(np.int64)
@@ -105,21 +146,47 @@ def _anchors(keys: list[str], width: int):
     return run
 
 
-def _runs_of(grams: Grams, data: np.ndarray, found: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Candidate windows as pieces (first window, end, least hash, its place)."""
+def _shared(keys: list[str], width: int):
+    """What the windows around found grams share, as hash, keys and the first window; in each slice one of equal hashes, marked if there are more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, held, size = Grams(width), [], 0
+        for batch in batches:
+            ids = [batch.column(k) for k in keys]
+            for row, text in enumerate(batch.column("text")):
+                found = np.unique(batch.column("grams")[row].values.to_numpy(zero_copy_only=False))
+                for at, h, least, sums in grams.slices(np.frombuffer(text.as_py() or b"", np.uint8)):
+                    own = found[(found >= at) & (found < at + len(h))] - at
+                    if not len(own):
+                        continue
+                    part = grams.segments(h, least, sums, own)
+                    value, first, count = np.unique(part.shared, return_index=True, return_counts=True)
+                    where = (at + part.start[first]).astype(np.int64)
+                    held.append((value, np.where(count > 1, where | TWICE, where), *(np.full(len(value), x[row].as_py(), np.int64) for x in ids)))
+                    size += len(value)
+                if size >= FLUSH:
+                    yield from _combined(keys, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size = [], 0
+        if held:
+            yield from _combined(keys, *(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def _runs_of(grams: Grams, data: np.ndarray, least_at: np.ndarray, found: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Candidate windows as pieces (first window, end, least hash, its place), from the places of grams and of shared strings found twice."""
     starts, ends, cuts, values, places = [], [], [], [], []
-    for at, h, least in grams.slices(data):
-        own = found[(found >= at) & (found < at + len(h))] - at
-        if not len(own):
+    for at, h, least, sums in grams.slices(data):
+        own, more = (x[(x >= at) & (x < at + len(y))] - at for x, y in ((least_at, h), (found, least)))
+        if not len(own) or not len(more):
             continue
-        begin = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-        end, value = np.append(begin[1:], len(least)), least[begin]
-        hit = np.isin(value, h[own])
-        starts.append(at + begin[hit])
-        ends.append(at + end[hit])
-        values.append(value[hit])
-        places.append(at + begin[hit] + np.argmin(h[begin[hit][:, None] + np.arange(grams.span)], axis=1))
-        cuts.append(((value & np.uint64(CUT)) == 0)[hit] & (begin[hit] > 0))
+        part = grams.segments(h, least, sums, own)
+        hit = np.isin(part.shared, part.shared[np.isin(part.start, more)])
+        starts.append(at + part.start[hit])
+        ends.append(at + part.end[hit])
+        values.append(part.value[hit])
+        places.append(at + part.place[hit])
+        cuts.append((((part.value & np.uint64(CUT)) == 0) & part.head & (part.start > 0))[hit])
     if not starts:
         return []
     start, end, cut, value, place = (np.concatenate(x) for x in (starts, ends, cuts, values, places))
@@ -139,7 +206,7 @@ def _pieces(keys: list[str], width: int):
             for row in range(batch.num_rows):
                 text = batch.column("text")[row].as_py() or b""
                 out = []
-                for a, b, least, place in _runs_of(grams, np.frombuffer(text, np.uint8), np.unique(batch.column("found")[row].values.to_numpy(zero_copy_only=False))):
+                for a, b, least, place in _runs_of(grams, np.frombuffer(text, np.uint8), *(np.unique(batch.column(c)[row].values.to_numpy(zero_copy_only=False)) for c in ("grams", "found"))):
                     piece = text[a:b + width - 1]
                     key = xxhash.xxh3_128_digest(piece)
                     out.append((a, key, None if key in sent else piece, least, (place - a) % PERIOD))
@@ -209,7 +276,7 @@ class Group:
     def sampled(self, d: int = 0) -> np.ndarray:
         return np.isin(np.arange(PERIOD) + d, [c + k * PERIOD for c in COVER for k in (0, 1)])[self.residue]
 
-    def packed(self, places: list[np.ndarray], n: int) -> np.ndarray:
+    def packed(self, places: Iterable[np.ndarray], n: int) -> np.ndarray:
         out = np.zeros(n, np.uint64)
         for at in places:
             out = (out << np.uint64(8)) | self.data[at].astype(np.uint64)
@@ -217,15 +284,21 @@ class Group:
 
     def shifted(self, at: np.ndarray, d: int, step: Step) -> list[np.ndarray]:
         """Keys of windows in the order of shift d: the name d behind the start, the shift, the bytes before and behind it."""
-        other = [at + k + (step.depth if k >= d else 0) for k in range(step.width - step.depth)]
-        return [self.names[at + d], np.full(len(at), d, np.int64), self.packed(other[:8], len(at)).view(np.int64), self.packed(other[8:], len(at)).view(np.int64)]
+        other = lambda ks: (at + k + (step.depth if k >= d else 0) for k in ks)
+        n = step.width - step.depth
+        return [self.names[at + d], np.full(len(at), d, np.int64), self.packed(other(range(min(n, 8))), len(at)).view(np.int64), self.packed(other(range(8, n)), len(at)).view(np.int64)]
 
-    def windows(self, step: Step, mask: np.ndarray, shifts: range) -> list[np.ndarray]:
+    def windows(self, step: Step, mask: np.ndarray, shifts: range, asked: Callable | None = None) -> list[np.ndarray]:
+        """Places and keys; each shift is picked (by ``asked`` of its keys' hashes) before the next is made."""
         parts = []
         for d in shifts:
             at = np.flatnonzero(mask & self.sampled(d))
             at = at[self.names[at + d] >= 0]
-            parts.append([at, *self.shifted(at, d, step)])
+            part = [at, *self.shifted(at, d, step)]
+            if asked is not None:
+                here = np.flatnonzero(asked(_mixed(part[1:])))
+                part = [x[here] for x in part]
+            parts.append(part)
         return [np.concatenate(p) for p in zip(*parts, strict=True)]
 
     def open(self, step: Step) -> list[np.ndarray]:
@@ -242,9 +315,7 @@ class Group:
         if step.kind == "whole":
             return self.windows(step, self.left >= step.width, range(1))
         if step.kind == "ends":
-            at, *keys = self.windows(step, self.left >= step.width, range(1, PERIOD))
-            asked = bits[(_mixed(keys) & np.uint64(len(bits) - 1)).astype(np.int64)]
-            return [at[asked], *(k[asked] for k in keys)]
+            return self.windows(step, self.left >= step.width, range(1, PERIOD), lambda h: bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)])
         at = np.flatnonzero((self.left >= step.depth) & self.sampled())
         if step.kind == "words":
             keys = [(self.packed([at + k + j for j in range(8)], len(at)) ^ np.uint64(1 << 63)).view(np.int64) for k in step.shifts]
@@ -435,8 +506,11 @@ def remove_repeats(df: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = keyed(df).select("row", F.col("text").cast("binary").alias("text"), *keys)
     long = docs.filter(F.octet_length("text") >= width).select(*keys, "text")
     ids = ", ".join(f"{k} long" for k in keys)
-    found = stored(_repeated(long.mapInArrow(_anchors(keys, width), f"h long, {ids}, at long"), keys))
-    candidates = long.join(_small(found, F.lit(48) + 4 * F.size("found")), keys)
+    hits = f"h long, {ids}, at long"
+    twice = stored(_repeated(long.mapInArrow(_anchors(keys, width), hits), keys).withColumnRenamed("found", "grams"))
+    near = long.join(_small(twice, F.lit(48) + 4 * F.size("grams")), keys)
+    found = stored(twice.join(_repeated(near.mapInArrow(_shared(keys, width), hits), keys), keys), instead=twice)
+    candidates = long.join(_small(found, F.lit(72) + 4 * F.size("found") + 4 * F.size("grams")), keys)
     pieces = stored(candidates.mapInArrow(_pieces(keys, width), f"{ids}, start long, k1 long, k2 long, least long, phase long, piece binary"))
     single = stored(pieces.groupBy("k1", "k2").agg((F.count("*") > 1).alias("many"), F.max("least").alias("least"), F.max("phase").alias("phase"), F.max("piece").alias("piece")))
     judged = repeated_spans(single, width).filter(F.size("begins") > 0)
