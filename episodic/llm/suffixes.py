@@ -1,13 +1,17 @@
 """Suffix-array dedup: bytes covered by a string of 200 bytes that starts anywhere else go.
 
-1. What can repeat. A string of 200 bytes has 61 grams of 140 bytes, and equal strings have the same
-   least gram hash. A window is a candidate if its least hash stands at two places or more; that
-   loses no repeat, and chance matches only add candidates. Windows with one such gram at about the same
-   distance (``STEPS`` of them) also share what stands around it in all of them, some 185 bytes: of these
-   strings too one must stand at two places. Runs of candidate windows are cut at
-   places their content names, and equal pieces become one, with a mark that there were several. A
-   window stands in one piece, so only different pieces go on: copies, however many, weigh once.
-2. The suffix array of the pieces, by the difference cover {0, 1, 3} modulo 7. Sampled suffixes are
+1. The sample. A string of 200 bytes has 61 grams of 140 bytes; the leftmost one of least hash is its
+   anchor. Equal strings have their anchors at one distance, so only suffixes that begin at an anchor
+   enter the array, about one in 30, and of these only those whose gram's hash stands at two places
+   or more (chance matches only add some).
+2. The sparse suffix array. The sampled suffixes are sorted by their gram's hash and then their bytes,
+   as far as the windows of the anchor reach, and with the bytes before them. Equal suffixes are one, with a
+   mark that there were several. Two windows whose anchors lie ``o`` bytes behind their starts are equal if
+   and only if the suffixes share ``width - o`` bytes and ``o`` bytes stand alike before them: the first follows from
+   the prefixes that neighbours in the array share, the second from those of the reversed bytes
+   in their own order. Neighbours are compared as bytes, never as hashes.
+3. Grams that begin more than ``MOST`` different suffixes would not fit into one task. Their windows go, as pieces, through a
+   suffix array by the difference cover {0, 1, 3} modulo 7, which is dealt by ranges. Sampled suffixes are
    sorted by triples of eight-byte words and named by rank; the string of names is named again in
    triples until names reach 192 bytes, and the last sort also compares whole windows. A suffix
    whose name is its own alone drops out, as no longer prefix of it can repeat; so the recursion
@@ -18,7 +22,7 @@
    places, so equal ones are neighbours in the order of that shift. Adjacent prefixes are compared
    as names and bytes, never as hashes.
 
-The cover is counted in each piece from the gram of least hash, so pieces that are alike sample the
+The cover is counted in each piece from its anchor, so pieces that are alike sample the
 same content. Sorts are dealt by ranges of the first part; a group of pieces (about ``GROUP`` bytes, alike where
 they share their least hash) sends each triple once and gets its name back, so a triple that fills
 a text reaches the sort once a group. Pieces and names
@@ -26,13 +30,14 @@ stand in the shared folder after every round.
 
 A null text is empty. Matches never cross documents; windows are judged on the input; rows that repeat
 id and text repeat each other. An empty table gives an empty result. A text is read in slices, its
-bytes stand in one task; a periodic text has no places to cut and is one piece. Columns of the input
+bytes stand in one task; what a periodic text says again and again is sent once a slice. Columns of the input
 named as an output (n_bytes, n_removed, n_spans, kept) are replaced, others are passed on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -49,30 +54,18 @@ from .repeats import FLUSH, TWICE, _combined, _repeated
 WIDTH = 200
 SLICE = 1 << 18
 GROUP = 2 << 20
-STEPS = 4  # distances of a window's start from its least gram that are told apart
-CUT = 63  # one least hash in 64 begins a piece
+MOST = 1 << 15  # different suffixes of one gram that a task compares
+BLOCK = 1 << 14  # rows that are sent or compared at a time
 PERIOD, COVER = 7, (0, 1, 3)
 _BYTES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) ^ np.uint64(0x94D049BB133111EB)
 
 
-class Segments(NamedTuple):
-    """First windows, ends, places of the least gram, its hash, whether the gram's run begins there, hash of what the windows share."""
-
-    start: np.ndarray
-    end: np.ndarray
-    place: np.ndarray
-    value: np.ndarray
-    head: np.ndarray
-    shared: np.ndarray
-
-
 class Grams:
     """Hashes of all grams of a slice and the least hash of each window."""
 
     def __init__(self, width: int):
         self.width, self.gram = width, width * 7 // 10
         self.span = width - self.gram + 1
-        self.step = -(-self.span // STEPS)
         self.up, self.down = _powers(_BASE, SLICE + width), _powers(_INVERSE, SLICE + width)
 
     def slices(self, data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -84,28 +77,24 @@ class Grams:
             h = _spread((sums[self.gram:] - sums[:-self.gram]) * self.down[:len(part) - self.gram + 1])
             yield at, h, _least(h, self.span), sums
 
-    def segments(self, h: np.ndarray, least: np.ndarray, sums: np.ndarray, grams: np.ndarray) -> Segments:
-        """Neighbouring windows of a slice with one least gram (the leftmost of equal ones) at about one distance, for least hashes that stand at ``grams``."""
+    def anchored(self, h: np.ndarray, least: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Neighbouring windows of a slice with one anchor, for least hashes that stand at ``grams``: first windows, ends, places of the anchors."""
         begin = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
         n = np.diff(np.append(begin, len(least)))
         hit = np.isin(least[begin], h[grams])
         begin, n = begin[hit], n[hit]
         window = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
         leftmost = lambda at: at + np.argmin(h[at[:, None] + np.arange(self.span)], axis=1)
-        place = np.repeat(leftmost(begin), n)
+        place = np.concatenate([np.empty(0, np.int64), *(leftmost(begin[i:i + BLOCK]) for i in range(0, len(begin), BLOCK))])
+        place = np.repeat(place, n)
         late = np.flatnonzero(place < window)
-        for i in range(0, len(late), 1 << 14):
-            x = late[i:i + (1 << 14)]
+        for i in range(0, len(late), BLOCK):
+            x = late[i:i + BLOCK]
             place[x] = leftmost(window[x])
-        far = (place - window) // self.step
         new = np.ones(len(window), bool)
-        new[1:] = (np.diff(window) != 1) | (np.diff(place) != 0) | (np.diff(far) != 0)
+        new[1:] = (np.diff(window) != 1) | (np.diff(place) != 0)
         first = np.flatnonzero(new)
-        start, place, far = window[first], place[first], far[first]
-        end = window[np.append(first[1:], len(window))[:len(first)] - 1] + 1
-        low, high = place - far * self.step, place + self.width - np.minimum(far * self.step + self.step - 1, self.span - 1)
-        shared = _spread(((sums[high] - sums[low]) * self.down[low]) ^ (far.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        return Segments(start, end, place, least[start], np.isin(start, begin), shared)
+        return window[first], window[np.append(first[1:], len(window))[:len(first)] - 1] + 1, place[first]
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -146,83 +135,198 @@ def _anchors(keys: list[str], width: int):
     return run
 
 
-def _shared(keys: list[str], width: int):
-    """What the windows around found grams share, as hash, keys and the first window; in each slice one of equal hashes, marked if there are more."""
+def _gathered(data: np.ndarray, low: np.ndarray, n: np.ndarray, by: int = 1) -> pa.Array:
+    """The n bytes from each place on, or (by -1) before it, read backwards."""
+    ends = np.append(0, np.cumsum(n))
+    at = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
+    flat = data[np.repeat(low, n) + at] if by > 0 else data[np.repeat(low, n) - 1 - at]
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+
+
+def _matrix(of: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a binary column as rows filled up with zeros, and their lengths."""
+    ends = np.frombuffer(of.buffers()[1], np.int32)[of.offset:of.offset + len(of) + 1]
+    n = np.diff(ends).astype(np.int64)
+    out = np.zeros((len(of), width), np.uint8)
+    if len(of) and ends[-1] > ends[0]:
+        out[np.arange(width) < n[:, None]] = np.frombuffer(of.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+    return out, n
+
+
+def _alike(data: np.ndarray, low: np.ndarray, n: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The first row with the same bytes around its anchor, for each row of n bytes from ``low`` on: hashes propose, bytes decide."""
+    _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+    first = first[of]
+    later = np.flatnonzero(first != np.arange(len(low)))
+    for i in range(0, len(later), BLOCK):
+        x = later[i:i + BLOCK]
+        y = first[x]
+        same = (n[x] == n[y]) & (place[x] - low[x] == place[y] - low[y])
+        size = np.where(same, n[x], 0)
+        a, b = (_matrix(_gathered(data, low[k], size), int(size.max(initial=1)))[0] for k in (x, y))
+        first[x] = np.where(same & (a == b).all(axis=1), y, x)
+    return first
+
+
+def _suffixes(keys: list[str], width: int):
+    """The sampled suffixes: hash of the gram, bytes from it on and before it (backwards), as far as its windows reach, keys, places; in each slice equal ones once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, held, size = Grams(width), [], 0
+        grams = Grams(width)
         for batch in batches:
-            ids = [batch.column(k) for k in keys]
+            held: list[list[pa.Array]] = []
             for row, text in enumerate(batch.column("text")):
                 found = np.unique(batch.column("grams")[row].values.to_numpy(zero_copy_only=False))
-                for at, h, least, sums in grams.slices(np.frombuffer(text.as_py() or b"", np.uint8)):
+                ids = [batch.column(k)[row].as_py() for k in keys]
+                for at, h, least, sums in grams.slices(data := np.frombuffer(text.as_py() or b"", np.uint8)):
                     own = found[(found >= at) & (found < at + len(h))] - at
                     if not len(own):
                         continue
-                    part = grams.segments(h, least, sums, own)
-                    value, first, count = np.unique(part.shared, return_index=True, return_counts=True)
-                    where = (at + part.start[first]).astype(np.int64)
-                    held.append((value, np.where(count > 1, where | TWICE, where), *(np.full(len(value), x[row].as_py(), np.int64) for x in ids)))
-                    size += len(value)
-                if size >= FLUSH:
-                    yield from _combined(keys, *(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held, size = [], 0
-        if held:
-            yield from _combined(keys, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                    part = data[at:at + len(sums) - 1]
+                    start, end, place = grams.anchored(h, least, own)
+                    n = end - start + width - 1
+                    first = _alike(part, start, n, place, _spread((sums[start + n] - sums[start]) * grams.down[start]))
+                    order = np.argsort(first, kind="stable")
+                    one = np.flatnonzero(first == np.arange(len(first)))
+                    count = np.bincount(first, minlength=len(first))[one]
+                    ends = np.append(0, np.cumsum(count))
+                    places = (at + place[order]).astype(np.int32)
+                    for i in range(0, len(one), BLOCK):
+                        x, e = one[i:i + BLOCK], ends[i:i + BLOCK + 1]
+                        held.append([pa.array(h[place[x]].view(np.int64)), _gathered(part, place[x], start[x] + n[x] - place[x]), _gathered(part, place[x], place[x] - start[x], -1),
+                                     *(pa.array(np.full(len(x), k, np.int64)) for k in ids),
+                                     pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(((e - e[0]) * 4).astype(np.int32)), pa.py_buffer(places[e[0]:e[-1]])])])
+                        if sum(len(y[0]) for y in held) >= BLOCK:
+                            yield _joined(held, keys)
+                            held = []
+            if held:
+                yield _joined(held, keys)
 
     return run
 
 
-def _runs_of(grams: Grams, data: np.ndarray, least_at: np.ndarray, found: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Candidate windows as pieces (first window, end, least hash, its place), from the places of grams and of shared strings found twice."""
-    starts, ends, cuts, values, places = [], [], [], [], []
-    for at, h, least, sums in grams.slices(data):
-        own, more = (x[(x >= at) & (x < at + len(y))] - at for x, y in ((least_at, h), (found, least)))
-        if not len(own) or not len(more):
+def _joined(held: list[list[pa.Array]], keys: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*held, strict=True)], ["h", "ahead", "behind", *keys, "places"])
+
+
+def _prefix(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bytes that each row shares with the row before it."""
+    out = np.zeros(len(x), np.int64)
+    if len(x) > 1:
+        differ = x[1:] != x[:-1]
+        out[1:] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), x.shape[1]), np.minimum(n[1:], n[:-1]))
+    return out
+
+
+def _repeats(h: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, width: int) -> np.ndarray:
+    """Of different sorted suffixes (n bytes a ahead, m bytes b behind): which windows, by the distance of the anchor, another one has too."""
+    out = np.zeros((len(h), b.shape[1] + 1), bool)
+    same = np.append(False, h[1:] == h[:-1])
+    shared = np.where(same, _prefix(a, n), 0)
+    # The bytes behind in their own order within a gram.
+    words = np.zeros((len(h), -(-b.shape[1] // 8) * 8), np.uint8)
+    words[:, :b.shape[1]] = b
+    group = np.cumsum(~same)
+    order = np.lexsort([m, *words.view(">u8").T[::-1], group])
+    back = np.where(np.append(False, group[order][1:] == group[order][:-1]), _prefix(b[order], m[order]), 0)
+    back[np.append(True, group[order][1:] != group[order][:-1])] = -1
+    for o in range(out.shape[1]):
+        here = np.flatnonzero((n >= width - o) & (m >= o))
+        if len(here) < 2:
             continue
-        part = grams.segments(h, least, sums, own)
-        hit = np.isin(part.shared, part.shared[np.isin(part.start, more)])
-        starts.append(at + part.start[hit])
-        ends.append(at + part.end[hit])
-        values.append(part.value[hit])
-        places.append(at + part.place[hit])
-        cuts.append((((part.value & np.uint64(CUT)) == 0) & part.head & (part.start > 0))[hit])
-    if not starts:
-        return []
-    start, end, cut, value, place = (np.concatenate(x) for x in (starts, ends, cuts, values, places))
-    if not len(start):
-        return []
-    new = np.flatnonzero(np.append(True, (start[1:] != end[:-1]) | cut[1:]))
-    best = [a + int(np.argmin(value[a:b])) for a, b in zip(new.tolist(), [*new[1:].tolist(), len(value)], strict=True)]
-    return list(zip(start[new].tolist(), np.append(end[new[1:] - 1], end[-1]).tolist(), value[best].view(np.int64).tolist(), place[best].tolist(), strict=True))
-
-
-def _pieces(keys: list[str], width: int):
-    """Rows keys, start, k1, k2, least (hash), phase, piece; the piece is null where the task has sent it before."""
+        ahead = np.cumsum(shared < width - o)[here]
+        behind = np.empty(len(h), np.int64)
+        behind[order] = np.cumsum(back < o)
+        pair = ahead * (len(h) + 1) + behind[here]
+        _, of, count = np.unique(pair, return_inverse=True, return_counts=True)
+        out[here, o] = count[of] > 1
+    return out
+
+
+def _judge(keys: list[str], width: int, most: int, block: int):
+    """From suffixes in order: keys, begin and end of what repeated windows cover. Pieces (k1, k2, many, least, phase, piece) that begin
+    at ``begin``, of grams with more than ``most`` different suffixes, are not judged."""
+    span = width - width * 7 // 10
+
+    def covers(ids: list[np.ndarray], places: pa.Array, flags: np.ndarray) -> pa.RecordBatch:
+        edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        (row, low), (_, high) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        ends = np.frombuffer(places.buffers()[1], np.int32)[places.offset:places.offset + len(places) + 1] // 4
+        n = np.diff(ends)[row]
+        at = np.frombuffer(places.buffers()[2], np.int32)[np.repeat(ends[row] - np.cumsum(n) + n, n) + np.arange(n.sum())].astype(np.int64) if len(row) else np.empty(0, np.int64)
+        begin, end = at - np.repeat(high - 1, n), at + width - np.repeat(low, n)
+        return _rows(keys, [np.repeat(x[row], n) for x in ids], begin, end)
+
+    def pieces(t: pa.Table, many: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(len(t)):
+            behind = t.column("behind")[i].as_py()
+            piece = behind[::-1] + t.column("ahead")[i].as_py()
+            at = np.frombuffer(t.column("places")[i].as_py(), np.int32).astype(np.int64)
+            yield _rows(keys, [np.full(len(at), t.column(k)[i].as_py(), np.int64) for k in keys], at - len(behind), None, (piece, bool(many[i]) or len(at) > 1, t.column("h")[i].as_py(), len(behind) % PERIOD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, sent = Grams(width), set()
-        for batch in batches:
-            for row in range(batch.num_rows):
-                text = batch.column("text")[row].as_py() or b""
-                out = []
-                for a, b, least, place in _runs_of(grams, np.frombuffer(text, np.uint8), *(np.unique(batch.column(c)[row].values.to_numpy(zero_copy_only=False)) for c in ("grams", "found"))):
-                    piece = text[a:b + width - 1]
-                    key = xxhash.xxh3_128_digest(piece)
-                    out.append((a, key, None if key in sent else piece, least, (place - a) % PERIOD))
-                    sent.add(key)
-                if len(sent) > 1_000_000:
-                    sent.clear()
-                k = np.frombuffer(b"".join(o[1] for o in out), np.int64).reshape(-1, 2)
-                for i in range(0, len(out), 2000):
-                    s, n = slice(i, i + 2000), len(out[i:i + 2000])
-                    yield pa.RecordBatch.from_arrays([*(pa.array([batch.column(c)[row].as_py()] * n, pa.int64()) for c in keys), pa.array([o[0] for o in out[s]], pa.int64()),
-                                                      pa.array(k[s, 0]), pa.array(k[s, 1]), pa.array([o[3] for o in out[s]], pa.int64()), pa.array([o[4] for o in out[s]], pa.int64()), pa.array([o[2] for o in out[s]], pa.binary())],
-                                                     [*keys, "start", "k1", "k2", "least", "phase", "piece"])
+        held, known, heavy, fresh = [], np.zeros(0, bool), None, 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                fresh += len(batch)
+            if not held or batch is not None and fresh < block:
+                continue
+            fresh = 0
+            t = pa.Table.from_batches(held).combine_chunks()
+            held, many = [], np.append(known, np.zeros(len(t) - len(known), bool))
+            known = np.zeros(0, bool)
+            h = t.column("h").to_numpy()
+            if heavy is not None:
+                k = int(np.argmax(np.append(h != heavy, True)))
+                yield from pieces(t.slice(0, k), many[:k])
+                t, h, many = t.slice(k).combine_chunks(), h[k:], many[k:]
+                heavy = heavy if not len(h) else None
+            if not len(h):
+                continue
+            column = lambda c: t.column(c).chunk(0)  # noqa: E731, B023
+            (a, n), (b, m) = _matrix(column("ahead"), width), _matrix(column("behind"), span)
+            ids = [t.column(k).to_numpy() for k in keys]
+            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (n[1:] != n[:-1]) | (m[1:] != m[:-1]) | (a[1:] != a[:-1]).any(axis=1) | (b[1:] != b[:-1]).any(axis=1)))
+            count = np.diff(np.append(first, len(h)))
+            places = np.diff(np.frombuffer(column("places").buffers()[1], np.int32)[column("places").offset:column("places").offset + len(h) + 1]) // 4
+            several = (count > 1) | np.logical_or.reduceat(many | (places > 1), first)
+            # The last gram may go on in the next rows: one of each of its suffixes waits.
+            last = len(h) if batch is None else int(np.flatnonzero(np.append(True, h[1:] != h[:-1]))[-1])
+            done = int(np.searchsorted(first, last))
+            o = np.arange(span + 1)
+            flags = (o <= m[:, None]) & (o >= width - n[:, None])
+            open_ = first[:done]
+            flags[open_] &= several[:done, None]
+            alone = np.append(True, h[open_][1:] != h[open_][:-1])
+            mixed = np.flatnonzero(~(alone & np.append(alone[1:], True))) if done else np.empty(0, np.int64)
+            if len(mixed):
+                x = open_[mixed]
+                flags[x] |= _repeats(h[x], a[x], n[x], b[x], m[x], width)
+            wait = first[done:]
+            flags[wait] = False
+            yield covers(ids, column("places"), flags)
+            if len(wait):
+                rest, known = t.take(pa.array(wait)), several[done:]
+                if len(wait) > most:
+                    heavy = int(h[-1])
+                    yield from pieces(rest, known)
+                    known = np.zeros(0, bool)
+                else:
+                    held = rest.combine_chunks().to_batches()
 
     return run
 
 
+def _rows(keys: list[str], ids: list[np.ndarray], begin: np.ndarray, end: np.ndarray | None, piece: tuple[bytes, bool, int, int] | None = None) -> pa.RecordBatch:
+    n = len(begin)
+    k = np.frombuffer(xxhash.xxh3_128_digest(piece[0]), np.int64).tolist() if piece else [None, None]
+    rest = [*k, *(piece[1:] if piece else [None] * 3), piece and piece[0]]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(begin), pa.nulls(n, pa.int64()) if end is None else pa.array(end), *(pa.array([v] * n, kind) if piece else pa.nulls(n, kind) for v, kind in zip(rest, kinds, strict=True))],
+                                      [*keys, "begin", "end", "k1", "k2", "many", "least", "phase", "piece"])
+
+
 class Step(NamedTuple):
     """A sort: of sampled places by three shifted words or names (``kind`` words, names), of sampled windows (whole), or of the windows that a bit map asks for (ends)."""
 
@@ -453,6 +557,8 @@ def repeated_spans(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
     """By the suffix array of the different pieces (k1, k2, many, least, phase, piece): k1, k2, begins, ends of what repeated windows cover."""
     spark = pieces.sparkSession
     size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+    if not size:
+        return spark.createDataFrame([], "k1 long, k2 long, begins array<long>, ends array<long>")
     groups = -(-size // GROUP) or 1
     # Pieces with one least hash are mostly alike: in one group, they send what they share once. Many of them are split.
     parts = pieces.groupBy("least").agg(F.ceil(F.sum(F.octet_length("piece")) / GROUP).alias("parts")).filter("parts > 1")
@@ -480,17 +586,32 @@ def repeated_spans(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
     raise AssertionError
 
 
+def _merged(keys: list[str]):
+    """Ranges of a text that touch or overlap as one, which leaves few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists: tuple[list, list] = ([], [])
+            for begins, ends in zip(batch.column("begins"), batch.column("ends"), strict=True):
+                begin, end = np.sort(begins.values.to_numpy()), np.sort(ends.values.to_numpy())
+                new = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
+                lists[0].append(begin[new])
+                lists[1].append(end[np.append(new[1:] - 1, len(end) - 1)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(x, pa.list_(pa.int32())) for x in lists)], [*keys, "begins", "ends"])
+
+    return run
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols: list[list] = [[], [], [], []]
-        for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+        for text, begins, ends in zip(batch.column("text"), batch.column("begins"), batch.column("ends"), strict=True):
             text = text.as_py() or b""
             gone, runs = 0, 0
-            if spans:
+            if begins.is_valid:
                 edge = np.zeros(len(text) + 1, np.int32)
-                for s in spans:
-                    np.add.at(edge, np.array(s["begins"], np.int64) + s["start"], 1)
-                    np.add.at(edge, np.array(s["ends"], np.int64) + s["start"], -1)
+                np.add.at(edge, begins.values.to_numpy(), 1)
+                np.add.at(edge, ends.values.to_numpy(), -1)
                 out = np.cumsum(edge[:-1]) > 0
                 gone, runs = int(out.sum()), len(_spans(out)[0])
                 text = np.frombuffer(text, np.uint8)[~out].tobytes()
@@ -508,17 +629,20 @@ def remove_repeats(df: DataFrame, width: int = WIDTH) -> DataFrame:
     ids = ", ".join(f"{k} long" for k in keys)
     hits = f"h long, {ids}, at long"
     twice = stored(_repeated(long.mapInArrow(_anchors(keys, width), hits), keys).withColumnRenamed("found", "grams"))
-    near = long.join(_small(twice, F.lit(48) + 4 * F.size("grams")), keys)
-    found = stored(twice.join(_repeated(near.mapInArrow(_shared(keys, width), hits), keys), keys), instead=twice)
-    candidates = long.join(_small(found, F.lit(72) + 4 * F.size("found") + 4 * F.size("grams")), keys)
-    pieces = stored(candidates.mapInArrow(_pieces(keys, width), f"{ids}, start long, k1 long, k2 long, least long, phase long, piece binary"))
-    single = stored(pieces.groupBy("k1", "k2").agg((F.count("*") > 1).alias("many"), F.max("least").alias("least"), F.max("phase").alias("phase"), F.max("piece").alias("piece")))
-    judged = repeated_spans(single, width).filter(F.size("begins") > 0)
-    spans = pieces.select(*keys, "start", "k1", "k2").join(_small(judged, F.lit(64) + 16 * F.size("begins")), ["k1", "k2"]).groupBy(*keys).agg(F.collect_list(F.struct("start", "begins", "ends")).alias("spans"))
-    spans = stored(spans)
-    weight = F.lit(64) + F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + 64 + 16 * F.size(x["begins"]))
+    sampled = long.join(_small(twice, F.lit(48) + 4 * F.size("grams")), keys).mapInArrow(_suffixes(keys, width), f"h long, ahead binary, behind binary, {ids}, places binary")
+    order = sampled.repartition(shuffle_partitions(df.sparkSession), "h").sortWithinPartitions("h", "ahead", "behind")
+    judged = stored(order.mapInArrow(_judge(keys, width, MOST, BLOCK), f"{ids}, begin long, end long, k1 long, k2 long, many boolean, least long, phase long, piece binary"), instead=twice)
+    pieces = judged.filter("piece is not null")
+    single = pieces.groupBy("k1", "k2").agg(((F.count("*") > 1) | F.max("many")).alias("many"), F.max("least").alias("least"), F.max("phase").alias("phase"), F.max("piece").alias("piece"))
+    ranges = repeated_spans(single, width).filter(F.size("begins") > 0)
+    more = pieces.select(*keys, "begin", "k1", "k2").join(_small(ranges, F.lit(64) + 16 * F.size("begins")), ["k1", "k2"])
+    more = more.select(*keys, "begin", F.explode(F.arrays_zip("begins", "ends")).alias("x")).select(*keys, (F.col("begin") + F.col("x.begins")).alias("begin"), (F.col("begin") + F.col("x.ends")).alias("end"))
+    spans = judged.filter("piece is null").select(*keys, "begin", "end").union(more)
+    spans = spans.groupBy(*keys).agg(F.collect_list(F.col("begin").cast("int")).alias("begins"), F.collect_list(F.col("end").cast("int")).alias("ends"))
+    spans = stored(spans.mapInArrow(_merged(keys), f"{ids}, begins array<int>, ends array<int>"), instead=judged)
+    weight = F.lit(64) + 8 * F.size("begins")
     schema = StructType([docs.schema["row"], *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())])
-    cut = docs.join(_small(spans, weight), keys, "left").select("row", "text", "spans").mapInArrow(_cut, schema)
+    cut = docs.join(_small(spans, weight), keys, "left").select("row", "text", "begins", "ends").mapInArrow(_cut, schema)
     return cut.select(*unpacked([c for c in df.columns if c != "text"], **{c: c for c in ("n_bytes", "n_removed", "n_spans", "kept")}))
 
 

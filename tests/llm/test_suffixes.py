@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from episodic.llm import suffixes
@@ -90,3 +91,28 @@ def test_clashing_names(spark):
     got = suffixes.remove_repeats(docs)
     assert sorted(got.columns) == sorted({*docs.columns, "n_removed", "n_spans"} - {"text"})
     assert {(r.found, r.d, r.g, r.row, r.spans) for r in got.collect()} == {(1, 2, 5, 6, 7)}
+
+
+def test_frequent_grams(spark, monkeypatch):
+    """Grams with more suffixes than a task compares go through the array that is dealt by ranges, others and copies do not."""
+    data = [(i, letters(i % 40, 120) + letters(1000, 180) + letters(500 + i % 25, 120) + letters(2000 + i // 2, 260)) for i in range(120)] + [(200, "ab" * 700), (201, "c" + "ab" * 700)]
+    monkeypatch.setattr(suffixes, "MOST", 12)
+    monkeypatch.setattr(suffixes, "BLOCK", 7)
+    monkeypatch.setattr(suffixes, "small_batches", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10"))
+    sizes, whole = [], suffixes.repeated_spans
+    monkeypatch.setattr(suffixes, "repeated_spans", lambda pieces, width: sizes.append(pieces.count()) or whole(pieces, width))
+    try:
+        assert rows(suffixes.digest(spark.createDataFrame(data, "doc_id long, text string"))) == brute(data)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    assert sizes[0] > 12
+
+
+def test_array_is_sparse(spark):
+    """About one suffix in thirty enters the array, and copies within a slice enter once."""
+    text = pa.array([letters(1, 20_000) * 2 + "z" * 9000])
+    places = np.arange(48_000).tolist()
+    batch = pa.RecordBatch.from_arrays([text.cast(pa.binary()), pa.array([places]), pa.array([1])], ["text", "grams", "d"])
+    out = pa.Table.from_batches(list(suffixes._suffixes(["d"], 200)(iter([batch]))))
+    assert 400 < len(out) < 1000
+    assert sum(len(p) // 4 for p in out.column("places").to_pylist()) > 9000 + 1.8 * 600
