@@ -59,6 +59,19 @@ def _slot(token: str, size: int) -> tuple[int, float]:
     return h % size, 1.0 if h >> 40 & 1 else -1.0
 
 
+@lru_cache(maxsize=1 << 14)
+def _bits(names: tuple[str, ...]) -> tuple[int, int]:
+    """Bits of the tokens by their sign."""
+    plus = minus = 0
+    for token in names:
+        i, sign = _slot(token, PATH)
+        if sign > 0:
+            plus |= 1 << i
+        else:
+            minus |= 1 << i
+    return plus, minus
+
+
 class Path:
     """The open elements, outermost first, as a chain: tokens of the innermost, bits of the hashed tokens of all, their number, and a key equal for equal paths."""
 
@@ -67,12 +80,9 @@ class Path:
     def __init__(self, outer: Path | None, names: tuple[str, ...]):
         self.outer, self.names = outer, names
         self.plus, self.minus, self.depth, self.key = (outer.plus, outer.minus, outer.depth + 1, hash((outer.key, names))) if outer else (0, 0, 0, 0)
-        for token in names:
-            i, sign = _slot(token, PATH)
-            if sign > 0:
-                self.plus |= 1 << i
-            else:
-                self.minus |= 1 << i
+        plus, minus = _bits(names)
+        self.plus |= plus
+        self.minus |= minus
 
     def tokens(self) -> list[str]:
         out, at = [], self
@@ -104,8 +114,10 @@ def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
             at = page.find(">", at) + 1
             yield start, at, "", "", ""
         elif m := NAME.match(page, at):
-            k = m.end()
-            while quotes:
+            k = page.find(">", m.end())
+            quoted = quotes and (page.find('"', m.end(), k) >= 0 or page.find("'", m.end(), k) >= 0)
+            k = m.end() if quoted else k
+            while quoted and quotes:
                 k = PLAIN.match(page, k).end()
                 if k == len(page):
                     quotes = False
@@ -137,23 +149,24 @@ def blocks(page: str | None) -> list[Block]:
     text: list[str] = []
     where = root
     linked = at = 0
+    worded = False  # whether the text so far is more than white space
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, worded
         if text:
             body = " ".join("".join(text).split())
             if body:
                 out.append((where, body, linked))
             text.clear()
-        linked = 0
+        linked, worded = 0, False
 
     def take(raw: str) -> None:
-        nonlocal where, linked
+        nonlocal where, linked, worded
         if raw:
             said = entities.unescape(raw) if "&" in raw else raw
             if not said.isspace():
-                if not any(not t.isspace() for t in text):
-                    where = stack[-1][1] if stack else root
+                if not worded:
+                    where, worded = stack[-1][1] if stack else root, True
                 if open_["a"]:
                     linked += len(said)
             text.append(said)
@@ -161,6 +174,10 @@ def blocks(page: str | None) -> list[Block]:
     def close(name: str, stops: tuple[str, ...] = ()) -> None:
         """Closes the innermost open element of that name and all inside it."""
         if open_[name]:
+            if stack[-1][0] == name:
+                stack.pop()
+                open_[name] -= 1
+                return
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     open_.subtract(t for t, _ in stack[k:])
@@ -183,7 +200,7 @@ def blocks(page: str | None) -> list[Block]:
                 close(old, ("ul", "ol", "table", "div", "dl", "article", "section", "td"))
             if not said.rstrip().endswith("/"):
                 names = [name]
-                for value in NAMES.findall(said):
+                for value in NAMES.findall(said) if said else ():
                     names += ["." + p for p in PART.findall(value.lower())]
                 stack.append((name, Path(stack[-1][1] if stack else root, tuple(names))))
                 open_[name] += 1
@@ -272,7 +289,7 @@ class Model:
         out = np.zeros((n, t, HIDDEN), np.float32)
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
             g = z[:, k] + h @ self.p["U" + d]
-            i, f, o, a = _sigmoid(g[:, :HIDDEN]), _sigmoid(g[:, HIDDEN:2 * HIDDEN]), _sigmoid(g[:, 2 * HIDDEN:3 * HIDDEN]), np.tanh(g[:, 3 * HIDDEN:])
+            (i, f, o), a = np.split(_sigmoid(g[:, :3 * HIDDEN]), 3, axis=1), np.tanh(g[:, 3 * HIDDEN:])
             m = mask[:, k, None]
             new_c = f * c + i * a
             new_h = o * np.tanh(new_c)
@@ -297,8 +314,15 @@ class Model:
             if n == 0:
                 out[mine[0]] = self._long(pages[mine[0]], cells)
                 continue
-            x, mask = _padded([features(pages[k]) for k in mine])
-            states = np.concatenate([self._run(self._inputs(x, d), mask, d) for d in "fb"], axis=2)
+            # Inputs of the blocks alone, then set among the padding.
+            x, size = np.concatenate([features(pages[k]) for k in mine]), np.array([len(pages[k]) for k in mine])
+            mask = np.arange(size.max()) < size[:, None]
+            states = []
+            for d in "fb":
+                z = np.zeros((*mask.shape, 4 * HIDDEN), np.float32)
+                z[mask] = self._inputs(x, d)
+                states.append(self._run(z, mask, d))
+            states = np.concatenate(states, axis=2)
             score = states @ self.p["v"] + self.p["c"]
             for row, k in enumerate(mine):
                 out[k] = score[row, :len(pages[k])] > 0

@@ -104,3 +104,14 @@ def test_deep_paths():
     began = time.time()
     found = html.blocks("<div class=menu>" + "<div>" * 100_000 + "<p>deep")
     assert found[0][0].plus | found[0][0].minus == html.blocks("<div class=menu><div><p>x")[0][0].plus | html.blocks("<div class=menu><div><p>x")[0][0].minus and time.time() - began < 10
+
+
+def test_work_per_block(monkeypatch):
+    """Inputs are worked out for blocks, not for the padding between pages of other lengths; closing the innermost element looks at no other."""
+    model, seen, whole = html.Model(3), [], html.Model._inputs
+    monkeypatch.setattr(html.Model, "_inputs", lambda self, x, d: seen.append(x.size // html.INPUT) or whole(self, x, d))
+    pages = [html.blocks("<p>one two.</p>" * n) for n in (1, 7, 40)]
+    assert [len(k) for k in model.predict(pages)] == [1, 7, 40]
+    assert seen == [48, 48]
+    monkeypatch.setattr(html.Counter, "subtract", None)
+    assert len(html.blocks("<div><p>a<b>b</b></p><p title='>'>c</p></div>")) == 2
