@@ -221,7 +221,7 @@ def remove_similar_lines(df: DataFrame) -> DataFrame:
     settled = checkpoint(similar(nearest))
     # Partners of what is still open are held against the finer parity map before they make a pair.
     spread = lambda rows: rows.select(*ids, "f0", "f1", F.explode("posts").alias("p")).select(*ids, "f0", "f1", "p.*")
-    posts, open_ = spread(lines), spread(lines.filter("best is not null").join(settled, ids, "left_anti"))
+    posts, open_ = spread(lines), spread(lines.join(settled, ids, "left_anti"))
     finer = (F.bit_count(x("f0").bitwiseXOR(y("f0"))) + F.bit_count(x("f1").bitwiseXOR(y("f1")))) * 9 <= _n(x) + _n(y)
     rest = open_.alias("x").join(posts.alias("y"), _same_token(x, y) & _before([y(c) for c in ids], [x(c) for c in ids]) & _near(x, y) & finer)
     rest = rest.select(*(x(c) for c in ids), *(y(c).alias(f"y_{c}") for c in ids)).distinct().join(nearest.select(*ids, *y_ids), [*ids, *y_ids], "left_anti")

@@ -120,3 +120,13 @@ def test_shared_rare_word(spark):
     x, y = side(1), side(2)
     both = (linedup._n(y) * 4 <= linedup._reach(x)) & (linedup._n(x) * 4 <= linedup._reach(y))
     assert cases.count() == 91 ** 2 and cases.filter(linedup._near(x, y) != both).count() == 0
+
+
+def test_partner_far_back(spark):
+    """A line whose only similar line stands behind more than a dozen others of its word, none of them near it, goes too."""
+    pairs = [[f"{w}{i}" for w in "abc"] for i in range(22)]
+    both = [(f"zz {' '.join(p)}", f"{' '.join(reversed(p))} zz") for p in pairs]
+    common = " ".join(w for p in pairs for w in p * 60)
+    lines = [common, both[0][0], both[0][1], both[1][0], *(x for b in both[2:] for x in b), both[1][1]]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(lines)], SCHEMA)
+    check(docs, docs.collect())
