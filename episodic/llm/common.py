@@ -89,15 +89,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """What is run inside drops its shuffle files at its end: its result lies in the shared folder by then."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    old = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """What is run inside has this setting of the session."""
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, old)
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
+def _shuffles_freed(spark: SparkSession):
+    """What is run inside drops its shuffle files at its end: its result lies in the shared folder by then."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -130,3 +130,18 @@ def test_partner_far_back(spark):
     lines = [common, both[0][0], both[0][1], both[1][0], *(x for b in both[2:] for x in b), both[1][1]]
     docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(lines)], SCHEMA)
     check(docs, docs.collect())
+
+
+def test_measured_postings(spark):
+    """The join's narrow postings pass and fail as whole ones, and give back key and far, for lines of any length."""
+    lengths = spark.createDataFrame([(n,) for n in (1, 2, 9, 88, 89, 100, 111, 65_534, 65_535, 65_536, 80_000)], "n long")
+    posts = lengths.select("n", F.explode(F.array(*(F.lit(p).cast("long") for p in (0, 1, 9, 17, 13_000, 15_999)))).alias("p")).filter("p < n")
+    posts = posts.select(F.lit(7).cast("long").alias("token"), (F.col("n") * 20_000 + F.col("p")).alias("line"), F.xxhash64("n").alias("b0"), F.lit(0).cast("long").alias("b1"), "n", "p")
+    posts = posts.withColumns({"b0": F.col("b0").bitwiseAND(255), "key": linedup._key(F.col("token"), F.col("n"), F.col("p")), "far": linedup._far(F.col("n"), F.col("p"))})
+    whole = posts.drop("n", "p")
+    back = linedup._packed(linedup._measured(whole, ["line"])).select(*whole.columns)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    both = linedup._measured(whole, ["line"]).join(whole.select("line", "key", "far"), "line")
+    pairs, x, y = both.alias("x").join(both.alias("y")), linedup._side("x"), linedup._side("y")
+    assert pairs.count() > 1000 and pairs.filter(linedup._near(x, y)).count() > 100
+    assert pairs.filter(linedup._near(x, y) != linedup._near_measured(x, y)).count() == 0
